@@ -50,15 +50,20 @@ def plugin_entropy(n: Column) -> Column:
     return F.log(total) - F.sum(xlogx(n)) / total
 
 
+def posterior_terms(a: Column) -> dict[str, Column]:
+    """What one cell of parameter ``a`` adds to the sums behind the posterior moments."""
+    psi = digamma(a + 1.0)
+    return {
+        "_a": a,
+        "_ap": a * psi,
+        "_app": a * psi * psi,
+        "_at": a * (a + 1.0) * trigamma(a + 1.0),
+    }
+
+
 def posterior_sums(a: Column) -> list[Column]:
     """Aggregates that determine the posterior moments for Dirichlet parameters ``a``."""
-    psi = digamma(a + 1.0)
-    return [
-        F.sum(a).alias("_a"),
-        F.sum(a * psi).alias("_ap"),
-        F.sum(a * psi * psi).alias("_app"),
-        F.sum(a * (a + 1.0) * trigamma(a + 1.0)).alias("_at"),
-    ]
+    return [F.sum(x).alias(k) for k, x in posterior_terms(a).items()]
 
 
 def posterior_moments(
@@ -71,13 +76,7 @@ def posterior_moments(
     """
     if a is not None:
         df = df.withColumn("_e", a.cast("double")).withColumn("_c", copies.cast("double"))
-        psi = digamma(F.col("_e") + 1.0)
-        extra = {
-            "_a": F.col("_e"),
-            "_ap": F.col("_e") * psi,
-            "_app": F.col("_e") * psi * psi,
-            "_at": F.col("_e") * (F.col("_e") + 1.0) * trigamma(F.col("_e") + 1.0),
-        }
+        extra = posterior_terms(F.col("_e"))
         df = df.withColumns({k: F.col(k) + F.col("_c") * x for k, x in extra.items()})
         df = df.drop("_e", "_c")
     total, center = F.col("_a"), F.col("_ap") / F.col("_a")

@@ -73,6 +73,14 @@ def _bessel_power(order: int, terms: int = 34) -> list[float]:
     return [1.0 / (math.factorial(k) * math.factorial(k + order)) for k in range(terms)]
 
 
+def _quotient(top: list[float], bottom: list[float]) -> list[float]:
+    # Coefficients of the quotient of two power series; bottom starts with 1.
+    out = []
+    for k, t in enumerate(top):
+        out.append(t - sum(out[i] * bottom[k - i] for i in range(k)))
+    return out
+
+
 def log_i0(x: Column) -> Column:
     """ln I0(x), x >= 0."""
     half2 = x * x / 4.0
@@ -91,6 +99,11 @@ def bessel_ratio(x: Column) -> Column:
     return F.when(x < BESSEL_SPLIT, small).otherwise(large)
 
 
+def bessel_ratio_large(x: Column) -> Column:
+    """A(x) for x >= 10 as one series in 1/x (error below 1e-7 at 10, far less above)."""
+    return horner(1.0 / x, _quotient(_bessel_tail(1, 12), _bessel_tail(0, 12)))
+
+
 def xlogx(x: Column) -> Column:
     """x ln x with 0 at x = 0."""
     return F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
