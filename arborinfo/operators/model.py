@@ -206,14 +206,14 @@ def pick(choices, u):
 
 
 def sample(
-    spark_range: DataFrame,
+    ids: DataFrame,
     transfers: DataFrame,
     node_probabilities: DataFrame,
     order: list[tuple[str, str]],
     root: str,
     seed: int,
 ) -> DataFrame:
-    """Ancestral samples: one column per variable for each ``id`` of ``spark_range``.
+    """Ancestral samples: one column per variable for each ``id`` of ``ids``.
 
     Draws depend on (seed, id, variable) only, never on partitioning or order.
     """
@@ -224,7 +224,7 @@ def sample(
     choices = F.array(
         *[F.struct(F.lit(c["state"]).alias("state"), F.lit(c["c"]).alias("c")) for c in start]
     )
-    out = spark_range.select("id", pick(choices, uniform(seed, F.col("id"), root)).alias(root))
+    out = ids.select("id", pick(choices, uniform(seed, F.col("id"), root)).alias(root))
     for i, (u, v) in enumerate(order):
         step = cumulative_rows(
             transfers.filter((F.col("u") == u) & (F.col("v") == v)), ["xu"], "xv"

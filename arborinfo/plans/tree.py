@@ -342,10 +342,10 @@ class InformationTree:
             rows, self.transfers, self.node_probabilities, self.ordered_edges(root), root, name
         )
 
-    def sample(self, n: int, seed: int = 0, root: str | None = None) -> DataFrame:
-        """``n`` draws from the tree: id and one column per variable."""
+    def sample(self, n: int | DataFrame, seed: int = 0, root: str | None = None) -> DataFrame:
+        """``n`` draws from the tree (or one per ``id`` of a table): id and a column per variable."""
         root = root or self.root()
-        ids = self.pair_counts.sparkSession.range(n)
+        ids = self.pair_counts.sparkSession.range(n) if isinstance(n, int) else n
         return model.sample(
             ids, self.transfers, self.node_probabilities, self.ordered_edges(root), root, seed
         )
