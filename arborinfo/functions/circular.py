@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborinfo.functions.special import bessel_ratio, bessel_ratio_large, log_i0
+from arborinfo.functions.special import bessel_ratio, bessel_ratio_large, log_i0, number
 
 # The range every concentration is held in.
 MIN_KAPPA = 10.0
@@ -32,32 +32,32 @@ def mean_angle(cosines: Column, sines: Column) -> Column:
     return F.when(cosines * cosines + sines * sines > 0, F.atan2(sines, cosines)).otherwise(0.0)
 
 
-def von_mises_log_density(x: Column, mu: Column, kappa: Column) -> Column:
-    """ln of the von Mises density of one angle."""
-    return kappa * F.cos(x - mu) - math.log(2 * math.pi) - log_i0(kappa)
+def von_mises_log_density(x: str, mu: str, kappa: str) -> str:
+    """SQL for ln of the von Mises density of one angle; arguments are column names."""
+    return f"({kappa} * cos({x} - {mu}) - {number(math.log(2 * math.pi))} - {log_i0(kappa)})"
 
 
-def von_mises_kl(mu0: Column, kappa0: Column, mu1: Column, kappa1: Column) -> Column:
-    """Divergence of one von Mises law from another; sum over features for a product law."""
+def von_mises_kl(mu0: str, kappa0: str, mu1: str, kappa1: str) -> str:
+    """SQL for the divergence of one von Mises law from another; sum over features for a
+    product law."""
     return (
-        log_i0(kappa1) - log_i0(kappa0)
-        + bessel_ratio(kappa0) * (kappa0 - kappa1 * F.cos(mu0 - mu1))
+        f"({log_i0(kappa1)} - {log_i0(kappa0)}"
+        f" + {bessel_ratio(kappa0)} * ({kappa0} - {kappa1} * cos({mu0} - {mu1})))"
     )
 
 
-def kappa_of_resultant(
-    df: DataFrame, resultant: str, out: str, steps: int = 4
-) -> DataFrame:
+def kappa_of_resultant(df: DataFrame, resultant: str, out: str, steps: int = 4) -> DataFrame:
     """Add the concentration whose mean resultant length is ``resultant``, held in its range.
 
     Newton steps on A(kappa) = resultant, kept inside the range, where A is a short series.
     One projection per step, so that no step is computed twice.
     """
-    r = F.col(resultant)
-    start = F.try_divide(r * (2.0 - r * r), 1.0 - r * r)
-    df = df.withColumn(out, clamp_kappa(F.coalesce(start, F.lit(MAX_KAPPA))))
-    k, a = F.col(out), F.col("_ratio")
+    r = resultant
+    held = lambda k: F.expr(f"least(greatest({k}, {number(MIN_KAPPA)}), {number(MAX_KAPPA)})")
+    start = f"coalesce(try_divide({r} * (2D - {r} * {r}), 1D - {r} * {r}), {number(MAX_KAPPA)})"
+    df = df.withColumn(out, held(start))
+    ratio = F.expr(bessel_ratio_large(out))
+    step = held(f"{out} - (_ratio - {r}) / (1D - _ratio * _ratio - _ratio / {out})")
     for _ in range(steps):
-        df = df.withColumn("_ratio", bessel_ratio_large(k))
-        df = df.withColumn(out, clamp_kappa(k - (a - r) / (1.0 - a * a - a / k)))
+        df = df.withColumn("_ratio", ratio).withColumn(out, step)
     return df.drop("_ratio")

@@ -35,61 +35,55 @@ def check_prior(prior: str) -> str:
     return prior
 
 
-def pseudocount(prior: str, cells: Column) -> Column:
-    """The count added to each of ``cells`` possible cells."""
+def pseudocount(prior: str, cells: str) -> str:
+    """SQL for the count added to each of ``cells`` possible cells."""
     check_prior(prior)
     if prior == "percs":
-        return 1.0 / cells.cast("double")
-    return F.lit({"haldane": 0.0, "jeffreys": 0.5, "laplace": 1.0}[prior])
+        return f"(1D / ({cells}))"
+    return {"haldane": "0D", "jeffreys": "0.5D", "laplace": "1D"}[prior]
 
 
-def plugin_entropy(n: Column) -> Column:
+def plugin_entropy(n: str) -> Column:
     """Aggregate: plug-in entropy of the counts (or weights) ``n`` of a group."""
-    n = n.cast("double")
-    total = F.sum(n)
-    return F.log(total) - F.sum(xlogx(n)) / total
+    n = f"CAST({n} AS DOUBLE)"
+    return F.expr(f"ln(sum({n})) - sum({xlogx(n)}) / sum({n})")
 
 
-def posterior_terms(a: Column) -> dict[str, Column]:
-    """What one cell of parameter ``a`` adds to the sums behind the posterior moments."""
-    psi = digamma(a + 1.0)
+def posterior_terms(a: str) -> dict[str, str]:
+    """SQL for what one cell of parameter ``a`` adds to the sums behind the posterior moments."""
+    psi = digamma(f"{a} + 1D")
     return {
         "_a": a,
-        "_ap": a * psi,
-        "_app": a * psi * psi,
-        "_at": a * (a + 1.0) * trigamma(a + 1.0),
+        "_ap": f"{a} * {psi}",
+        "_app": f"{a} * {psi} * {psi}",
+        "_at": f"{a} * ({a} + 1D) * {trigamma(f'{a} + 1D')}",
     }
 
 
-def posterior_sums(a: Column) -> list[Column]:
-    """Aggregates that determine the posterior moments for Dirichlet parameters ``a``."""
-    return [F.sum(x).alias(k) for k, x in posterior_terms(a).items()]
+def posterior_sums(a: str) -> list[Column]:
+    """Aggregates that determine the posterior moments for Dirichlet parameters ``a``.
+
+    ``a`` is the name of a double column.
+    """
+    return [F.expr(f"sum({x})").alias(k) for k, x in posterior_terms(a).items()]
 
 
 def posterior_moments(
-    df: DataFrame, mean: str, sd: str, a: Column | None = None, copies: Column | None = None
+    df: DataFrame, mean: str, sd: str, a: str | None = None, copies: str | None = None
 ) -> DataFrame:
     """Replace the columns of ``posterior_sums`` by posterior mean and standard deviation.
 
-    ``copies`` further cells of parameter ``a`` each are added in closed form; this is how
-    unoccupied cells enter without being written out.
+    ``copies`` further cells of parameter ``a`` each (column names) are added in closed form;
+    this is how unoccupied cells enter without being written out.
     """
     if a is not None:
-        df = df.withColumn("_e", a.cast("double")).withColumn("_c", copies.cast("double"))
-        extra = posterior_terms(F.col("_e"))
-        df = df.withColumns({k: F.col(k) + F.col("_c") * x for k, x in extra.items()})
-        df = df.drop("_e", "_c")
-    total, center = F.col("_a"), F.col("_ap") / F.col("_a")
-    spread = F.greatest(F.col("_app") / total - center * center, F.lit(0.0))
-    variance = (
-        spread / (total + 1.0)
-        + F.col("_at") / (total * (total + 1.0))
-        - trigamma(total + 1.0)
-    )
+        df = df.withColumns({k: F.expr(f"{k} + {copies} * {x}") for k, x in posterior_terms(a).items()})
+    spread = "greatest(_app / _a - (_ap / _a) * (_ap / _a), 0D)"
+    variance = f"{spread} / (_a + 1D) + _at / (_a * (_a + 1D)) - {trigamma('_a + 1D')}"
     return df.withColumns(
         {
-            mean: digamma(total + 1.0) - center,
-            sd: F.sqrt(F.greatest(variance, F.lit(0.0))),
+            mean: F.expr(f"{digamma('_a + 1D')} - _ap / _a"),
+            sd: F.expr(f"sqrt(greatest({variance}, 0D))"),
         }
     ).drop("_a", "_ap", "_app", "_at")
 
@@ -100,17 +94,13 @@ def entropy_table(counts: DataFrame, by: list[str], prior: str = "haldane") -> D
     ``prior`` adds its pseudocount to the occupied cells of each group.
     """
     check_prior(prior)
-    n = F.col("n").cast("double")
     if prior == "percs":
         sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"))
-        counts = counts.join(sizes, by).withColumn("_n", n + pseudocount(prior, F.col("_k")))
-    else:
-        counts = counts.withColumn("_n", n + pseudocount(prior, F.lit(1)))
+        counts = counts.join(sizes, by)
+    counts = counts.withColumn("_n", F.expr(f"CAST(n AS DOUBLE) + {pseudocount(prior, '_k')}"))
     sums = counts.groupBy(*by).agg(
-        F.sum("n").alias("n_obs"),
-        F.count(F.lit(1)).alias("k"),
-        plugin_entropy(n).alias("s"),
-        *posterior_sums(F.col("_n")),
+        F.sum("n").alias("n_obs"), F.count(F.lit(1)).alias("k"), plugin_entropy("n").alias("s"),
+        *posterior_sums("_n"),
     )
     return posterior_moments(sums, "s_pm", "s_se")
 
@@ -121,14 +111,12 @@ def posterior_mean_square(mean: Column, sd: Column) -> Column:
 
 
 def cells_with_margins(pair_counts: DataFrame) -> DataFrame:
-    """Pair counts plus the margins n_u, n_v and the total of each pair."""
+    """Pair counts plus the margins n_u, n_v and the total of each pair, as doubles."""
     key = ["u", "v"]
     left = pair_counts.groupBy(*key, "xu").agg(F.sum("n").cast("double").alias("n_u"))
     right = pair_counts.groupBy(*key, "xv").agg(F.sum("n").cast("double").alias("n_v"))
     total = left.groupBy(*key).agg(F.sum("n_u").alias("total"))
-    return (
-        pair_counts.join(left, [*key, "xu"]).join(right, [*key, "xv"]).join(total, key)
-    )
+    return pair_counts.join(left, [*key, "xu"]).join(right, [*key, "xv"]).join(total, key)
 
 
 def fixed_beta_information(pair_counts: DataFrame, beta: float) -> DataFrame:
@@ -138,37 +126,36 @@ def fixed_beta_information(pair_counts: DataFrame, beta: float) -> DataFrame:
     parameter beta p(v); its term is the one every row shares, so occupied cells carry only
     the difference from it and no zero cell is written out.
     """
-    b = float(beta)
-    cells = cells_with_margins(pair_counts).withColumn("_q", b * F.col("n_v") / F.col("total"))
-    cells = cells.withColumn("_g", F.col("_q") + F.col("n"))
-    base = F.col("_q") * digamma(F.col("_q") + 1.0)
-    cells = cells.withColumn("_d", F.col("_g") * digamma(F.col("_g") + 1.0) - base)
+    b = f"{float(beta)!r}D"
+    cells = cells_with_margins(pair_counts).withColumn("_q", F.expr(f"{b} * n_v / total"))
+    cells = cells.withColumn("_g", F.expr("_q + n"))
+    cells = cells.withColumn("_b", F.expr(f"_q * {digamma('_q + 1D')}"))
+    cells = cells.withColumn("_d", F.expr(f"_g * {digamma('_g + 1D')} - _b"))
     shared = (
-        cells.select("u", "v", "xv", "n_v", "total", base.alias("_b")).distinct()
-        .groupBy("u", "v")
-        .agg(F.sum("_b").alias("_base"), plugin_entropy(F.col("n_v")).alias("s_v"))
+        cells.select("u", "v", "xv", "n_v", "_b").distinct().groupBy("u", "v")
+        .agg(F.sum("_b").alias("_base"), plugin_entropy("n_v").alias("s_v"))
     )
     rows = cells.groupBy("u", "v", "xu", "n_u", "total").agg(F.sum("_d").alias("_d"))
     rows = rows.join(shared, ["u", "v"])
-    conditional = digamma(F.col("n_u") + (b + 1.0)) - (F.col("_base") + F.col("_d")) / (
-        F.col("n_u") + b
+    conditional = F.expr(
+        f"n_u / total * ({digamma(f'n_u + {b} + 1D')} - (_base + _d) / (n_u + {b}))"
+    )
+    return rows.groupBy("u", "v", "s_v").agg(F.sum(conditional).alias("_h")).select(
+        "u", "v", F.expr("s_v - _h").alias("i_beta")
     )
-    return rows.groupBy("u", "v", "s_v").agg(
-        F.sum(F.col("n_u") / F.col("total") * conditional).alias("_h")
-    ).select("u", "v", (F.col("s_v") - F.col("_h")).alias("i_beta"))
 
 
 def fixed_beta_log_likelihood(
     pair_counts: DataFrame, beta: float, log_prior: float = 0.0
 ) -> DataFrame:
     """Marginal log-likelihood of the rows of v given u under Dirichlet(beta p(v))."""
-    b = float(beta)
-    cells = cells_with_margins(pair_counts).withColumn("_q", b * F.col("n_v") / F.col("total"))
-    cells = cells.withColumn("_g", F.col("_q") + F.col("n"))
-    cells = cells.withColumn("_c", lgamma(F.col("_g")) - lgamma(F.col("_q")))
-    rows = cells.groupBy("u", "v", "xu", "n_u").agg(F.sum("_c").alias("_c"))
-    rows = rows.withColumn("_f", F.col("n_u") + b).withColumn("_one", F.lit(b))
+    b = f"{float(beta)!r}D"
+    cells = cells_with_margins(pair_counts).withColumn("_q", F.expr(f"{b} * n_v / total"))
+    cells = cells.withColumn("_g", F.expr("_q + n"))
+    rows = cells.groupBy("u", "v", "xu", "n_u").agg(
+        F.expr(f"sum({lgamma('_g')} - {lgamma('_q')})").alias("_c")
+    )
+    rows = rows.withColumn("_f", F.expr(f"n_u + {b}"))
     return rows.groupBy("u", "v").agg(
-        (F.sum(lgamma(F.col("_one")) - lgamma(F.col("_f")) + F.col("_c")) + log_prior)
-        .alias("log_likelihood")
+        F.expr(f"sum({lgamma(b)} - {lgamma('_f')} + _c) + {float(log_prior)!r}D").alias("log_likelihood")
     )

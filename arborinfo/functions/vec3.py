@@ -53,16 +53,17 @@ def distance(a: Vec, b: Vec) -> Column:
 
 
 def turn_angle(a: Vec, b: Vec, c: Vec) -> Column:
-    """Angle between the steps a-b and b-c: pi minus the angle at b."""
+    """Angle between the steps a-b and b-c: pi minus the angle at b; 0 without two steps."""
     u, v = b - a, c - b
-    return F.atan2(u.cross(v).norm(), u.dot(v))
+    # Adding zero turns a negative zero into zero, whose angle would be pi.
+    return F.atan2(u.cross(v).norm(), u.dot(v) + 0.0)
 
 
 def dihedral(a: Vec, b: Vec, c: Vec, d: Vec) -> Column:
-    """Torsion of four points."""
+    """Torsion of four points; 0 where it is undefined."""
     u, v, w = b - a, c - b, d - c
     n1, n2 = u.cross(v), v.cross(w)
-    return F.atan2(u.dot(n2) * v.norm(), n1.dot(n2))
+    return F.atan2(u.dot(n2) * v.norm() + 0.0, n1.dot(n2) + 0.0)
 
 
 def decompose(a: Vec, b: Vec, c: Vec, d: Vec) -> Column:

@@ -37,6 +37,23 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows up to which a derived table is held as a local relation instead of files.
+SMALL_ROWS = 20_000
+
+
+def settle(df: DataFrame, name: str = "stage", rows: int = SMALL_ROWS) -> DataFrame:
+    """Cut the lineage of a table that is cheap to compute and usually small.
+
+    Tables about variables, components or their states mostly have a few rows; up to ``rows``
+    they become local relations, beyond they are written like any other. Not for results of a
+    pass over the data: a table that turns out large is computed a second time.
+    """
+    head = df.limit(rows + 1).toArrow()
+    if head.num_rows <= rows:
+        return df.sparkSession.createDataFrame(head, schema=df.schema)
+    return materialize(df, name)
+
+
 def local_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
     """A small driver-made table as a local relation (Arrow, no Python job)."""
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))

@@ -22,7 +22,7 @@ from arborinfo.functions.entropy import (
 )
 from arborinfo.functions.rng import normal
 from arborinfo.functions.special import entr
-from arborinfo.lineage import materialize
+from arborinfo.lineage import materialize, settle
 from arborinfo.operators.mixture import Mixture, as_batch, double_lists, residue_batches
 from arborinfo.operators.spanning import connected_components
 
@@ -115,13 +115,13 @@ def density_states(
     core neighbour (lowest id on ties), and all that is left becomes one noise state. States
     are numbered from most to least probable; noise is the last possible number.
     """
-    near = materialize(near.select(*by, "i", "j", "d"), "near")
-    weights = materialize(weights.select(*by, "i", "w"), "weights")
+    near = settle(near.select(*by, "i", "j", "d"), "near")
+    weights = settle(weights.select(*by, "i", "w"), "weights")
     mass = (
         near.join(weights.withColumnRenamed("i", "j"), [*by, "j"])
         .groupBy(*by, "i").agg(F.sum("w").alias("m"))
     )
-    cores = materialize(mass.filter(F.col("m") >= min_mass).select(*by, "i"), "cores")
+    cores = settle(mass.filter(F.col("m") >= min_mass).select(*by, "i"), "cores")
     core_near = near.join(cores, [*by, "i"], "left_semi").join(
         cores.withColumnRenamed("i", "j"), [*by, "j"], "left_semi"
     )
@@ -158,7 +158,7 @@ def state_entropy(membership: DataFrame, n_obs: DataFrame, by: list[str]) -> Dat
     with p * n as counts. ``n_obs`` is (residue, n)."""
     p = state_weights(membership, by).join(n_obs, "residue")
     p = p.withColumn("_n", F.col("p") * F.col("n"))
-    sums = p.groupBy(*by).agg(F.sum(entr(F.col("p"))).alias("s"), *posterior_sums(F.col("_n")))
+    sums = p.groupBy(*by).agg(F.expr(f"sum({entr('p')})").alias("s"), *posterior_sums("_n"))
     return posterior_moments(sums, "s_pm", "s_se")
 
 
@@ -260,10 +260,10 @@ def eps_sweep(
     by = ["residue", "key"]
     keys = list(range(len(grid)))
     eps = F.element_at(F.array(*[F.lit(float(g)) for g in grid]), F.col("key") + 1)
-    distances = materialize(component_distances(overlap), "distances")
+    distances = settle(component_distances(overlap), "distances")
     weights = component_weights(overlap)
     near = neighbourhood(over_grid(distances, "key", keys), eps)
-    membership = materialize(
+    membership = settle(
         density_states(near, over_grid(weights, "key", keys), by, min_mass), "sweep"
     )
     n_obs = weights.select("residue", "n").distinct()
@@ -286,10 +286,10 @@ def eps_resampling(
     """
     by = ["residue", "key"]
     keys = list(range(replicates))
-    distances = materialize(component_distances(overlap), "distances")
+    distances = settle(component_distances(overlap), "distances")
     weights = component_weights(overlap)
     noisy = F.col("eps") + normal(seed, F.col("key")) * (1.0 - F.col("eps")) * (1.0 - F.col("eps"))
-    grid = materialize(over_grid(eps, "key", keys).select("residue", "key", noisy.alias("eps")), "eps")
+    grid = settle(over_grid(eps, "key", keys).select("residue", "key", noisy.alias("eps")), "eps")
     near = neighbourhood(distances.join(grid, "residue"), F.col("eps"))
     membership = density_states(near, over_grid(weights, "key", keys), by, min_mass)
     n_obs = weights.select("residue", "n").distinct()
@@ -323,7 +323,7 @@ def component_jackknife(
     left = left_out_weights(angles, mixtures).join(n_obs, "residue")
     left = materialize(left.select(*by, "i", (F.col("w") / F.col("n")).alias("w")), "left_out")
     near = neighbourhood(component_distances(overlap).join(eps, "residue"), F.col("eps"))
-    keyed = materialize(near, "near").join(left.select(*by).distinct(), "residue")
+    keyed = settle(near, "near").join(left.select(*by).distinct(), "residue")
     membership = density_states(keyed, left, by, min_mass)
     return replicate_moments(state_entropy(membership, n_obs, by))
 
@@ -338,7 +338,7 @@ def state_summary(states: DataFrame) -> DataFrame:
     """(residue, n_states, s, s_se) of assigned states."""
     counts = states.groupBy("residue", "state").agg(F.count(F.lit(1)).cast("double").alias("n"))
     sums = counts.groupBy("residue").agg(
-        F.count(F.lit(1)).alias("n_states"), plugin_entropy(F.col("n")).alias("s"),
-        *posterior_sums(F.col("n")),
+        F.count(F.lit(1)).alias("n_states"), plugin_entropy("n").alias("s"),
+        *posterior_sums("n"),
     )
     return posterior_moments(sums, "_m", "s_se").drop("_m")

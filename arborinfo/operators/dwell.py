@@ -90,10 +90,10 @@ def block_jackknife(sequence: DataFrame, by: list[str], order: str) -> DataFrame
     cells = counts.join(mean_gaps(sequence, by, order), [*by, "state"], "left").withColumn(
         "m", F.when(reduced > 0, reduced).otherwise(1.0)
     )
-    totals = counts.groupBy(*by).agg(*posterior_sums(F.col("n")))
-    old, new = posterior_terms(F.col("n")), posterior_terms(F.col("m"))
+    totals = counts.groupBy(*by).agg(*posterior_sums("n"))
+    old, new = posterior_terms("n"), posterior_terms("m")
     swapped = cells.join(totals, by).select(
-        *by, "state", *[(F.col(k) - old[k] + new[k]).alias(k) for k in old]
+        *by, "state", *[F.expr(f"{k} - {old[k]} + {new[k]}").alias(k) for k in old]
     )
     moments = posterior_moments(swapped, "mean", "sd")
     out = moments.groupBy(*by).agg(

@@ -31,7 +31,7 @@ def with_ends(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFra
 def plugin_information(pair_counts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v, n_obs, s_u, s_v, s_uv, i) for every pair."""
     joint = pair_counts.groupBy("u", "v").agg(
-        F.sum("n").alias("n_obs"), plugin_entropy(F.col("n")).alias("s_uv")
+        F.sum("n").alias("n_obs"), plugin_entropy("n").alias("s_uv")
     )
     joined = with_ends(joint, nodes, ["s"])
     return joined.select(
@@ -50,15 +50,16 @@ def posterior_information(
     must be the node table of the same prior.
     """
     check_prior(prior)
-    cells = F.col("k_u") * F.col("k_v")
-    sized = with_ends(pair_counts, nodes, ["k"]).withColumn("_pc", pseudocount(prior, cells))
-    sized = sized.withColumn("_n", F.col("n") + F.col("_pc"))
+    sized = with_ends(pair_counts, nodes, ["k"]).withColumn(
+        "_pc", F.expr(pseudocount(prior, "k_u * k_v"))
+    )
+    sized = sized.withColumn("_n", F.expr("n + _pc"))
     sums = sized.groupBy("u", "v").agg(
-        *posterior_sums(F.col("_n")),
+        *posterior_sums("_n"),
         F.max("_pc").alias("_pc"),
-        (F.max(cells) - F.count(F.lit(1))).alias("_empty"),
+        F.expr("max(k_u * k_v) - count(1)").alias("_empty"),
     )
-    joint = posterior_moments(sums, "s_uv_pm", "s_uv_se", F.col("_pc"), F.col("_empty"))
+    joint = posterior_moments(sums, "s_uv_pm", "s_uv_se", "_pc", "_empty")
     joined = with_ends(joint, nodes, ["s_pm", "s_se"])
     return joined.select(
         "u", "v", "s_uv_pm", "s_uv_se",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborinfo.functions.entropy import plugin_entropy
 from arborinfo.functions.rng import uniform
-from arborinfo.lineage import materialize
+from arborinfo.lineage import materialize, settle
 
 # Edges per block when a wide table is extended column by column.
 EDGE_BLOCK = 32
@@ -94,7 +94,7 @@ def implied_conditionals(transfers: DataFrame, paths: DataFrame) -> DataFrame:
     """
     longest = paths.agg(F.max("d").alias("d")).first()["d"]
     near = paths.filter("d = 1").select("u", "v")
-    known, reach = materialize(transfers.join(near, ["u", "v"], "left_semi"), "conditionals"), 1
+    known, reach = settle(transfers.join(near, ["u", "v"], "left_semi"), "conditionals"), 1
     while reach < longest:
         todo = paths.filter((F.col("d") > reach) & (F.col("d") <= 2 * reach)).select("u", "v", "mid")
         head = known.select("u", F.col("v").alias("mid"), "xu", F.col("xv").alias("xm"), F.col("p").alias("p1"))
@@ -103,7 +103,7 @@ def implied_conditionals(transfers: DataFrame, paths: DataFrame) -> DataFrame:
             todo.join(head, ["u", "mid"]).join(tail, ["mid", "v", "xm"])
             .groupBy("u", "v", "xu", "xv").agg(F.sum(F.col("p1") * F.col("p2")).alias("p"))
         )
-        known, reach = known.unionByName(materialize(longer, "conditionals")), reach * 2
+        known, reach = known.unionByName(settle(longer, "conditionals")), reach * 2
     return known
 
 
@@ -119,7 +119,7 @@ def implied_joints(conditionals: DataFrame, node_probabilities: DataFrame) -> Da
 
 def information_of_joints(joints: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v, i): s(u) + s(v) - s(joint), with plug-in node entropies."""
-    s = joints.groupBy("u", "v").agg(plugin_entropy(F.col("p")).alias("s_uv"))
+    s = joints.groupBy("u", "v").agg(plugin_entropy("p").alias("s_uv"))
     for end in ("u", "v"):
         s = s.join(nodes.select(F.col("var").alias(end), F.col("s").alias(f"s_{end}")), end)
     return s.select("u", "v", (F.col("s_u") + F.col("s_v") - F.col("s_uv")).alias("i"))

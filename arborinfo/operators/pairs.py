@@ -183,10 +183,13 @@ def pair_probabilities(pair_counts: DataFrame) -> DataFrame:
 
 def node_counts(pair_counts: DataFrame) -> DataFrame:
     """(var, state, n) from the pairs of the first variable; no further pass over the data."""
-    first = pair_counts.agg(F.min("u").alias("u"))
-    own = pair_counts.join(F.broadcast(first), "u", "left_semi")  # one row
-    second = own.agg(F.min("v").alias("v"))
-    head = own.join(F.broadcast(second), "v", "left_semi")  # one row
-    left = head.select(F.col("u").alias("var"), F.col("xu").alias("state"), "n")
-    right = own.select(F.col("v").alias("var"), F.col("xv").alias("state"), "n")
-    return left.unionByName(right).groupBy("var", "state").agg(F.sum("n").alias("n"))
+    u, v = pair_counts.agg(F.min(F.struct("u", "v")).alias("p")).select("p.*").first()
+    own = pair_counts.filter(F.col("u") == u)
+    cells = F.array(
+        F.struct(F.col("v").alias("var"), F.col("xv").alias("state")),
+        F.when(F.col("v") == v, F.struct(F.col("u").alias("var"), F.col("xu").alias("state"))),
+    )
+    return (
+        own.select(F.explode(cells).alias("c"), "n").filter("c is not null")
+        .groupBy("c.var", "c.state").agg(F.sum("n").alias("n"))
+    )

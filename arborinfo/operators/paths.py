@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborinfo.lineage import materialize
+from arborinfo.lineage import settle
 
 
 def directed(edges: DataFrame, *columns: str) -> DataFrame:
@@ -33,7 +33,7 @@ def tree_paths(edges: DataFrame) -> DataFrame:
         "u", "v", F.lit(1).alias("d"), F.col("v").alias("first"), F.col("u").alias("last"),
         F.lit(None).cast("string").alias("mid"),
     )
-    known, reach = materialize(known, "paths"), 1
+    known, reach = settle(known, "paths"), 1
     while True:
         head = known.filter(F.col("d") == reach).select(
             "u", F.col("v").alias("m"), "first", F.col("last").alias("m_in")
@@ -45,7 +45,7 @@ def tree_paths(edges: DataFrame) -> DataFrame:
             "u", "v", (F.col("d2") + reach).cast("int").alias("d"), "first", "last",
             F.col("m").alias("mid"),
         )
-        longer = materialize(longer, "paths")
+        longer = settle(longer, "paths")
         if longer.isEmpty():
             return known
         known, reach = known.union(longer), reach * 2

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborinfo.lineage import local_table, materialize
+from arborinfo.lineage import local_table, settle
 
 DRIVER_EDGES = 200_000
 EDGE_SCHEMA = pa.schema([("u", pa.string()), ("v", pa.string())])
@@ -66,9 +66,9 @@ def spanning_tree_by_components(edges: DataFrame) -> DataFrame:
 
     Each round at least halves the number of components, so there are log2(nodes) rounds.
     """
-    edges = materialize(edges.select("u", "v", "w"), "edges")
+    edges = settle(edges.select("u", "v", "w"), "edges")
     ends = edges.select(F.col("u").alias("x")).union(edges.select(F.col("v").alias("x")))
-    labels = materialize(ends.distinct().withColumn("c", F.col("x")), "labels")
+    labels = settle(ends.distinct().withColumn("c", F.col("x")), "labels")
     kept = None
     while True:
         lu = labels.select(F.col("x").alias("u"), F.col("c").alias("cu"))
@@ -79,7 +79,7 @@ def spanning_tree_by_components(edges: DataFrame) -> DataFrame:
         )
         # Smallest (-w, u, v) per component; NaN-free weights are assumed.
         best = both.groupBy("c").agg(F.min(F.struct((-F.col("w")).alias("k"), "u", "v")).alias("b"))
-        best = materialize(best.select("b.u", "b.v").distinct(), "best")
+        best = settle(best.select("b.u", "b.v").distinct(), "best")
         if best.isEmpty():
             break
         kept = best if kept is None else kept.union(best).distinct()
@@ -87,7 +87,7 @@ def spanning_tree_by_components(edges: DataFrame) -> DataFrame:
             F.col("cu").alias("a"), F.col("cv").alias("b")
         )
         merged = connected_components(links)
-        labels = materialize(
+        labels = settle(
             labels.join(merged, labels["c"] == merged["node"], "left").select(
                 "x", F.coalesce("component", "c").alias("c")
             ),
@@ -95,7 +95,7 @@ def spanning_tree_by_components(edges: DataFrame) -> DataFrame:
         )
     if kept is None:
         return edges.select("u", "v").limit(0)
-    return materialize(kept, "tree")
+    return settle(kept, "tree")
 
 
 def connected_components(links: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -109,8 +109,8 @@ def connected_components(links: DataFrame, by: list[str] | None = None) -> DataF
         links.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))
     )
     loops = twoway.select(*by, "a", F.col("a").alias("b"))
-    graph = materialize(twoway.union(loops).distinct(), "links")
-    labels = materialize(
+    graph = settle(twoway.union(loops).distinct(), "links")
+    labels = settle(
         graph.groupBy(*by, "a").agg(F.min("b").alias("c")), "components"
     )
     while True:
@@ -122,7 +122,7 @@ def connected_components(links: DataFrame, by: list[str] | None = None) -> DataF
             .join(labels, [*by, "a"])
             .select(*by, "a", F.least("j", "m").alias("c"), (F.col("c") > F.least("j", "m")).alias("moved"))
         )
-        new = materialize(new, "components")
+        new = settle(new, "components")
         labels = new.drop("moved")
         if new.filter("moved").isEmpty():
             break

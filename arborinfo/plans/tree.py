@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborinfo.functions.entropy import check_estimator, check_prior
-from arborinfo.lineage import materialize
+from arborinfo.lineage import materialize, settle
 from arborinfo.operators import errors, information, model, paths as tree_paths_ops
 from arborinfo.operators.pairs import (
     node_counts,
@@ -72,7 +72,7 @@ class InformationTree:
     @cached_property
     def node_counts(self) -> DataFrame:
         """(var, state, n)."""
-        return materialize(node_counts(self.pair_counts), "nodes")
+        return settle(node_counts(self.pair_counts), "nodes")
 
     @cached_property
     def node_probabilities(self) -> DataFrame:
@@ -85,12 +85,12 @@ class InformationTree:
     @cached_property
     def nodes(self) -> DataFrame:
         """(var, n_obs, k, s, s_pm, s_se)."""
-        return materialize(information.node_table(self.node_counts, self.prior), "node_table")
+        return settle(information.node_table(self.node_counts, self.prior), "node_table")
 
     @cached_property
     def edges(self) -> DataFrame:
         """(u, v, n_obs, s_u, s_v, s_uv, i) of all pairs, plug-in."""
-        return materialize(
+        return settle(
             information.plugin_information(self.pair_counts, self.nodes), "edge_table"
         )
 
@@ -110,7 +110,7 @@ class InformationTree:
         counts = self.pair_counts.join(self.tree, ["u", "v"])
         posterior = information.posterior_information(counts, self.nodes, self.prior)
         joined = plugin.join(posterior.select("u", "v", "i_pm", "i_se"), ["u", "v"])
-        return materialize(joined, "tree_edges")
+        return settle(joined, "tree_edges")
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -185,7 +185,7 @@ class InformationTree:
         entropies, contributions = errors.leave_one_out(
             self.nodes, self.edges, self.tree_edges, self.paths
         )
-        contributions = materialize(contributions, "leave_one_out")
+        contributions = settle(contributions, "leave_one_out")
         return contributions.groupBy("node").agg(F.sum("contribution").alias("entropy")), contributions
 
     def leave_one_out_entropies(self) -> DataFrame:
@@ -238,7 +238,7 @@ class InformationTree:
     @cached_property
     def transfers(self) -> DataFrame:
         """(u, v, xu, xv, p) with p = P(xv | xu), both orientations of each tree edge."""
-        return materialize(
+        return settle(
             model.transfer_matrix(self.pair_counts.join(self.tree, ["u", "v"], "left_semi")),
             "transfers",
         )
@@ -278,7 +278,7 @@ class InformationTree:
 
     def knockout_joints(self) -> DataFrame:
         """(u, v, xu, xv, p) of each tree edge in the tree that may not use it."""
-        bridges = materialize(
+        bridges = settle(
             errors.knockout_bridges(self.edges, self.tree, self.paths), "bridges"
         )
         return errors.knockout_joints(

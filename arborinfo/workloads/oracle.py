@@ -543,7 +543,7 @@ ORACLE["wrapped_angles"] = (
     + rnd("CASE WHEN feature % 4 = 3 THEN 0.0 ELSE least(greatest(x*300, 10), 600) END", 6) + " AS clamped FROM y"
 )
 FITTED = f"WITH RECURSIVE {ANGLES}, {MEANS}, {ESTEP}"
-ORACLE["component_log_density"] = f"{FITTED} SELECT residue, frame, comp, {rnd('l', 6)} AS log_density FROM ld"
+ORACLE["component_log_density"] = f"{FITTED} SELECT residue, frame, comp, {rnd('l', 4)} AS log_density FROM ld"
 ORACLE["mixture_responsibilities"] = f"{FITTED} SELECT residue, frame, comp, {rnd('r', 7)} AS r FROM rs"
 ORACLE["mixture_log_likelihood"] = (
     f"{FITTED}, fr AS (SELECT residue, frame, max(top) + ln(sum(exp(l + lw - top))) AS ll FROM tp"
@@ -712,8 +712,8 @@ def internals(source: str, name: str) -> str:
     u, v, w = sub("b", "a"), sub("c", "b"), sub("d", "c")
     n1, n2 = cross(u, v), cross(v, w)
     return (
-        f"{name} AS (SELECT *, {norm(w)} AS length, atan2({norm(cross(v, w))}, {dot(v, w)}) AS angle,"
-        f" atan2({dot(u, n2)}*{norm(v)}, {dot(n1, n2)}) AS dihedral FROM {source})"
+        f"{name} AS (SELECT *, {norm(w)} AS length, atan2({norm(cross(v, w))}, {dot(v, w)} + 0.0) AS angle,"
+        f" atan2({dot(u, n2)}*{norm(v)} + 0.0, {dot(n1, n2)} + 0.0) AS dihedral FROM {source})"
     )
 
 
@@ -804,14 +804,14 @@ _E1, _V2 = sub("c", "b"), sub("b", "a")
 _E3 = cross(_E1, _V2)
 _E2 = cross(_E3, _E1)
 _P = ("(x - a_x)", "(y - a_y)", "(z - a_z)")
-# The reference frame of (0,0,0), (0,1,0), (1,1,0) has axes x, y and -z.
+# The reference frame of (0,0,0), (0,1,0), (1,1,0) has the axes x, y and z.
 ORACLE["rigid_alignment"] = (
     f"WITH {POINTS}, " + "fr AS (SELECT frame, " + ", ".join(
         f"max(CASE WHEN pos = {i} THEN {k} END) AS {c}_{k}" for i, c in enumerate("abc") for k in "xyz"
     ) + " FROM pts GROUP BY frame) SELECT frame, pos, "
     + ", ".join(
-        f"{rnd(f'{sign}{dot(_P, e)}/{norm(e)}', 6)} AS {k}"
-        for k, e, sign in (("x", _E1, ""), ("y", _E2, ""), ("z", _E3, "-"))
+        f"{rnd(f'{dot(_P, e)}/{norm(e)}', 6)} AS {k}"
+        for k, e in (("x", _E1), ("y", _E2), ("z", _E3))
     ) + " FROM pts JOIN fr USING (frame)"
 )
 

@@ -91,9 +91,9 @@ def special_functions(spark, sf_dir):
         F.count(F.lit(1)).cast("double").alias("n")
     ).withColumn("kappa", 10.0 + F.col("n") % 30)
     return counts.select(
-        "l_discount", "l_tax", r(digamma(F.col("n")), 9, "psi"), r(trigamma(F.col("n")), 9, "psi1"),
-        r(lgamma(F.col("n")), 6, "lg"), r(log_i0(F.col("kappa")), 8, "li0"),
-        r(bessel_ratio(F.col("kappa")), 8, "ratio"),
+        "l_discount", "l_tax", r(F.expr(digamma("n")), 9, "psi"),
+        r(F.expr(trigamma("n")), 9, "psi1"), r(F.expr(lgamma("n")), 6, "lg"),
+        r(F.expr(log_i0("kappa")), 8, "li0"), r(F.expr(bessel_ratio("kappa")), 8, "ratio"),
     )
 
 
@@ -442,11 +442,11 @@ def component_log_density(spark, sf_dir):
     )
     params = materialize(params, "params")
     rows = given.angles(spark, sf_dir).select("residue", "frame", F.posexplode("theta").alias("feature", "x"))
-    density = circular.von_mises_log_density(F.col("x"), F.col("mu"), F.col("kappa"))
+    density = F.expr(circular.von_mises_log_density("x", "mu", "kappa"))
     out = rows.join(params, ["residue", "feature"]).groupBy("residue", "frame", "comp").agg(
         F.sum(density).alias("log_density")
     )
-    return out.select("residue", "frame", "comp", r("log_density", 6))
+    return out.select("residue", "frame", "comp", r("log_density", 4))
 
 
 @query
@@ -476,7 +476,7 @@ def expected_log_likelihood(spark, sf_dir):
     sums = mixture.expectation_sums(given.angles(spark, sf_dir), fits)
     params = mixture.feature_rows(mixture.mixtures_table(spark, fits))
     own = F.col("kappa") * (F.col("c") * F.cos("mu") + F.col("s") * F.sin("mu"))
-    norm = F.log(F.lit(2.0) * F.pi()) + log_i0(F.col("kappa"))
+    norm = F.log(F.lit(2.0) * F.pi()) + F.expr(log_i0("kappa"))
     out = sums.join(params, ["residue", "comp", "feature"]).groupBy("residue").agg(
         F.sum(own - F.col("w") * norm).alias("ell")
     )
@@ -498,7 +498,7 @@ def mixture_divergence(spark, sf_dir):
     base = rows.filter("comp = 0").select(
         "residue", "feature", F.col("mu").alias("mu1"), F.col("kappa").alias("kappa1")
     )
-    kl = circular.von_mises_kl(F.col("mu"), F.col("kappa"), F.col("mu1"), F.col("kappa1"))
+    kl = F.expr(circular.von_mises_kl("mu", "kappa", "mu1", "kappa1"))
     out = rows.join(base, ["residue", "feature"]).groupBy("residue", "comp").agg(F.sum(kl).alias("kl"))
     return out.select("residue", "comp", r("kl", 6))
 
