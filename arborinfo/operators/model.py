@@ -225,10 +225,11 @@ def sample(
         *[F.struct(F.lit(c["state"]).alias("state"), F.lit(c["c"]).alias("c")) for c in start]
     )
     out = ids.select("id", pick(choices, uniform(seed, F.col("id"), root)).alias(root))
+    steps = settle(cumulative_rows(transfers, ["u", "v", "xu"], "xv"), "choices")
     for i, (u, v) in enumerate(order):
-        step = cumulative_rows(
-            transfers.filter((F.col("u") == u) & (F.col("v") == v)), ["xu"], "xv"
-        ).select(F.col("xu").alias("_x"), F.col("choices").alias("_c"))
+        step = steps.filter((F.col("u") == u) & (F.col("v") == v)).select(
+            F.col("xu").alias("_x"), F.col("choices").alias("_c")
+        )
         out = out.join(step, F.col(f"`{u}`") == F.col("_x"))
         out = out.withColumn(v, pick(F.col("_c"), uniform(seed, F.col("id"), v))).drop("_x", "_c")
         if (i + 1) % EDGE_BLOCK == 0:

@@ -26,25 +26,29 @@ MAX_JOINT_VARIABLES = 12
 CELL_BUDGET = 32_000_000
 
 
+def text(name: str) -> str:
+    """SQL for the state of a column as a string."""
+    return f"coalesce(CAST(`{name}` AS STRING), '{NULL_STATE}')"
+
+
+def pair_cells(variables: list[str], state=text) -> Column:
+    """array<struct<u, v, xu, xv>>: the states of all pairs of variables of a row."""
+    cells = [
+        f"struct('{u}' AS u, '{v}' AS v, {state(u)} AS xu, {state(v)} AS xv)"
+        for u, v in combinations(sorted(variables), 2)
+    ]
+    return F.expr(f"array({', '.join(cells)})")
+
+
 def joint_counts(df: DataFrame, variables: list[str]) -> DataFrame:
     """Distinct joint states with their count ``n``; states become strings."""
     counted = df.groupBy(*variables).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
-        *[F.coalesce(F.col(v).cast("string"), F.lit(NULL_STATE)).alias(v) for v in variables], "n"
-    )
+    return counted.selectExpr(*[f"{text(v)} AS `{v}`" for v in variables], "n")
 
 
 def pairs_of_joint(joint: DataFrame, variables: list[str]) -> DataFrame:
     """Pair counts of a table of distinct joint states."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(u).alias("u"), F.lit(v).alias("v"),
-                F.col(f"`{u}`").alias("xu"), F.col(f"`{v}`").alias("xv"),
-            )
-            for u, v in combinations(sorted(variables), 2)
-        ]
-    )
+    cells = pair_cells(variables, lambda v: f"`{v}`")
     spread = joint.select(F.explode(cells).alias("p"), "n").select("p.*", "n")
     return spread.groupBy("u", "v", "xu", "xv").agg(F.sum("n").alias("n"))
 

@@ -5,12 +5,14 @@ All tables here have one row per pair of variables at most; they do not grow wit
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborinfo.lineage import settle
+from arborinfo.lineage import SMALL_ROWS, local_table, settle
 
 
 def directed(edges: DataFrame, *columns: str) -> DataFrame:
@@ -20,14 +22,49 @@ def directed(edges: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def tree_paths(edges: DataFrame) -> DataFrame:
+PATH_SCHEMA = pa.schema(
+    [("u", pa.string()), ("v", pa.string()), ("d", pa.int32())]
+    + [(c, pa.string()) for c in ("first", "last", "mid")]
+)
+
+
+def tree_paths(edges: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """(u, v, d, first, last, mid) for every ordered pair of distinct nodes.
 
     ``d`` is the number of edges between them, ``first`` the neighbour of u towards v,
-    ``last`` the neighbour of v towards u, and ``mid`` a node on the path at the largest power
-    of two (below d) from u; NULL for neighbours. Path lengths double each round, so the loop
-    runs log2(diameter) times. Two pieces u..m and m..v join to a path exactly if they leave m
-    through different neighbours.
+    ``last`` the neighbour of v towards u, and ``mid`` the node on the path whose distance
+    from u is the largest power of two below d; NULL for neighbours. A tree whose pairs fit
+    ``rows`` is walked on the driver, a larger one by joins.
+    """
+    few = [(r["u"], r["v"]) for r in edges.select("u", "v").limit(math.isqrt(rows)).collect()]
+    if (len(few) + 1) ** 2 <= rows:
+        return local_table(edges.sparkSession, list(walked_paths(few)), PATH_SCHEMA)
+    return paths_by_doubling(edges)
+
+
+def walked_paths(edges: list[tuple[str, str]]):
+    """The rows of ``tree_paths``, by walking away from every node."""
+    near: dict[str, list[str]] = {}
+    for u, v in edges:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    for u in near:
+        todo = [[u, v] for v in near[u]]
+        while todo:
+            path = todo.pop()
+            d = len(path) - 1
+            yield {
+                "u": u, "v": path[-1], "d": d, "first": path[1], "last": path[-2],
+                "mid": path[1 << (d - 1).bit_length() - 1] if d > 1 else None,
+            }
+            todo += [path + [v] for v in near[path[-1]] if v != path[-2]]
+
+
+def paths_by_doubling(edges: DataFrame) -> DataFrame:
+    """The rows of ``tree_paths``, by joins.
+
+    Path lengths double each round, so the loop runs log2(diameter) times. Two pieces u..m and
+    m..v join to a path exactly if they leave m through different neighbours.
     """
     known = directed(edges).select(
         "u", "v", F.lit(1).alias("d"), F.col("v").alias("first"), F.col("u").alias("last"),

@@ -20,6 +20,8 @@ def build_session(master: str = "local[8]", app: str = "arborinfo", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Recording the Python call site of every Column costs more than most of our plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     if master and master.startswith("local"):
         settings["spark.sql.shuffle.partitions"] = "8"

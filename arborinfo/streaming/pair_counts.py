@@ -6,23 +6,14 @@ row per distinct joint state, or per occupied cell, and does not grow with the r
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborinfo.operators.pairs import NULL_STATE
+from arborinfo.operators.pairs import pair_cells
 
 
 def streaming_pair_counts(rows: DataFrame, variables: list[str]) -> DataFrame:
     """(u, v, xu, xv, n) over all rows so far, for ``update`` or ``complete`` output."""
-    text = {v: F.coalesce(F.col(v).cast("string"), F.lit(NULL_STATE)) for v in variables}
-    cells = F.array(
-        *[
-            F.struct(F.lit(u).alias("u"), F.lit(v).alias("v"), text[u].alias("xu"), text[v].alias("xv"))
-            for u, v in combinations(sorted(variables), 2)
-        ]
-    )
-    return rows.select(F.explode(cells).alias("p")).groupBy("p.u", "p.v", "p.xu", "p.xv").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return rows.select(F.explode(pair_cells(variables)).alias("p")).groupBy(
+        "p.u", "p.v", "p.xu", "p.xv"
+    ).agg(F.count(F.lit(1)).alias("n"))
