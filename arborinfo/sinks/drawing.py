@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from arborinfo.functions.vec3 import distance, vec
 from arborinfo.plans.tree import InformationTree
 
+# Fixed value: sticks are sized with distances in nanometres, coordinates are in Angstrom.
+NANOMETRES = 0.1
 # Colour anchors from light to dark; a map of any length may be given instead.
 EDGE_COLOURS = ((0.96, 0.94, 0.78), (0.82, 0.70, 0.40), (0.55, 0.38, 0.24), (0.20, 0.12, 0.10))
 
@@ -55,7 +57,7 @@ def drawn_edges(
             nodes.select(F.col("var").alias(end), F.col("id").alias(f"{end}_id"), F.col("p").alias(f"{end}_p")),
             end,
         )
-    wide = base * F.sqrt(F.col("mi") / (math.pi * distance(vec("u_p"), vec("v_p"))))
+    wide = base * F.sqrt(F.col("mi") / (math.pi * NANOMETRES * distance(vec("u_p"), vec("v_p"))))
     radius = F.when(F.col("mi") > min_mi, wide).otherwise(0.0)
     return edges.select(
         F.least("u_id", "v_id").alias("u_id"), F.greatest("u_id", "v_id").alias("v_id"), "mi",

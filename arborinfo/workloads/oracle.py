@@ -844,6 +844,6 @@ ORACLE["drawing_edges"] = items(
     "dd AS (SELECT a.id AS u_id, b.id AS v_id, i_pm, sqrt(pow(a.x-b.x,2) + pow(a.y-b.y,2) + pow(a.z-b.z,2)) AS d"
     " FROM tree JOIN em_p a ON a.var = u JOIN em_p b ON b.var = v)",
     select=f"SELECT u_id, v_id, {rnd('i_pm', 8)} AS mi,"
-    + rnd("greatest(CASE WHEN i_pm > 0.0003 THEN sqrt(i_pm/(pi()*d)) ELSE 0 END, 0.02)", 7) + " AS radius, "
+    + rnd("greatest(CASE WHEN i_pm > 0.0003 THEN sqrt(i_pm/(pi()*0.1*d)) ELSE 0 END, 0.02)", 7) + " AS radius, "
     + ", ".join(f"{rnd(_channel(k), 6)} AS {c}" for k, c in enumerate("rgb")) + " FROM dd",
 )
