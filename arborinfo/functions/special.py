@@ -27,6 +27,11 @@ def number(x: float) -> str:
     return f"{float(x)!r}D"
 
 
+def quoted(x: str) -> str:
+    """A string literal."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def horner(x: str, coefficients) -> str:
     """c0 + c1 x + c2 x^2 + ..."""
     c = [number(v) for v in coefficients]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborinfo.functions.entropy import plugin_entropy
 from arborinfo.functions.rng import uniform
+from arborinfo.functions.special import number, quoted
 from arborinfo.lineage import materialize, settle
 
 # Edges per block when a wide table is extended column by column.
@@ -155,54 +156,39 @@ def log_probability(
     broadcast threshold; longer trees are scored in blocks of edges.
     """
     kept = rows.columns
+    text = {v: f"_s{i}" for i, v in enumerate([root, *[v for _, v in order]])}
+    out = rows.select("*", *[F.col(f"`{v}`").cast("string").alias(s) for v, s in text.items()])
+    low = F.lit(float("-inf"))
     start = node_probabilities.filter(F.col("var") == root).select(
         F.col("state").alias("_x"), F.log("p").alias("_l")
     )
-    low = F.lit(float("-inf"))
-    out = rows.join(start, F.col(f"`{root}`").cast("string") == F.col("_x"), "left")
+    out = out.join(start, F.col(text[root]) == F.col("_x"), "left")
     out = out.withColumn(name, F.coalesce("_l", low)).drop("_x", "_l")
     for i, (u, v) in enumerate(order):
         step = transfers.filter((F.col("u") == u) & (F.col("v") == v)).select(
             F.col("xu").alias("_x"), F.col("xv").alias("_y"), F.log("p").alias("_l")
         )
-        out = out.join(
-            step,
-            (F.col(f"`{u}`").cast("string") == F.col("_x"))
-            & (F.col(f"`{v}`").cast("string") == F.col("_y")),
-            "left",
-        )
+        same = (F.col(text[u]) == F.col("_x")) & (F.col(text[v]) == F.col("_y"))
+        out = out.join(step, same, "left")
         out = out.withColumn(name, F.col(name) + F.coalesce("_l", low)).drop("_x", "_y", "_l")
         if (i + 1) % EDGE_BLOCK == 0:
             out = materialize(out, "scored")
     return out.select(*kept, name)
 
 
-def cumulative_rows(table: DataFrame, by: list[str], state: str) -> DataFrame:
-    """(by..., choices): states of each group with the cumulative probability up to each."""
-    gathered = table.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(state).alias("state"), "p"))).alias("g")
-    )
-    # Running sums over an array of at most one entry per state of a variable.
-    running = F.aggregate(
-        "g",
-        F.array().cast("array<struct<state:string,c:double>>"),
-        lambda acc, g: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    g["state"].alias("state"),
-                    (F.coalesce(F.try_element_at(acc, F.lit(-1))["c"], F.lit(0.0)) + g["p"]).alias("c"),
-                )
-            ),
-        ),
-    )
-    return gathered.select(*by, running.alias("choices"))
+def state_intervals(table: DataFrame, by: list[str], state: str) -> DataFrame:
+    """(by..., state, lo, hi): the states of each group laid out over [0, 1) by probability.
 
-
-def pick(choices, u):
-    """First state whose cumulative probability exceeds ``u`` (the last one at the end)."""
-    hit = F.try_element_at(F.filter(choices, lambda c: c["c"] > u), F.lit(1))["state"]
-    return F.coalesce(hit, F.element_at(choices, -1)["state"])
+    The last interval is open upwards, so rounding leaves no gap at the end.
+    """
+    along = Window.partitionBy(*by).orderBy(state)
+    back = Window.partitionBy(*by).orderBy(F.desc(state))
+    hi = F.sum("p").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    laid = table.select(*by, state, hi.alias("_hi"), (F.row_number().over(back) == 1).alias("_last"))
+    return laid.select(
+        *by, state, F.coalesce(F.lag("_hi").over(along), F.lit(0.0)).alias("lo"),
+        F.when(F.col("_last"), 2.0).otherwise(F.col("_hi")).alias("hi"),
+    )
 
 
 def sample(
@@ -215,23 +201,27 @@ def sample(
 ) -> DataFrame:
     """Ancestral samples: one column per variable for each ``id`` of ``ids``.
 
-    Draws depend on (seed, id, variable) only, never on partitioning or order.
+    Draws depend on (seed, id, variable) only, never on partitioning or order. A child's state
+    is an equi-join on its parent's state with the interval its uniform number falls into.
     """
-    start = cumulative_rows(
-        node_probabilities.filter(F.col("var") == root), ["var"], "state"
-    ).first()["choices"]
+    start = state_intervals(node_probabilities.filter(F.col("var") == root), ["var"], "state")
     # The states of one variable: few enough to stand in the plan as literals.
-    choices = F.array(
-        *[F.struct(F.lit(c["state"]).alias("state"), F.lit(c["c"]).alias("c")) for c in start]
+    first = " ".join(
+        f"WHEN _z < {number(r['hi'])} THEN {quoted(r['state'])}"
+        for r in start.orderBy("hi").collect()
     )
-    out = ids.select("id", pick(choices, uniform(seed, F.col("id"), root)).alias(root))
-    steps = settle(cumulative_rows(transfers, ["u", "v", "xu"], "xv"), "choices")
+    out = ids.select("id", uniform(seed, F.col("id"), root).alias("_z"))
+    out = out.select("id", F.expr(f"CASE {first} END").alias(root))
+    steps = settle(state_intervals(transfers, ["u", "v", "xu"], "xv"), "intervals")
     for i, (u, v) in enumerate(order):
         step = steps.filter((F.col("u") == u) & (F.col("v") == v)).select(
-            F.col("xu").alias("_x"), F.col("choices").alias("_c")
+            F.col("xu").alias("_x"), F.col("xv").alias("_y"), "lo", "hi"
+        )
+        out = out.withColumn("_z", uniform(seed, F.col("id"), v)).join(
+            step,
+            (F.col(f"`{u}`") == F.col("_x")) & (F.col("_z") >= F.col("lo")) & (F.col("_z") < F.col("hi")),
         )
-        out = out.join(step, F.col(f"`{u}`") == F.col("_x"))
-        out = out.withColumn(v, pick(F.col("_c"), uniform(seed, F.col("id"), v))).drop("_x", "_c")
+        out = out.withColumnRenamed("_y", v).drop("_x", "_z", "lo", "hi")
         if (i + 1) % EDGE_BLOCK == 0:
             out = materialize(out, "samples")
     return out

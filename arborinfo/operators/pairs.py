@@ -19,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborinfo.functions.special import quoted
+
 NULL_STATE = "null"
+# Up to this many variables a frame's states are gathered as one aggregate per variable.
+PIVOT_VARIABLES = 64
 # Above this many variables distinct joint rows rarely repeat, so matrices are counted instead.
 MAX_JOINT_VARIABLES = 12
 # Cells one task keeps in memory before it emits them (8 bytes each).
@@ -34,7 +38,7 @@ def text(name: str) -> str:
 def pair_cells(variables: list[str], state=text) -> Column:
     """array<struct<u, v, xu, xv>>: the states of all pairs of variables of a row."""
     cells = [
-        f"struct('{u}' AS u, '{v}' AS v, {state(u)} AS xu, {state(v)} AS xv)"
+        f"struct({quoted(u)} AS u, {quoted(v)} AS v, {state(u)} AS xu, {state(v)} AS xv)"
         for u, v in combinations(sorted(variables), 2)
     ]
     return F.expr(f"array({', '.join(cells)})")
@@ -155,20 +159,25 @@ def pair_counts(df: DataFrame, variables: list[str]) -> DataFrame:
 def frame_arrays(states: DataFrame, variables: list[str]) -> DataFrame:
     """(frame, x array<int>) of long (frame, var, state) rows; x follows sorted ``variables``.
 
-    A frame holds one state per variable, so the gathered array is as long as the variable
-    list. Frames that miss a variable are refused.
+    A frame holds one state per variable, so gathering it needs no more room than the variable
+    list. Frames with missing or repeated variables are refused.
     """
     want = len(variables)
-    gathered = states.groupBy("frame").agg(
-        F.sort_array(F.collect_list(F.struct("var", F.col("state").cast("int").alias("state"))))
-        .alias("g")
-    )
-    return gathered.select(
-        "frame",
-        F.when(F.size("g") == want, F.col("g.state"))
-        .otherwise(F.raise_error(F.lit("a frame does not hold exactly one state per variable")))
-        .alias("x"),
-    )
+    if want <= PIVOT_VARIABLES:
+        # Plain maxima stay in generated code and combine map-side.
+        at = [f"max(CASE WHEN var = {quoted(v)} THEN CAST(state AS INT) END)" for v in variables]
+        gathered = states.groupBy("frame").agg(
+            F.count(F.lit(1)).alias("k"), F.expr(f"array({', '.join(at)})").alias("x")
+        )
+        whole = (F.col("k") == want) & ~F.exists("x", lambda s: s.isNull())
+    else:
+        gathered = states.groupBy("frame").agg(
+            F.sort_array(F.collect_list(F.struct("var", F.col("state").cast("int").alias("state"))))
+            .alias("g")
+        ).select("frame", F.col("g.var").alias("k"), F.col("g.state").alias("x"))
+        whole = F.col("k") == F.array(*[F.lit(v) for v in variables])
+    refuse = F.raise_error(F.lit("a frame does not hold exactly one state per variable"))
+    return gathered.select("frame", F.when(whole, F.col("x")).otherwise(refuse).alias("x"))
 
 
 def pair_counts_long(states: DataFrame, variables: list[str] | None = None) -> DataFrame:

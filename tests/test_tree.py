@@ -37,12 +37,14 @@ def counts(df):
     return {(r["u"], r["v"], int(r["xu"]), int(r["xv"])): r["n"] for r in df.collect()}
 
 
-def test_three_ways_to_count_agree(frame):
+def test_ways_to_count_agree(frame, monkeypatch):
     by_joint = counts(pairs.pair_counts(frame, NAMES))
     by_array = counts(pairs.pairs_of_arrays(frame, F.array(*NAMES), NAMES))
     cells = F.array(*[F.struct(F.lit(v).alias("var"), F.col(v).alias("state")) for v in NAMES])
     long = frame.select("frame", F.explode(cells).alias("c")).select("frame", "c.*")
     assert by_joint == by_array == counts(pairs.pair_counts_long(long))
+    monkeypatch.setattr(pairs, "PIVOT_VARIABLES", 0)
+    assert by_joint == counts(pairs.pair_counts_long(long))
     assert sum(by_joint.values()) == 10 * 4000
 
 
@@ -59,8 +61,11 @@ def test_counting_within_any_memory(frame, budget, monkeypatch):
     assert found == want
 
 
-def test_frames_must_be_whole(spark):
-    rows = [(0, "a", 1), (0, "b", 0), (1, "a", 1)]
+@pytest.mark.parametrize("pivot", [0, 64])
+@pytest.mark.parametrize("odd", [[(1, "a", 1)], [(1, "a", 1), (1, "a", 0)], [(1, "a", 1), (1, "c", 0)]])
+def test_frames_must_be_whole(spark, odd, pivot, monkeypatch):
+    monkeypatch.setattr(pairs, "PIVOT_VARIABLES", pivot)
+    rows = [(0, "a", 1), (0, "b", 0)] + odd
     df = spark.createDataFrame(rows, "frame long, var string, state int")
     with pytest.raises(Exception, match="exactly one state"):
         pairs.pair_counts_long(df, ["a", "b"]).collect()
