@@ -1,14 +1,19 @@
-"""Cutting lineage through a shared folder, and small driver-made tables."""
+"""Cutting lineage through a shared folder, small driver-made tables, shipping our code."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
@@ -20,9 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can read")
-    folder = tempfile.mkdtemp(prefix="arborinfo-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="arborinfo-")
+    return _local_dirs[application]
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -57,3 +63,27 @@ def settle(df: DataFrame, name: str = "stage", rows: int = SMALL_ROWS) -> DataFr
 def local_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
     """A small driver-made table as a local relation (Arrow, no Python job)."""
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python tasks, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="arborinfo-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    # Spark hands the file to every executor.
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
+def broadcast(spark: SparkSession, value):
+    """A broadcast variable for Python tasks that may hold objects of this package."""
+    ship_package(spark)
+    return spark.sparkContext.broadcast(value)

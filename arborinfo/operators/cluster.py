@@ -22,11 +22,13 @@ from arborinfo.functions.entropy import (
 )
 from arborinfo.functions.rng import normal
 from arborinfo.functions.special import entr
-from arborinfo.lineage import materialize, settle
-from arborinfo.operators.mixture import Mixture, as_batch, double_lists, residue_batches
+from arborinfo.lineage import broadcast, materialize, settle, ship_package
+from arborinfo.operators.mixture import Mixture, as_batch, by_group, double_lists, residue_batches
 from arborinfo.operators.spanning import connected_components
 
 MIN_MASS = 0.01
+# Matrix cells one task keeps before it emits them (8 bytes each).
+CELL_BUDGET = 16_000_000
 MATRIX_ROWS = pa.schema(
     [("residue", pa.int32()), ("key", pa.int32()), ("i", pa.int32()), ("row", pa.list_(pa.float64()))]
 )
@@ -39,20 +41,30 @@ def summed_matrices(angles: DataFrame, known: dict, part) -> DataFrame:
     ``part(value, theta)`` yields (key, matrix) for a batch of one residue; each task adds
     them up before it emits their rows.
     """
-    shared = angles.sparkSession.sparkContext.broadcast(known)
+    shared = broadcast(angles.sparkSession, known)
 
-    def rows(batches):
-        acc = {}
-        for residue, _, theta in residue_batches(batches, shared.value):
-            for key, matrix in part(shared.value[residue], theta):
-                at = (residue, key)
-                acc[at] = acc[at] + matrix if at in acc else matrix
+    def emit(acc):
         for (residue, key), matrix in acc.items():
             k = len(matrix)
             yield as_batch(
                 MATRIX_ROWS, np.full(k, residue), np.full(k, key), np.arange(k), double_lists(matrix)
             )
 
+    def rows(batches):
+        acc, cells = {}, 0
+        for residue, _, theta in residue_batches(batches, shared.value):
+            for key, matrix in part(shared.value[residue], theta):
+                at = (residue, key)
+                if at in acc:
+                    acc[at] = acc[at] + matrix
+                else:
+                    acc[at] = matrix
+                    cells += matrix.size
+            if cells > CELL_BUDGET:
+                yield from emit(acc)
+                acc, cells = {}, 0
+        yield from emit(acc)
+
     partial = angles.select("residue", "frame", "theta").mapInArrow(rows, MATRIX_DDL)
     cells = partial.select("residue", "key", "i", F.posexplode("row").alias("j", "x"))
     return cells.groupBy("residue", "key", "i", "j").agg(F.sum("x").alias("x"))
@@ -68,7 +80,7 @@ def component_overlap(angles: DataFrame, mixtures: dict[int, Mixture]) -> DataFr
         root = np.sqrt(mixture.responsibilities(theta)[0])
         yield 0, root.T @ root
 
-    cells = summed_matrices(angles, mixtures, part)
+    cells = by_group(angles, mixtures, lambda rows, known: summed_matrices(rows, known, part))
     # Responsibilities of a frame add up to one, so the trace counts the frames.
     total = Window.partitionBy("residue")
     n = F.sum(F.when(F.col("i") == F.col("j"), F.col("x"))).over(total)
@@ -178,28 +190,36 @@ def membership_matrices(membership: DataFrame, key: str | None = None) -> dict:
 
 def assign_states(angles: DataFrame, mixtures: dict[int, Mixture], membership: DataFrame) -> DataFrame:
     """(residue, frame, state): the state of most summed responsibility, lowest id on ties."""
-    matrices = membership_matrices(membership)
-    known = {r: (m, *matrices[r][0]) for r, m in mixtures.items()}
-    shared = angles.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("residue", pa.int32()), ("frame", pa.int64()), ("state", pa.int32())])
 
-    def rows(batches):
-        for residue, frame, theta in residue_batches(batches, shared.value):
-            mixture, matrix, ids = shared.value[residue]
-            p = mixture.responsibilities(theta)[0] @ matrix.T
-            yield as_batch(schema, np.full(len(frame), residue), frame, ids[p.argmax(axis=1)])
+    def assign(rows, group):
+        matrices = membership_matrices(membership.filter(F.col("residue").isin(list(group))))
+        shared = broadcast(rows.sparkSession, 
+            {r: (m, *matrices[r][0]) for r, m in group.items()}
+        )
 
-    return angles.select("residue", "frame", "theta").mapInArrow(
-        rows, "residue int, frame long, state int"
-    )
+        def states(batches):
+            for residue, frame, theta in residue_batches(batches, shared.value):
+                mixture, matrix, ids = shared.value[residue]
+                p = mixture.responsibilities(theta)[0] @ matrix.T
+                yield as_batch(schema, np.full(len(frame), residue), frame, ids[p.argmax(axis=1)])
+
+        return rows.select("residue", "frame", "theta").mapInArrow(
+            states, "residue int, frame long, state int"
+        )
+
+    return by_group(angles, mixtures, assign, matrix_bytes(mixtures))
+
+
+def matrix_bytes(mixtures: dict[int, Mixture], copies: int = 1) -> int:
+    """Bytes of ``copies`` membership matrices of the largest mixture."""
+    return copies * 8 * max(len(m.logw) for m in mixtures.values()) ** 2
 
 
 def density_matrix(
     angles: DataFrame, mixtures: dict[int, Mixture], membership: DataFrame, key: str | None = None
 ) -> DataFrame:
     """(residue, key, i, j, x): overlap of the square-root state responsibilities, trace one."""
-    matrices = membership_matrices(membership, key)
-    known = {r: (m, {k: c for k, (c, _) in matrices[r].items()}) for r, m in mixtures.items()}
 
     def part(value, theta):
         mixture, groupings = value
@@ -208,7 +228,13 @@ def density_matrix(
             root = np.sqrt(r @ matrix.T)
             yield at, root.T @ root
 
-    cells = summed_matrices(angles, known, part)
+    def summed(rows, group):
+        matrices = membership_matrices(membership.filter(F.col("residue").isin(list(group))), key)
+        known = {r: (m, {k: c for k, (c, _) in matrices[r].items()}) for r, m in group.items()}
+        return summed_matrices(rows, known, part)
+
+    copies = membership.agg(F.max(key)).first()[0] + 1 if key else 1
+    cells = by_group(angles, mixtures, summed, matrix_bytes(mixtures, copies))
     trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("x"))).over(
         Window.partitionBy("residue", "key")
     )
@@ -220,6 +246,7 @@ def von_neumann_entropy(cells: DataFrame, by: list[str]) -> DataFrame:
 
     A matrix has one row per state or component of a residue.
     """
+    ship_package(cells.sparkSession)
     types = dict(cells.dtypes)
 
     def entropy(part: pd.DataFrame) -> pd.DataFrame:
@@ -303,12 +330,17 @@ def left_out_weights(angles: DataFrame, mixtures: dict[int, Mixture]) -> DataFra
     def part(mixture, theta):
         r = mixture.responsibilities(theta)[0]
         rest = 1.0 - r
-        scale = np.where(rest > 1e-15, 1.0 / np.where(rest > 1e-15, rest, 1.0), 0.0)
+        # Where a component holds almost everything, the others are added up instead.
+        each, top = np.arange(len(r)), r.argmax(axis=1)
+        others = r.copy()
+        others[each, top] = 0.0
+        rest[each, top] = others.sum(axis=1)
+        scale = np.where(rest > 0, 1.0 / np.where(rest > 0, rest, 1.0), 0.0)
         total = scale.T @ r
         np.fill_diagonal(total, 0.0)
         yield 0, total
 
-    cells = summed_matrices(angles, mixtures, part)
+    cells = by_group(angles, mixtures, lambda rows, known: summed_matrices(rows, known, part))
     return cells.select("residue", F.col("i").alias("key"), F.col("j").alias("i"), F.col("x").alias("w"))
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborinfo.lineage import ship_package
 from arborinfo.operators.paths import directed, interior_nodes, path_edges
 from arborinfo.operators.spanning import Components
 
@@ -34,6 +35,7 @@ def replacement_edges(edges: DataFrame, tree: DataFrame, paths: DataFrame) -> Da
     node and pair of pieces the heaviest such edge is found by an aggregate; what remains per
     node is a graph of its tree neighbours.
     """
+    ship_package(edges.sparkSession)
     crossing = interior_nodes(off_tree(edges, tree), paths)
     best = crossing.groupBy(
         "node", F.least("hop_u", "hop_v").alias("a"), F.greatest("hop_u", "hop_v").alias("b")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborinfo.functions.vec3 import decompose, vec
+from arborinfo.lineage import ship_package
 from arborinfo.operators.topology import SLOTS, layout, layout_rows, one_letter
 
 POINT = "struct<x:double,y:double,z:double>"
@@ -233,6 +234,7 @@ def fold(internal: DataFrame) -> DataFrame:
     A frame is one row of residues x 14 entries; the chain is sequential within a frame and
     independent across frames, so batches of frames are folded together.
     """
+    ship_package(internal.sparkSession)
     sequence = "".join(
         r["aa"] for r in internal.select("residue", "aa").distinct().orderBy("residue").collect()
     )
@@ -277,6 +279,7 @@ def fold(internal: DataFrame) -> DataFrame:
 
 def rebuild_backbone(chain: DataFrame) -> DataFrame:
     """(frame, pos, x, y, z) from chains (frame, pos, length, angle, dihedral), pos from 0."""
+    ship_package(chain.sparkSession)
     frames = chain.groupBy("frame").agg(
         F.sort_array(F.collect_list(F.struct("pos", "length", "angle", "dihedral"))).alias("g")
     ).select("frame", F.expr("flatten(transform(g, e -> array(e.length, e.angle, e.dihedral)))").alias("v"))
@@ -311,6 +314,7 @@ def superpose(atoms: DataFrame, reference: int | None = None, key: str = "serial
     Per frame, the sums behind the covariance with the reference are one aggregate; the
     rotations come from batched 3 x 3 singular value decompositions.
     """
+    ship_package(atoms.sparkSession)
     if reference is None:
         reference = atoms.agg(F.min("frame")).first()[0]
     fixed = atoms.filter(F.col("frame") == reference).select(

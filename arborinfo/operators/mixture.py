@@ -16,6 +16,7 @@ import math
 import uuid
 import zlib
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from arborinfo.functions.circular import (
     wrap_angle,
 )
 from arborinfo.functions.rng import uniform_array
-from arborinfo.lineage import local_table, shared_dir
+from arborinfo.lineage import broadcast, local_table, shared_dir
 
 PARAMETER_BUDGET = 64 << 20
 # The first 15 of 28 features (bond angles and the peptide torsion) start tight.
@@ -124,9 +125,10 @@ def expectation_sums(angles: DataFrame, mixtures: dict[int, Mixture]) -> DataFra
     w, c and s are the sums of r, r cos(theta) and r sin(theta); n and ll are the number of
     frames and the summed log-likelihood, carried by component 0.
     """
-    shared = angles.sparkSession.sparkContext.broadcast(mixtures)
+    shared = broadcast(angles.sparkSession, mixtures)
 
     def sums(batches):
+        # At most one entry per residue shipped, each of the size of its parameters.
         known, acc = shared.value, {}
         for key, _, theta in residue_batches(batches, known):
             r, ll = known[key].responsibilities(theta)
@@ -210,7 +212,7 @@ def seed_centres(angles: DataFrame, residues: list[int], k: int, seed: int) -> d
     centres: dict[int, list[np.ndarray]] = {r: [] for r in residues}
     rows = angles.select("residue", "frame", "theta")
     for draw in range(k):
-        shared = spark.sparkContext.broadcast(
+        shared = broadcast(spark, 
             {r: np.array([c / np.linalg.norm(c) for c in cs]) for r, cs in centres.items()}
         )
 
@@ -248,8 +250,9 @@ def initial_mixtures(
     tight: int = TIGHT_FEATURES,
 ) -> dict[int, Mixture]:
     """Seeded centres, random concentrations and equal weights."""
-    centres = seed_centres(angles, sorted(masks), k, seed)
-    out = {}
+    centres, out = {}, {}
+    for group in residue_groups({r: 8 * k * len(m) for r, m in masks.items()}):
+        centres.update(seed_centres(angles.filter(F.col("residue").isin(group)), group, k, seed))
     for residue, mu in centres.items():
         features = mu.shape[1]
         ids = np.arange(k * features)
@@ -263,19 +266,37 @@ def initial_mixtures(
     return out
 
 
-def parameter_groups(mixtures: dict[int, Mixture]) -> list[list[int]]:
-    """Residues in groups whose parameters fit ``PARAMETER_BUDGET``."""
+def residue_groups(sizes: dict[int, int]) -> list[list[int]]:
+    """Residues in groups of at most ``PARAMETER_BUDGET`` bytes (or one residue)."""
     groups, size = [[]], 0
-    for residue in sorted(mixtures):
-        need = mixtures[residue].nbytes
-        if groups[-1] and size + need > PARAMETER_BUDGET:
+    for residue in sorted(sizes):
+        if groups[-1] and size + sizes[residue] > PARAMETER_BUDGET:
             groups.append([])
             size = 0
         groups[-1].append(residue)
-        size += need
+        size += sizes[residue]
     return groups
 
 
+def parameter_groups(mixtures: dict[int, Mixture], extra: int = 0) -> list[list[int]]:
+    """Residues in groups by the size of their parameters plus ``extra`` bytes each."""
+    return residue_groups({r: m.nbytes + extra for r, m in mixtures.items()})
+
+
+def by_group(angles: DataFrame, mixtures: dict[int, Mixture], run, extra: int = 0) -> DataFrame:
+    """``run(rows, parameters)`` for each group of residues, united.
+
+    What a pass ships to the tasks stays below the budget for any number of residues.
+    """
+    groups = parameter_groups(mixtures, extra)
+    if len(groups) == 1:
+        return run(angles, mixtures)
+    parts = [
+        run(angles.filter(F.col("residue").isin(g)), {r: mixtures[r] for r in g}) for g in groups
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @dataclass
 class Fit:
     mixtures: dict[int, Mixture]
@@ -332,7 +353,11 @@ def sort_by_weight(params: DataFrame) -> DataFrame:
 
 def responsibilities(angles: DataFrame, mixtures: dict[int, Mixture]) -> DataFrame:
     """(residue, frame, r array<double>, log_density)."""
-    shared = angles.sparkSession.sparkContext.broadcast(mixtures)
+    return by_group(angles, mixtures, _responsibilities)
+
+
+def _responsibilities(angles: DataFrame, mixtures: dict[int, Mixture]) -> DataFrame:
+    shared = broadcast(angles.sparkSession, mixtures)
     schema = pa.schema(
         [
             ("residue", pa.int32()), ("frame", pa.int64()), ("r", pa.list_(pa.float64())),
@@ -404,10 +429,13 @@ def held_params(features: DataFrame) -> DataFrame:
 
 
 def mask_table(angles: DataFrame, masks: DataFrame | None = None) -> dict[int, np.ndarray]:
-    """Feature masks per residue; all features where no mask table is given."""
+    """Feature masks per residue; all features where no mask table is given.
+
+    Residues are read from the partition column of ``by_residue`` alone; all have the same
+    number of features.
+    """
     if masks is not None:
         return {r["residue"]: np.array(r["m"], bool) for r in masks.collect()}
-    sizes = angles.groupBy("residue").agg(F.max(F.size("theta")).alias("n")).collect()
-    return {r["residue"]: np.ones(r["n"], bool) for r in sizes}
-
-
+    width = angles.select(F.size("theta").alias("n")).first()["n"]
+    residues = angles.select("residue").distinct().collect()
+    return {r["residue"]: np.ones(width, bool) for r in residues}

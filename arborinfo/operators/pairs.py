@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborinfo.functions.special import quoted
+from arborinfo.lineage import ship_package
 
 NULL_STATE = "null"
 # Up to this many variables a frame's states are gathered as one aggregate per variable.
@@ -126,6 +127,7 @@ def pairs_of_arrays(df: DataFrame, states: Column, variables: list[str]) -> Data
     ``variables`` (which must be sorted by name)."""
     if list(variables) != sorted(variables):
         raise ValueError("variables must be sorted by name")
+    ship_package(df.sparkSession)
     found = df.select(states.cast("array<int>").alias("x")).mapInArrow(
         _count_batches, "u int, v int, xu int, xv int, n long"
     )

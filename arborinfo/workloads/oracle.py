@@ -603,12 +603,18 @@ OVERLAP = (
 )
 
 
-def clustering(eps: str, min_mass: float, near: str = "di", weights: str = "wt") -> str:
-    """Membership ``me`` (key, residue, comp, state, is_noise, w) for every (key, eps) of ``eps``."""
+def clustering(eps: str, min_mass: float, weights: str = "wt") -> str:
+    """Membership ``me`` (key, residue, comp, state, is_noise, w) for every row of ``eps``.
+
+    ``eps`` selects (key, residue, eps); ``weights`` names a table (residue, i, w) or, with a
+    key, of the weights of each clustering.
+    """
+    keyed = "w.key = {0}.key AND " if weights != "wt" else ""
     return (
-        f"ne AS (SELECT g.key, d.* FROM {near} d JOIN ({eps}) g ON d.d <= g.eps), "
-        f"ms AS (SELECT key, n.residue, n.i, sum(w) AS m FROM ne n JOIN {weights} w ON w.residue = n.residue"
-        f" AND w.i = n.j GROUP BY key, n.residue, n.i), "
+        f"eg AS ({eps}), "
+        "ne AS (SELECT g.key, d.* FROM di d JOIN eg g ON g.residue = d.residue AND d.d <= g.eps), "
+        f"ms AS (SELECT n.key, n.residue, n.i, sum(w) AS m FROM ne n JOIN {weights} w ON {keyed.format('n')}w.residue = n.residue"
+        " AND w.i = n.j GROUP BY n.key, n.residue, n.i), "
         f"co AS (SELECT key, residue, i FROM ms WHERE m >= {min_mass}), "
         "cn AS (SELECT n.key, n.residue, n.i, n.j FROM ne n JOIN co a ON a.key = n.key AND a.residue = n.residue AND a.i = n.i"
         " JOIN co b ON b.key = n.key AND b.residue = n.residue AND b.i = n.j), "
@@ -619,7 +625,7 @@ def clustering(eps: str, min_mass: float, near: str = "di", weights: str = "wt")
         " FROM ne n JOIN pt p ON p.key = n.key AND p.residue = n.residue AND p.i = n.j"
         " ANTI JOIN co ON co.key = n.key AND co.residue = n.residue AND co.i = n.i), "
         "mp AS (SELECT key, residue, i, part FROM pt UNION ALL SELECT key, residue, i, part FROM bo WHERE nr = 1), "
-        f"al AS (SELECT g.key, w.residue, w.i, w.w, mp.part FROM {weights} w JOIN ({eps}) g ON true"
+        f"al AS (SELECT g.key, w.residue, w.i, w.w, mp.part FROM {weights} w JOIN eg g ON {keyed.format('g')}w.residue = g.residue"
         " LEFT JOIN mp ON mp.key = g.key AND mp.residue = w.residue AND mp.i = w.i), "
         "ps AS (SELECT key, residue, part, row_number() OVER (PARTITION BY key, residue ORDER BY sum(w) DESC, part) - 1 AS st"
         " FROM al WHERE part IS NOT NULL GROUP BY key, residue, part), "
@@ -630,12 +636,13 @@ def clustering(eps: str, min_mass: float, near: str = "di", weights: str = "wt")
 
 
 STATE_P = (
-    "sp AS (SELECT key, residue, state, sum(w) AS p FROM me GROUP BY key, residue, state), "
+    "sp AS (SELECT key, residue, state, sum(w) AS p FROM me GROUP BY key, residue, state HAVING sum(w) > 0), "
     "sc AS (SELECT key, residue, p*(SELECT count(*) FROM embeddings) AS a FROM sp), "
     "se AS (SELECT key, residue, -sum(p*ln(p)) AS s FROM sp GROUP BY key, residue), "
     + moments("sc", "key, residue", "cm")
 )
-ONE = clustering("SELECT 0 AS key, 0.96 AS eps", 0.16)
+RES = "(SELECT DISTINCT residue FROM wt)"
+ONE = clustering(f"SELECT 0 AS key, residue, 0.96 AS eps FROM {RES}", 0.16)
 CLUSTERED = f"{FITTED}, {OVERLAP}"
 ORACLE["component_distances"] = f"{CLUSTERED} SELECT residue, i, j, {rnd('d', 7)} AS d FROM di"
 ORACLE["neighbourhood_size"] = (
@@ -665,7 +672,7 @@ ORACLE["assigned_state_summary"] = (
 )
 _GRID = " UNION ALL ".join(f"SELECT {i} AS key, {e!r} AS eps" for i, e in enumerate(SWEEP))
 ORACLE["eps_sweep"] = (
-    f"{CLUSTERED}, {clustering(_GRID, 0.16)}, {STATE_P}, gr AS ({_GRID}) SELECT se.residue, {rnd('eps::DOUBLE', 2)} AS eps,"
+    f"{CLUSTERED}, gr AS ({_GRID}), {clustering(f'SELECT key, residue, eps FROM gr, {RES}', 0.16)}, {STATE_P} SELECT se.residue, {rnd('eps::DOUBLE', 2)} AS eps,"
     f" {rnd('s', 6)} AS s, {rnd('m', 6)} AS s_pm, {rnd('sd', 5)} AS s_se"
     " FROM se JOIN cm USING (key, residue) JOIN gr USING (key)"
 )
@@ -679,6 +686,35 @@ ORACLE["density_matrices"] = (
     f" SELECT residue, i, j, {rnd('x/sum(CASE WHEN i = j THEN x END) OVER (PARTITION BY residue)', 7)} AS x FROM dm"
 )
 
+SPREAD = "sd AS (SELECT residue, 1 - 0.1*stddev_pop(d) AS eps FROM di WHERE i <= j GROUP BY residue)"
+REPLICATES = (
+    f" SELECT residue, {rnd('avg(m)', 6)} AS s_mean, {rnd('sqrt(greatest(avg(m2) - avg(m)*avg(m), 0))', 5)} AS s_se"
+    " FROM cm GROUP BY residue"
+)
+
+
+def keyed_draw(end: str) -> str:
+    key = f"'{SEED}|' || CAST(key AS VARCHAR) || '|{end}'"
+    return f"(CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT)::DOUBLE / {float(16 ** 13)})"
+
+
+ORACLE["eps_resampling"] = (
+    f"{CLUSTERED}, {SPREAD}, kz AS (SELECT key, sqrt(-2*ln(1 - {keyed_draw('a')}))*cos(2*pi()*{keyed_draw('b')}) AS z"
+    " FROM (SELECT unnest(range(100)) AS key)), "
+    + clustering("SELECT key, residue, eps + z*(1 - eps)*(1 - eps) AS eps FROM kz, sd", 0.01)
+    + f", {STATE_P}{REPLICATES}"
+)
+ORACLE["component_jackknife"] = (
+    f"{CLUSTERED}, {SPREAD}, "
+    "rt AS (SELECT a.residue, a.frame, a.comp AS key, sum(b.r) AS rest FROM rs a JOIN rs b"
+    " ON b.residue = a.residue AND b.frame = a.frame AND b.comp <> a.comp GROUP BY a.residue, a.frame, a.comp), "
+    "lf AS (SELECT a.residue, a.key, b.comp AS i, sum(CASE WHEN a.key <> b.comp AND rest > 0"
+    " THEN b.r/rest ELSE 0 END)/(SELECT count(*) FROM embeddings) AS w FROM rt a JOIN rs b"
+    " ON b.residue = a.residue AND b.frame = a.frame GROUP BY a.residue, a.key, b.comp), "
+    + clustering("SELECT DISTINCT lf.key, lf.residue, eps FROM lf JOIN sd ON sd.residue = lf.residue", 0.01, "lf")
+    + f", {STATE_P}{REPLICATES}"
+)
+
 # -- geometry ----------------------------------------------------------------------------------
 
 POINTS = (

@@ -601,16 +601,18 @@ def eps_sweep_with_density_matrices(spark, sf_dir):
 def eps_resampling(spark, sf_dir):
     overlap = _overlap(spark, sf_dir)
     eps = cluster.eps_of_spread(cluster.component_distances(overlap), 0.1)
-    return cluster.eps_resampling(overlap, eps, SEED)
+    out = cluster.eps_resampling(overlap, eps, SEED)
+    return out.select("residue", r("s_mean", 6), r("s_se", 5))
 
 
 @query
 def component_jackknife(spark, sf_dir):
     overlap = _overlap(spark, sf_dir)
     eps = cluster.eps_of_spread(cluster.component_distances(overlap), 0.1)
-    return cluster.component_jackknife(
+    out = cluster.component_jackknife(
         given.angles(spark, sf_dir), given.label_mixtures(spark, sf_dir), overlap, eps
     )
+    return out.select("residue", r("s_mean", 6), r("s_se", 5))
 
 
 @query
