@@ -113,11 +113,17 @@ def internal_coordinates(coordinates: DataFrame) -> DataFrame:
     )
 
 
-def shift_first_slot(features: DataFrame, towards: int, columns=("angle", "dihedral")) -> DataFrame:
+def shift_first_slot(
+    features: DataFrame, towards: int, columns=("angle", "dihedral"), supplement: bool = False
+) -> DataFrame:
     """Move entry 0 of the array columns by one residue, around the ends.
 
     ``towards`` = -1 gives every residue the entry of the next one, +1 that of the one before.
+    ``supplement`` also turns the column ``angle`` into pi minus itself, the angle at the
+    middle atom.
     """
+    if supplement:
+        features = features.withColumn("angle", F.transform("angle", lambda x: F.pi() - x))
     along = Window.partitionBy("frame").orderBy("residue")
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for name in columns:
@@ -308,18 +314,38 @@ def rebuild_backbone(chain: DataFrame) -> DataFrame:
     return frames.mapInArrow(rows, "frame long, pos int, x double, y double, z double")
 
 
-def superpose(atoms: DataFrame, reference: int | None = None, key: str = "serial") -> DataFrame:
-    """Move every frame onto the reference frame (the first) by least squares.
+def rebuilt_frames(
+    internal: DataFrame, mean_length: bool = True, onto: DataFrame | None = None
+) -> DataFrame:
+    """Atoms (frame, residue, aa, slot, x, y, z) of internal coordinates.
+
+    ``mean_length`` holds every bond at its mean over the frames; ``onto`` (residue, slot, x, y,
+    z) is a structure all frames are superposed on.
+    """
+    placed = fold(mean_lengths(internal) if mean_length else internal)
+    if onto is None:
+        return placed
+    at = (F.col("residue") * SLOTS + F.col("slot")).alias("serial")
+    moved = superpose(placed.select("*", at), fixed=onto.select(at, "x", "y", "z"))
+    return moved.drop("serial")
+
+
+def superpose(
+    atoms: DataFrame, reference: int | None = None, key: str = "serial",
+    fixed: DataFrame | None = None,
+) -> DataFrame:
+    """Move every frame onto the reference frame (the first), or onto the structure ``fixed``,
+    by least squares.
 
     Per frame, the sums behind the covariance with the reference are one aggregate; the
     rotations come from batched 3 x 3 singular value decompositions.
     """
     ship_package(atoms.sparkSession)
-    if reference is None:
-        reference = atoms.agg(F.min("frame")).first()[0]
-    fixed = atoms.filter(F.col("frame") == reference).select(
-        key, *[F.col(k).cast("double").alias(f"r{k}") for k in "xyz"]
-    )
+    if fixed is None:
+        if reference is None:
+            reference = atoms.agg(F.min("frame")).first()[0]
+        fixed = atoms.filter(F.col("frame") == reference)
+    fixed = fixed.select(key, *[F.col(k).cast("double").alias(f"r{k}") for k in "xyz"])
     paired = atoms.join(fixed, key)
     moments = paired.groupBy("frame").agg(
         *[F.avg(k).alias(f"m{k}") for k in "xyz"],

@@ -12,6 +12,7 @@ lead to it, none of which joins the data with itself or writes out a row per pai
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -142,8 +143,29 @@ def pairs_of_arrays(df: DataFrame, states: Column, variables: list[str]) -> Data
     )
 
 
+def pairs_by_blocks(df: DataFrame, variables: list[str], block: int) -> DataFrame:
+    """Pair counts from the distinct joint rows of two blocks of variables at a time."""
+    blocks = [variables[i:i + block] for i in range(0, len(variables), block)]
+    parts = []
+    for i, j in combinations(range(len(blocks)), 2):
+        names = blocks[i] + blocks[j]
+        found = pairs_of_joint(joint_counts(df, names), names)
+        # Pairs within a block are kept the first time they are counted.
+        keep = F.col("u").isin(blocks[i]) & F.col("v").isin(blocks[j])
+        keep = keep | (F.col("v").isin(blocks[i]) & F.col("u").isin(blocks[j]))
+        for own, first in ((i, j == i + 1 and i == 0), (j, i == 0)):
+            if first:
+                keep = keep | (F.col("u").isin(blocks[own]) & F.col("v").isin(blocks[own]))
+        parts.append(found.filter(keep))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def pair_counts(df: DataFrame, variables: list[str]) -> DataFrame:
-    """Pair counts of the columns ``variables``; each row is one joint observation."""
+    """Pair counts of the columns ``variables``; each row is one joint observation.
+
+    Many columns should hold integer states (``sources.columns.encode_states``): they are then
+    counted in one pass. Others are counted block by block, which reads them several times.
+    """
     variables = sorted(variables)
     if len(variables) < 2 or len(set(variables)) < len(variables):
         raise ValueError("need at least two distinct variables")
@@ -151,10 +173,7 @@ def pair_counts(df: DataFrame, variables: list[str]) -> DataFrame:
         return pairs_of_joint(joint_counts(df, variables), variables)
     types = dict(df.dtypes)
     if any(types[v] not in ("int", "bigint", "smallint", "tinyint") for v in variables):
-        raise TypeError(
-            f"more than {MAX_JOINT_VARIABLES} variables need integer states; "
-            "encode them first (sources.columns.encode_states)"
-        )
+        return pairs_by_blocks(df, variables, MAX_JOINT_VARIABLES // 2)
     return pairs_of_arrays(df, F.array(*[F.col(f"`{v}`") for v in variables]), variables)
 
 

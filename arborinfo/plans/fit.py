@@ -83,16 +83,18 @@ def fit_angles(
     states = materialize(cluster.assign_states(angles, fit.mixtures, membership), "states")
     return AngleFit(
         fit, mixture.mixtures_table(angles.sparkSession, fit.mixtures), overlap, distances, eps,
-        membership, states, tree_of_states(states, labels, prior=prior, estimator=estimator),
+        membership, states,
+        tree_of_states(
+            states, labels or {r: str(r) for r in feature_masks}, prior=prior, estimator=estimator
+        ),
     )
 
 
-def tree_of_states(states: DataFrame, labels: dict[int, str] | None = None, **options) -> InformationTree:
-    """The tree of (residue, frame, state) rows."""
-    names = labels or {r["residue"]: str(r["residue"]) for r in states.select("residue").distinct().collect()}
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+def tree_of_states(states: DataFrame, labels: dict[int, str], **options) -> InformationTree:
+    """The tree of (residue, frame, state) rows; ``labels`` names the residues."""
+    table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
     named = states.select("frame", table[F.col("residue")].alias("var"), "state")
-    return InformationTree.from_states(named, list(names.values()), **options)
+    return InformationTree.from_states(named, list(labels.values()), **options)
 
 
 def fit_logits(logits: DataFrame, **options) -> InformationTree:

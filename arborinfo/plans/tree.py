@@ -58,9 +58,14 @@ class InformationTree:
 
     def with_prior(self, prior: str) -> InformationTree:
         """The same counts and tree under another prior."""
-        return type(self)(
+        out = type(self)(
             self.pair_counts, self.estimator, prior, self.uncertainty, tree=self.tree
         )
+        # What does not depend on the prior is not computed again.
+        for name in ("node_counts", "edges", "paths", "transfers"):
+            if name in self.__dict__:
+                out.__dict__[name] = self.__dict__[name]
+        return out
 
     def refit_to_subset(self, variables: list[str], uncertainty: bool = False) -> InformationTree:
         """The tree of some of the variables."""

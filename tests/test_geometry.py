@@ -115,6 +115,14 @@ def test_superpose_undoes_a_rigid_motion(spark):
     assert np.allclose(moved[["x", "y", "z"]].to_numpy(), p, atol=1e-10)
 
 
+def test_rebuilt_frames_lie_on_the_structure(atoms, internal):
+    want = geometry.slot_list(geometry.slot_coordinates(atoms)).filter("frame = 2")
+    got = geometry.rebuilt_frames(internal, mean_length=False, onto=want).filter("frame = 2")
+    order = lambda df: df.toPandas().sort_values(["residue", "slot"])[["x", "y", "z"]].to_numpy()
+    assert np.allclose(order(got), order(want), atol=1e-7)
+    assert geometry.rebuilt_frames(internal).count() == want.count() * 4
+
+
 PDB = """MODEL        {m}
 ATOM      1  N   THR A   0    {x:8.3f}  -7.195  -4.392  1.00  0.00           N
 ATOM      2  CA  THR A   0       2.056  -8.269  -3.433  1.00  0.05           C

@@ -48,6 +48,13 @@ def test_ways_to_count_agree(frame, monkeypatch):
     assert sum(by_joint.values()) == 10 * 4000
 
 
+@pytest.mark.parametrize("block", [1, 2, 4])
+def test_counting_block_by_block(frame, block):
+    want = counts(pairs.pairs_of_joint(pairs.joint_counts(frame, NAMES), NAMES))
+    found = pairs.pairs_by_blocks(frame, NAMES, block)
+    assert counts(found) == want and found.count() == len(want)
+
+
 @pytest.mark.parametrize("budget", [1, 20, 60])
 def test_counting_within_any_memory(frame, budget, monkeypatch):
     want = counts(pairs.pairs_of_joint(pairs.joint_counts(frame, NAMES), NAMES))
