@@ -17,7 +17,6 @@ from arborinfo.functions.vec3 import decompose, vec
 from arborinfo.lineage import ship_package
 from arborinfo.operators.topology import SLOTS, layout, layout_rows, one_letter
 
-POINT = "struct<x:double,y:double,z:double>"
 
 
 def slot_atoms(atoms: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ property, leave-outs and knock-outs are fitted from scratch, paths are walked st
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 from arborinfo.workloads.queries import PATH_ENDS, SEED, SUBSET, SWEEP

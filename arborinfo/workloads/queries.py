@@ -13,7 +13,7 @@ from arborinfo.functions.entropy import PRIORS
 from arborinfo.functions.special import bessel_ratio, digamma, lgamma, log_i0, trigamma
 from arborinfo.lineage import materialize, shared_dir
 from arborinfo.operators import (
-    cluster, dwell, geometry, information, logits, mixture, pairs, paths, spanning, topology,
+    cluster, dwell, geometry, information, logits, mixture, pairs, spanning, topology,
 )
 from arborinfo.plans.fit import fit_angles, fit_logits
 from arborinfo.plans.tree import InformationTree

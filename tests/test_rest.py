@@ -14,7 +14,6 @@ from arborinfo.sources.columns import encode_states, long_states, state_dictiona
 from arborinfo.sources.results import load_mixtures, load_tree
 from arborinfo.streaming.pair_counts import streaming_pair_counts
 from tests import brute
-from tests.test_geometry import PDB
 
 
 def gaps(seq):
@@ -60,6 +59,12 @@ def test_encoding_orders_by_frequency(spark):
     assert sorted(got) == [0, 0, 0, 1, 2, 3]
 
 
+def test_columns_as_long_states(spark):
+    df = spark.createDataFrame([(7, 1, 2), (8, 0, 1)], "k long, a int, b int")
+    got = sorted(map(tuple, long_states(df, "k", ["a", "b"]).collect()))
+    assert got == [(7, "a", 1), (7, "b", 2), (8, "a", 0), (8, "b", 1)]
+
+
 def test_stream_counts_like_a_batch(spark, tmp_path):
     states = pd.DataFrame(brute.chain_states(600), columns=list("abcde"))
     for i in range(3):
