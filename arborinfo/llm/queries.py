@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborinfo.llm import decontamination
+from arborinfo.llm import decontamination, language_mixture
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of documents from the selected mixture."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_mixture.identify_by_own_rows(docs)
+    return found.withColumn("held_out", language_mixture.held_out()).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
+
+
 QUERIES = {
     "op8_decontamination": op8_decontamination,
+    "op9_language_mixture": op9_language_mixture,
 }
 
 ORACLE: dict[str, str] = {}
