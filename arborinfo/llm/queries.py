@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborinfo.llm import decontamination, language_mixture
+from arborinfo.llm import decontamination, language_mixture, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str = "piece_bpe_32k.model") -> str:
+    """Path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.token_counts(docs, tokenizer())
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents covered by windows of benchmark items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,6 +45,7 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op8_decontamination": op8_decontamination,
     "op9_language_mixture": op9_language_mixture,
 }
