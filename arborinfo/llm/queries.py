@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborinfo.llm import decontamination, language_mixture, token_counts
+from arborinfo.llm import decontamination, language_mixture, pii, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +44,24 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents; base spans and those that the trees add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.train(docs))
+    count = lambda kind: F.size(F.filter(
+        "base_spans", lambda s: s["kind"] == pii.NUMBER[kind]
+    )).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(kind) for kind in ("email", "ip", "card", "phone")],
+        F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("all_spans").alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op8_decontamination": op8_decontamination,
     "op9_language_mixture": op9_language_mixture,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {}
