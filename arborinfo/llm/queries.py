@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborinfo.llm import decontamination, jaccard_join, language_mixture, pii, token_counts
+from arborinfo.llm import (
+    decontamination, jaccard_join, language_mixture, lattice, pii, token_counts,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best and next segmentations of documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lattice.encode(docs, tokenizer(), n=3).drop("text")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share three quarters of their word shingles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +73,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op6_piece_lattice": op6_piece_lattice,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_language_mixture": op9_language_mixture,
