@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborinfo.llm import (
-    decontamination, jaccard_join, language_mixture, lattice, pii, token_counts,
+    decontamination, embedding_dedup, jaccard_join, language_mixture, lattice, pii, token_counts,
 )
 
 
@@ -28,6 +28,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between near-equal vectors of a label."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best and next segmentations of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,6 +78,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_piece_lattice": op6_piece_lattice,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
