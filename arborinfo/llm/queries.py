@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arborinfo.llm import (
     decontamination, embedding_dedup, jaccard_join, language_mixture, lattice, pii, token_counts,
+    toxicity,
 )
 
 
@@ -28,6 +29,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of documents, learnt from the labels of rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = toxicity.score_texts(docs, labels).withColumn("held_out", toxicity.held_out())
+    return scored.select(
+        "doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between near-equal vectors of a label."""
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -78,6 +89,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_toxicity": op3_toxicity,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_piece_lattice": op6_piece_lattice,
     "op7_jaccard_join": op7_jaccard_join,
