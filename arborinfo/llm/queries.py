@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborinfo.llm import (
-    decontamination, embedding_dedup, jaccard_join, language_mixture, lattice, pii, token_counts,
-    toxicity,
+    decontamination, embedding_dedup, jaccard_join, language_mixture, lattice, packing, pii,
+    substring_dedup, token_counts, toxicity,
 )
 
 
@@ -29,6 +29,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.repeated_spans(docs)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of documents, learnt from the labels of rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +50,16 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of documents in rows of fixed width."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(
+        docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=50256, vocabulary=50257
+    )
+
+
 def op6_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best and next segmentations of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,8 +105,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_packing": op5_packing,
     "op6_piece_lattice": op6_piece_lattice,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
