@@ -227,7 +227,8 @@ class Known:
 
     def __init__(self):
         self.slot: dict[str, int] = {}
-        self.score, self.gap, self.size, self.begin = (np.zeros(0) for _ in range(4))
+        self.score, self.gap = np.zeros(0), np.zeros(0)
+        self.size, self.begin = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
         self.lists: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
 
@@ -237,8 +238,8 @@ class Known:
         self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words))))
         scores, gaps, ids = zip(*model.best([SPACE + w for w in words]))
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        self.begin = np.append(self.begin, len(self.ids) + np.cumsum(size) - size).astype(np.int64)
-        self.size = np.append(self.size, size).astype(np.int64)
+        self.begin = np.append(self.begin, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
         self.score, self.gap = np.append(self.score, scores), np.append(self.gap, gaps)
         self.ids = np.append(self.ids, np.frombuffer(b"".join(ids), "<i4"))
 

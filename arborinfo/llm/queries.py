@@ -9,19 +9,13 @@ from arborinfo.llm import (
     decontamination, embedding_dedup, jaccard_join, language_mixture, lattice, packing, pii,
     substring_dedup, token_counts, toxicity,
 )
+from arborinfo.llm.pieces import tokenizer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer(name: str = "piece_bpe_32k.model") -> str:
-    """Path of a public tokenizer's file, the same on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -103,7 +97,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,

@@ -1,0 +1,257 @@
+import random
+import sys
+from collections import defaultdict
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute
+
+from arborinfo.llm import decontamination, jaccard_join, language_mixture, packing, pii, substring_dedup, toxicity
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows, a long text, columns named like outputs."""
+    rows = [
+        (1, None, "en", 0.1), (2, "", "en", 0.2), (None, "some words here for the row", None, None),
+        (3, "\n \t", None, 0.1), (4, "w" * 100_000 + " a@b.c", "en", 0.5), (5, "same words again and again today", "en", 0.5),
+        (5, "same words again and again today", "en", 0.5),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+
+
+def test_jaccard_join(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = dict(enumerate([None, "", " \n", "a b", "A  b", "a b c", "x y z w v", "X y Z W v"]))
+    for i in range(150):  # a hot group: many near copies of one text, and exact copies
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+            w[rng.randrange(60)] = f"n{rng.randrange(9)}"
+        texts[100 + i] = " ".join(w[rng.choice([0, 0, 0, rng.randrange(8)]) :])
+    for i in range(120):
+        texts[1000 + i] = " ".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == brute.jaccard_components(texts)
+    kept = {r.doc_id for r in jaccard_join.keep_one(df).collect()}
+    assert kept == {d for d, (_, c) in got.items() if d == c}
+
+
+def test_jaccard_join_of_odd_rows(spark):
+    out = jaccard_join.near_duplicates(odd_rows(spark)).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in out) == [
+        (0, 2, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 2, 5), (5, 2, 5)
+    ]
+    assert jaccard_join.near_duplicates(odd_rows(spark).limit(0)).count() == 0
+
+
+def test_adjacent_keys_lose_no_pair():
+    """Frequent shingles only: linked sets always share a key within the extended prefix."""
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(3, 60))
+        a = np.sort(rng.choice(200, n, replace=False))
+        keep = rng.random(n) < rng.choice([0.8, 0.9, 0.95])
+        b = np.sort(np.unique(np.concatenate([a[keep], rng.choice(200, int(rng.integers(0, n // 6 + 1)))])))
+        same = len(np.intersect1d(a, b))
+        if not len(b) or 4 * same < 3 * (len(a) + len(b) - same) or np.array_equal(a, b):
+            continue
+        keys = [set(zip(x[: len(x) // 2 + 2], x[1 : len(x) // 2 + 2])) for x in (a, b)]
+        assert keys[0] & keys[1]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 900])
+def test_decontamination(spark, docs, block):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    short = spark.createDataFrame([(900, "the of"), (901, ""), (902, None), (None, "and")], items.schema)
+    items = items.union(short)
+    pairs = [(r.item_id if r.item_id is not None else "", r.text) for r in items.collect()]
+    rows = docs.select("doc_id", "text").filter("doc_id % 3 = 0")
+    marked = decontamination.contamination(decontamination.mark_benchmark(rows, items, block_bytes=block))
+    for r in marked.collect():
+        got = (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
+        assert got == brute.contaminated(r.text, pairs), r.doc_id
+
+
+def test_decontaminate_cuts_and_drops(spark):
+    passage = " ".join(f"item{k}" for k in range(14))
+    rows = [(1, f"a {passage} b"), (2, " ".join(["word"] * 400) + f". {passage}, end"), (3, None), (4, "clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage.upper())], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontamination.decontaminate(df, items).collect()}
+    assert got == {2: " ".join(["word"] * 400) + ". , end", 3: None, 4: "clean"}
+    assert decontamination.decontaminate(df, items.limit(0)).count() == 4
+    assert decontamination.decontaminate(df.limit(0), items).count() == 0
+
+
+def test_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("score", F.lit("clash"))
+    out = language_mixture.identify_by_own_rows(docs).withColumn("held", language_mixture.held_out()).filter("held")
+    rows = out.select("lang", "lang_pred", "score").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_languages_mixed_and_odd(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language_mixture.train(docs)
+    by = {r.lang: r.text for r in docs.orderBy("doc_id").collect() if 2000 < len(r.text) < 4000}
+    mixed = spark.createDataFrame([(by["en"][:1500] + "\n" + by["de"][:1000],)], "text string")
+    row = language_mixture.identify(mixed, model).first()
+    shares = dict(zip(model.languages, row.lang_shares))
+    assert row.lang_pred == "en" and 0.2 < shares["de"] < 0.6 and shares["fr"] + shares["es"] < 0.05
+    odd = language_mixture.identify(odd_rows(spark), model).collect()
+    assert [r.lang_pred == "und" for r in odd] == [True, True, False, True, False, False, False]
+    assert [r.lang_pred for r in language_mixture.identify_by_own_rows(odd_rows(spark).limit(0)).collect()] == []
+    none = language_mixture.identify_by_own_rows(odd_rows(spark).withColumn("lang", F.lit(None).cast("string")))
+    assert {r.lang_pred for r in none.collect()} == {"und"}
+    both = docs.filter("doc_id < 300").unionByName(odd_rows(spark).drop("score"))
+    assert language_mixture.reject_unidentified(both).filter("doc_id is null or doc_id < 6").count() == 6 + 1 + 3
+
+
+def test_personal_data(spark, docs):
+    extra = [
+        (10_001, None), (10_002, ""), (10_006, "+1.2.3.4.5.6.7.8.9 -- 5"),
+        (10_003, "a@b.c_d@e.f x@y.z@q.w 1.2.3.4.5.6.7.8 256.1.1.1 010.1.1.255\n4111 1111-1111 1111 +1 (555) 123-4567) é\U0001f600a.b@c.d"),
+    ]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    trees = pii.train(rows)
+    found = pii.find_personal_data(rows, trees).select(
+        "doc_id", "text", pii.listed("base_spans").alias("base"), pii.listed("all_spans").alias("every")
+    ).collect()
+    for r in found:
+        assert r.base == brute.base_spans(r.text), r.doc_id
+        assert set(filter(None, r.base.split(","))) <= set(r.every.split(","))
+    clean = {r.doc_id: r.text for r in pii.redact(rows, trees).collect()}
+    assert clean[10_001] is None and clean[10_002] == "" and clean[10_006] == "[PHONE]"
+    assert clean[10_003].startswith("[EMAIL][EMAIL] [EMAIL]@q.w [IP].[IP] ") and clean[10_003].endswith("é\U0001f600[EMAIL]")
+    assert not any(brute.EMAIL.search(t or "") for d, t in clean.items() if d != 10_003)
+
+
+def test_personal_data_of_long_and_odd_rows(spark):
+    rows = [(1, "1" * 60_000 + " a@" + "x-" * 20_000 + ".y"), (2, "w" * 100_000 + "@b.c"), (3, "1 " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.find_personal_data(df, pii.Trees()).orderBy("doc_id").select(pii.listed("all_spans")).collect()
+    assert [r[0] for r in got] == ["email:60001:100005", "email:0:100004", ""]
+    assert pii.redact(odd_rows(spark)).count() == 7
+    assert pii.redact(odd_rows(spark).limit(0)).count() == 0
+
+
+def test_boosting_separates():
+    x = np.array([[a, b] for a in range(4) for b in range(4)])
+    y = ((x[:, 0] > 1) ^ (x[:, 1] > 2)).astype(int)
+    trees = pii.boost(x, y, np.full(len(x), 10.0))
+    assert ((trees.margins(x) > 0) == (y == 1)).all()
+
+
+def test_repeated_passages(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(n))
+    passage = text(60)
+    rows = []
+    for i in range(40):
+        words = text(150).split(" ")
+        at = rng.randrange(150)
+        rows.append((i, " ".join([*words[:at], passage, *words[at:]] if i < 15 else words)))
+    rows += [(100, None), (101, ""), (102, rows[20][1]), (103, "é" * 700), (104, "é" * 700 + "x"), (105, passage[:60] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = defaultdict(list)
+    for r in substring_dedup.repeated_spans(df).collect():
+        by[r.doc_id].append(r)
+    assert set(by) == {*range(15), 20, 102, 103, 104}
+    for i in range(15):
+        raw = [rows[i][1].encode()[r.begin : r.end].decode() for r in by[i]]
+        assert all(x[8:-8] in passage for x in raw) and sum(map(len, raw)) > len(passage) / 2
+        assert any(r.removed == (i > 0) and r.first_id == 0 for r in by[i])
+    left = {r.doc_id: r.text for r in substring_dedup.drop_repeats(df).collect()}
+    assert left[102] == "" and left[20] == rows[20][1] and left[100] is None and len(left) == len(rows)
+    assert substring_dedup.repeated_spans(df.limit(0)).count() == 0
+    same = spark.createDataFrame([(None, rows[0][1]), (None, rows[0][1]), (7, rows[0][1])], "doc_id long, text string")
+    assert {(r.doc_id, r.removed) for r in substring_dedup.repeated_spans(same).collect()} == {(None, False), (7, True)}
+
+
+def test_chunks_follow_insertions():
+    data = np.frombuffer(" ".join(f"word{k * k % 9973}" for k in range(3000)).encode(), np.uint8)
+    moved = np.concatenate([np.frombuffer(b"inserted ", np.uint8), data])
+    cuts = [set(substring_dedup.chunk_ends(x, np.array([0, len(x)]))[0].tolist()) for x in (data, moved)]
+    assert len({c + 9 for c in cuts[0]} & cuts[1]) > 0.97 * len(cuts[0])
+
+
+def test_packing(spark, docs):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(9001, None), (9002, ""), (9003, "x")], "doc_id long, text string"))
+    packed = packing.pack(rows, path, pattern, 50256, 50257, width=256, block_tokens=50_000).cache()
+    encode = packing.encoding(path, pattern).encode_ordinary
+    got = defaultdict(list)
+    for r in packing.unpack(packed, 50257).collect():
+        got[r.doc_id].append((r.begin, r.ids))
+    for r in rows.collect():
+        want = [*encode(r.text), 50256] if r.text else []
+        assert sum((ids for _, ids in sorted(got[r.doc_id])), []) == want
+    for r in packed.collect():
+        ends, places = r.cu_seqlens, np.frombuffer(r.positions, "<u2")
+        assert len(r.ids) == 512 and ends[0] == 0 and ends[-1] <= 256 and len(ends) == len(r.pieces) + 1
+        for a, b, piece in zip(ends, ends[1:], r.pieces):
+            assert places[a:b].tolist() == list(range(b - a)) and piece.end - piece.begin == b - a
+    assert packing.pack(rows.limit(0), path, pattern, 50256, 50257).count() == 0
+
+
+def test_best_fit_is_best_fit():
+    rng = random.Random(0)
+    for _ in range(150):
+        width = rng.choice([7, 64, 100])
+        sizes = [rng.randint(1, width) for _ in range(rng.randint(0, 60))]
+        rooms: list[int] = []
+        for size in sorted(sizes, reverse=True):
+            fitting = [r for r in rooms if r >= size]
+            if fitting:
+                rooms[rooms.index(min(fitting))] -= size
+            else:
+                rooms.append(width - size)
+        rows = packing.best_fit(sizes, width)
+        assert sorted(width - sum(sizes[k] for k in row) for row in rows) == sorted(rooms)
+        assert sorted(k for row in rows for k in row) == list(range(len(sizes)))
+
+
+def test_toxicity(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    # Labels of held-out rows are turned round: they must not matter.
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    scored = toxicity.score_texts(docs, turned).withColumn("held", toxicity.held_out()).filter("held")
+    rows = scored.join(labels, "doc_id").select("score", "toxic").collect()
+    assert np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in rows]) > 0.85
+    above = [a.score > b.score for a in rows if a.toxic for b in rows if not b.toxic]
+    assert np.mean(above) > 0.8 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_disguised_words(spark):
+    words = "you are a loser and stupid the idiot pathetic worthless moron scum trash of this is what"
+    docs = spark.createDataFrame([(k, f"{words} {k}") for k in range(200)], "doc_id long, text string")
+    channel = toxicity.Channel(toxicity.trigram_counts(docs).toArrow())
+    for disguised, plain in [
+        ("l0s3r", "loser"), ("1d10t", "idiot"), ("stuuuupid", "stupid"), ("p.a.t.h.e.t.i.c", "pathetic"),
+        ("w0rthl3ss m0r0n", "worthless moron"), ("tr@sh", "trash"), ("this is 2024", "this is 2024"), ("", ""),
+    ]:
+        assert channel.restore(disguised) == plain
+
+
+def test_toxicity_without_labels(spark):
+    labels = spark.createDataFrame([(5, None), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.score_texts(odd_rows(spark), labels).collect()
+    assert len(out) == 7 and len({r.score for r in out}) == 1
+    assert toxicity.score_texts(odd_rows(spark).limit(0), labels).count() == 0
