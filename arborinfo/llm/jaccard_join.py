@@ -358,6 +358,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+#: Ids to drop up to this number are broadcast (a few bytes each), more are joined.
+BROADCAST_IDS = 2_000_000
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One document of each component: the one whose id is the component's.
 
@@ -366,4 +370,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     found = near_duplicates(docs, id_col)
     dropped = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
     dropped = materialize(dropped, "dropped")
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, id_col, "left_anti").select(*docs.columns)
