@@ -123,7 +123,7 @@ def describe_sets(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
 
 
 def shared_shingles(docs: DataFrame, frequent: np.ndarray, shards: int) -> DataFrame:
-    """(cls, n, unique, rare, tokens) of the sets that may link: their shingles that occur in
+    """(id, cls, n, unique, rare, tokens) of the sets that may link: their shingles that occur in
     other documents, in order (rare by frequency, then frequent), as 48-bit numbers."""
     heavy = broadcast(docs.sparkSession, frequent)
     wide = np.uint64(shards)
@@ -238,7 +238,9 @@ def shared_shingles(docs: DataFrame, frequent: np.ndarray, shards: int) -> DataF
     )
     # Equal sets of several slices hold the same shingles: one of them stays.
     first = F.first(F.struct("n", "unique", "rare", "tokens")).alias("s")
-    return materialize(sets.groupBy("cls").agg(first).select("cls", "s.*"), "shared")
+    # Written once, so the numbers stay.
+    number = F.monotonically_increasing_id().alias("id")
+    return materialize(sets.groupBy("cls").agg(first).select(number, "cls", "s.*"), "shared")
 
 
 def first_top(shard: int, shards: int) -> int:
@@ -247,12 +249,16 @@ def first_top(shard: int, shards: int) -> int:
 
 
 def index_keys(sets: DataFrame) -> DataFrame:
-    """(key, cls, n, pos, odd): the keys of each set's prefix; odd is its share of unique shingles."""
+    """(key, id, n, pos, odd): the keys of each set's prefix.
+
+    ``pos`` shingles of the set are not common to a pair that has this key as its first; ``odd`` is
+    the set's share of unique shingles.
+    """
 
     def keys(batches):
         for batch in batches:
             out = [[], [], [], [], []]
-            for cls, n, unique, rare, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, n, unique, rare, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = np.frombuffer(blob, np.uint64)
                 singles = tokens[: max(0, min(rare, n // 4 + 1 - unique))]
                 key = [mix64(singles)]
@@ -262,34 +268,43 @@ def index_keys(sets: DataFrame) -> DataFrame:
                     often = tokens[rare : rare + max(2, n // 2 - 2 * before + 2)]
                     if len(often) > 1:
                         key.append(mix64(often[:-1] * WEIGHTS[0] + often[1:] * WEIGHTS[1]))
-                        pos.append(np.zeros(len(often) - 1, np.int64))
+                        # Pairs with a common rare shingle have that as their first key.
+                        pos.append(np.full(len(often) - 1, before))
                 key, pos = np.concatenate(key), np.concatenate(pos)
                 for x, values in zip(out, (
-                    key.astype(np.int64), [cls] * len(key), np.full(len(key), n), pos,
+                    key.astype(np.int64), np.full(len(key), number), np.full(len(key), n), pos,
                     np.full(len(key), 1000 * unique // n),
                 )):
                     x.append(values)
             if out[0]:
-                flat = [np.concatenate(out[k]) for k in (0, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(flat[0], pa.int64()), pa.array([c for part in out[1] for c in part], pa.binary()),
-                    *[pa.array(x, pa.int32()) for x in flat[1:]],
-                ], names=["key", "cls", "n", "pos", "odd"])
+                flat = [np.concatenate(x) for x in out]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, kind) for x, kind in zip(flat, kinds)], names=["key", "id", "n", "pos", "odd"]
+                )
 
-    rows = sets.select("cls", "n", "unique", "rare", "tokens")
-    return rows.mapInArrow(keys, "key long, cls binary, n int, pos int, odd int")
+    rows = sets.select("id", "n", "unique", "rare", "tokens")
+    return rows.mapInArrow(keys, "key long, id long, n int, pos int, odd int")
 
 
 def may_link(a: str, b: str):
-    """Size and position filters of two index rows with one key."""
+    """Whether two index rows with one key can be those of a linked pair.
+
+    Sizes are within a quarter; the shingles that are not common are at most a seventh of both
+    sizes, and the common ones, at least three sevenths, are after ``pos`` in either set.
+    """
     col = lambda side, name: F.col(f"{side}.{name}")
     small, large = F.least(col(a, "n"), col(b, "n")), F.greatest(col(a, "n"), col(b, "n"))
-    return (4 * small >= 3 * large) & (7 * (col(a, "pos") + col(b, "pos")) <= small + large)
+    after = F.least(col(a, "n") - col(a, "pos"), col(b, "n") - col(b, "pos"))
+    return (
+        (4 * small >= 3 * large) & (7 * (col(a, "pos") + col(b, "pos")) <= small + large)
+        & (7 * after >= 3 * (small + large))
+    )
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    side = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    """The pairs (a, b) of ids whose sets are similar enough."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb")
 
     def verify(batches):
@@ -302,24 +317,24 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * same >= 75 * (na + nb - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(verify, "a binary, b binary")
+    return both.mapInArrow(verify, "a long, b long")
 
 
 def links_of_sets(sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect all components of the sets' link graph."""
     index = materialize(index_keys(sets), "index")
-    centre = F.min(F.struct("odd", "cls", "n", "pos")).alias("h")
+    centre = F.min(F.struct("odd", "id", "n", "pos")).alias("h")
     hubs = materialize(
         index.groupBy("key").agg(centre, F.count("*").alias("rows")).filter("rows > 1").select("key", "h.*"), "hubs"
     )
-    ordered = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
-    near = index.alias("x").join(hubs.alias("y"), "key").filter((F.col("x.cls") != F.col("y.cls")) & may_link("x", "y"))
+    ordered = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+    near = index.alias("x").join(hubs.alias("y"), "key").filter((F.col("x.id") != F.col("y.id")) & may_link("x", "y"))
     compared = materialize(near.select(*ordered).distinct(), "pairs")
     links = materialize(linked(compared, sets), "links")
 
     roots = materialize(components(links), "roots")
-    of = index.join(roots, index["cls"] == roots["node"], "left").select(
-        "key", "cls", "n", "pos", F.coalesce("root", "cls").alias("root")
+    of = index.join(roots, index["id"] == roots["node"], "left").select(
+        "key", "id", "n", "pos", F.coalesce("root", "id").alias("root")
     )
     of = materialize(of, "index")
     open_keys = materialize(
@@ -343,7 +358,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     frequent = np.sort(often.select("tok").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     shards = int(min(max(64, -(-shingles // SHARD_TOKENS)), 1 << 16))
     sets = shared_shingles(docs, frequent, shards)
-    roots = materialize(components(links_of_sets(sets)), "roots")
+    roots = components(links_of_sets(sets))
+    of = sets.select("id", "cls")
+    named_roots = roots.join(of.withColumnsRenamed({"id": "node", "cls": "c"}), "node").join(
+        of.withColumnsRenamed({"id": "root", "cls": "r"}), "root"
+    )
+    roots = materialize(named_roots.select(F.col("c").alias("node"), F.col("r").alias("root")), "roots")
 
     classes = facts.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
     both = roots.select("node").union(roots.select("root")).distinct().withColumn("linked", F.lit(True))
