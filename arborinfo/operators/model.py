@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from arborinfo.functions.entropy import plugin_entropy
 from arborinfo.functions.rng import uniform
 from arborinfo.functions.special import number, quoted
-from arborinfo.lineage import materialize, settle
+from arborinfo.lineage import broadcast, materialize, settle
+from arborinfo.operators.pairs import text
 
 # Edges per block when a wide table is extended column by column.
 EDGE_BLOCK = 32
+# Pairs of states of the tree's edges that are shipped to every task for scoring.
+TABLE_ROWS = 500_000
 
 
 def both_ways(pair_counts: DataFrame) -> DataFrame:
@@ -148,31 +154,70 @@ def log_probability(
     order: list[tuple[str, str]],
     root: str,
     name: str = "log_p",
+    table_rows: int = TABLE_ROWS,
 ) -> DataFrame:
     """Add the log-probability of each wide row (one column per variable) under the tree.
 
-    States unseen in the data get minus infinity. Each edge is an equi-join against its own
-    small table of conditionals, so the rows are not shuffled as long as these stay below the
-    broadcast threshold; longer trees are scored in blocks of edges.
+    States are read as in counting (a missing value is the state ``null``); states unseen in the
+    data get minus infinity. The conditionals of the tree's edges, one row per pair of states,
+    are shipped whole up to ``table_rows`` rows, and the rows pass once, in Arrow batches, without
+    a shuffle. Larger tables are joined edge by edge.
     """
+    keys = [f"{u}\x00{v}" for u, v in order]
+    steps = transfers.filter(F.concat_ws("\x00", "u", "v").isin(keys)).select("u", "v", "xu", "xv", F.log("p").alias("l"))
+    start = node_probabilities.filter(F.col("var") == root).select("state", F.log("p").alias("l"))
+    head = steps.limit(table_rows + 1).toArrow()
+    first = start.limit(table_rows + 1).toArrow()
+    if head.num_rows + first.num_rows > table_rows:
+        return joined_log_probability(rows, steps, start, order, root, name)
+    tables: dict[tuple[str, str], dict] = {edge: {} for edge in order}
+    for u, v, xu, xv, l in zip(*(head.column(c).to_pylist() for c in ("u", "v", "xu", "xv", "l"))):
+        tables[u, v][xu, xv] = l
+    begin = dict(zip(first.column("state").to_pylist(), first.column("l").to_pylist()))
+    shared = broadcast(rows.sparkSession, (begin, tables))
+    variables = [root, *[v for _, v in order]]
+    out = rows.select("*", *[F.expr(text(v)).alias(f"_s{k}") for k, v in enumerate(variables)])
+    kept = rows.columns
+    schema = StructType([*rows.schema.fields, StructField(name, DoubleType())])
+
+    def score(batches):
+        begin, tables = shared.value
+        low = float("-inf")
+        for batch in batches:
+            coded = {}
+            for k, v in enumerate(variables):
+                column = batch.column(len(kept) + k).dictionary_encode()
+                coded[v] = (column.dictionary.to_pylist(), column.indices.to_numpy(zero_copy_only=False))
+            values, at = coded[root]
+            total = np.array([begin.get(x, low) for x in values])[at] if values else np.zeros(0)
+            for u, v in order:
+                (xs, i), (ys, j) = coded[u], coded[v]
+                found, place = np.unique(i.astype(np.int64) * len(ys) + j, return_inverse=True)
+                step = tables[u, v]
+                gained = [step.get((xs[c // len(ys)], ys[c % len(ys)]), low) for c in found.tolist()]
+                total = total + np.array(gained, np.float64)[place]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(kept)], pa.array(total, pa.float64())], names=[*kept, name]
+            )
+
+    return out.mapInArrow(score, schema)
+
+
+def joined_log_probability(rows, steps, start, order, root, name) -> DataFrame:
+    """The same by one equi-join per edge, against tables that Spark ships or shuffles by size."""
     kept = rows.columns
-    text = {v: f"_s{i}" for i, v in enumerate([root, *[v for _, v in order]])}
-    out = rows.select("*", *[F.col(f"`{v}`").cast("string").alias(s) for v, s in text.items()])
+    states = {v: f"_s{i}" for i, v in enumerate([root, *[v for _, v in order]])}
+    out = rows.select("*", *[F.expr(text(v)).alias(s) for v, s in states.items()])
     low = F.lit(float("-inf"))
-    start = node_probabilities.filter(F.col("var") == root).select(
-        F.col("state").alias("_x"), F.log("p").alias("_l")
-    )
-    out = out.join(start, F.col(text[root]) == F.col("_x"), "left")
+    out = out.join(start.withColumnsRenamed({"state": "_x", "l": "_l"}), F.col(states[root]) == F.col("_x"), "left")
     out = out.withColumn(name, F.coalesce("_l", low)).drop("_x", "_l")
-    for i, (u, v) in enumerate(order):
-        step = transfers.filter((F.col("u") == u) & (F.col("v") == v)).select(
-            F.col("xu").alias("_x"), F.col("xv").alias("_y"), F.log("p").alias("_l")
+    for u, v in order:
+        step = steps.filter((F.col("u") == u) & (F.col("v") == v)).select(
+            F.col("xu").alias("_x"), F.col("xv").alias("_y"), F.col("l").alias("_l")
         )
-        same = (F.col(text[u]) == F.col("_x")) & (F.col(text[v]) == F.col("_y"))
+        same = (F.col(states[u]) == F.col("_x")) & (F.col(states[v]) == F.col("_y"))
         out = out.join(step, same, "left")
         out = out.withColumn(name, F.col(name) + F.coalesce("_l", low)).drop("_x", "_y", "_l")
-        if (i + 1) % EDGE_BLOCK == 0:
-            out = materialize(out, "scored")
     return out.select(*kept, name)
 
 

@@ -5,14 +5,13 @@ lead to it, none of which joins the data with itself or writes out a row per pai
 
 * few columns of any type: count distinct joint rows first (one map-side combined shuffle,
   each input row is touched once), then spread that small table over the pairs;
-* many integer columns, or an array of states per row: each task adds its rows into
-  contingency matrices with numpy and emits only the non-zero cells;
+* many columns, or an array of states per row: each task adds its rows into contingency
+  matrices with numpy and emits only the non-zero cells, at its end;
 * long (frame, var, state) rows: gather each frame's states into an array, then as above.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,8 +27,10 @@ NULL_STATE = "null"
 PIVOT_VARIABLES = 64
 # Above this many variables distinct joint rows rarely repeat, so matrices are counted instead.
 MAX_JOINT_VARIABLES = 12
-# Cells one task keeps in memory before it emits them (8 bytes each).
-CELL_BUDGET = 32_000_000
+# Cells one task keeps in memory (4 bytes each in matrices, 16 as codes).
+CELL_BUDGET = 24_000_000
+# State numbers that are turned into cells at a time.
+CHUNK_CODES = 2_000_000
 
 
 def text(name: str) -> str:
@@ -59,122 +60,195 @@ def pairs_of_joint(joint: DataFrame, variables: list[str]) -> DataFrame:
     return spread.groupBy("u", "v", "xu", "xv").agg(F.sum("n").alias("n"))
 
 
-def _emit(counts: dict, width: int):
-    us, vs, xus, xvs, ns = [], [], [], [], []
-    for u, flat in counts.items():
-        hit = np.flatnonzero(flat)
-        v_offset, cell = np.divmod(hit, width * width)
-        us.append(np.full(hit.size, u, np.int32))
-        vs.append((v_offset + u + 1).astype(np.int32))
-        xus.append((cell // width).astype(np.int32))
-        xvs.append((cell % width).astype(np.int32))
-        ns.append(flat[hit])
-    cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (us, vs, xus, xvs, ns)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 4 + [pa.int64()])],
-        names=["u", "v", "xu", "xv", "n"],
-    )
+class Cells:
+    """Joint counts of all pairs of variables in one task.
 
+    States are numbered as they are met, for each variable by itself, so matrices are as wide as the
+    states that occur. One matrix per variable u holds the cells of all later v side by side. When
+    the matrices outgrow ``budget`` cells, occupied cells are kept as sorted codes instead, and
+    are handed over in parts when these outgrow it too.
+    """
 
-def _count_batches(batches):
-    counts, width = {}, 0
+    def __init__(self, n_vars: int, budget: int = CELL_BUDGET):
+        self.n, self.budget = n_vars, budget
+        self.known: list[dict[str, int]] = [{} for _ in range(n_vars)]
+        self.width = np.full(n_vars, 4, np.int64)
+        self.dense: list[np.ndarray] | None = [np.zeros(4 * 4 * (n_vars - 1 - u), np.int32) for u in range(n_vars - 1)]
+        self.sparse: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n_vars - 1)]
+
+    def number(self, v: int, values: list[str]) -> np.ndarray:
+        known = self.known[v]
+        return np.array([known.setdefault(x, len(known)) for x in values], np.int64)
+
+    def _fit(self) -> None:
+        """Widen the matrices for the states known by now."""
+        need = np.array([len(k) for k in self.known])
+        if self.dense is None or (need <= self.width).all():
+            return
+        old = self.width.copy()
+        while (need > self.width).any():
+            self.width = np.where(need > self.width, 2 * self.width, self.width)
+        after = np.append(np.cumsum(self.width[::-1])[::-1][1:], 0)
+        if (self.width * after).sum() > self.budget:
+            for u, flat in enumerate(self.dense):
+                x, v, y, n = self._cells(u, flat, old)
+                order = np.argsort(code := self._code(x, v, y))
+                self.sparse[u] = [(code[order], n[order].astype(np.int64))]
+            self.dense = None
+            return
+        for u, flat in enumerate(self.dense):
+            before = flat.reshape(old[u], -1)
+            grown = np.zeros((self.width[u], after[u]), np.int32)
+            at, to = 0, 0
+            for v in range(u + 1, self.n):
+                grown[: old[u], to : to + old[v]] = before[:, at : at + old[v]]
+                at, to = at + old[v], to + self.width[v]
+            self.dense[u] = grown.ravel()
+
+    def _cells(self, u: int, flat: np.ndarray, width: np.ndarray):
+        """(state of u, v, state of v, count) of the occupied cells of u's matrix."""
+        offsets = np.cumsum(width[u + 1 :]) - width[u + 1 :]
+        at = np.flatnonzero(flat)
+        x, place = np.divmod(at, int(width[u + 1 :].sum()))
+        k = np.searchsorted(offsets, place, "right") - 1
+        return x, k + u + 1, place - offsets[k], flat[at]
+
+    @staticmethod
+    def _code(x, v, y):
+        return (v << 48) | (x << 24) | y
+
+    def add(self, codes: np.ndarray) -> None:
+        """Count rows of state numbers."""
+        self._fit()
+        if max(len(k) for k in self.known) >= 1 << 24:
+            raise ValueError("a variable has more than 16 million states in one task")
+        later = np.arange(self.n)
+        for low in range(0, len(codes), step := max(1, CHUNK_CODES // self.n)):
+            part = codes[low : low + step]
+            for u in range(self.n - 1):
+                if self.dense is not None:
+                    width = self.width[u + 1 :]
+                    place = part[:, u + 1 :] + (np.cumsum(width) - width)
+                    place += part[:, [u]] * int(width.sum())
+                    self.dense[u] += np.bincount(place.ravel(), minlength=len(self.dense[u])).astype(np.int32)
+                else:
+                    code = self._code(part[:, [u]], later[u + 1 :], part[:, u + 1 :])
+                    self.sparse[u].append(np.unique(code.ravel(), return_counts=True))
+                    if len(self.sparse[u]) > 8:
+                        self._merge(u)
+
+    def _merge(self, u: int) -> None:
+        code = np.concatenate([c for c, _ in self.sparse[u]])
+        found, at = np.unique(code, return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, at, np.concatenate([n for _, n in self.sparse[u]]))
+        self.sparse[u] = [(found, total)]
+
+    def full(self) -> bool:
+        return self.dense is None and sum(len(c) for s in self.sparse for c, _ in s) > self.budget
+
+    def emit(self):
+        """What has been counted, as batches; counting starts anew."""
+        names = [np.array(list(k), object) for k in self.known]
+        for u in range(self.n - 1):
+            if self.dense is not None:
+                x, v, y, n = self._cells(u, self.dense[u], self.width)
+                self.dense[u][:] = 0
+            else:
+                if not self.sparse[u]:
+                    continue
+                self._merge(u)
+                ((code, n),) = self.sparse[u]
+                v, x, y = code >> 48, (code >> 24) & 0xFFFFFF, code & 0xFFFFFF
+                self.sparse[u] = []
+            if not len(n):
+                continue
+            xv = np.empty(len(n), object)
+            for k in np.unique(v):
+                xv[v == k] = names[k][y[v == k]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), u), pa.int32()), pa.array(v, pa.int32()),
+                 pa.array(names[u][x], pa.string()), pa.array(xv, pa.string()), pa.array(n, pa.int64())],
+                names=["u", "v", "xu", "xv", "n"],
+            )
+
+
+def _count_columns(batches, budget: int = CELL_BUDGET):
+    """Cells of batches with one text column per variable."""
+    cells = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(0)
-        states = np.asarray(column.flatten()).reshape(batch.num_rows, -1).astype(np.int64)
-        n_vars = states.shape[1]
-        if states.min() < 0:
-            raise ValueError("states must be non-negative integers")
-        top = int(states.max()) + 1
-        if top > width:
-            if counts:
-                yield _emit(counts, width)
-            counts, width = {}, top
-        square = width * width
-        for u in range(n_vars - 1):
-            rest = n_vars - 1 - u
-            code = states[:, [u]] * width + states[:, u + 1:]
-            code += np.arange(rest) * square
-            if rest * square <= CELL_BUDGET:
-                found = np.bincount(code.ravel(), minlength=rest * square)
-                if u in counts:
-                    counts[u] += found
-                else:
-                    counts[u] = found
-            else:
-                # Matrices too wide for memory: count this batch's cells sparsely.
-                cell, n = np.unique(code.ravel(), return_counts=True)
-                v_offset, xy = np.divmod(cell, square)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(cell.size, u), pa.int32()),
-                        pa.array(v_offset + u + 1, pa.int32()),
-                        pa.array(xy // width, pa.int32()),
-                        pa.array(xy % width, pa.int32()),
-                        pa.array(n, pa.int64()),
-                    ],
-                    names=["u", "v", "xu", "xv", "n"],
-                )
-            if sum(c.size for c in counts.values()) > CELL_BUDGET:
-                yield _emit(counts, width)
-                counts = {}
-    if counts:
-        yield _emit(counts, width)
+        cells = cells or Cells(batch.num_columns, budget)
+        codes = np.empty((batch.num_rows, batch.num_columns), np.int64)
+        for v, column in enumerate(batch.columns):
+            coded = column.dictionary_encode()
+            codes[:, v] = cells.number(v, coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        cells.add(codes)
+        if cells.full():
+            yield from cells.emit()
+    if cells:
+        yield from cells.emit()
+
+
+def _count_batches(batches, budget: int = CELL_BUDGET):
+    """Cells of batches with one array of states per row."""
+    cells = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        flat = batch.column(0).flatten()
+        n_vars = len(flat) // batch.num_rows
+        cells = cells or Cells(n_vars, budget)
+        if flat.null_count:
+            flat = flat.cast(pa.string()).fill_null(NULL_STATE)
+        states = flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_vars)
+        codes = np.empty(states.shape, np.int64)
+        for v in range(n_vars):
+            values, at = np.unique(states[:, v], return_inverse=True)
+            codes[:, v] = cells.number(v, [str(x) for x in values.tolist()])[at]
+        cells.add(codes)
+        if cells.full():
+            yield from cells.emit()
+    if cells:
+        yield from cells.emit()
+
+
+def _summed(found: DataFrame, variables: list[str]) -> DataFrame:
+    names = F.array(*[F.lit(v) for v in variables])
+    return found.groupBy("u", "v", "xu", "xv").agg(F.sum("n").alias("n")).select(
+        F.element_at(names, F.col("u") + 1).alias("u"), F.element_at(names, F.col("v") + 1).alias("v"),
+        "xu", "xv", "n",
+    )
+
+
+CELLS = "u int, v int, xu string, xv string, n long"
 
 
 def pairs_of_arrays(df: DataFrame, states: Column, variables: list[str]) -> DataFrame:
     """Pair counts where ``states`` holds each row's states as integers, in the order of
-    ``variables`` (which must be sorted by name)."""
+    ``variables`` (which must be sorted by name). A null element is the state ``null``."""
     if list(variables) != sorted(variables):
         raise ValueError("variables must be sorted by name")
     ship_package(df.sparkSession)
-    found = df.select(states.cast("array<int>").alias("x")).mapInArrow(
-        _count_batches, "u int, v int, xu int, xv int, n long"
-    )
-    summed = found.groupBy("u", "v", "xu", "xv").agg(F.sum("n").alias("n"))
-    names = F.array(*[F.lit(v) for v in variables])
-    return summed.select(
-        F.element_at(names, F.col("u") + 1).alias("u"),
-        F.element_at(names, F.col("v") + 1).alias("v"),
-        F.col("xu").cast("string").alias("xu"),
-        F.col("xv").cast("string").alias("xv"),
-        "n",
-    )
-
-
-def pairs_by_blocks(df: DataFrame, variables: list[str], block: int) -> DataFrame:
-    """Pair counts from the distinct joint rows of two blocks of variables at a time."""
-    blocks = [variables[i:i + block] for i in range(0, len(variables), block)]
-    parts = []
-    for i, j in combinations(range(len(blocks)), 2):
-        names = blocks[i] + blocks[j]
-        found = pairs_of_joint(joint_counts(df, names), names)
-        # Pairs within a block are kept the first time they are counted.
-        keep = F.col("u").isin(blocks[i]) & F.col("v").isin(blocks[j])
-        keep = keep | (F.col("v").isin(blocks[i]) & F.col("u").isin(blocks[j]))
-        for own, first in ((i, j == i + 1 and i == 0), (j, i == 0)):
-            if first:
-                keep = keep | (F.col("u").isin(blocks[own]) & F.col("v").isin(blocks[own]))
-        parts.append(found.filter(keep))
-    return reduce(DataFrame.unionByName, parts)
+    found = df.select(states.cast("array<bigint>").alias("x")).mapInArrow(lambda b: _count_batches(b), CELLS)
+    return _summed(found, variables)
 
 
 def pair_counts(df: DataFrame, variables: list[str]) -> DataFrame:
     """Pair counts of the columns ``variables``; each row is one joint observation.
 
-    Many columns should hold integer states (``sources.columns.encode_states``): they are then
-    counted in one pass. Others are counted block by block, which reads them several times.
+    Columns may be of any type; a missing value is the state ``null``. The number of columns decides
+    between two plans with the same result, each of which reads the rows once.
     """
     variables = sorted(variables)
     if len(variables) < 2 or len(set(variables)) < len(variables):
         raise ValueError("need at least two distinct variables")
     if len(variables) <= MAX_JOINT_VARIABLES:
         return pairs_of_joint(joint_counts(df, variables), variables)
-    types = dict(df.dtypes)
-    if any(types[v] not in ("int", "bigint", "smallint", "tinyint") for v in variables):
-        return pairs_by_blocks(df, variables, MAX_JOINT_VARIABLES // 2)
-    return pairs_of_arrays(df, F.array(*[F.col(f"`{v}`") for v in variables]), variables)
+    ship_package(df.sparkSession)
+    texts = df.select(*[F.expr(text(v)).alias(f"c{k}") for k, v in enumerate(variables)])
+    return _summed(texts.mapInArrow(lambda b: _count_columns(b), CELLS), variables)
 
 
 def frame_arrays(states: DataFrame, variables: list[str]) -> DataFrame:
@@ -216,12 +290,22 @@ def pair_probabilities(pair_counts: DataFrame) -> DataFrame:
 
 
 def node_counts(pair_counts: DataFrame) -> DataFrame:
-    """(var, state, n) from the pairs of the first variable; no further pass over the data."""
-    u, v = pair_counts.agg(F.min(F.struct("u", "v")).alias("p")).select("p.*").first()
-    own = pair_counts.filter(F.col("u") == u)
+    """(var, state, n) from the pairs of one variable; no further pass over the data.
+
+    Every variable has a pair with the first one, on either side of it.
+    """
+    first = pair_counts.agg(F.min(F.least("u", "v"))).first()[0]
+    own = pair_counts.filter((F.col("u") == first) | (F.col("v") == first))
+    left = F.col("u") == first
+    own = own.select(
+        F.when(left, F.col("v")).otherwise(F.col("u")).alias("var"),
+        F.when(left, F.col("xv")).otherwise(F.col("xu")).alias("state"),
+        F.when(left, F.col("xu")).otherwise(F.col("xv")).alias("own"), "n",
+    )
+    partner = own.agg(F.min("var")).first()[0]
     cells = F.array(
-        F.struct(F.col("v").alias("var"), F.col("xv").alias("state")),
-        F.when(F.col("v") == v, F.struct(F.col("u").alias("var"), F.col("xu").alias("state"))),
+        F.struct("var", "state"),
+        F.when(F.col("var") == partner, F.struct(F.lit(first).alias("var"), F.col("own").alias("state"))),
     )
     return (
         own.select(F.explode(cells).alias("c"), "n").filter("c is not null")

@@ -14,6 +14,11 @@ ONE_LETTER = {
     "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F",
     "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
 }
+# Names of protonation and disulphide forms and the residue they are.
+FORMS = {
+    "HSD": "HIS", "HSE": "HIS", "HSP": "HIS", "HID": "HIS", "HIE": "HIS", "HIP": "HIS",
+    "CYX": "CYS", "CYM": "CYS", "ASH": "ASP", "GLH": "GLU", "LYN": "LYS",
+}
 
 # Side chain atoms in slot order from 4 on. Each atom is bonded to the one
 # before it unless another is named after the colon.
@@ -41,8 +46,7 @@ SIDE_CHAINS = {
 }
 BACKBONE = ("N", "CA", "C", "O")
 SLOTS = 14
-# Residue names counted as protein besides the twenty above: protonation and disulphide forms.
-PROTEIN_NAMES = tuple(ONE_LETTER) + ("HSD", "HSE", "HSP", "HID", "HIE", "HIP", "CYX", "CYM", "ASH", "GLH", "LYN")
+PROTEIN_NAMES = (*ONE_LETTER, *FORMS)
 
 
 def side_chain(aa: str) -> list[tuple[str, str]]:
@@ -88,9 +92,11 @@ def layout(spark) -> DataFrame:
 
 
 def one_letter(resname):
-    """One-letter code of a residue name column, NULL if unknown."""
-    table = F.create_map(*[F.lit(x) for pair in ONE_LETTER.items() for x in pair])
-    return table[resname]
+    """One-letter code of a residue name column; any name but those of ``PROTEIN_NAMES`` is refused."""
+    letters = ONE_LETTER | {form: ONE_LETTER[name] for form, name in FORMS.items()}
+    table = F.create_map(*[F.lit(x) for pair in letters.items() for x in pair])
+    refuse = F.raise_error(F.concat(F.lit("unknown residue name "), F.coalesce(resname, F.lit("NULL"))))
+    return F.coalesce(table[resname], refuse)
 
 
 def select_protein(atoms: DataFrame) -> DataFrame:
@@ -101,30 +107,33 @@ def select_alpha_carbons(atoms: DataFrame) -> DataFrame:
     return atoms.filter(F.col("name") == "CA")
 
 
+def residue_key(atoms: DataFrame) -> list[str]:
+    """The columns that tell residues apart; tables without insertion codes do without."""
+    return ["resseq", "resname", "chain", *(["icode"] if "icode" in atoms.columns else [])]
+
+
 def residue_numbers(topology: DataFrame) -> DataFrame:
-    """(resseq, resname, chain, residue, label) of one frame's atoms.
+    """(resseq, resname, chain[, icode], residue, label) of one frame's atoms.
 
     Residues of all chains are numbered from 0 by the order of their alpha carbons and labelled
-    by name, number and the letter of the chain's place. The window runs over one row per
-    residue.
+    by name, number, insertion code and the letter of the chain's place. The window runs over one
+    row per residue.
     """
-    first = select_alpha_carbons(topology).groupBy("resseq", "resname", "chain").agg(
-        F.min("serial").alias("serial")
-    )
+    key = residue_key(topology)
+    first = select_alpha_carbons(topology).groupBy(*key).agg(F.min("serial").alias("serial"))
     chains = topology.groupBy("chain").agg(F.min("serial").alias("s")).select(
         "chain", (F.row_number().over(Window.orderBy("s")) - 1).alias("_c")
     )
     order = Window.orderBy("serial")
+    number = [F.col("resseq").cast("string"), *[F.col(c) for c in key[3:]], F.lit("_"), F.char(65 + F.col("_c"))]
     return first.join(chains, "chain").select(
-        "resseq", "resname", "chain",
-        (F.row_number().over(order) - 1).alias("residue"),
-        F.concat("resname", F.col("resseq").cast("string"), F.lit("_"), F.char(65 + F.col("_c"))).alias("label"),
+        *key, (F.row_number().over(order) - 1).alias("residue"), F.concat("resname", *number).alias("label"),
     )
 
 
 def to_single_chain(atoms: DataFrame, residues: DataFrame) -> DataFrame:
     """Atoms with their ``residue`` number and ``label`` over all chains."""
-    key = ["resseq", "resname", "chain"]
+    key = residue_key(residues)
     table = residues.select(*key, "residue", "label")
     return atoms.join(F.broadcast(table) if _small(table) else table, key)
 

@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborinfo.operators.mixture import Mixture, mixtures_of_table
 from arborinfo.plans.tree import InformationTree
 
 
+def short_name(name: str):
+    return F.regexp_replace(name, "_A$", "")
+
+
+def turned(pairs: DataFrame, *states: str) -> DataFrame:
+    """Rows of pairs (u, v) under short names with u < v; ``states`` change places with them."""
+    u, v = short_name("u"), short_name("v")
+    out = {"u": F.least(u, v), "v": F.greatest(u, v)}
+    if states:
+        a, b = states
+        out |= {a: F.when(u < v, F.col(a)).otherwise(F.col(b)), b: F.when(u < v, F.col(b)).otherwise(F.col(a))}
+    return pairs.withColumns(out)
+
+
 def load_tree(spark: SparkSession, path: str, prior: str | None = None) -> InformationTree:
     """The tree saved under ``path``; names lose the suffix of a first chain, ``_A``.
 
-    Under the saved prior the error terms are the saved ones, not computed anew.
+    Names without the suffix may sort otherwise, so pairs are turned until u < v again. Names that
+    would become equal are refused. Under the saved prior the error terms are the saved ones, not
+    computed anew.
     """
-    strip = lambda c: F.regexp_replace(c, "_A$", "").alias(c)
-    pairs = spark.read.parquet(f"{path}/pair_counts").select(strip("u"), strip("v"), "xu", "xv", "n")
-    edges = spark.read.parquet(f"{path}/tree_edges").select(
-        strip("u"), strip("v"), "i", "i_pm", "i_se"
-    )
+    pairs = spark.read.parquet(f"{path}/pair_counts")
+    names = pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct()
+    old, new = names.agg(F.count("*"), F.count_distinct(short_name("name"))).first()
+    if old != new:
+        raise ValueError("names of the saved variables become equal without the suffix _A")
+    pairs = turned(pairs, "xu", "xv").select("u", "v", "xu", "xv", "n")
+    edges = turned(spark.read.parquet(f"{path}/tree_edges")).select("u", "v", "i", "i_pm", "i_se")
     meta = spark.read.parquet(f"{path}/meta")
     saved = meta.select("prior", "estimator").first()
     tree = InformationTree(

@@ -1,4 +1,4 @@
-"""Reading trajectories: atoms (frame, serial, name, resname, resseq, chain, x, y, z, bfactor)."""
+"""Reading trajectories: atoms (frame, serial, name, resname, resseq, chain, icode, x, y, z, bfactor)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from arborinfo.operators.geometry import superpose as superpose_frames
 from arborinfo.operators.topology import select_protein
 
+ATOMS = ("ATOM  ", "HETATM")
+
 
 def read_pdb(
     spark: SparkSession, path: str, stride: int = 1, protein_only: bool = True,
@@ -16,7 +18,8 @@ def read_pdb(
     """Atoms of a PDB file or of all PDB files of a folder, in the order of their names.
 
     A record of the text source is one MODEL, so files with many frames are split between
-    tasks. Coordinates are in Angstrom.
+    tasks. Coordinates are in Angstrom. Of alternate locations of an atom the first named one is
+    kept; insertion codes are in ``icode``.
     """
     models = spark.read.option("lineSep", "ENDMDL").text(path).select(
         F.col("_metadata.file_path").alias("file"), "value",
@@ -33,12 +36,20 @@ def read_pdb(
     lines = models.join(files, "file").select(
         (F.col("offset") + F.col("model") - F.col("low")).alias("frame"), "value"
     ).filter(F.col("frame") % stride == 0)
-    lines = lines.select("frame", F.explode(F.split("value", r"\r?\n")).alias("line"))
+    lines = lines.select("frame", F.split("value", r"\r?\n").alias("lines"))
+    named = F.filter("lines", lambda x: F.substring(x, 1, 6).isin(*ATOMS) & (F.substring(x, 17, 1) != " "))
+    # Atom name, and chain with number and insertion code.
+    atom = lambda x: F.concat(F.substring(x, 13, 4), F.substring(x, 22, 6))
+    earlier = lambda x: F.exists("named", lambda y: (atom(y) == atom(x)) & (F.substring(y, 17, 1) < F.substring(x, 17, 1)))
+    lines = lines.withColumn("named", named).select(
+        "frame", F.explode(F.filter("lines", lambda x: (F.substring(x, 17, 1) == " ") | ~earlier(x))).alias("line")
+    )
     cut = lambda start, length: F.trim(F.substring("line", start, length))
-    atoms = lines.filter(F.substring("line", 1, 6).isin("ATOM  ", "HETATM")).select(
+    atoms = lines.filter(F.substring("line", 1, 6).isin(*ATOMS)).select(
         "frame",
         cut(7, 5).cast("int").alias("serial"), cut(13, 4).alias("name"), cut(18, 3).alias("resname"),
         cut(23, 4).cast("int").alias("resseq"), cut(22, 1).alias("chain"),
+        cut(27, 1).alias("icode"),
         cut(31, 8).cast("double").alias("x"), cut(39, 8).cast("double").alias("y"),
         cut(47, 8).cast("double").alias("z"), cut(61, 6).try_cast("double").alias("bfactor"),
     )

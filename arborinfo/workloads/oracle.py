@@ -10,7 +10,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from arborinfo.workloads.queries import PATH_ENDS, SEED, SUBSET, SWEEP
-from arborinfo.workloads.stand_ins import COMPONENTS, FEATURES, RESIDUES, VARIABLES
+from arborinfo.workloads.stand_ins import COMPONENTS, FEATURES, MANY, RESIDUES, VARIABLES
 
 ORACLE: dict[str, str] = {}
 
@@ -210,6 +210,19 @@ ORACLE["block_jackknife"] = (
 )
 
 ORACLE["pair_counts"] = items(select="SELECT u, v, xu, xv, n FROM pc")
+ORACLE["pair_counts_many"] = (
+    "WITH v AS (SELECT l_linestatus AS a00, l_returnflag AS b01, l_linenumber AS c02, nullif(l_linenumber, 3) AS d03,"
+    " -l_linenumber AS e04, CAST(l_quantity AS INTEGER) AS f05, o_orderstatus AS g06, o_orderpriority AS h07,"
+    " nullif(o_orderstatus, 'F') AS i08, month(l_shipdate) AS j09, month(o_orderdate) AS k10,"
+    " CAST(year(o_orderdate) AS BIGINT) * 31536000 AS l11, CAST(year(l_shipdate) AS BIGINT) * -4000000000 AS m12,"
+    " CAST(l_suppkey % 9 AS BIGINT) - 4 AS n13, l_linenumber % 2 = 0 AS o14"
+    " FROM lineitem JOIN orders ON l_orderkey = o_orderkey), w AS (SELECT "
+    + ", ".join(f"coalesce(CAST({v} AS VARCHAR), 'null') AS {v}" for v in MANY)
+    + " FROM v) " + " UNION ALL ".join(
+        f"SELECT '{u}' AS u, '{v}' AS v, {u} AS xu, {v} AS xv, count(*) AS n FROM w GROUP BY 3, 4"
+        for u, v in combinations(MANY, 2)
+    )
+)
 ORACLE["pair_probabilities"] = items(
     select=f"SELECT u, v, xu, xv, {rnd('n/sum(n) OVER (PARTITION BY u, v)')} AS p FROM pc"
 )
@@ -386,6 +399,13 @@ ORACLE["log_probability"] = items(
     " JOIN scored USING (id) GROUP BY o_orderpriority",
 )
 
+ORACLE["log_probability_with_nulls"] = ORACLE["log_probability"].replace(
+    "CAST(l_linenumber AS VARCHAR) AS l_linenumber",
+    "coalesce(CAST(nullif(l_linenumber, 3) AS VARCHAR), 'null') AS l_linenumber",
+).replace(
+    "SELECT o_orderpriority, count(*)", "SELECT CAST(nullif(l_linenumber, 'null') AS INTEGER) AS l_linenumber, count(*)"
+).removesuffix("GROUP BY o_orderpriority") + "GROUP BY l_linenumber"
+
 
 def draw(var: str) -> str:
     key = f"'{SEED}|' || CAST(id AS VARCHAR) || '|' || {var}"

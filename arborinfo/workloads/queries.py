@@ -130,6 +130,12 @@ def pair_counts(spark, sf_dir):
     return pairs.pair_counts(given.wide_rows(spark, sf_dir), VARIABLES)
 
 
+@query
+def pair_counts_many(spark, sf_dir):
+    """More columns than joint rows are counted for, with nulls, negative and large numbers."""
+    return pairs.pair_counts(given.many_columns(spark, sf_dir), given.MANY)
+
+
 @query
 def pair_probabilities(spark, sf_dir):
     out = pairs.pair_probabilities(given.item_tree(spark, sf_dir).pair_counts)
@@ -301,9 +307,11 @@ def change_prior(spark, sf_dir):
 
 @query
 def saved_tree_summary(spark, sf_dir):
-    """Written out, read back and asked again."""
+    """Written out, read back and asked again; the names are residues of a first chain."""
     folder = f"{shared_dir(spark).rstrip('/')}/arborinfo/saved-{uuid.uuid4().hex}"
-    save_tree(given.item_tree(spark, sf_dir), folder, attributes={"source": "items"})
+    names = dict(zip(VARIABLES, given.RESIDUE_NAMES))
+    rows = given.wide_rows(spark, sf_dir).withColumnsRenamed(names)
+    save_tree(InformationTree.from_columns(rows, given.RESIDUE_NAMES), folder, attributes={"source": "items"})
     t = load_tree(spark, folder)
     return t.entropy_interval().select(r("entropy", 8), r("entropy_se", 6), r("lo", 6), r("hi", 6))
 
@@ -356,6 +364,16 @@ def log_probability(spark, sf_dir):
     )
 
 
+@query
+def log_probability_with_nulls(spark, sf_dir):
+    """Rows with missing values, scored by the tree that counted them."""
+    rows = given.wide_rows(spark, sf_dir).withColumn("l_linenumber", F.expr("nullif(l_linenumber, 3)"))
+    scored = InformationTree.from_columns(rows, VARIABLES).log_probability(rows)
+    return scored.groupBy("l_linenumber").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("log_p"), 8).alias("log_p")
+    )
+
+
 @query
 def tree_sample(spark, sf_dir):
     """One draw per order."""

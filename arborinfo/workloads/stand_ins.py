@@ -18,6 +18,9 @@ VARIABLES = [
     "l_discount", "l_linenumber", "l_linestatus", "l_returnflag", "l_tax", "o_orderpriority",
     "o_orderstatus",
 ]
+# Names that sort otherwise without their suffix.
+RESIDUE_NAMES = ["ALA10_A", "ALA1_A", "GLY3_A", "GLY30_A", "LEU12_A", "LEU1_A", "VAL2_A"]
+MANY = [f"{c}{k:02d}" for k, c in enumerate("abcdefghijklmno")]
 RESIDUES = 4
 FEATURES = 8
 COMPONENTS = 10
@@ -35,6 +38,20 @@ def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*VARIABLES)
 
 
+def many_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen columns of line items and their orders."""
+    items = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders")
+    joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
+    values = [
+        "l_linestatus", "l_returnflag", "l_linenumber", "nullif(l_linenumber, 3)", "-l_linenumber",
+        "cast(l_quantity as int)", "o_orderstatus", "o_orderpriority", "nullif(o_orderstatus, 'F')",
+        "month(l_shipdate)", "month(o_orderdate)", "cast(year(o_orderdate) as bigint) * 31536000",
+        "cast(year(l_shipdate) as bigint) * -4000000000", "cast(l_suppkey % 9 as bigint) - 4", "l_linenumber % 2 = 0",
+    ]
+    return joined.selectExpr(*[f"{value} AS {name}" for value, name in zip(values, MANY)])
+
+
 def item_tree(spark: SparkSession, sf_dir: str, **options) -> InformationTree:
     return InformationTree.from_columns(wide_rows(spark, sf_dir), VARIABLES, **options)
 

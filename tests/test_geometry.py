@@ -150,3 +150,30 @@ def test_pdb_files_are_read_in_order(spark, tmp_path):
 def test_missing_trajectory(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         read_pdb(spark, str(tmp_path / "none.pdb")).count()
+
+
+def test_forms_of_residues_count_as_the_residue(spark, atoms):
+    renamed = atoms.withColumn("resname", F.when(F.col("residue") == 2, "XXX").otherwise(F.col("resname")))
+    with pytest.raises(Exception, match="unknown residue name XXX"):
+        geometry.slot_atoms(renamed).collect()
+    forms = {"HSD": "H", "HIP": "H", "CYX": "C", "ASH": "D", "GLH": "E", "LYN": "K", "ALA": "A"}
+    rows = spark.createDataFrame([(f,) for f in forms], "resname string")
+    assert {r[0]: r[1] for r in rows.select("resname", topology.one_letter(F.col("resname"))).collect()} == forms
+
+
+def test_alternate_locations_and_insertions(spark, tmp_path):
+    line = "ATOM  {:5d}  {:<3s}{:1s}{:3s} A{:4d}{:1s}   {:8.3f}{:8.3f}{:8.3f}  1.00  0.00"
+    rows = [
+        ("CA", " ", "ALA", 5, " ", 1.0), ("CB", "B", "ALA", 5, " ", 3.0), ("CB", "A", "ALA", 5, " ", 2.0),
+        ("CA", " ", "ALA", 5, "A", 4.0), ("CB", "B", "HSD", 6, " ", 6.0), ("CA", " ", "HSD", 6, " ", 5.0),
+    ]
+    lines = [line.format(k + 1, n, alt, res, seq, ins, x, 0.0, 0.0) for k, (n, alt, res, seq, ins, x) in enumerate(rows)]
+    path = tmp_path / "x.pdb"
+    path.write_text("\n".join(lines) + "\nEND\n")
+    read = read_pdb(spark, str(path))
+    assert sorted(r["x"] for r in read.collect()) == [1.0, 2.0, 4.0, 5.0, 6.0]
+    numbers = topology.residue_numbers(read).orderBy("residue").collect()
+    assert [r["label"] for r in numbers] == ["ALA5_A", "ALA5A_A", "HSD6_A"]
+    one = topology.to_single_chain(read, topology.residue_numbers(read))
+    slots = geometry.slot_coordinates(one).orderBy("residue").collect()
+    assert [r["aa"] for r in slots] == ["A", "A", "H"] and slots[0]["c"][4]["x"] == 2.0
