@@ -403,7 +403,7 @@ ORACLE["log_probability_with_nulls"] = ORACLE["log_probability"].replace(
     "CAST(l_linenumber AS VARCHAR) AS l_linenumber",
     "coalesce(CAST(nullif(l_linenumber, 3) AS VARCHAR), 'null') AS l_linenumber",
 ).replace(
-    "SELECT o_orderpriority, count(*)", "SELECT CAST(nullif(l_linenumber, 'null') AS INTEGER) AS l_linenumber, count(*)"
+    "SELECT o_orderpriority, count(*)", "SELECT l_linenumber, count(*)"
 ).removesuffix("GROUP BY o_orderpriority") + "GROUP BY l_linenumber"
 
 

@@ -369,7 +369,7 @@ def log_probability_with_nulls(spark, sf_dir):
     """Rows with missing values, scored by the tree that counted them."""
     rows = given.wide_rows(spark, sf_dir).withColumn("l_linenumber", F.expr("nullif(l_linenumber, 3)"))
     scored = InformationTree.from_columns(rows, VARIABLES).log_probability(rows)
-    return scored.groupBy("l_linenumber").agg(
+    return scored.groupBy(F.expr("coalesce(cast(l_linenumber as string), 'null') AS l_linenumber")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("log_p"), 8).alias("log_p")
     )
 
