@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import tempfile
 import uuid
 import zipfile
@@ -31,6 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[application]
 
 
+_written: list[str] = []
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote, as the application ends."""
+    try:
+        configuration = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _written:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(configuration).delete(path, True)
+    except Exception as error:  # the JVM may have gone before; the folder is then left to its owner
+        logging.getLogger("arborinfo").debug("intermediate tables stay: %s", error)
+    _written.clear()
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -40,6 +57,9 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/arborinfo/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(remove_written, spark)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

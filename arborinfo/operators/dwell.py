@@ -12,16 +12,18 @@ from arborinfo.functions.entropy import (
     posterior_terms,
 )
 
-CHUNKS = 1000
+# Pieces that a long sequence is cut into, and the rows from which one counts as long.
+CHUNKS = 200
+WHOLE_ROWS = 100_000
 
 
 def with_previous(sequence: DataFrame, by: list[str], order: str, chunks: int = CHUNKS) -> DataFrame:
     """(by..., state, previous, pos): each row with the state before it and its position.
 
-    ``order`` is unique within a sequence. A sequence of any length is cut into pieces of its
-    order range; lags and positions are taken within pieces, and a table with one row per
-    piece carries the last state and the running count from one to the next, so no sequence
-    has to fit one task.
+    ``order`` is unique within a sequence. A sequence of any length is cut at its own quantiles into
+    up to ``chunks`` pieces of about equal size, wherever its rows lie; lags and positions are
+    taken within pieces, and a table with one row per piece carries the last state and the
+    running count from one to the next, so no sequence has to fit one task.
     """
     kind = dict(sequence.dtypes)[order]
     at = F.col(order)
@@ -29,13 +31,15 @@ def with_previous(sequence: DataFrame, by: list[str], order: str, chunks: int =
         at = F.unix_micros(at)
     elif kind == "timestamp_ntz":
         at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at)
-    at = at.cast("double")
-    low, high = sequence.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
-    width = max((high - low) / chunks, 1e-9) if high is not None else 1.0
-    rows = sequence.select(
-        *by, "state", F.col(order).alias("_at"),
-        F.floor((at - F.lit(low)) / F.lit(width)).cast("int").alias("_piece"),
+    rows = sequence.select(*by, "state", at.alias("_at"))
+    cuts = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.percentile_approx("_at", [k / chunks for k in range(1, chunks)] or [0.5], 20 * chunks).alias("_q"),
     )
+    # Sequences that fit a task stay whole.
+    cuts = cuts.select(*by, F.when(F.col("_rows") > WHOLE_ROWS, F.col("_q")).otherwise(F.array()).alias("_cuts"))
+    lower = F.size(F.filter("_cuts", lambda c: c < F.col("_at")))
+    rows = rows.join(cuts, by).select(*by, "state", "_at", lower.alias("_piece"))
     piece = [*by, "_piece"]
     ends = rows.groupBy(*piece).agg(
         F.count(F.lit(1)).alias("_n"), F.max_by("state", "_at").alias("_last")

@@ -30,6 +30,7 @@ from arborinfo.functions.circular import (
     wrap_angle,
 )
 from arborinfo.functions.rng import uniform_array
+from arborinfo.functions.special import log_i0
 from arborinfo.lineage import broadcast, local_table, shared_dir
 
 PARAMETER_BUDGET = 64 << 20
@@ -155,6 +156,26 @@ def expectation_sums(angles: DataFrame, mixtures: dict[int, Mixture]) -> DataFra
     )
 
 
+def expected_log_likelihood(angles: DataFrame, mixtures: dict[int, Mixture]) -> DataFrame:
+    """(residue, ell): the complete log-likelihood expected under the responsibilities.
+
+    The density terms follow from the sums of the E-step alone; to them comes the sum of w ln w over
+    the components' weights.
+    """
+    params = feature_rows(mixtures_table(angles.sparkSession, mixtures))
+    own = F.col("kappa") * (F.col("c") * F.cos("mu") + F.col("s") * F.sin("mu"))
+    norm = F.log(F.lit(2.0) * F.pi()) + F.expr(log_i0("kappa"))
+    density = expectation_sums(angles, mixtures).join(
+        params.select("residue", "comp", "feature", "mu", "kappa"), ["residue", "comp", "feature"]
+    ).groupBy("residue").agg(F.sum(own - F.col("w") * norm).alias("density"))
+    weights = params.filter("feature = 0").select("residue", F.exp("logw").alias("_w"))
+    total = F.sum("_w")
+    # With v the weights before they are divided by their total t: sum(v ln v) / t - ln t.
+    spread = F.sum(F.when(F.col("_w") > 0, F.col("_w") * F.log("_w")).otherwise(0.0))
+    mixing = weights.groupBy("residue").agg((spread / total - F.log(total)).alias("mixing"))
+    return density.join(mixing, "residue").select("residue", (F.col("density") + F.col("mixing")).alias("ell"))
+
+
 def maximization(sums: DataFrame) -> DataFrame:
     """(residue, comp, feature, n, ll, w, logw, mu, kappa) that maximize the expectation.
 

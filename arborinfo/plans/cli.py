@@ -32,13 +32,20 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def holds_text(spark, path: str) -> bool:
+    """Whether ``path`` is a PDB file or a folder of them; anything else is read as Parquet."""
+    if path.endswith((".pdb", ".parquet")):
+        return path.endswith(".pdb")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdb").load(path)
+    return not files.select("path").isEmpty()
+
+
 def run_angles(spark, args, out: str) -> None:
     from arborinfo.sinks.drawing import draw_tree
     from arborinfo.sinks.results import save_clustering, save_mixtures, save_tree
     from arborinfo.sources.trajectory import read_atoms, read_pdb
 
-    as_text = args.trajectory.endswith(".pdb") or args.trajectory.endswith("/")
-    atoms = (read_pdb if as_text else read_atoms)(
+    atoms = (read_pdb if holds_text(spark, args.trajectory) else read_atoms)(
         spark, args.trajectory, stride=args.stride, superpose=False
     )
     first = atoms.agg(F.min("frame")).first()[0]

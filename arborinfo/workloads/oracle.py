@@ -576,7 +576,9 @@ ORACLE["expectation_step"] = (
     f"{FITTED}, {SUMS} SELECT residue, comp, feature, {rnd('w', 6)} AS w, {rnd('c', 6)} AS c, {rnd('s', 6)} AS s FROM sm"
 )
 ORACLE["expected_log_likelihood"] = (
-    f"{FITTED} SELECT residue, {rnd('sum(r*l)', 5)} AS ell FROM rs GROUP BY residue"
+    f"{FITTED}, el AS (SELECT residue, sum(r*l) AS e FROM rs GROUP BY residue), mx AS (SELECT residue,"
+    " sum(w*ln(w)) AS m FROM (SELECT DISTINCT residue, comp, exp(lw) AS w FROM rs) GROUP BY residue)"
+    f" SELECT residue, {rnd('e + m', 5)} AS ell FROM el JOIN mx USING (residue)"
 )
 
 

@@ -489,15 +489,8 @@ def expectation_step(spark, sf_dir):
 
 @query
 def expected_log_likelihood(spark, sf_dir):
-    """sum of r ln f over frames and components, from the sums of the E-step."""
-    fits = given.label_mixtures(spark, sf_dir)
-    sums = mixture.expectation_sums(given.angles(spark, sf_dir), fits)
-    params = mixture.feature_rows(mixture.mixtures_table(spark, fits))
-    own = F.col("kappa") * (F.col("c") * F.cos("mu") + F.col("s") * F.sin("mu"))
-    norm = F.log(F.lit(2.0) * F.pi()) + F.expr(log_i0("kappa"))
-    out = sums.join(params, ["residue", "comp", "feature"]).groupBy("residue").agg(
-        F.sum(own - F.col("w") * norm).alias("ell")
-    )
+    """sum of r ln f over frames and components, from the sums of the E-step, and of w ln w."""
+    out = mixture.expected_log_likelihood(given.angles(spark, sf_dir), given.label_mixtures(spark, sf_dir))
     return out.select("residue", r("ell", 5))
 
 
@@ -524,7 +517,7 @@ def mixture_divergence(spark, sf_dir):
 @query
 def mixture_fit_trace(spark, sf_dir):
     angle_rows = mixture.by_residue(given.angles(spark, sf_dir))
-    fit = mixture.fit_mixtures(angle_rows, given.label_mixtures(spark, sf_dir), max_iter=8)
+    fit = mixture.fit_mixtures(angle_rows, given.label_mixtures(spark, sf_dir))
     from arborinfo.sinks.results import TRACE
     from arborinfo.lineage import local_table
 
@@ -656,7 +649,6 @@ def angle_tree(spark, sf_dir):
     """The whole way from angles to the tree."""
     run = fit_angles(
         given.angles(spark, sf_dir).drop("label"), start=given.label_mixtures(spark, sf_dir),
-        max_iter=5,
     )
     return run.tree.tree_edges
 

@@ -38,6 +38,7 @@ def test_positions_across_pieces(spark, chunks, monkeypatch):
         want[user] = gaps(seq)
     df = spark.createDataFrame(rows, "user string, t double, state string").repartition(5)
     monkeypatch.setattr(dwell.with_previous, "__defaults__", (chunks,))
+    monkeypatch.setattr(dwell, "WHOLE_ROWS", 5)
     got = {(r["user"], r["state"]): r["gap"] for r in dwell.mean_gaps(df, ["user"], "t").collect() if r["gap"] is not None}
     assert got == pytest.approx({(u, s): g for u, m in want.items() for s, g in m.items()})
     pos = dwell.with_previous(df, ["user"], "t", chunks).toPandas()
@@ -161,3 +162,13 @@ def test_command_line_from_a_trajectory(spark, tmp_path):
     assert {r["var"] for r in tree.variables().collect()} == {"ALA0", "ALA1", "ALA2"}
     assert set(load_mixtures(spark, str(tmp_path / "out_seed_2"))) == {0, 1, 2}
     assert (tmp_path / "out_seed_2" / "drawing" / "draw_tree.pml").exists()
+
+
+def test_trajectory_argument(spark, tmp_path):
+    from arborinfo.plans.cli import holds_text
+
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run" / "a.pdb").write_text("END\n")
+    spark.range(3).write.parquet(str(tmp_path / "table"))
+    assert holds_text(spark, str(tmp_path / "run")) and holds_text(spark, str(tmp_path / "run") + "/")
+    assert not holds_text(spark, str(tmp_path / "table")) and holds_text(spark, "x/y.pdb")
