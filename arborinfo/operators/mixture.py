@@ -39,6 +39,9 @@ TIGHT_FEATURES = 15
 TIGHT_RANGE = (100.0, 500.0)
 LOOSE_RANGE = (25.0, 50.0)
 SEED_DISTANCE = 1e-8
+# Passes that gather seeding candidates, and cosines computed at a time.
+SEED_ROUNDS = 5
+SEED_CELLS = 2_000_000
 
 
 @dataclass
@@ -223,47 +226,105 @@ CANDIDATE = pa.schema(
 
 
 def seed_centres(angles: DataFrame, residues: list[int], k: int, seed: int) -> dict[int, np.ndarray]:
-    """k-means++ centres on the sphere: data rows, drawn with weight (1 - cosine)^2.
-
-    A weighted draw is the largest ln(u) / weight, so each task offers one candidate per
-    residue and an aggregate keeps the best; u depends on (seed, residue, draw, frame) only.
-    One pass per centre, as each draw depends on the last.
+    """k-means++ centres on the sphere, drawn from candidates that few passes gather.
+
+    The first pass draws one row per residue. Each of ``SEED_ROUNDS`` passes then adds ``2 k`` rows,
+    drawn with weight (1 - cosine)^2 to the candidates so far; a last one counts the rows nearest to
+    each candidate. The k centres are drawn one after the other from the candidates, with weight
+    count times (1 - cosine)^2. All of them are data rows. A weighted draw takes the largest
+    ln(u) / weight, so each task offers its own best and the best of all stay; u depends on
+    (seed, residue, round, frame) only. Where there are fewer distinct rows than centres, centres
+    repeat.
     """
-    spark = angles.sparkSession
-    centres: dict[int, list[np.ndarray]] = {r: [] for r in residues}
     rows = angles.select("residue", "frame", "theta")
-    for draw in range(k):
-        shared = broadcast(spark, 
-            {r: np.array([c / np.linalg.norm(c) for c in cs]) for r, cs in centres.items()}
-        )
+    found: dict[int, np.ndarray] = {}
+    for draw in range(1 + SEED_ROUNDS):
+        picked = weighted_rows(rows, found, residues, 2 * k if draw else 1, seed, draw)
+        for residue in residues:
+            fresh = [x for r, x in picked if r == residue]
+            if fresh:
+                known = [found[residue]] if residue in found else []
+                found[residue] = np.concatenate([*known, np.array(fresh)])
+    counts = nearest_counts(rows, found)
+    return {r: drawn_centres(found[r], counts[r], k, seed, r) for r in found}
+
+
+def nearest(theta: np.ndarray, centres: np.ndarray):
+    """(place, 1 - cosine) of the nearest centre of each row, in blocks of rows."""
+    unit = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    for low in range(0, len(theta), block := max(1, SEED_CELLS // len(centres))):
+        part = theta[low : low + block]
+        distance = 1.0 - (part / np.linalg.norm(part, axis=1, keepdims=True)) @ unit.T
+        place = distance.argmin(axis=1)
+        yield low, place, distance[np.arange(len(place)), place]
+
+
+def weighted_rows(rows: DataFrame, found: dict, residues: list[int], size: int, seed: int, draw: int):
+    """Up to ``size`` rows per residue, (residue, theta), drawn by their distance to ``found``."""
+    shared = broadcast(rows.sparkSession, found or {r: None for r in residues})
+
+    def offers(batches):
+        known, best = shared.value, {}
+        for key, frame, theta in residue_batches(batches, known):
+            u = uniform_array(seed, zlib.crc32(f"{key}|{draw}".encode()), frame)
+            if known[key] is None:
+                score = u
+            else:
+                distance = np.concatenate([d for _, _, d in nearest(theta, known[key])])
+                free = distance > SEED_DISTANCE
+                score, theta = np.log(u[free]) / distance[free] ** 2, theta[free]
+            if key in best:
+                score, theta = np.concatenate([best[key][0], score]), np.concatenate([best[key][1], theta])
+            top = np.argsort(-score, kind="stable")[:size]
+            best[key] = score[top], theta[top]
+        for key, (score, theta) in best.items():
+            if len(score):
+                yield as_batch(CANDIDATE, np.full(len(score), key), score, double_lists(theta))
+
+    offered = rows.mapInArrow(offers, "residue int, key double, theta array<double>")
+    place = F.row_number().over(Window.partitionBy("residue").orderBy(F.desc("key"), "theta"))
+    kept = offered.withColumn("_place", place).filter(F.col("_place") <= size).orderBy("residue", "_place")
+    picked = [(r["residue"], np.array(r["theta"])) for r in kept.select("residue", "theta").collect()]
+    shared.unpersist()
+    return picked
+
+
+def nearest_counts(rows: DataFrame, found: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """How many rows each candidate is the nearest of."""
+    shared = broadcast(rows.sparkSession, found)
+
+    def count(batches):
+        known, total = shared.value, {}
+        for key, _, theta in residue_batches(batches, known):
+            n = total.setdefault(key, np.zeros(len(known[key]), np.int64))
+            for _, place, _ in nearest(theta, known[key]):
+                n += np.bincount(place, minlength=len(n))
+        for key, n in total.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), key), pa.int32()), pa.array(np.arange(len(n)), pa.int32()), pa.array(n)],
+                names=["residue", "place", "n"],
+            )
 
-        def candidates(batches, shared=shared, draw=draw):
-            known, best = shared.value, {}
-            for key, frame, theta in residue_batches(batches, known):
-                u = uniform_array(seed, zlib.crc32(f"{key}|{draw}".encode()), frame)
-                if draw:
-                    unit = theta / np.linalg.norm(theta, axis=1, keepdims=True)
-                    distance = (1.0 - unit @ known[key].T).min(axis=1)
-                    free = distance > SEED_DISTANCE
-                    # Rows equal to a centre come last, still in an order of their own.
-                    score = np.full(len(u), -1e300) * (2.0 - u)
-                    score[free] = np.log(u[free]) / distance[free] ** 2
-                else:
-                    score = u
-                top = int(score.argmax())
-                if key not in best or score[top] > best[key][0]:
-                    best[key] = (score[top], theta[top])
-            if best:
-                yield as_batch(
-                    CANDIDATE, list(best), [b[0] for b in best.values()], [b[1] for b in best.values()]
-                )
+    counted = rows.mapInArrow(count, "residue int, place int, n long").groupBy("residue", "place").agg(F.sum("n").alias("n"))
+    out = {r: np.zeros(len(c), np.int64) for r, c in found.items()}
+    for row in counted.collect():
+        out[row["residue"]][row["place"]] = row["n"]
+    shared.unpersist()
+    return out
 
-        found = rows.mapInArrow(candidates, "residue int, key double, theta array<double>")
-        picked = found.groupBy("residue").agg(F.max_by("theta", "key").alias("theta")).collect()
-        for row in picked:
-            centres[row["residue"]].append(np.array(row["theta"]))
-        shared.unpersist()
-    return {r: np.array(c) for r, c in centres.items()}
+
+def drawn_centres(candidates: np.ndarray, counts: np.ndarray, k: int, seed: int, residue: int) -> np.ndarray:
+    """k weighted k-means++ draws from the candidates."""
+    unit = candidates / np.linalg.norm(candidates, axis=1, keepdims=True)
+    u = uniform_array(seed, zlib.crc32(f"{residue}|centres".encode()), np.arange(k))
+    far, picked = np.ones(len(candidates)), []
+    for draw in range(k):
+        weight = counts * np.where(far > SEED_DISTANCE, far, 0.0) ** 2
+        total = np.cumsum(weight)
+        at = int(np.searchsorted(total, u[draw] * total[-1])) if total[-1] > 0 else draw % len(candidates)
+        picked.append(min(at, len(candidates) - 1))
+        far = np.minimum(far, 1.0 - unit @ unit[picked[-1]])
+    return candidates[picked]
 
 
 def initial_mixtures(
@@ -272,7 +333,7 @@ def initial_mixtures(
 ) -> dict[int, Mixture]:
     """Seeded centres, random concentrations and equal weights."""
     centres, out = {}, {}
-    for group in residue_groups({r: 8 * k * len(m) for r, m in masks.items()}):
+    for group in residue_groups({r: 8 * k * (2 * SEED_ROUNDS + 1) * len(m) for r, m in masks.items()}):
         centres.update(seed_centres(angles.filter(F.col("residue").isin(group)), group, k, seed))
     for residue, mu in centres.items():
         features = mu.shape[1]
