@@ -160,6 +160,64 @@ def density_states(
     )
 
 
+def states_of_cases(distances: DataFrame, cases: DataFrame, min_mass: float = MIN_MASS) -> DataFrame:
+    """``density_states`` of many clusterings of each residue: (residue, key, comp, state, is_noise, w).
+
+    ``cases`` (residue, key, eps, i, w) has the neighbourhood size and the weights of each
+    clustering. A group is one residue: its distances are a matrix of components by components and
+    its cases rows of weights, whatever the number of frames.
+    """
+
+    def cluster(matrix, parts):
+        k = int(parts["i"].max()) + 1
+        d = np.full((k, k), np.inf)
+        d[matrix["i"], matrix["j"]] = matrix["d"]
+        out = []
+        for key, part in parts.groupby("key"):
+            w = np.zeros(k)
+            w[part["i"]] = part["w"]
+            state, noise = clustered(d, float(part["eps"].iloc[0]), w, min_mass)
+            ids = part["i"].to_numpy()
+            out.append(pd.DataFrame({
+                "residue": part["residue"].to_numpy(), "key": key, "comp": ids, "state": state[ids],
+                "is_noise": noise[ids], "w": w[ids],
+            }))
+        return pd.concat(out)
+
+    # Both may come from one table; columns of their own keep them apart.
+    own = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names]).groupBy("residue")
+    both = own(distances, "residue", "i", "j", "d").cogroup(own(cases, "residue", "key", "eps", "i", "w"))
+    return both.applyInPandas(
+        lambda a, b: cluster(a, b) if len(b) else pd.DataFrame(
+            {c: [] for c in ("residue", "key", "comp", "state", "is_noise", "w")}
+        ),
+        "residue int, key int, comp int, state int, is_noise boolean, w double",
+    )
+
+
+def clustered(d: np.ndarray, eps: float, w: np.ndarray, min_mass: float) -> tuple[np.ndarray, np.ndarray]:
+    """(state, is_noise) of each component, from its distances and weights."""
+    k = len(w)
+    near = d <= eps
+    core = near @ w >= min_mass
+    label = np.where(core, np.arange(k), k)
+    linked = near & core[:, None] & core[None, :]
+    while True:
+        low = np.minimum(label, np.where(linked, label[None, :], k).min(axis=1, initial=k))
+        if (low == label).all():
+            break
+        label = low
+    reach = np.where(near & core[None, :], d, np.inf)
+    nearest = reach.argmin(axis=1)
+    border = ~core & np.isfinite(reach.min(axis=1))
+    label[border] = label[nearest[border]]
+    noise = label == k
+    mass = np.bincount(label, w, k + 1)[:k]
+    found = np.unique(label[~noise])
+    rank = {int(c): n for n, c in enumerate(sorted(found.tolist(), key=lambda c: (-mass[c], c)))}
+    return np.array([k - 1 if x == k else rank[int(x)] for x in label]), noise
+
+
 def state_weights(membership: DataFrame, by: list[str]) -> DataFrame:
     """(by..., state, p): summed weight of each state."""
     return membership.groupBy(*by, "state").agg(F.sum("w").alias("p"))
@@ -287,12 +345,9 @@ def eps_sweep(
     by = ["residue", "key"]
     keys = list(range(len(grid)))
     eps = F.element_at(F.array(*[F.lit(float(g)) for g in grid]), F.col("key") + 1)
-    distances = settle(component_distances(overlap), "distances")
     weights = component_weights(overlap)
-    near = neighbourhood(over_grid(distances, "key", keys), eps)
-    membership = settle(
-        density_states(near, over_grid(weights, "key", keys), by, min_mass), "sweep"
-    )
+    cases = over_grid(weights, "key", keys).withColumn("eps", eps)
+    membership = materialize(states_of_cases(component_distances(overlap), cases, min_mass), "sweep")
     n_obs = weights.select("residue", "n").distinct()
     out = state_entropy(membership, n_obs, by)
     columns = ["residue", eps.alias("eps"), "s", "s_pm", "s_se"]
@@ -313,12 +368,11 @@ def eps_resampling(
     """
     by = ["residue", "key"]
     keys = list(range(replicates))
-    distances = settle(component_distances(overlap), "distances")
     weights = component_weights(overlap)
     noisy = F.col("eps") + normal(seed, F.col("key")) * (1.0 - F.col("eps")) * (1.0 - F.col("eps"))
     grid = settle(over_grid(eps, "key", keys).select("residue", "key", noisy.alias("eps")), "eps")
-    near = neighbourhood(distances.join(grid, "residue"), F.col("eps"))
-    membership = density_states(near, over_grid(weights, "key", keys), by, min_mass)
+    cases = over_grid(weights, "key", keys).join(grid, by)
+    membership = states_of_cases(component_distances(overlap), cases, min_mass)
     n_obs = weights.select("residue", "n").distinct()
     return replicate_moments(state_entropy(membership, n_obs, by))
 
@@ -354,9 +408,7 @@ def component_jackknife(
     n_obs = weights.select("residue", "n").distinct()
     left = left_out_weights(angles, mixtures).join(n_obs, "residue")
     left = materialize(left.select(*by, "i", (F.col("w") / F.col("n")).alias("w")), "left_out")
-    near = neighbourhood(component_distances(overlap).join(eps, "residue"), F.col("eps"))
-    keyed = settle(near, "near").join(left.select(*by).distinct(), "residue")
-    membership = density_states(keyed, left, by, min_mass)
+    membership = states_of_cases(component_distances(overlap), left.join(eps, "residue"), min_mass)
     return replicate_moments(state_entropy(membership, n_obs, by))
 
 

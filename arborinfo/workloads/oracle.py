@@ -693,7 +693,7 @@ ORACLE["assigned_state_summary"] = (
 )
 _GRID = " UNION ALL ".join(f"SELECT {i} AS key, {e!r} AS eps" for i, e in enumerate(SWEEP))
 ORACLE["eps_sweep"] = (
-    f"{CLUSTERED}, gr AS ({_GRID}), {clustering(f'SELECT key, residue, eps FROM gr, {RES}', 0.16)}, {STATE_P} SELECT se.residue, {rnd('eps::DOUBLE', 2)} AS eps,"
+    f"{CLUSTERED}, gr AS ({_GRID}), {clustering(f'SELECT key, residue, eps FROM gr, {RES}', 0.01)}, {STATE_P} SELECT se.residue, {rnd('eps::DOUBLE', 2)} AS eps,"
     f" {rnd('s', 6)} AS s, {rnd('m', 6)} AS s_pm, {rnd('sd', 5)} AS s_se"
     " FROM se JOIN cm USING (key, residue) JOIN gr USING (key)"
 )

@@ -31,7 +31,7 @@ QUERIES: dict[str, Query] = {}
 # Variables whose joint law is read off along a path, and those a subtree is spanned by.
 PATH_ENDS = ("l_linestatus", "o_orderstatus")
 SUBSET = ["l_linestatus", "l_tax", "o_orderstatus"]
-SWEEP = [round(0.05 * i, 2) for i in range(1, 20)]
+SWEEP = [round(0.01 * i, 2) for i in range(1, 100)]
 SEED = 7
 
 
@@ -597,7 +597,7 @@ def assigned_state_summary(spark, sf_dir):
 
 @query
 def eps_sweep(spark, sf_dir):
-    out = cluster.eps_sweep(_overlap(spark, sf_dir), None, None, SWEEP, min_mass=0.16)
+    out = cluster.eps_sweep(_overlap(spark, sf_dir), None, None, SWEEP)
     return out.select("residue", r("eps", 2), r("s", 6), r("s_pm", 6), r("s_se", 5))
 
 
@@ -605,7 +605,7 @@ def eps_sweep(spark, sf_dir):
 def eps_sweep_with_density_matrices(spark, sf_dir):
     angle_rows = given.angles(spark, sf_dir)
     fits = given.label_mixtures(spark, sf_dir)
-    return cluster.eps_sweep(_overlap(spark, sf_dir), angle_rows, fits, min_mass=0.16)
+    return cluster.eps_sweep(_overlap(spark, sf_dir), angle_rows, fits)
 
 
 @query

@@ -264,3 +264,22 @@ def test_whole_way_finds_hidden_states_and_tree(angles, hidden):
         assert table.max(axis=1).sum() / len(found) > 0.97
     edges = run.tree.edges.orderBy(F.desc("i")).first()
     assert (edges["u"], edges["v"]) == ("x", "y")
+
+
+def test_cases_cluster_as_single_clusterings_do(spark):
+    rng = np.random.default_rng(8)
+    k = 7
+    d = np.round(rng.random((k, k)), 2)
+    d = np.minimum(d, d.T)
+    np.fill_diagonal(d, 0.0)
+    w = rng.dirichlet(np.ones(k))
+    distances = spark.createDataFrame(
+        [(0, i, j, float(d[i, j])) for i in range(k) for j in range(k)], "residue int, i int, j int, d double"
+    )
+    weights = spark.createDataFrame([(0, i, float(w[i])) for i in range(k)], "residue int, i int, w double")
+    for eps, mass in ((0.05, 0.1), (0.2, 0.3), (0.35, 0.5), (0.9, 0.2)):
+        one = cluster.density_states(cluster.neighbourhood(distances, F.lit(eps)), weights, ["residue"], mass)
+        cases = weights.withColumns({"key": F.lit(3), "eps": F.lit(eps)})
+        many = cluster.states_of_cases(distances, cases, mass).filter("key = 3")
+        rows = lambda df: {tuple(r) for r in df.select("comp", "state", "is_noise").collect()}
+        assert rows(one) == rows(many)
