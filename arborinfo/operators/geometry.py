@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborinfo.functions.vec3 import decompose, vec
-from arborinfo.lineage import ship_package
+from arborinfo.lineage import materialize, ship_package
 from arborinfo.operators.topology import SLOTS, layout, layout_rows, one_letter
 
 
@@ -324,6 +324,8 @@ def rebuilt_frames(
     placed = fold(mean_lengths(internal) if mean_length else internal)
     if onto is None:
         return placed
+    # Superposing reads the frames twice; they are folded once.
+    placed = materialize(placed, "folded")
     at = (F.col("residue") * SLOTS + F.col("slot")).alias("serial")
     moved = superpose(placed.select("*", at), fixed=onto.select(at, "x", "y", "z"))
     return moved.drop("serial")

@@ -6,7 +6,6 @@ All tables here have one row per pair of variables at most; they do not grow wit
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -141,7 +140,3 @@ def leaf_paths(edges: DataFrame, paths: DataFrame, root: str) -> DataFrame:
     return steps.join(depth, "far").select(
         F.col("v").alias("leaf"), "step", F.col("near").alias("parent"), F.col("far").alias("child")
     )
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

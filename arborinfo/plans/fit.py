@@ -92,8 +92,8 @@ def fit_angles(
 
 def tree_of_states(states: DataFrame, labels: dict[int, str], **options) -> InformationTree:
     """The tree of (residue, frame, state) rows; ``labels`` names the residues."""
-    table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
-    named = states.select("frame", table[F.col("residue")].alias("var"), "state")
+    names = F.array(*[F.lit(labels.get(r)) for r in range(max(labels) + 1)])
+    named = states.select("frame", names[F.col("residue")].alias("var"), "state")
     return InformationTree.from_states(named, list(labels.values()), **options)
 
 
