@@ -118,4 +118,39 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLE: dict[str, str] = {}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_WORDS = f"regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op7_jaccard_join": (
+        f"WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents), "
+        "sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + least(5, len(w)) - 1], ' ') AS g, least(5, len(w)) AS m"
+        " FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS s FROM d WHERE len(w) > 0)), "
+        "n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), "
+        "both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.m = b.m"
+        " AND a.doc_id < b.doc_id GROUP BY 1, 2), "
+        "link AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y"
+        " WHERE 100*c >= 75*(p.n + q.n - c)), "
+        "way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link), "
+        "reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, w.y FROM reach r JOIN way w ON w.x = r.y) "
+        "SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.y) AS component_id FROM d"
+        " JOIN reach r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1, 2"
+    ),
+    "op8_decontamination": (
+        f"WITH d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents), "
+        f"i AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark), "
+        "win AS (SELECT DISTINCT item_id, least(13, len(w)) AS m, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS g"
+        " FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)), "
+        "grams AS (SELECT doc_id, s, m, array_to_string(w[s:s + m - 1], ' ') AS g FROM (SELECT doc_id, w, m,"
+        " unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)), "
+        "hits AS (SELECT doc_id, s, m, item_id FROM grams JOIN win USING (m, g)), "
+        "cov AS (SELECT doc_id, count(DISTINCT p) AS h FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM hits)"
+        " GROUP BY doc_id), "
+        "its AS (SELECT doc_id, count(*) AS k, string_agg(item, ',' ORDER BY item) AS l FROM"
+        " (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id) "
+        "SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h, 0)::BIGINT AS n_hit, coalesce(k, 0)::BIGINT AS n_items,"
+        " sha256(coalesce(l, '')) AS items_sha256, coalesce(h, 0) > 0 AND 20*coalesce(h, 0) >= len(w) AS contaminated"
+        " FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"
+    ),
+}
