@@ -25,6 +25,7 @@ import math
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,8 @@ SIGNS = {
 }
 SIGN_COST, BLANK_COST, SQUEEZE_COST = 1.0, 4.0, 1.0
 
-_SIGN = re.compile(r"[0-9@$|+(€]|!(?=\w)")
-_TOKEN = re.compile(r"[^\W_]|[@$|+(€!]")
+#: Nothing here is tried twice, so long words take linear time.
+_TOKEN = re.compile(r"(?<![^\W_])[^\W\d_]*+(?:[0-9@$€]|[|+(!]++(?=[^\W\d_]))(?:[^\W_]|[@$|+(€!])*+")
 _SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*][^\W_]){3,}(?!\w)")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 
@@ -73,6 +74,47 @@ def symbols() -> np.ndarray:
     return symbol_table()
 
 
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """Bits of each code point: 1 letter, 2 letter or digit, 4 separator, 8 sign, 16 sign that is
+    no punctuation after a word."""
+    table = np.zeros(0x110000, np.uint8)
+    for point in range(0x30000):
+        c = chr(point)
+        table[point] = c.isalpha() + 2 * (c.isalnum())
+    for c in " .-_*":
+        table[ord(c)] |= 4
+    for c in SIGNS:
+        table[ord(c)] |= 8 if c in "!|+(" else 24
+    return table
+
+
+def suspicious(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, line) of the lines that may hold a span to restore: a quick test on all characters.
+
+    Those where a sign is next to a letter, four single characters alternate with separators, or a
+    letter stands three times in a row. No span reaches over a line end.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds()[points]
+    letter, single, gap, sign, strong = (kind & bit > 0 for bit in (1, 2, 4, 8, 16))
+    hit = np.zeros(len(points), bool)
+    if len(points) > 2:
+        hit[1:] |= strong[1:] & letter[:-1] | sign[:-1] & letter[1:]
+        same = points[1:] == points[:-1]
+        hit[2:] |= same[1:] & same[:-1] & letter[2:]
+    if len(points) > 6:
+        one = single[:-1] & gap[1:]
+        hit[6:] |= one[:-5] & one[2:-3] & one[4:-1] & single[6:]
+    at = np.flatnonzero(hit)
+    begins = np.cumsum(sizes) - sizes
+    text = np.searchsorted(begins, at, "right") - 1
+    breaks = np.flatnonzero(points == 10)
+    line = np.searchsorted(breaks, at) - np.searchsorted(breaks, begins[text])
+    return np.unique(np.stack([text, line]), axis=1)
+
+
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """(code, n) of the character trigrams of all texts."""
     ship_package(docs.sparkSession)
@@ -103,7 +145,8 @@ class Channel:
         p1 = single / single.sum()
         p2 = (pair + 20 * p1) / (pair.sum(axis=1, keepdims=True) + 20)
         p3 = (table + 5 * p2[None]) / (table.sum(axis=2, keepdims=True) + 5)
-        self.cost = (-np.log(p3)).ravel().astype(np.float32)
+        self.cost = (-np.log(p3)).ravel().tolist()
+        self.symbol = {chr(c): int(symbols()[c]) for c in range(0x250)}
         self.known: dict[str, str] = {}
 
     def options(self, span: str) -> list[list[tuple[str, float]]]:
@@ -117,6 +160,8 @@ class Channel:
                 out += [[(char, 0.0), *[(x, SIGN_COST) for x in SIGNS[char]]] for _ in range(n)]
             elif n > 2:
                 out.append([(char * n, 0.0), (char, SQUEEZE_COST), (char * 2, SQUEEZE_COST)])
+            elif out and len(out[-1]) == 1:  # letters without a choice go together
+                out[-1] = [(out[-1][0][0] + char * n, 0.0)]
             else:
                 out.append([(char * n, 0.0)])
         return out
@@ -126,7 +171,7 @@ class Channel:
         found = self.known.get(span)
         if found is not None:
             return found
-        table, of = self.cost, symbols()
+        table, of, other = self.cost, self.symbol.get, SYMBOLS - 1
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for choices in [*self.options(span), [(" ", 0.0)]]:
             grown: dict[tuple[int, int], tuple[float, str]] = {}
@@ -134,8 +179,8 @@ class Channel:
                 for emitted, channel in choices:
                     x, y, total = a, b, cost + channel
                     for c in emitted:
-                        z = int(of[ord(c)])
-                        total += float(table[(x * SYMBOLS + y) * SYMBOLS + z])
+                        z = of(c, other)
+                        total += table[(x * SYMBOLS + y) * SYMBOLS + z]
                         x, y = y, z
                     if (x, y) not in grown or total < grown[x, y][0]:
                         grown[x, y] = (total, text + emitted)
@@ -146,27 +191,20 @@ class Channel:
         self.known[span] = best
         return best
 
+    def _token(self, match: re.Match) -> str:
+        """A run of letters, digits and signs, restored if it mixes letters and signs."""
+        whole = match[0]
+        if whole.isalpha():
+            return whole
+        span = whole.strip("!(|+")
+        letters = sum(map(str.isalpha, span))
+        if 3 <= len(span) <= 24 and letters < len(span) and letters >= 2 and 5 * letters >= 2 * len(span):
+            return whole.replace(span, self.decode(span), 1)
+        return whole
+
     def restore(self, text: str) -> str:
         """``text`` in lower case with its suspicious spans restored."""
-        text = text.lower()
-        parts, at = [], 0
-        for m in _SIGN.finditer(text):
-            if m.start() < at:
-                continue
-            begin, end = m.start(), m.end()
-            while begin > at and m.start() - begin < 24 and _TOKEN.match(text[begin - 1]):
-                begin -= 1
-            while end < len(text) and end - begin < 48 and _TOKEN.match(text[end]):
-                end += 1
-            span = text[begin:end].rstrip("!")
-            letters = sum(c.isalpha() for c in span)
-            if 3 <= len(span) <= 24 and letters >= 2 and 5 * letters >= 2 * len(span):
-                parts += [text[at:begin], self.decode(span)]
-                at = begin + len(span)
-            else:
-                parts.append(text[at:end])
-                at = end
-        text = "".join([*parts, text[at:]])
+        text = _TOKEN.sub(self._token, text.lower())
         text = _SPACED.sub(lambda m: self.decode(m[0]) if len(m[0]) < 200 else m[0], text)
         parts, at = [], 0
         for m in _RUN.finditer(text):
@@ -184,7 +222,14 @@ class Channel:
 
 def features(texts: pa.Array, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature hash) of the words and word beginnings of the restored texts."""
-    restored = pa.array([channel.restore(t) if t else "" for t in texts.to_pylist()], pa.large_string())
+    plain = [(t or "").lower() for t in texts.to_pylist()]
+    rows, lines = (x.tolist() for x in suspicious(plain))
+    for row, group in groupby(zip(rows, lines), key=lambda x: x[0]):
+        parts = plain[row].split("\n")
+        for _, line in group:
+            parts[line] = channel.restore(parts[line])
+        plain[row] = "\n".join(parts)
+    restored = pa.array(plain, pa.large_string())
     data, offsets = tx.buffers(restored)
     starts, ends, cuts = tx.find_words(data, offsets, LETTER)
     doc = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
