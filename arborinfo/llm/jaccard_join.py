@@ -49,8 +49,8 @@ WORD = ~tx.byte_class((0x20, 0x20), (0x09, 0x0D))
 WEIGHTS = mix64(np.arange(100, 100 + SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 SHARE = 100
 #: Rare shingles of one shard.
-SHARD_TOKENS = 1_000_000
-LINK_SLICE = 4 << 20
+SHARD_TOKENS = 500_000
+LINK_SLICE = 2 << 20
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -226,7 +226,7 @@ def shared_shingles(docs: DataFrame, frequent: np.ndarray, shards: int) -> DataF
             "n": pa.array(sizes[which], pa.int32()),
             "unique": pa.array((sizes - shared)[which].astype(np.int32)),
             "rare": pa.array(rare, pa.int32()),
-            "tokens": pa.array([tokens[b:e].tobytes() for b, e in zip(begin, end)], pa.binary()),
+            "tokens": tx.ragged(np.append(0, end), pa.array(tokens.astype(np.int64))),
         })
 
     packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
@@ -234,7 +234,7 @@ def shared_shingles(docs: DataFrame, frequent: np.ndarray, shards: int) -> DataF
     )
     back = packed.groupBy("shard").applyInArrow(counted, "slice long, kind int, a binary, b binary, c binary")
     sets = back.groupBy("slice").applyInArrow(
-        gathered, "cls binary, n int, unique int, rare int, tokens binary"
+        gathered, "cls binary, n int, unique int, rare int, tokens array<bigint>"
     )
     # Equal sets of several slices hold the same shingles: one of them stays.
     first = F.first(F.struct("n", "unique", "rare", "tokens")).alias("s")
@@ -258,8 +258,11 @@ def index_keys(sets: DataFrame) -> DataFrame:
     def keys(batches):
         for batch in batches:
             out = [[], [], [], [], []]
-            for number, n, unique, rare, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = np.frombuffer(blob, np.uint64)
+            lists = batch.column(4)
+            flat_tokens = lists.flatten().to_numpy().view(np.uint64)
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            for number, n, unique, rare, end in zip(*(c.to_pylist() for c in batch.columns[:4]), ends.tolist()):
+                tokens = flat_tokens[end - (n - unique) : end]
                 singles = tokens[: max(0, min(rare, n // 4 + 1 - unique))]
                 key = [mix64(singles)]
                 pos = [np.arange(len(singles)) + unique]
@@ -305,19 +308,9 @@ def may_link(a: str, b: str):
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose sets are similar enough."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb")
-
-    def verify(batches):
-        for batch in batches:
-            columns = [batch.column(k) for k in range(6)]
-            keep = []
-            for k in range(batch.num_rows):
-                na, nb, ta, tb = (c[k].as_py() for c in columns[2:])
-                same = len(np.intersect1d(np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64), True))
-                keep.append(100 * same >= 75 * (na + nb - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(verify, "a long, b long")
+    same = F.size(F.array_intersect("ta", "tb"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(100 * same >= 75 * (F.col("na") + F.col("nb") - same)).select("a", "b")
 
 
 def links_of_sets(sets: DataFrame) -> DataFrame:

@@ -38,9 +38,9 @@ from arborinfo.llm import text as tx
 from arborinfo.llm.pieces import SPACE, Vocabulary, code_points, keys_of, utf8_sizes
 
 BYTE_PENALTY = 10.0
-REMEMBERED = 300_000
-#: Characters of words that go through one pass of array code.
-BLOCK = 1_500_000
+REMEMBERED = 100_000
+#: Characters of words that go through one pass of array code; each takes about 500 bytes there.
+BLOCK = 150_000
 
 EDIT = StructType([
     StructField("begin", IntegerType()), StructField("end", IntegerType()), StructField("ids", ArrayType(IntegerType())),

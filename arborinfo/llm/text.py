@@ -12,7 +12,10 @@ from pyspark.sql.types import StructField, StructType
 from arborinfo.functions.rng import mix64
 from arborinfo.lineage import ship_package
 
-SLICE_BYTES = 2 << 20
+#: Text that is turned into arrays at a time, and bytes of words that are hashed at a time; a byte
+#: takes some ten and some forty bytes of memory there.
+SLICE_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: One random 64-bit value per byte, and the odd base of the polynomial over them.
@@ -124,7 +127,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     total = np.concatenate([[0], np.cumsum(sizes)])
     begin = 0
     while begin < len(starts):
-        end = int(np.searchsorted(total, total[begin] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(total, total[begin] + HASH_BYTES, "right")) - 1
         end = max(end, begin + 1)
         length = sizes[begin:end]
         at = total[begin:end] - total[begin]
