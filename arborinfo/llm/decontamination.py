@@ -183,10 +183,13 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: i
 
 def mark_benchmark(
     docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_bytes: int = 16 << 20,
+    window: int = WINDOW, block_bytes: int = 16 << 20, cut: bool = False,
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, hit_items (sorted ids), hit_spans (in words) and
-    hit_bytes (the same spans in bytes of the text, end exclusive)."""
+    hit_bytes (the same spans in bytes of the text, end exclusive).
+
+    ``cut`` leaves the spans out of the text in the same pass.
+    """
     fields = [
         StructField("n_words", LongType()), StructField("n_hit", LongType()),
         StructField("hit_items", ArrayType(StringType())), StructField("hit_spans", SPANS),
@@ -195,10 +198,12 @@ def mark_benchmark(
     pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     spark = docs.sparkSession
     marked = docs
-    for k, items in enumerate(item_blocks(benchmark, item_col, item_text, block_bytes)):
+    blocks = list(item_blocks(benchmark, item_col, item_text, block_bytes))
+    for k, items in enumerate(blocks):
         automaton = broadcast(spark, ItemAutomaton(items, window))
+        last = cut and k == len(blocks) - 1
 
-        def mark(batch: pa.RecordBatch, automaton=automaton, again=k > 0) -> list[pa.Array]:
+        def mark(batch: pa.RecordBatch, automaton=automaton, again=k > 0, last=last) -> list[pa.Array]:
             auto: ItemAutomaton = automaton.value
             hashes, starts, ends, cuts, offsets, _ = word_hashes(tx.column(batch, "text"))
             codes = auto.codes(hashes)
@@ -231,13 +236,28 @@ def mark_benchmark(
                 pa.array(np.diff(cuts), pa.int64()),
                 pa.array([sum(b - a for a, b in r) for r in joined], pa.int64()),
                 pa.array([sorted(found.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-                as_list(joined), as_list(in_bytes),
+                as_list(joined), as_list(in_bytes), *([without(tx.column(batch, "text"), in_bytes)] if last else []),
             ]
 
-        marked = tx.map_rows(marked, fields, mark)
+        marked = tx.map_rows(marked, fields + ([docs.schema["text"]] if last else []), mark)
     return marked
 
 
+def without(texts: pa.Array, spans: list[list[tuple[int, int]]]) -> pa.Array:
+    """Texts without the given spans of bytes."""
+    if not any(spans):
+        return texts
+    out = texts.to_pylist()
+    for k, cuts in enumerate(spans):
+        if cuts:
+            raw, at, parts = out[k].encode(), 0, []
+            for begin, end in cuts:
+                parts.append(raw[at:begin])
+                at = end
+            out[k] = b"".join([*parts, raw[at:]]).decode()
+    return pa.array(out, texts.type)
+
+
 def join_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for begin, end in sorted(ranges):
@@ -259,18 +279,5 @@ def contamination(marked: DataFrame, share: int = 20) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Drop contaminated documents and cut the remaining covered spans out of the others."""
-    names = docs.columns
-    marked = contamination(mark_benchmark(docs, benchmark, **options)).filter(~F.col("contaminated"))
-
-    def cut(batch: pa.RecordBatch) -> list[pa.Array]:
-        texts = tx.column(batch, "text").to_pylist()
-        for k, spans in enumerate(tx.column(batch, "hit_bytes").to_pylist()):
-            if spans:
-                raw, at, parts = texts[k].encode(), 0, []
-                for s in spans:
-                    parts.append(raw[at : s["start"]])
-                    at = s["end"]
-                texts[k] = b"".join([*parts, raw[at:]]).decode()
-        return [pa.array(texts, pa.string())]
-
-    return tx.map_rows(marked, [docs.schema["text"]], cut).select(*names)
+    marked = contamination(mark_benchmark(docs, benchmark, cut=True, **options))
+    return marked.filter(~F.col("contaminated")).select(*docs.columns)
