@@ -1,19 +1,26 @@
-"""Repeated passages across documents, by content-defined chunks and their digests.
+"""Repeated passages across documents, by winnowed anchors and extension to their true ends.
 
 A gear hash rolls over the bytes of a text: every byte adds a random number to the doubled hash, so
-the bits looked at depend on the last ``WINDOW`` bytes only. A chunk ends where they are below a
-bound (one place in ``SPACING``), at ``LEAST`` to ``MOST`` bytes and never inside a character. Cuts
-follow the content, so an insertion shifts only the chunks around it, and a passage repeated
-elsewhere falls into the same chunks but for its edges. Chunks get 128-bit digests; one aggregate
-finds those that occur in two documents or more, and a join gives them back to their places.
-Neighbouring repeated chunks form a span; spans shorter than ``PASSAGE`` bytes are left alone.
-
-The document with the smallest id keeps a chunk, in all others it is a repeat. Repetition inside
-one document is no repeat across documents.
-
-Defined cases: null and empty texts have no chunks; rows with one id are one document; a null id is
-smaller than all others and all such rows are one document; the last chunk of a text may be shorter
-than ``LEAST``; extra columns are not read by ``repeated_spans`` and kept by ``drop_repeats``.
+it depends on the last 32 bytes only. A gram is ``GRAM`` bytes that begin with a character; of any
+``passage - GRAM + 1`` successive gram places the one with the smallest hash is an anchor. The choice
+follows the content alone, so a passage of ``passage`` bytes or more has an anchor in it, the same one
+wherever it occurs. One aggregate finds the grams that occur in two documents or more, and a join gives
+them back to their places. Shared grams that touch or overlap form a chain.
+
+Neither end of a passage is more than a window away from its chain. The bytes on either side of the
+grams at the ends of chains are collected for all occurrences, and one aggregate over their prefixes
+finds how far each goes on as in another document: linear in the occurrences, no pairs. Extended chains
+shorter than ``passage`` bytes are left alone.
+
+The document with the smallest id keeps a gram, in all others it is a repeat; a chain is split where
+that changes. A repeat of less than ``passage`` bytes beside a part that is kept stays with it.
+Repetition inside one document is no repeat across documents. The parts and ends of a chain may be
+shared with different documents.
+
+Defined cases: null and empty texts have no anchors; rows with one id are one document; a null id is
+smaller than all others and all such rows are one document; spans begin and end between characters;
+extra columns are not read by ``repeated_spans`` and kept by ``drop_repeats``; a ``passage`` below
+``GRAM`` counts as ``GRAM``.
 """
 
 from __future__ import annotations
@@ -29,15 +36,20 @@ from arborinfo.functions.rng import mix64
 from arborinfo.lineage import materialize, ship_package
 from arborinfo.llm import text as tx
 
-WINDOW, SPACING = 24, 40
-LEAST, MOST = 16, 256
 PASSAGE = 96
+#: Bytes of a gram; at most as many places in a row have no anchor, so neighbouring grams touch.
+GRAM = 49
 GEAR = (mix64(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-BOUND = np.uint32((1 << 16) // SPACING)
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def window(passage: int) -> int:
+    """Successive gram places of which one is an anchor."""
+    return min(GRAM, max(passage, GRAM) - GRAM + 1)
 
 
 def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits 8 to 23 of the rolling hash after each byte; hashing begins anew with each text.
+    """The rolling hash after each byte, its bits mixed; hashing begins anew with each text.
 
     The hash of the last 2k bytes is that of the last k plus 2 to the k times that of the k before.
     """
@@ -45,40 +57,47 @@ def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = GEAR[data]
     for power in (1, 2, 4, 8, 16):
         total[power:] += np.where(place[power:] >= power, total[:-power] << np.uint32(power), np.uint32(0))
-    return (total >> np.uint32(8)) & np.uint32(0xFFFF)
-
-
-def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the chunks of all texts, and the number of the text of each."""
-    inner = np.zeros(len(data) + 1, bool)  # continuation bytes: no cut before them
-    inner[:-1] = (data & 0xC0) == 0x80
-    inner[offsets] = False
-    cuts = np.flatnonzero((gear_hashes(data, offsets) < BOUND) & ~inner[1:]) + 1
-    first = np.searchsorted(cuts, offsets[:-1], "right").tolist()
-    last = np.searchsorted(cuts, offsets[1:], "left").tolist()
-    cut_list, ends, owner = cuts.tolist(), [], []
-    for d, (begin, stop) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        if begin == stop:
-            continue
-        have, at = len(ends), begin
-        for cut in [*cut_list[first[d] : last[d]], stop]:
-            while cut - at > MOST:
-                at += MOST
-                while inner[at]:
-                    at -= 1
-                ends.append(at)
-            if cut - at >= LEAST:
-                ends.append(cut)
-                at = cut
-        if at < stop:
-            ends.append(stop)
-        owner.append((d, len(ends) - have))
-    docs = np.repeat([d for d, _ in owner], [n for _, n in owner]) if owner else np.zeros(0, np.int64)
-    return np.array(ends, np.int64), docs.astype(np.int64)
-
-
-def chunks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, begin, end, h1, h2) of every chunk, in bytes of the text."""
+    return total * np.uint32(0x9E3779B1)
+
+
+def chunk_ends(data: np.ndarray, offsets: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the anchors' grams in all texts, and the number of the text of each."""
+    width, n = window(passage), len(data) - GRAM + 1
+    if n < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value = gear_hashes(data, offsets)[GRAM - 1 :]
+    key = (value.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)  # of equals the leftmost
+    key[(data[:n] & 0xC0) == 0x80] = NONE  # no gram begins inside a character
+    least, size = key, 1
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    count = n - width + 1
+    least = np.minimum(least[:count], least[width - size :][:count])
+    whole = np.zeros(count + 1, np.int64)  # windows that lie in one text
+    begins, stops = offsets[:-1], offsets[1:] - (GRAM + width - 2)
+    fits = stops > begins
+    np.add.at(whole, begins[fits], 1)
+    np.add.at(whole, stops[fits], -1)
+    least = least[(np.cumsum(whole)[:-1] > 0) & (least != NONE)]
+    at = np.unique(least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    owner = np.searchsorted(offsets, at, "right") - 1
+    at, owner = thinned(at, owner, value[at], width)
+    return at + GRAM, owner
+
+
+def thinned(at: np.ndarray, owner: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors without those that monotonous text has more than one of in a window."""
+    keep = np.ones(len(at), bool)
+    like = (value[1:] == value[:-1]) & (owner[1:] == owner[:-1])
+    for k in (np.flatnonzero(like[1:] & like[:-1]) + 1).tolist():
+        last = k - 1 if keep[k - 1] else last  # before the first of a run all are kept
+        keep[k] = at[k + 1] - at[last] > width
+    return at[keep], owner[keep]
+
+
+def chunks(docs: DataFrame, id_col: str = "doc_id", passage: int = PASSAGE) -> DataFrame:
+    """(doc_id, begin, gram) of every anchor: its place in bytes of the text, the hash of its gram."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text"))
     ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -87,54 +106,173 @@ def chunks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             for part in tx.row_slices(batch):
                 data, offsets = tx.buffers(tx.column(part, "text"))
-                if not len(data):
+                ends, owner = chunk_ends(data, offsets, passage)
+                if not len(ends):
                     continue
-                ends, owner = chunk_ends(data, offsets)
-                begins = np.append(0, ends[:-1])
-                fresh = np.append(True, owner[1:] != owner[:-1])
-                begins[fresh] = offsets[owner[fresh]]
                 raw = data.tobytes()
-                digests = b"".join([
-                    xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist())
-                ])
-                two = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                base = offsets[owner]
+                grams = np.array([xxhash.xxh3_64_intdigest(raw[b - GRAM : b]) for b in ends.tolist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([
-                    tx.column(part, "doc_id").take(pa.array(owner)), pa.array(begins - base), pa.array(ends - base),
-                    pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])),
-                ], names=["doc_id", "begin", "end", "h1", "h2"])
+                    tx.column(part, "doc_id").take(pa.array(owner)),
+                    pa.array((ends - GRAM - offsets[owner]).astype(np.int32)), pa.array(grams.view(np.int64)),
+                ], names=["doc_id", "begin", "gram"])
+
+    return rows.mapInArrow(cut, f"doc_id {kind}, begin int, gram long")
 
-    return rows.mapInArrow(cut, f"doc_id {kind}, begin long, end long, h1 long, h2 long")
+
+def contexts(docs: DataFrame, asked: DataFrame, id_col: str, passage: int) -> DataFrame:
+    """(gram, side, doc_id, begin, own, beside, fit) of the asked places (doc_id, places).
+
+    ``beside`` has the bytes before the gram, the nearest first (side 0), or after it (side 1); ``fit``
+    has how many of the first 0, 1, 2, ... of them lie within whole characters, below 0 if the gram ends
+    inside one.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(asked, F.col("_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", "places")
+    ship_package(docs.sparkSession)
+    kind, reach = docs.schema[id_col].dataType.simpleString(), window(passage) - 1
+
+    def fits(raw: bytes, side: int, at: int, n: int) -> list[int]:
+        out = []
+        for t in range(n + 1):
+            place = at - t if side == 0 else at + t
+            inner = place < len(raw) and raw[place] & 0xC0 == 0x80
+            if not inner:
+                out.append(t)
+            elif out:
+                out.append(out[-1])
+            else:
+                out.append(next(-k for k in (1, 2, 3) if raw[place - k] & 0xC0 != 0x80))
+        return out
+
+    def read(batches):
+        for batch in batches:
+            for part in tx.row_slices(batch):
+                out, source = [[] for _ in range(6)], []
+                for k, (text, places) in enumerate(zip(tx.column(part, "text").to_pylist(), tx.column(part, "places").to_pylist())):
+                    raw = (text or "").encode()
+                    for p in places:
+                        begin, end, gram = p["begin"], p["begin"] + GRAM, p["gram"]
+                        if xxhash.xxh3_64_intdigest(raw[begin:end]) != gram & 0xFFFFFFFFFFFFFFFF:
+                            continue  # a place in another row with the same id
+                        for side in (0, 1):
+                            if not p["asks"][side]:
+                                continue
+                            beside = raw[max(begin - reach, 0) : begin][::-1] if side == 0 else raw[end : end + reach]
+                            source.append(k)
+                            fit = fits(raw, side, end if side else begin, len(beside)) if p["own"][side] else None
+                            for o, x in zip(out, (gram, side, begin, p["own"][side], beside, fit)):
+                                o.append(x)
+                if not source:
+                    continue
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [tx.column(part, "doc_id").take(pa.array(source)), *[pa.array(o, t) for o, t in zip(out, types)]],
+                    names=["doc_id", "gram", "side", "begin", "own", "beside", "fit"],
+                )
+
+    return rows.mapInArrow(
+        read, f"doc_id {kind}, gram long, side int, begin int, own boolean, beside binary, fit array<int>"
+    )
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", passage: int = PASSAGE) -> DataFrame:
     """(id, begin, end, first_id, n_copies, removed) of spans that occur in two documents or more.
 
-    ``first_id`` is the smallest id with a chunk of the span, ``n_copies`` the most documents' rows
-    of one of its chunks; ``removed`` is false in the document that keeps the span.
+    ``first_id`` is the smallest id with a gram of the span, ``n_copies`` the most documents' rows
+    of one of its grams; ``removed`` is false in the document that keeps the span.
     """
-    pieces = materialize(chunks(docs, id_col), "chunks")
+    pieces = materialize(chunks(docs, id_col, passage), "chunks")
     low, high = F.min("doc_id"), F.max("doc_id")
+    low_of, high_of = F.min("low"), F.max("high")
     if not pieces.filter("doc_id is null").isEmpty():  # plain min and max pass over nulls
-        known = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
-        low, high = F.min(known)["id"], F.max(known)["id"]
-    often = pieces.groupBy("h1", "h2").agg(low.alias("low"), high.alias("high"), F.count("*").alias("copies"))
+        known = lambda c: F.struct(F.col(c).isNotNull().alias("known"), F.col(c).alias("id"))
+        low, high = F.min(known("doc_id"))["id"], F.max(known("doc_id"))["id"]
+        low_of, high_of = F.min(known("low"))["id"], F.max(known("high"))["id"]
+    often = pieces.groupBy("gram").agg(low.alias("low"), high.alias("high"), F.count("*").alias("copies"))
     often = often.filter(~F.col("low").eqNullSafe(F.col("high")))
-    often = materialize(often.select("h1", "h2", "low", "copies"), "repeats")
-    hits = pieces.join(often, ["h1", "h2"]).select(
-        "doc_id", "begin", "end", "low", "copies", (~F.col("doc_id").eqNullSafe(F.col("low"))).alias("removed")
+    often = materialize(often.select("gram", "low", "copies"), "repeats")
+    hits = pieces.join(often, ["gram"]).select(
+        "doc_id", "begin", "gram", "low", "copies", (~F.col("doc_id").eqNullSafe(F.col("low"))).alias("removed")
     ).distinct()
-    along = Window.partitionBy("doc_id").orderBy("begin", "end")
-    broken = (F.col("begin") != F.lag("end").over(along)) | (F.col("removed") != F.lag("removed").over(along))
-    runs = hits.withColumn("new", F.coalesce(broken, F.lit(True)).cast("long"))
-    runs = runs.withColumn("run", F.sum("new").over(along))
-    spans = runs.groupBy("doc_id", "run").agg(
-        F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("low").alias("first_id"),
-        F.max("copies").alias("n_copies"), F.first("removed").alias("removed"),
+    along = Window.partitionBy("doc_id").orderBy("begin", "gram")
+    gap = lambda a, b: F.coalesce(a - b > GRAM, F.lit(True))
+    marks = hits.select(
+        "*", gap(F.col("begin"), F.lag("begin").over(along)).alias("first"),
+        gap(F.lead("begin").over(along), F.col("begin")).alias("last"),
+        F.coalesce(F.col("removed") != F.lag("removed").over(along), F.lit(True)).alias("turn"),
+    )
+    marks = materialize(marks.select(
+        "*", F.sum(F.col("first").cast("long")).over(along).alias("chain"),
+        F.sum((F.col("first") | F.col("turn")).cast("long")).over(along).alias("run"),
+    ), "marks")
+
+    ends = marks.filter("first or last").groupBy("gram").agg(F.max("first").alias("left"), F.max("last").alias("right"))
+    place = F.struct("begin", "gram", F.array("left", "right").alias("asks"), F.array("first", "last").alias("own"))
+    asked = marks.join(ends, "gram").groupBy("doc_id").agg(F.collect_list(place).alias("places"))
+    beside = materialize(contexts(docs, asked, id_col, passage), "beside")
+    kinds = beside.filter("length(beside) > 0").groupBy("gram", "side", "beside").agg(low.alias("low"), high.alias("high"))
+    kinds = kinds.withColumn("kind", F.xxhash64("gram", "side", "beside"))
+    grown = kinds.select("*", F.expr("explode(sequence(1, length(beside)))").alias("size")).select(
+        "kind", "size", "low", "high", F.expr("xxhash64(gram, side, substring(beside, 1, size))").alias("start")
+    )
+    shared = grown.groupBy("start").agg(low_of.alias("low"), high_of.alias("high"))
+    shared = shared.filter(~F.col("low").eqNullSafe(F.col("high"))).select("start", "low")
+    reach = grown.select("kind", "size", "start").join(shared, "start")
+    reach = reach.groupBy("kind", "low").agg(F.max("size").alias("size"))
+    reach = reach.groupBy("kind").agg(F.collect_list(F.struct("low", "size")).alias("steps"))
+    # A part that is removed goes on only as far as in a document that stays before it.
+    longest = lambda keep: F.expr(
+        f"element_at(fit, 1 + coalesce(array_max(transform(filter(steps, s -> {keep}), s -> s.size)), 0))"
+    )
+    own_sides = beside.filter("own").withColumn("kind", F.xxhash64("gram", "side", "beside"))
+    grown_by = own_sides.join(reach, "kind", "left").select(
+        "doc_id", "side", "begin", longest("true").alias("far"), longest("not (s.low <=> doc_id)").alias("near")
+    ).groupBy("doc_id", "begin").agg(*[
+        F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{c}{side}") for side in (0, 1) for c in ("far", "near")
+    ])
+
+    edges = marks.filter("first or last").select("doc_id", "begin", "chain", "first", "last")
+    edges = edges.withColumnsRenamed({"doc_id": "_id", "begin": "_begin"}).join(
+        grown_by, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_begin") == F.col("begin"))
+    )
+    part = lambda flag, c: F.max(F.when(F.col(flag), F.col(c)))
+    edges = edges.groupBy("_id", F.col("chain").alias("_chain")).agg(
+        *[part("first", f"{c}0").alias(f"{c}0") for c in ("far", "near")],
+        *[part("last", f"{c}1").alias(f"{c}1") for c in ("far", "near")],
     )
-    return spans.filter(F.col("end") - F.col("begin") >= passage).select(
-        F.col("doc_id").alias(id_col), "begin", "end", "first_id", "n_copies", "removed"
+    runs = marks.groupBy("doc_id", "chain", "run").agg(
+        F.min("begin").alias("begin"), (F.max("begin") + GRAM).alias("end"), F.min("low").alias("first_id"),
+        F.max("copies").alias("n_copies"), F.first("removed").alias("removed"), F.max("first").alias("first"),
+        F.max("last").alias("last"),
+    ).join(edges, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("chain") == F.col("_chain")))
+    chain = Window.partitionBy("doc_id", "chain")
+    spans = runs.select(
+        "*", (F.max("end").over(chain) + F.max("far1").over(chain) - F.min("begin").over(chain) + F.max("far0").over(chain)).alias("size"),
+        F.lead("begin").over(chain.orderBy("run")).alias("next"),
+    ).filter(F.col("size") >= passage)
+    # What is shared with later documents only, beside a part that is removed, is kept here.
+    reached = lambda side, c: F.when(F.col(("first", "last")[side]), F.col(f"{c}{side}")).otherwise(0)
+    near = lambda side: F.when(F.col("removed"), reached(side, "near")).otherwise(reached(side, "far"))
+    stop = lambda by: F.when(F.col("last"), F.col("end") + by).otherwise(F.col("next"))
+    piece = lambda a, b, removed, first: F.struct(
+        a.alias("from"), b.alias("to"), removed.alias("removed"), first.alias("first_id")
     )
+    begin, own = F.col("begin"), F.col("doc_id")
+    spans = spans.select("doc_id", "chain", "n_copies", F.explode(F.array(
+        piece(begin - reached(0, "far"), begin - near(0), F.lit(False), own),
+        piece(begin - near(0), stop(near(1)), F.col("removed"), F.col("first_id")),
+        piece(stop(near(1)), stop(reached(1, "far")), F.lit(False), own),
+    )).alias("piece")).select("doc_id", "chain", "n_copies", "piece.*").filter(F.col("from") < F.col("to"))
+    # Short repeats beside a part that is kept stay with it.
+    kept = F.max((~F.col("removed")).cast("int")).over(chain) == 1
+    spans = spans.withColumn("removed", F.col("removed") & ~(kept & (F.col("to") - F.col("from") < passage)))
+    order = chain.orderBy("from", "to")
+    turn = F.coalesce(F.col("removed") != F.lag("removed").over(order), F.lit(True)).cast("long")
+    spans = spans.withColumn("turn", turn).withColumn("part", F.sum("turn").over(order))
+    return spans.groupBy("doc_id", "chain", "part").agg(
+        F.min("from").cast("long").alias("begin"), F.max("to").cast("long").alias("end"),
+        F.min("first_id").alias("first_id"), F.max("n_copies").alias("n_copies"), F.first("removed").alias("removed"),
+    ).select(F.col("doc_id").alias(id_col), "begin", "end", "first_id", "n_copies", "removed")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", passage: int = PASSAGE) -> DataFrame:

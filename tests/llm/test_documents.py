@@ -181,6 +181,30 @@ def test_repeated_passages(spark):
     assert {(r.doc_id, r.removed) for r in substring_dedup.repeated_spans(same).collect()} == {(None, False), (7, True)}
 
 
+def test_every_passage_of_51_words_is_found_whole(spark):
+    rng = random.Random(11)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 3000").limit(80).collect()
+    own = lambda n: " ".join("".join(rng.choice("qxzjkvw") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    passages = [" ".join(rng.choice(rows).text.split()[k : k + 51]) for k in range(0, 320, 2)] + ["é" * 150, "= " * 75]
+    texts = {}
+    for k, p in enumerate(passages):
+        texts[2 * k], texts[2 * k + 1] = f"{own(30)} A{p}B {own(30)}", f"{own(41)} C{p}D {own(20)}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    covered = {d: np.zeros(len(t.encode()), bool) for d, t in texts.items()}
+    for r in substring_dedup.repeated_spans(df).collect():
+        covered[r.doc_id][r.begin : r.end] = True
+        texts[r.doc_id].encode()[r.begin : r.end].decode()
+    checked = 0
+    for d, t in texts.items():
+        p = passages[d // 2]
+        at = len(t[: t.index(p)].encode())
+        if len(p.split()) in (51, 1, 75):
+            checked += 1
+            assert covered[d][at : at + len(p.encode())].all(), p
+            assert covered[d].sum() < len(p.encode()) + 16
+    assert checked > 250
+
+
 def test_chunks_follow_insertions():
     data = np.frombuffer(" ".join(f"word{k * k % 9973}" for k in range(3000)).encode(), np.uint8)
     moved = np.concatenate([np.frombuffer(b"inserted ", np.uint8), data])
