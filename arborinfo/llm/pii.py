@@ -42,8 +42,9 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Strings that a line must have one of for a pattern to be tried.
-NEEDS = {"email": ["@", "at]", "at)"], "phone": ["+"], "ip": ["."], "secret": ["=", ":"]}
+#: Strings that a line must have one of for the pattern of a kind to be tried; none for those not named.
+BASE_NEEDS = {"email": ["@"], "phone": ["+"], "ip": ["."]}
+LOOSE_NEEDS = {"email": ["@", "at]", "at)"], "ip": ["."]}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 LOOSE = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++"),
@@ -79,7 +80,7 @@ def candidate_lines(text: Column) -> Column:
     return F.aggregate(lines, start, step, lambda acc: acc["out"])
 
 
-def matches(line: Column, kind: str, pattern: str) -> Column:
+def matches(line: Column, kind: str, pattern: str, needs: dict[str, list[str]]) -> Column:
     """(kind, start, end, found) of the leftmost matches that do not overlap, in the line."""
     none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int,found:string>>)")
     step = lambda acc, z: F.struct(
@@ -99,9 +100,9 @@ def matches(line: Column, kind: str, pattern: str) -> Column:
         F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"],
     )
     needed = F.lit(True)
-    if kind in NEEDS:
+    if kind in needs:
         needed = F.lit(False)
-        for sign in NEEDS[kind]:
+        for sign in needs[kind]:
             needed = needed | F.contains(line, F.lit(sign))
     return F.when(needed & line.rlike(pattern), placed).otherwise(none)
 
@@ -127,7 +128,7 @@ def shifted(span: Column, by: Column, *more: str) -> Column:
 
 def base_spans(lines: Column, kind: str) -> Column:
     found = F.transform(lines, lambda c: F.transform(
-        F.filter(matches(c["line"], kind, BASE[kind]), lambda s: passes(kind, s["found"])),
+        F.filter(matches(c["line"], kind, BASE[kind], BASE_NEEDS), lambda s: passes(kind, s["found"])),
         lambda s: shifted(s, c["pos"]),
     ))
     return F.flatten(found)
@@ -186,7 +187,7 @@ def described(span: Column, line: Column) -> Column:
 def loose_spans(lines: Column) -> Column:
     """Candidates of all generators, with features and labels, at their place in the text."""
     per_line = lambda c: F.transform(
-        F.concat(*[matches(c["line"], kind, pattern) for kind, pattern in LOOSE]),
+        F.concat(*[matches(c["line"], kind, pattern, LOOSE_NEEDS) for kind, pattern in LOOSE]),
         lambda s: shifted(described(s, c["line"]), c["pos"], "features", "label", "seen"),
     )
     return F.flatten(F.transform(lines, per_line))

@@ -148,6 +148,17 @@ def test_personal_data_of_long_and_odd_rows(spark):
     assert pii.redact(odd_rows(spark).limit(0)).count() == 0
 
 
+def loose(spark, rows):
+    df = pii.with_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = df.select("doc_id", F.explode(pii.loose_spans(F.col("_lines"))).alias("s"))
+    return {(r.doc_id, pii.KINDS[r.s["kind"]], r.s["start"], r.s["end"]) for r in spans.collect()}
+
+
+def test_candidates_alone_on_their_lines(spark):
+    got = loose(spark, [(1, "call\n(555) 123-4567 now"), (2, "bearer abc123def"), (3, "the 'abc123def' here"), (4, "x\n555-123-4567")])
+    assert {(1, "phone", 5, 19), (2, "secret", 7, 16), (3, "secret", 5, 14), (4, "phone", 2, 14)} <= got
+
+
 def test_boosting_separates():
     x = np.array([[a, b] for a in range(4) for b in range(4)])
     y = ((x[:, 0] > 1) ^ (x[:, 1] > 2)).astype(int)
