@@ -47,13 +47,13 @@ BASE_NEEDS = {"email": ["@"], "phone": ["+"], "ip": ["."]}
 LOOSE_NEEDS = {"email": ["@", "at]", "at)"], "ip": ["."]}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 LOOSE = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])"),
     ("phone", r"(?<![0-9])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{3,4}(?![0-9])"),
-    ("key", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_-])"),
+    ("key", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+"),
     ("national", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("secret", r"""(?<=["'=:\x20])(?=[A-Za-z_]{0,127}[0-9])[A-Za-z0-9_+/=-]{8,128}(?=["'\x20]|$)"""),
+    ("secret", r"""(?<=["'=:\x20])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_+/=-]{8,}+(?=["'\x20]|$)"""),
 ]
 CUES = [
     r"(?i)(?:tel|phone|call|mobile|fax|contact|mail)[^A-Za-z0-9]{0,8}$",

@@ -159,6 +159,12 @@ def test_candidates_alone_on_their_lines(spark):
     assert {(1, "phone", 5, 19), (2, "secret", 7, 16), (3, "secret", 5, 14), (4, "phone", 2, 14)} <= got
 
 
+def test_long_candidates(spark):
+    long = "a1" * 100
+    got = loose(spark, [(1, f"{long} 1"), (2, f"token={long}"), (3, f"{long} [at] b.c"), (4, "k" * 300 + "9")])
+    assert {(1, "key", 0, 200), (2, "secret", 6, 206), (3, "email", 0, 209), (4, "key", 0, 301)} <= got
+
+
 def test_boosting_separates():
     x = np.array([[a, b] for a in range(4) for b in range(4)])
     y = ((x[:, 0] > 1) ^ (x[:, 1] > 2)).astype(int)
