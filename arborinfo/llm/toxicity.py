@@ -52,7 +52,7 @@ SIGNS = {
 SIGN_COST, BLANK_COST, SQUEEZE_COST = 1.0, 4.0, 1.0
 
 #: Nothing here is tried twice, so long words take linear time.
-_TOKEN = re.compile(r"(?<![^\W_])[^\W\d_]*+(?:[0-9@$€]|[|+(!]++(?=[^\W\d_]))(?:[^\W_]|[@$|+(€!])*+")
+_TOKEN = re.compile(r"(?<![^\W_]|[@$|+(€!])(?:[^\W_]|[@$|+(€!])++")
 _SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*][^\W_]){3,}(?!\w)")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 
@@ -76,8 +76,7 @@ def symbols() -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def kinds() -> np.ndarray:
-    """Bits of each code point: 1 letter, 2 letter or digit, 4 separator, 8 sign, 16 sign that is
-    no punctuation after a word."""
+    """Bits of each code point: 1 letter, 2 letter or digit, 4 separator, 8 sign."""
     table = np.zeros(0x110000, np.uint8)
     for point in range(0x30000):
         c = chr(point)
@@ -85,7 +84,7 @@ def kinds() -> np.ndarray:
     for c in " .-_*":
         table[ord(c)] |= 4
     for c in SIGNS:
-        table[ord(c)] |= 8 if c in "!|+(" else 24
+        table[ord(c)] |= 8
     return table
 
 
@@ -98,10 +97,10 @@ def suspicious(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = kinds()[points]
-    letter, single, gap, sign, strong = (kind & bit > 0 for bit in (1, 2, 4, 8, 16))
+    letter, single, gap, sign = (kind & bit > 0 for bit in (1, 2, 4, 8))
     hit = np.zeros(len(points), bool)
     if len(points) > 2:
-        hit[1:] |= strong[1:] & letter[:-1] | sign[:-1] & letter[1:]
+        hit[1:] |= sign[1:] & letter[:-1] | sign[:-1] & letter[1:]
         same = points[1:] == points[:-1]
         hit[2:] |= same[1:] & same[:-1] & letter[2:]
     if len(points) > 6:
@@ -193,14 +192,11 @@ class Channel:
 
     def _token(self, match: re.Match) -> str:
         """A run of letters, digits and signs, restored if it mixes letters and signs."""
-        whole = match[0]
-        if whole.isalpha():
-            return whole
-        span = whole.strip("!(|+")
+        span = match[0]
         letters = sum(map(str.isalpha, span))
         if 3 <= len(span) <= 24 and letters < len(span) and letters >= 2 and 5 * letters >= 2 * len(span):
-            return whole.replace(span, self.decode(span), 1)
-        return whole
+            return self.decode(span)
+        return span
 
     def restore(self, text: str) -> str:
         """``text`` in lower case with its suspicious spans restored."""

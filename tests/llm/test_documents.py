@@ -291,6 +291,17 @@ def test_disguised_words(spark):
         assert channel.restore(disguised) == plain
 
 
+def test_signs_at_the_ends_of_words(spark):
+    words = "what the shit you cunt an idiot will kill you hey stop it now great"
+    docs = spark.createDataFrame([(k, f"{words} {k}") for k in range(200)], "doc_id long, text string")
+    channel = toxicity.Channel(toxicity.trigram_counts(docs).toArrow())
+    for disguised, plain in [
+        ("shi+", "shit"), ("(unt", "cunt"), ("!diot", "idiot"), ("ki||", "kill"), ("sh1+", "shit"), ("hey!", "hey!"),
+    ]:
+        assert channel.restore(disguised) == plain
+        assert toxicity.suspicious([disguised]).shape[1] == 1
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([(5, None), (None, 1)], "doc_id long, toxic int")
     out = toxicity.score_texts(odd_rows(spark), labels).collect()
