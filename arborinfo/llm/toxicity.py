@@ -2,7 +2,7 @@
 
 1. *Language model.* Character trigrams of all texts are counted, by task and then by key, into a
    table of ``SYMBOLS`` cubed cells.
-2. *Restoration.* Three kinds of suspicious spans are looked for: words with letters written as
+2. *Restoration.* Three kinds of suspicious spans, of any length, are looked for: words with letters written as
    digits or signs, single letters with separators between them, and letters repeated three times
    or more. Each span becomes a lattice: a sign may stand for its letters, a separator may be dropped
    or be a blank, a run may be one letter, two, or itself; each choice has a channel cost. Viterbi
@@ -53,7 +53,8 @@ SIGN_COST, BLANK_COST, SQUEEZE_COST = 1.0, 4.0, 1.0
 
 #: Nothing here is tried twice, so long words take linear time.
 _TOKEN = re.compile(r"(?<![^\W_]|[@$|+(€!])(?:[^\W_]|[@$|+(€!])++")
-_SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*][^\W_]){3,}(?!\w)")
+_SPACED = re.compile(r"(?<!\w)(?:[^\W_]|[@$|+(€!])(?:[ .\-_*]++(?:[^\W_]|[@$|+(€!])(?![^\W_])){2,}+")
+_WORD = re.compile(r"[^\W\d_]++")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -91,8 +92,8 @@ def kinds() -> np.ndarray:
 def suspicious(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text, line) of the lines that may hold a span to restore: a quick test on all characters.
 
-    Those where a sign is next to a letter, four single characters alternate with separators, or a
-    letter stands three times in a row. No span reaches over a line end.
+    Those where a sign is next to a letter, three single characters have separators between them, or
+    a letter stands three times in a row. No span reaches over a line end.
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -103,11 +104,21 @@ def suspicious(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         hit[1:] |= sign[1:] & letter[:-1] | sign[:-1] & letter[1:]
         same = points[1:] == points[:-1]
         hit[2:] |= same[1:] & same[:-1] & letter[2:]
-    if len(points) > 6:
-        one = single[:-1] & gap[1:]
-        hit[6:] |= one[:-5] & one[2:-3] & one[4:-1] & single[6:]
-    at = np.flatnonzero(hit)
     begins = np.cumsum(sizes) - sizes
+    alone = single | sign
+    if len(points) > 4:
+        beside = np.zeros(len(points), bool)
+        beside[1:] = single[:-1]
+        beside[begins[sizes > 0]] = False
+        alone &= ~beside
+        beside[:-1], beside[-1] = single[1:], False
+        beside[(begins + sizes - 1)[sizes > 0]] = False
+        alone &= ~beside
+        solid = np.flatnonzero(~gap)
+        apart = np.diff(solid) > 1
+        one = alone[solid]
+        hit[solid[2:]] |= one[:-2] & one[1:-1] & one[2:] & apart[:-1] & apart[1:]
+    at = np.flatnonzero(hit)
     text = np.searchsorted(begins, at, "right") - 1
     breaks = np.flatnonzero(points == 10)
     line = np.searchsorted(breaks, at) - np.searchsorted(breaks, begins[text])
@@ -171,10 +182,10 @@ class Channel:
         if found is not None:
             return found
         table, of, other = self.cost, self.symbol.get, SYMBOLS - 1
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}  # cost, and what was emitted, last first
         for choices in [*self.options(span), [(" ", 0.0)]]:
-            grown: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
+            grown: dict[tuple[int, int], tuple] = {}
+            for (a, b), (cost, trail) in states.items():
                 for emitted, channel in choices:
                     x, y, total = a, b, cost + channel
                     for c in emitted:
@@ -182,38 +193,29 @@ class Channel:
                         total += table[(x * SYMBOLS + y) * SYMBOLS + z]
                         x, y = y, z
                     if (x, y) not in grown or total < grown[x, y][0]:
-                        grown[x, y] = (total, text + emitted)
+                        grown[x, y] = (total, (trail, emitted))
             states = grown
-        best = min(states.values())[1][:-1]
-        if len(self.known) > 50_000:
-            self.known.clear()
-        self.known[span] = best
+        trail, parts = min(states.values(), key=lambda s: s[0])[1], []
+        while trail:
+            trail, emitted = trail
+            parts.append(emitted)
+        best = "".join(reversed(parts))[:-1]
+        if len(span) <= 100:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            self.known[span] = best
         return best
 
     def _token(self, match: re.Match) -> str:
         """A run of letters, digits and signs, restored if it mixes letters and signs."""
         span = match[0]
-        letters = sum(map(str.isalpha, span))
-        if 3 <= len(span) <= 24 and letters < len(span) and letters >= 2 and 5 * letters >= 2 * len(span):
-            return self.decode(span)
-        return span
+        return self.decode(span) if not span.isalpha() and any(map(str.isalpha, span)) else span
 
     def restore(self, text: str) -> str:
         """``text`` in lower case with its suspicious spans restored."""
         text = _TOKEN.sub(self._token, text.lower())
-        text = _SPACED.sub(lambda m: self.decode(m[0]) if len(m[0]) < 200 else m[0], text)
-        parts, at = [], 0
-        for m in _RUN.finditer(text):
-            if m.start() < at:
-                continue
-            begin, end = m.start(), m.end()
-            while begin > at and m.start() - begin < 24 and text[begin - 1].isalpha():
-                begin -= 1
-            while end < len(text) and end - begin < 48 and text[end].isalpha():
-                end += 1
-            parts += [text[at:begin], self.decode(text[begin:end])]
-            at = end
-        return "".join([*parts, text[at:]])
+        text = _SPACED.sub(lambda m: self.decode(m[0]), text)
+        return _WORD.sub(lambda m: self.decode(m[0]) if _RUN.search(m[0]) else m[0], text)
 
 
 def features(texts: pa.Array, channel: Channel) -> tuple[np.ndarray, np.ndarray]:

@@ -302,6 +302,21 @@ def test_signs_at_the_ends_of_words(spark):
         assert toxicity.suspicious([disguised]).shape[1] == 1
 
 
+def test_spans_of_any_length_are_restored(spark):
+    words = "what the shit you asshole fuck you stupid kill yourself kys now is this"
+    docs = spark.createDataFrame([(k, f"{words} {k}") for k in range(200)], "doc_id long, text string")
+    channel = toxicity.Channel(toxicity.trigram_counts(docs).toArrow())
+    long = "fuck you stupid shit " * 20
+    spaced = " ".join(long.replace(" ", ""))
+    for disguised, plain in [
+        ("4$$h0l3", "asshole"), ("5h17", "shit"), ("k y s", "kys"), ("$ h ! t", "shit"), ("f  u  c  k", "fuck"),
+        ("f.u.c.k  y.o.u", "fuck you"), ("f" + "u" * 300 + "ck", "fuck"),
+    ]:
+        assert channel.restore(disguised) == plain
+        assert 1 in toxicity.suspicious(["a", disguised, "b"])[0]
+    assert channel.restore(spaced).replace(" ", "") == long.replace(" ", "")
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([(5, None), (None, 1)], "doc_id long, toxic int")
     out = toxicity.score_texts(odd_rows(spark), labels).collect()
