@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborinfo.llm import (
-    decontamination, embedding_dedup, jaccard_join, language_mixture, lattice, packing, pii,
-    substring_dedup, token_counts, toxicity,
+    chat_format, decontamination, embedding_dedup, jaccard_join, language_mixture, lattice, packing,
+    periodic_runs, pii, substring_dedup, token_counts, toxicity,
 )
 from arborinfo.llm.pieces import tokenizer
 
@@ -97,6 +97,39 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words, and what is left without their repetitions."""
+    docs = periodic_runs.repeat_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs)
+    best = periodic_runs.strongest(F.col("runs"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "n_words", best.alias("best"), "runs", "collapsed"
+    ).select(
+        "doc_id", "n_runs", *[F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in a chat template, read back from it."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    formatted = chat_format.format_events(chat_format.log_of_turns(rows.unionByName(tricky)))
+    turn = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    return chat_format.read_back(formatted).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", turn), ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline, one after the other."""
     import corpus_pipeline
@@ -116,12 +149,21 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language_mixture": op9_language_mixture,
     "op10_pii": op10_pii,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_chat_format": op13_chat_format,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BENCH_WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _WORDS = f"regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+')"
 
+#: CRC-32 of the decimal doc_id, bit by bit.
+_CRC32 = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''),"
+    " lambda c: ascii(c)::BIGINT)), lambda crc, c: list_reduce(list_concat([xor(crc, c)], range(8)),"
+    " lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"
+)
+
 ORACLE: dict[str, str] = {
     "op7_jaccard_join": (
         f"WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents), "
@@ -153,4 +195,39 @@ ORACLE: dict[str, str] = {
         " sha256(coalesce(l, '')) AS items_sha256, coalesce(h, 0) > 0 AND 20*coalesce(h, 0) >= len(w) AS contaminated"
         " FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"
     ),
+    "op12_periodic_runs": (
+        "WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,"
+        f" {_CRC32} AS h FROM documents), "
+        "p AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS turned, (h // 10) % greatest(len(w), 1) AS a,"
+        " 3 + (h // 10) % 8 AS k FROM h), "
+        "d AS (SELECT doc_id, n, CASE WHEN turned THEN list_transform(range(n), lambda i: w[1 + (CASE WHEN i < a THEN i"
+        " ELSE a + (i - a) % (1 + (n - a) // k) END)]) ELSE w END AS w FROM p), "
+        "same AS (SELECT doc_id, q, unnest(list_filter(range(n - q), lambda i: w[i + 1] = w[i + q + 1])) AS i FROM"
+        " (SELECT doc_id, n, w, unnest(range(1, n // 3 + 1)) AS q FROM d WHERE n >= 24)), "
+        "isles AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER"
+        " (PARTITION BY doc_id, q ORDER BY i) AS isle FROM same) GROUP BY doc_id, q, isle), "
+        "runs AS (SELECT doc_id, s, l, min(q) AS q FROM isles WHERE l >= greatest(24, 3 * q) GROUP BY doc_id, s, l), "
+        "best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l / q DESC, s, q) = 1), "
+        "lists AS (SELECT doc_id, count(*) AS k, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t"
+        " FROM runs GROUP BY doc_id), "
+        "gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs), "
+        "kept AS (SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS t FROM (SELECT doc_id, w, unnest(range(n)) AS i"
+        " FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id) "
+        "SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period,"
+        " (1000 * l // q)::BIGINT AS exponent_milli, sha256(coalesce(lists.t, '')) AS runs_sha256,"
+        " sha256(coalesce(kept.t, '')) AS collapsed_sha256 FROM d LEFT JOIN best USING (doc_id)"
+        " LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)"
+    ),
+    "op13_chat_format": (
+        "WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations"
+        " UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)), "
+        "e AS (SELECT *, len(text) + len(regexp_extract_all(text, '<\\\\*/?s>|\\[\\\\*/?INST\\]')) AS k FROM c) "
+        "SELECT conv_id, count(*)::BIGINT AS n_turns,"
+        " sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,"
+        " coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,"
+        " sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), ''))"
+        " AS loss_sha256,"
+        " (3 + sum(k + CASE WHEN role = 'assistant' THEN 4 ELSE 14 + len(role) END))::BIGINT AS formatted_chars"
+        " FROM e GROUP BY conv_id"
+    ),
 }
