@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborinfo.llm import (
     chat_format, decontamination, embedding_dedup, jaccard_join, language_mixture, lattice, packing,
-    periodic_runs, pii, substring_dedup, token_counts, toxicity,
+    periodic_runs, pii, substring_dedup, token_counts, toxicity, whitening,
 )
 from arborinfo.llm.pieces import tokenizer
 
@@ -97,6 +97,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of the vectors."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=32)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words, and what is left without their repetitions."""
     docs = periodic_runs.repeat_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -149,6 +154,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language_mixture": op9_language_mixture,
     "op10_pii": op10_pii,
+    "op11_whitening": op11_whitening,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_chat_format": op13_chat_format,
 }
