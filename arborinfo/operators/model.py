@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,9 +13,14 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from arborinfo.functions.entropy import plugin_entropy
 from arborinfo.functions.rng import uniform
 from arborinfo.functions.special import number, quoted
-from arborinfo.lineage import broadcast, materialize, settle
+from arborinfo.lineage import broadcast, local_table, materialize, settle, ship_package
 from arborinfo.operators.pairs import text
+from arborinfo.operators.tree_index import TreeIndex
 
+# Matrices that are multiplied by joins, and matrices of a longer chain that one task multiplies.
+SHORT_CHAIN, CHAIN = 8, 64
+# States of the nodes in one block of a piece: a pair of blocks has the square of it in cells.
+BLOCK_STATES = 1024
 # Edges per block when a wide table is extended column by column.
 EDGE_BLOCK = 32
 # Pairs of states of the tree's edges that are shipped to every task for scoring.
@@ -48,8 +55,16 @@ def transfer_matrix(pair_counts: DataFrame, fix: dict[str, str] | None = None) -
 def chain_product(matrices: DataFrame, length: int) -> DataFrame:
     """(x, y, p): the product of ``length`` matrices given as (pos, x, y, p), pos from 0.
 
-    Neighbours are multiplied pairwise, so there are log2(length) rounds.
+    Long chains are first cut into blocks of ``CHAIN`` matrices, each multiplied in a task. Neighbours
+    are then multiplied pairwise.
     """
+    while length > SHORT_CHAIN:
+        matrices = settle(
+            matrices.withColumn("block", F.expr(f"pos div {CHAIN}").cast("int"))
+            .groupBy("block").applyInArrow(_block_product, "pos int, x string, y string, p double"),
+            "chain",
+        )
+        length = -(-length // CHAIN)
     while length > 1:
         left = matrices.filter("pos % 2 = 0").select(
             F.expr("pos div 2").cast("int").alias("pos"), "x", F.col("y").alias("m"), F.col("p").alias("p1")
@@ -70,23 +85,65 @@ def chain_product(matrices: DataFrame, length: int) -> DataFrame:
     return matrices.select("x", "y", "p")
 
 
-def path_joint(
-    transfers: DataFrame, node_probabilities: DataFrame, paths: DataFrame, u: str, v: str
-) -> DataFrame:
-    """(xu, xv, p): the joint law of u and v implied by the tree path between them."""
-    on_path = paths.filter(F.col("u") == u).select(
-        F.col("last").alias("a"), F.col("v").alias("b"), (F.col("d") - 1).alias("pos")
-    )
-    towards = paths.filter(F.col("v") == v).select(F.col("u").alias("b"), F.col("d").alias("rest"))
-    # b is on the path if d(u, b) + d(b, v) = d(u, v).
-    whole = paths.filter((F.col("u") == u) & (F.col("v") == v)).select("d").first()["d"]
-    on_path = on_path.join(towards, "b", "left").filter(
-        F.col("pos") + 1 + F.coalesce("rest", F.lit(0)) == whole
+def codes(values: pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
+    """Distinct strings, and the number of each row's."""
+    coded = values.combine_chunks().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
+def parts_of(order: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of each run of equal values, by value."""
+    rows = np.argsort(order, kind="stable")
+    return np.split(rows, np.flatnonzero(np.diff(order[rows])) + 1) if len(rows) else []
+
+
+def matrix_of(xs: list[str], x: np.ndarray, y: np.ndarray, p: np.ndarray, before: dict[str, int] | None):
+    """(states of x, states of y, matrix); rows in the order of ``before`` where it is given."""
+    used, row = np.unique(x, return_inverse=True)
+    names = [xs[k] for k in used.tolist()]
+    if before is not None:
+        row = np.array([before.get(name, -1) for name in names], np.int64)[row]
+    to, column = np.unique(y, return_inverse=True)
+    out = np.zeros((len(before) if before is not None else len(names), len(to)))
+    known = row >= 0
+    out[row[known], column[known]] = p[known]
+    return names, to, out
+
+
+def _block_product(key: tuple, table: pa.Table) -> pa.Table:
+    (xs, x), (ys, y) = codes(table.column("x")), codes(table.column("y"))
+    p, pos = table.column("p").to_numpy(), table.column("pos").to_numpy()
+    first, states, product = None, None, None
+    for rows in parts_of(pos):
+        before = None if states is None else {name: k for k, name in enumerate(states)}
+        names, to, step = matrix_of(xs, x[rows], y[rows], p[rows], before)
+        first, product = (names, step) if product is None else (first, product @ step)
+        states = [ys[k] for k in to.tolist()]
+    row, column = np.nonzero(product)
+    return pa.table({
+        "pos": pa.array(np.full(len(row), key[0].as_py()), pa.int32()), "x": [first[k] for k in row.tolist()],
+        "y": [states[k] for k in column.tolist()], "p": product[row, column],
+    })
+
+
+STEPS = pa.schema([("a", pa.string()), ("b", pa.string()), ("pos", pa.int32())])
+
+
+def path_joint(transfers: DataFrame, node_probabilities: DataFrame, path: list[str]) -> DataFrame:
+    """(xu, xv, p): the joint law of the ends of ``path``, a list of neighbours.
+
+    Only the transfers along the path are read; two nodes without a path have no rows.
+    """
+    spark = transfers.sparkSession
+    if len(path) < 2:
+        same = node_probabilities.filter(F.col("var") == path[0] if path else F.lit(False))
+        return same.select(F.col("state").alias("xu"), F.col("state").alias("xv"), "p")
+    steps = local_table(
+        spark, [{"a": a, "b": b, "pos": k} for k, (a, b) in enumerate(zip(path, path[1:]))], STEPS
     )
-    steps = transfers.withColumnsRenamed({"u": "a", "v": "b", "xu": "x", "xv": "y"})
-    matrices = steps.join(on_path, ["a", "b"]).select("pos", "x", "y", "p")
-    product = chain_product(matrices, whole)
-    start = node_probabilities.filter(F.col("var") == u).select(
+    on_path = transfers.withColumnsRenamed({"u": "a", "v": "b", "xu": "x", "xv": "y"}).join(steps, ["a", "b"])
+    product = chain_product(on_path.select("pos", "x", "y", "p"), len(path) - 1)
+    start = node_probabilities.filter(F.col("var") == path[0]).select(
         F.col("state").alias("x"), F.col("p").alias("p0")
     )
     return product.join(start, "x").select(
@@ -94,39 +151,205 @@ def path_joint(
     )
 
 
-def implied_conditionals(transfers: DataFrame, paths: DataFrame) -> DataFrame:
-    """(u, v, xu, xv, p): P(v | u) along the tree for every ordered pair.
+CENTRE_STEPS = pa.schema(
+    [(c, pa.string()) for c in ("centre", "parent", "node", "branch")] + [("depth", pa.int32())]
+)
+TABLE = (
+    "centre string, node string, branch string, block int, blocks int, states array<string>,"
+    " start array<double>, cells array<double>"
+)
 
-    Path lengths double each round, following ``mid`` of the path table.
+
+def centre_steps(index: TreeIndex) -> list[dict]:
+    """The directed edges of all pieces of a centroid decomposition, away from the piece's centre.
+
+    There are at most L log2(L) of them. ``branch`` is the neighbour of the centre on the way.
     """
-    longest = paths.agg(F.max("d").alias("d")).first()["d"]
-    near = paths.filter("d = 1").select("u", "v")
-    known, reach = settle(transfers.join(near, ["u", "v"], "left_semi"), "conditionals"), 1
-    while reach < longest:
-        todo = paths.filter((F.col("d") > reach) & (F.col("d") <= 2 * reach)).select("u", "v", "mid")
-        head = known.select("u", F.col("v").alias("mid"), "xu", F.col("xv").alias("xm"), F.col("p").alias("p1"))
-        tail = known.select(F.col("u").alias("mid"), "v", F.col("xu").alias("xm"), "xv", F.col("p").alias("p2"))
-        longer = (
-            todo.join(head, ["u", "mid"]).join(tail, ["mid", "v", "xm"])
-            .groupBy("u", "v", "xu", "xv").agg(F.sum(F.col("p1") * F.col("p2")).alias("p"))
-        )
-        known, reach = known.unionByName(settle(longer, "conditionals")), reach * 2
-    return known
+    chain, out = index.centroids(), []
+    for centre in index.name:
+        level = len(chain[centre]) - 1
+        inside = lambda x: len(chain[x]) > level and chain[x][level] == centre  # noqa: B023, E731
+        todo = [(centre, y, y, 1) for y in index.near[centre] if inside(y)]
+        while todo:
+            parent, node, branch, depth = todo.pop()
+            out.append({"centre": centre, "parent": parent, "node": node, "branch": branch, "depth": depth})
+            todo += [(node, y, branch, depth + 1) for y in index.near[node] if y != parent and inside(y)]
+    return out
 
 
-def implied_joints(conditionals: DataFrame, node_probabilities: DataFrame) -> DataFrame:
-    """(u, v, xu, xv, p), u < v: the joint law of every pair implied by the tree."""
+def _away_from_centre(key: tuple, table: pa.Table) -> pa.Table:
+    centre = key[0].as_py()
+    (xs, x), (ys, y) = codes(table.column("xu")), codes(table.column("xv"))
+    p, first = table.column("p").to_numpy(), table.column("start").to_numpy()
+    nodes, node = codes(table.column("node"))
+    parents, branches = table.column("parent").combine_chunks(), table.column("branch").combine_chunks()
+    depth = table.column("depth").to_numpy()
+    # States and matrix of each node; a matrix has the centre's states as rows.
+    known: dict[str, tuple[list[str], np.ndarray]] = {}
+    start = np.zeros(0)
+    rows: list[tuple] = []
+    steps = parts_of(node)
+    steps.sort(key=lambda at: int(depth[at[0]]))
+    for at in steps:
+        parent, name = parents[int(at[0])].as_py(), nodes[node[at[0]]]
+        before = {s: k for k, s in enumerate(known[parent][0])} if parent in known else None
+        names, to, step = matrix_of(xs, x[at], y[at], p[at], before)
+        if parent not in known:  # the centre itself, met first
+            known[parent] = (names, np.eye(len(names)))
+            of_state = dict(zip((xs[k] for k in x[at].tolist()), first[at].tolist()))
+            start = np.array([of_state[s] for s in names])
+            rows.append((centre, centre, names, known[parent][1]))
+        states = [ys[k] for k in to.tolist()]
+        known[name] = (states, known[parent][1] @ step)
+        rows.append((name, branches[int(at[0])].as_py(), *known[name]))
+    per = max(1, BLOCK_STATES // max(max(len(r[2]) for r in rows), 1))
+    return pa.table({
+        "centre": [centre] * len(rows), "node": [r[0] for r in rows], "branch": [r[1] for r in rows],
+        "block": pa.array([k // per for k in range(len(rows))], pa.int32()),
+        "blocks": pa.array([(len(rows) - 1) // per + 1] * len(rows), pa.int32()),
+        "states": [r[2] for r in rows], "start": [start] * len(rows), "cells": [r[3].ravel() for r in rows],
+    })
+
+
+def centre_tables(transfers: DataFrame, node_probabilities: DataFrame, index: TreeIndex) -> DataFrame:
+    """What the nodes of each piece say about its centre: P(node | centre), as matrices.
+
+    A row (centre, node, branch, block, blocks, states, start, cells) has the probabilities of the
+    centre's states and one row of ``cells`` for each of them. A task has the tables of one piece. Pieces
+    are of all sizes down to neighbours, so all tables are L log2(L) and any pair is in one piece
+    in which its nodes lie on different branches.
+    """
+    ship_package(transfers.sparkSession)
+    steps = local_table(transfers.sparkSession, centre_steps(index), CENTRE_STEPS)
+    known = steps.join(transfers.withColumnsRenamed({"u": "parent", "v": "node"}), ["parent", "node"])
     start = node_probabilities.select(
-        F.col("var").alias("u"), F.col("state").alias("xu"), F.col("p").alias("p0")
+        F.col("var").alias("parent"), F.col("state").alias("xu"), F.col("p").alias("start")
     )
-    return conditionals.filter("u < v").join(start, ["u", "xu"]).select(
-        "u", "v", "xu", "xv", (F.col("p") * F.col("p0")).alias("p")
+    return known.join(start, ["parent", "xu"]).groupBy("centre").applyInArrow(_away_from_centre, TABLE)
+
+
+def _pair_law(a: tuple, b: tuple) -> np.ndarray:
+    """The joint law of two nodes from their (start, cells) under one centre."""
+    start = a[0]
+    return (a[1].reshape(len(start), -1) * start[:, None]).T @ b[1].reshape(len(start), -1)
+
+
+def _tables(table: pa.Table, prefix: str = "") -> list[tuple[np.ndarray, np.ndarray]]:
+    of = lambda name: table.column(prefix + name).combine_chunks()
+    return [(s.values.to_numpy(), c.values.to_numpy()) for s, c in zip(of("start"), of("cells"))]
+
+
+def _meeting_pairs(key: tuple, table: pa.Table) -> Iterator[tuple[str, str, list, list, np.ndarray]]:
+    """(u, v, states of u, states of v, joint law), u < v, of the pairs of two blocks that part at the centre."""
+    low, high = key[1].as_py(), key[2].as_py()
+    names, branches = table.column("node").to_pylist(), table.column("branch").to_pylist()
+    block, states = table.column("block").to_pylist(), table.column("states").to_pylist()
+    start, width = table.column("start")[0].values.to_numpy(), [len(s) for s in states]
+    cells = [c.values.to_numpy().reshape(len(start), -1) for c in table.column("cells").combine_chunks()]
+    left = [k for k, b in enumerate(block) if b == low]
+    right = [k for k, b in enumerate(block) if b == high]
+    law = (np.hstack([cells[k] for k in left]) * start[:, None]).T @ np.hstack([cells[k] for k in right])
+    rows = np.concatenate([[0], np.cumsum([width[k] for k in left])])
+    columns = np.concatenate([[0], np.cumsum([width[k] for k in right])])
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            if branches[a] != branches[b] and (low != high or i < j):
+                joint = law[rows[i] : rows[i + 1], columns[j] : columns[j + 1]]
+                if names[a] < names[b]:
+                    yield names[a], names[b], states[a], states[b], joint
+                else:
+                    yield names[b], names[a], states[b], states[a], joint.T
+
+
+def _pair_entropies(key: tuple, table: pa.Table) -> pa.Table:
+    us, vs, sums = [], [], []
+    for u, v, _, _, joint in _meeting_pairs(key, table):
+        seen = joint[joint > 0]
+        us.append(u)
+        vs.append(v)
+        sums.append(float(-(seen * np.log(seen)).sum()))
+    return pa.table({"u": pa.array(us, pa.string()), "v": pa.array(vs, pa.string()), "s_uv": pa.array(sums, pa.float64())})
+
+
+JOINT = "u string, v string, xu string, xv string, p double"
+
+
+def law_rows(laws) -> pa.Table:
+    """Rows (u, v, xu, xv, p) of laws given as (u, v, states of u, states of v, matrix)."""
+    parts = []
+    for u, v, us, vs, law in laws:
+        row, column = np.nonzero(law)
+        parts.append(pa.table({
+            "u": pa.array([u] * len(row), pa.string()), "v": pa.array([v] * len(row), pa.string()),
+            "xu": pa.array(us, pa.string()).take(pa.array(row)), "xv": pa.array(vs, pa.string()).take(pa.array(column)),
+            "p": law[row, column],
+        }))
+    empty = pa.table({c: pa.array([], pa.string()) for c in ("u", "v", "xu", "xv")} | {"p": pa.array([], pa.float64())})
+    return pa.concat_tables([empty, *parts])
+
+
+def _pair_joints(key: tuple, table: pa.Table) -> pa.Table:
+    return law_rows(_meeting_pairs(key, table))
+
+
+def _by_block_pair(tables: DataFrame):
+    """Each block of a piece's tables, beside each other block of that piece."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other")
+    beside = tables.select("*", other)
+    return beside.groupBy(
+        "centre", F.least("block", "_other").alias("_low"), F.greatest("block", "_other").alias("_high")
     )
 
 
-def information_of_joints(joints: DataFrame, nodes: DataFrame) -> DataFrame:
+def implied_joints(tables: DataFrame) -> DataFrame:
+    """(u, v, xu, xv, p), u < v: the joint law of every pair implied by the tree."""
+    return _by_block_pair(tables).applyInArrow(_pair_joints, JOINT)
+
+
+def implied_entropies(tables: DataFrame) -> DataFrame:
+    """(u, v, s_uv), u < v: the entropy of every pair implied by the tree; laws stay in the tasks."""
+    return _by_block_pair(tables).applyInArrow(_pair_entropies, "u string, v string, s_uv double")
+
+
+PAIRS = pa.schema([(c, pa.string()) for c in ("u", "v", "centre")])
+
+
+def implied_conditionals(tables: DataFrame, index: TreeIndex, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(u, v, xu, xv, p): P(v | u) along the tree for the ordered ``pairs`` of different nodes.
+
+    The tables of both ends meet at the last centre that they share.
+    """
+    chain = index.centroids()
+    meeting = [
+        {"u": u, "v": v, "centre": [a for a, b in zip(chain[u], chain[v]) if a == b][-1]} for u, v in sorted(set(pairs))
+    ]
+    wanted = local_table(tables.sparkSession, meeting, PAIRS)
+    for end in ("u", "v"):
+        side = tables.select(
+            "centre", F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("states", "start", "cells")]
+        )
+        wanted = wanted.join(side, ["centre", end])
+
+    def laws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            ends = [table.column(c).to_pylist() for c in ("u", "v", "u_states", "v_states")]
+            found = []
+            for u, v, us, vs, a, b in zip(*ends, _tables(table, "u_"), _tables(table, "v_")):
+                law = _pair_law(a, b)
+                found.append((u, v, us, vs, law / law.sum(axis=1, keepdims=True)))
+            yield from law_rows(found).to_batches()
+
+    return wanted.mapInArrow(laws, JOINT)
+
+
+def joint_entropies(joints: DataFrame) -> DataFrame:
+    """(u, v, s_uv) of the laws (u, v, xu, xv, p)."""
+    return joints.groupBy("u", "v").agg(plugin_entropy("p").alias("s_uv"))
+
+
+def information_of_entropies(s: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v, i): s(u) + s(v) - s(joint), with plug-in node entropies."""
-    s = joints.groupBy("u", "v").agg(plugin_entropy("p").alias("s_uv"))
     for end in ("u", "v"):
         s = s.join(nodes.select(F.col("var").alias(end), F.col("s").alias(f"s_{end}")), end)
     return s.select("u", "v", (F.col("s_u") + F.col("s_v") - F.col("s_uv")).alias("i"))

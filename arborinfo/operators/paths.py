@@ -1,17 +1,20 @@
 """Paths of a tree given as undirected edges (u, v).
 
-All tables here have one row per pair of variables at most; they do not grow with the data.
+``tree_paths`` lists all pairs for those who want the table. Nothing else needs it: questions about
+some nodes are answered by a ``TreeIndex``, in rows as many as the answer has.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborinfo.lineage import SMALL_ROWS, local_table, settle
+from arborinfo.lineage import SMALL_ROWS, broadcast, local_table, settle
+from arborinfo.operators.tree_index import TreeIndex
 
 
 def directed(edges: DataFrame, *columns: str) -> DataFrame:
@@ -87,56 +90,31 @@ def paths_by_doubling(edges: DataFrame) -> DataFrame:
         known, reach = known.union(longer), reach * 2
 
 
-def interior_nodes(pairs: DataFrame, paths: DataFrame) -> DataFrame:
-    """Every inner node of the path of each (u, v) in ``pairs``, with the hops to both ends.
-
-    Adds ``node``, ``hop_u`` (neighbour of node towards u) and ``hop_v``.
-    """
-    left = paths.select("u", F.col("v").alias("node"), F.col("last").alias("hop_u"))
-    right = paths.select(F.col("u").alias("node"), "v", F.col("first").alias("hop_v"))
-    return pairs.join(left, "u").join(right, ["node", "v"]).filter("hop_u <> hop_v")
-
-
-def path_edges(pairs: DataFrame, paths: DataFrame) -> DataFrame:
-    """Every tree edge (a, b), a < b, on the path of each (u, v) in ``pairs``.
-
-    ``near`` is the end of the edge on the side of u, ``far`` the other one.
-    """
-    start = pairs.join(paths.select("u", "v", F.col("first").alias("far")), ["u", "v"]).withColumn(
-        "near", F.col("u")
-    )
-    inner = (
-        interior_nodes(pairs, paths)
-        .withColumnsRenamed({"node": "near", "hop_v": "far"})
-        .drop("hop_u")
-    )
-    return start.unionByName(inner).withColumns(
-        {"a": F.least("near", "far"), "b": F.greatest("near", "far")}
-    )
+EDGES = pa.schema([("u", pa.string()), ("v", pa.string())])
 
 
-def subtree(edges: DataFrame, paths: DataFrame, nodes: list[str]) -> DataFrame:
+def subtree(edges: DataFrame, index: TreeIndex, nodes: list[str]) -> DataFrame:
     """Tree edges on the paths between any two of ``nodes``."""
-    ends = paths.filter(F.col("u").isin(nodes) & F.col("v").isin(nodes) & (F.col("u") < F.col("v")))
-    used = path_edges(ends.select("u", "v"), paths).select(
-        F.col("a").alias("u"), F.col("b").alias("v")
-    )
-    return edges.join(used.distinct(), ["u", "v"], "left_semi")
+    used = [{"u": u, "v": v} for u, v in index.spanned(nodes)]
+    return edges.join(local_table(edges.sparkSession, used, EDGES), ["u", "v"], "left_semi")
 
 
-def rooted(paths: DataFrame, root: str) -> DataFrame:
-    """(parent, child, depth): edges pointing away from ``root``, parents before children."""
-    return paths.filter(F.col("u") == root).select(
-        F.col("last").alias("parent"), F.col("v").alias("child"), F.col("d").alias("depth")
-    )
+def leaf_paths(spark: SparkSession, index: TreeIndex, root: str) -> DataFrame:
+    """(leaf, step, parent, child): the directed edges from ``root`` to each leaf.
 
-
-def leaf_paths(edges: DataFrame, paths: DataFrame, root: str) -> DataFrame:
-    """(leaf, step, parent, child): the directed edges from ``root`` to each leaf."""
-    degree = directed(edges).groupBy("u").count().filter("count = 1").filter(F.col("u") != root)
-    ends = degree.select(F.lit(root).alias("u"), F.col("u").alias("v"))
-    steps = path_edges(ends, paths)
-    depth = rooted(paths, root).select(F.col("child").alias("far"), F.col("depth").alias("step"))
-    return steps.join(depth, "far").select(
-        F.col("v").alias("leaf"), "step", F.col("near").alias("parent"), F.col("far").alias("child")
-    )
+    The leaves are dealt to tasks, which walk their paths; the rows are as many as the paths are long.
+    """
+    ends = [{"leaf": x} for x in index.leaves() if x != root]
+    shared = broadcast(spark, index)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for leaf in batch.column(0).to_pylist():
+                path = shared.value.path(root, leaf)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([leaf] * (len(path) - 1), pa.string()), pa.array(range(1, len(path)), pa.int32()),
+                    pa.array(path[:-1], pa.string()), pa.array(path[1:], pa.string()),
+                ], names=["leaf", "step", "parent", "child"])
+
+    leaves = local_table(spark, ends, pa.schema([("leaf", pa.string())]))
+    return leaves.mapInArrow(walk, "leaf string, step int, parent string, child string")

@@ -18,6 +18,10 @@ from arborinfo.operators.pairs import (
     pair_probabilities,
 )
 from arborinfo.operators.spanning import maximum_spanning_tree
+from arborinfo.operators.tree_index import TreeIndex
+
+#: Matrices of a model that are held as a local relation.
+CENTRE_ROWS = 1000
 
 
 class InformationTree:
@@ -62,7 +66,7 @@ class InformationTree:
             self.pair_counts, self.estimator, prior, self.uncertainty, tree=self.tree
         )
         # What does not depend on the prior is not computed again.
-        for name in ("node_counts", "edges", "paths", "transfers"):
+        for name in ("node_counts", "edges", "paths", "index", "transfers", "coverings", "centre_tables"):
             if name in self.__dict__:
                 out.__dict__[name] = self.__dict__[name]
         return out
@@ -122,6 +126,11 @@ class InformationTree:
         """Paths between all ordered pairs of variables."""
         return tree_paths_ops.tree_paths(self.tree)
 
+    @cached_property
+    def index(self) -> TreeIndex:
+        """Ancestors, branches and paths of the tree."""
+        return TreeIndex.of(self.tree)
+
     @property
     def _s(self):
         return F.col("s" if self.estimator == "mle" else "s_pm")
@@ -186,20 +195,23 @@ class InformationTree:
     # -- uncertainty ----------------------------------------------------------------------
 
     @cached_property
-    def _leave_one_out(self) -> tuple[DataFrame, DataFrame]:
-        entropies, contributions = errors.leave_one_out(
-            self.nodes, self.edges, self.tree_edges, self.paths
-        )
-        contributions = settle(contributions, "leave_one_out")
-        return contributions.groupBy("node").agg(F.sum("contribution").alias("entropy")), contributions
+    def coverings(self) -> DataFrame:
+        """The heaviest graph edges over each tree edge and around each variable."""
+        return settle(errors.coverings(self.edges, self.tree, self.index), "coverings")
+
+    @cached_property
+    def _leave_out(self) -> tuple[DataFrame, DataFrame]:
+        weights = self.edges.join(self.tree, ["u", "v"]).select("u", "v", "i")
+        own = settle(errors.own_contributions(self.nodes, weights), "contributions")
+        return own, settle(errors.leave_out_changes(weights, self.coverings), "leave_out")
 
     def leave_one_out_entropies(self) -> DataFrame:
         """(node, entropy): plug-in entropy of the tree refitted without each variable."""
-        return self._leave_one_out[0]
+        return errors.leave_out_entropies(*self._leave_out)
 
     def leave_one_out_contributions(self) -> DataFrame:
         """(node, var, contribution) in the tree refitted without ``node``."""
-        return self._leave_one_out[1]
+        return errors.leave_out_contributions(self.edges, *self._leave_out)
 
     def contribution_spread(self) -> DataFrame:
         """(var, s_contribution_se)."""
@@ -224,19 +236,18 @@ class InformationTree:
 
     def trim(self, variables: list[str]) -> DataFrame:
         """Tree edges on the paths between ``variables``."""
-        return tree_paths_ops.subtree(self.tree_edges, self.paths, variables)
+        return tree_paths_ops.subtree(self.tree_edges, self.index, variables)
 
     def root(self) -> str:
         return self.nodes.agg(F.min("var").alias("r")).first()["r"]
 
     def ordered_edges(self, root: str | None = None) -> list[tuple[str, str]]:
         """Directed (parent, child) edges, parents first."""
-        rows = tree_paths_ops.rooted(self.paths, root or self.root()).orderBy("depth", "child")
-        return [(r["parent"], r["child"]) for r in rows.collect()]
+        return [(parent, child) for parent, child, _ in self.index.away_from(root or self.root())]
 
     def leaf_paths(self, root: str | None = None) -> DataFrame:
         """(leaf, step, parent, child)."""
-        return tree_paths_ops.leaf_paths(self.tree, self.paths, root or self.root())
+        return tree_paths_ops.leaf_paths(self.pair_counts.sparkSession, self.index, root or self.root())
 
     # -- probability model ------------------------------------------------------------------
 
@@ -258,36 +269,38 @@ class InformationTree:
 
     def joint_distribution(self, u: str, v: str) -> DataFrame:
         """(xu, xv, p) along the tree path from u to v."""
-        return model.path_joint(self.transfers, self.node_probabilities, self.paths, u, v)
+        return model.path_joint(self.transfers, self.node_probabilities, self.index.path(u, v))
 
     @cached_property
-    def implied_conditionals(self) -> DataFrame:
-        return model.implied_conditionals(self.transfers, self.paths)
+    def centre_tables(self) -> DataFrame:
+        """Laws of the variables given the centres of a centroid decomposition."""
+        return settle(
+            model.centre_tables(self.transfers, self.node_probabilities, self.index), "centres", rows=CENTRE_ROWS
+        )
 
     def implied_joints(self) -> DataFrame:
         """(u, v, xu, xv, p) of all pairs."""
-        return model.implied_joints(self.implied_conditionals, self.node_probabilities)
+        return model.implied_joints(self.centre_tables)
 
     def implied_information(self, knockout: bool = False) -> DataFrame:
         """(u, v, i_cl): information of all pairs implied by the tree.
 
         With ``knockout`` the value of a tree edge is what the tree without it implies.
         """
-        joints = self.implied_joints()
+        sums = model.implied_entropies(self.centre_tables)
         if knockout:
-            out = self.knockout_joints()
-            joints = joints.join(self.tree, ["u", "v"], "left_anti").unionByName(
-                out.select(*joints.columns)
-            )
-        return model.information_of_joints(joints, self.nodes).withColumnRenamed("i", "i_cl")
+            out = model.joint_entropies(self.knockout_joints())
+            sums = sums.join(self.tree, ["u", "v"], "left_anti").unionByName(out)
+        return model.information_of_entropies(sums, self.nodes).withColumnRenamed("i", "i_cl")
 
     def knockout_joints(self) -> DataFrame:
         """(u, v, xu, xv, p) of each tree edge in the tree that may not use it."""
-        bridges = settle(
-            errors.knockout_bridges(self.edges, self.tree, self.paths), "bridges"
-        )
+        bridges = settle(errors.knockout_bridges(self.coverings), "bridges")
+        ways = [(r["a"], r["b"], r["u"], r["v"]) for r in bridges.collect()]
+        pieces = [(a, u) for a, _, u, _ in ways if a != u] + [(v, b) for _, b, _, v in ways if v != b]
         return errors.knockout_joints(
-            bridges, self.implied_conditionals, self.transfers_of(bridges), self.node_probabilities
+            bridges, model.implied_conditionals(self.centre_tables, self.index, pieces),
+            self.transfers_of(bridges), self.node_probabilities,
         )
 
     def transfers_of(self, pairs: DataFrame) -> DataFrame:
@@ -300,12 +313,17 @@ class InformationTree:
     def edge_knockout(self, u: str, v: str) -> DataFrame:
         """(xu, xv, p) of u and v in the tree without that edge (or as implied, off the tree)."""
         a, b = sorted((u, v))
-        on_tree = not self.tree.filter((F.col("u") == a) & (F.col("v") == b)).isEmpty()
-        if on_tree:
-            rows = self.knockout_joints().filter((F.col("u") == a) & (F.col("v") == b))
-            rows = rows.select("xu", "xv", "p")
-        else:
-            rows = self.joint_distribution(a, b)
+        path = self.index.path(a, b)
+        transfers = self.transfers
+        if len(path) == 2:  # one path, over the bridge
+            bridge = errors.knockout_bridge(self.edges, self.index, a, b)
+            if bridge is not None:
+                path = self.index.path(a, bridge[0]) + self.index.path(bridge[1], b)
+                crossed = self.pair_counts.filter(
+                    (F.col("u") == min(bridge)) & (F.col("v") == max(bridge))
+                )
+                transfers = transfers.unionByName(model.transfer_matrix(crossed))
+        rows = model.path_joint(transfers, self.node_probabilities, path)
         if (u, v) != (a, b):
             rows = rows.select(F.col("xv").alias("xu"), F.col("xu").alias("xv"), "p")
         return rows

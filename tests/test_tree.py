@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from arborinfo import InformationTree
 from arborinfo.lineage import local_table
 from arborinfo.operators import pairs, paths, spanning
+from arborinfo.operators.tree_index import TreeIndex
 from arborinfo.sinks.results import save_tree
 from arborinfo.sources.results import load_tree
 from tests import brute
@@ -246,15 +247,15 @@ def test_replacement_edges_on_random_graphs(spark, seed):
     w = {(r["u"], r["v"]): r["i"] for r in edges.collect()}
     nodes = sorted({x for e in w for x in e})
     tree = edges.join(spanning.maximum_spanning_tree(edges), ["u", "v"])
-    all_paths = paths.tree_paths(tree)
+    covered = errors.coverings(edges.repartition(3), tree, TreeIndex.of(tree))
     kept = edge_set(tree)
     added = {}
-    for r in errors.replacement_edges(edges, tree, all_paths).collect():
+    for r in errors.replacement_edges(covered).collect():
         added.setdefault(r["node"], set()).add((r["u"], r["v"]))
     for out in nodes:
         best = brute.spanning_tree({e: x for e, x in w.items() if out not in e}, [n for n in nodes if n != out])
         assert {e for e in kept if out not in e} | added.get(out, set()) == best
-    bridges = {(r["a"], r["b"]): (r["u"], r["v"]) for r in errors.knockout_bridges(edges, tree, all_paths).collect()}
+    bridges = {(r["a"], r["b"]): (r["u"], r["v"]) for r in errors.knockout_bridges(covered).collect()}
     for e in kept:
         best = brute.spanning_tree({**w, e: -1.0}, nodes)
         assert {tuple(sorted(bridges[e]))} == best - kept
@@ -354,3 +355,138 @@ def test_scoring_many_columns_writes_nothing(spark):
     key = lambda r: tuple(r[n] for n in names)
     a, b = ({key(r): r["log_p"] for r in d.collect()} for d in (scored, joined))
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+
+
+def random_tree(rng, n, chain=False):
+    return [(f"n{(i - 1) if chain else rng.integers(0, i):05d}", f"n{i:05d}") for i in range(1, n)]
+
+
+def walk(near, u, v):
+    todo = [[u]]
+    while todo:
+        path = todo.pop()
+        if path[-1] == v:
+            return path
+        todo += [path + [x] for x in near[path[-1]] if x not in path[-2:-1]]
+    return []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_index_of_random_forests(seed):
+    rng = np.random.default_rng(seed)
+    edges = random_tree(rng, 40)
+    if seed == 3:
+        edges.pop(17)  # two parts
+    index = TreeIndex(edges)
+    near = index.near
+    ends = rng.integers(0, len(index), (2, 400))
+    top = index.meet(*ends)
+    for a, b, z in zip(*ends.tolist(), top.tolist()):
+        path = walk(near, index.name[a], index.name[b])
+        assert index.path(index.name[a], index.name[b]) == path
+        if path:
+            assert index.name[z] == min(path, key=lambda x: index.depth[index.number[x]])
+            if z != a:
+                assert index.name[index.branch(np.array([z]), np.array([a]))[0]] == path[-1 - path[::-1].index(index.name[z]) - 1]
+    chain = index.centroids()
+    assert max(map(len, chain.values())) <= np.log2(len(index)) + 1
+    for a, b, z in zip(*ends.tolist(), top.tolist()):
+        if z >= 0:
+            shared = [x for x, y in zip(chain[index.name[a]], chain[index.name[b]]) if x == y]
+            assert shared[-1] in index.path(index.name[a], index.name[b])
+    some = [index.name[k] for k in rng.integers(0, len(index), 5)]
+    want = {tuple(sorted(e)) for a in some for b in some for w in [walk(near, a, b)] for e in zip(w, w[1:])}
+    assert set(index.spanned(some)) == want
+
+
+def test_coverings_of_many_variables_stay_small(spark):
+    """300 variables, 44,850 graph edges: no more rows than tasks times edges, and the right ones."""
+    from arborinfo.operators import errors
+
+    rng, n = np.random.default_rng(7), 300
+    names = [f"n{i:05d}" for i in range(n)]
+    weight = rng.random((n, n))
+    rows = [(names[i], names[j], float(weight[i, j])) for i in range(n) for j in range(i + 1, n)]
+    edges = spark.createDataFrame(pd.DataFrame(rows, columns=["u", "v", "i"])).repartition(4)
+    tree = edges.join(spanning.maximum_spanning_tree(edges), ["u", "v"])
+    covered = errors.coverings(edges, tree, TreeIndex.of(tree)).toPandas()
+    assert len(covered) <= 4 * 3 * n
+    w = {(u, v): i for u, v, i in rows}
+    kept = edge_set(tree)
+    bridges = covered[covered.node.isna()]
+    assert len(bridges) == n - 1
+    for r in bridges.head(20).itertuples():
+        best = brute.spanning_tree({**w, (r.a, r.b): -1.0}, names)
+        assert {(r.u, r.v)} == best - kept
+    added = errors.replacement_edges(spark.createDataFrame(covered)).toPandas()
+    hub = added.node.value_counts().index[0]
+    for out in (hub, names[0], names[150]):
+        best = brute.spanning_tree({e: x for e, x in w.items() if out not in e}, [x for x in names if x != out])
+        mine = added[added.node == out]
+        assert {e for e in kept if out not in e} | set(zip(mine.u, mine.v)) == best
+
+
+def test_long_chain_of_variables(spark):
+    """10,000 variables in a row: questions about two of them read the way between them."""
+    from arborinfo.operators import errors, model
+
+    n = 10_000
+    edges = random_tree(None, n, chain=True)
+    index = TreeIndex(edges)
+    assert len(index.path("n00000", f"n{n - 1:05d}")) == n
+    flip = 0.001
+    step = [("0", "0", 1 - flip), ("0", "1", flip), ("1", "0", flip), ("1", "1", 1 - flip)]
+    states = spark.createDataFrame(step, "xu string, xv string, p double")
+    near = spark.createDataFrame(pd.DataFrame(edges + [(v, u) for u, v in edges], columns=["u", "v"]))
+    transfers = near.crossJoin(states)
+    halves = spark.createDataFrame(pd.DataFrame([(x, s, 0.5) for x in index.name for s in "01"], columns=["var", "state", "p"]))
+    for k in (1, 8, 9, 64, 700, n - 1):
+        law = {(r["xu"], r["xv"]): r["p"] for r in model.path_joint(transfers, halves, index.path("n00000", f"n{k:05d}")).collect()}
+        same = (1 + (1 - 2 * flip) ** k) / 4
+        assert law["0", "0"] == pytest.approx(same, abs=1e-12) and law["0", "1"] == pytest.approx(0.5 - same, abs=1e-12)
+    assert errors.knockout_bridge(near.select("u", "v", F.lit(1.0).alias("i")).limit(1), index, "n00000", "n00001") is None
+
+
+def test_implied_laws_of_blocks(spark, monkeypatch):
+    """Pieces dealt out as pairs of blocks give the laws of the products along paths."""
+    from arborinfo.operators import model
+
+    monkeypatch.setattr(model, "BLOCK_STATES", 12)
+    rng = np.random.default_rng(9)
+    edges = random_tree(rng, 23)
+    index = TreeIndex(edges)
+    k = {x: int(rng.integers(2, 5)) for x in index.name}
+    law = {index.name[0]: rng.dirichlet(np.ones(k[index.name[0]]))}
+    rows = []
+    for u, v, _ in index.away_from(index.name[0]):
+        t = rng.dirichlet(np.ones(k[v]), k[u])
+        law[v] = law[u] @ t
+        back = (law[u][:, None] * t / law[v]).T
+        for a, b, m in ((u, v, t), (v, u, back)):
+            rows += [(a, b, f"s{x}", f"s{y}", float(m[x, y])) for x in range(k[a]) for y in range(k[b])]
+    step = {(a, b): np.zeros((k[a], k[b])) for a, b, *_ in rows}
+    for a, b, x, y, p in rows:
+        step[a, b][int(x[1:]), int(y[1:])] = p
+    transfers = spark.createDataFrame(rows, "u string, v string, xu string, xv string, p double")
+    nodes = spark.createDataFrame([(x, f"s{j}", float(p)) for x, ps in law.items() for j, p in enumerate(ps)], "var string, state string, p double")
+    tables = model.centre_tables(transfers, nodes, index)
+    got = {}
+    for r in model.implied_joints(tables).collect():
+        assert (r["u"], r["v"], r["xu"], r["xv"]) not in got
+        got[r["u"], r["v"], r["xu"], r["xv"]] = r["p"]
+    sums = {(r["u"], r["v"]): r["s_uv"] for r in model.implied_entropies(tables).collect()}
+    assert len(sums) == 23 * 22 // 2
+    wanted = [(a, b) for a in index.name[::3] for b in index.name if a != b]
+    given_u = {(r["u"], r["v"], r["xu"], r["xv"]): r["p"] for r in model.implied_conditionals(tables, index, wanted).collect()}
+    for u in index.name:
+        for v in index.name:
+            if u < v:
+                m = np.diag(law[u])
+                path = index.path(u, v)
+                for a, b in zip(path, path[1:]):
+                    m = m @ step[a, b]
+                assert sums[u, v] == pytest.approx(-(m * np.log(m)).sum(), abs=1e-10)
+                for x, y in np.ndindex(*m.shape):
+                    assert got[u, v, f"s{x}", f"s{y}"] == pytest.approx(m[x, y], abs=1e-12)
+                    if (u, v) in wanted:
+                        assert given_u[u, v, f"s{x}", f"s{y}"] == pytest.approx(m[x, y] / law[u][x], abs=1e-10)
