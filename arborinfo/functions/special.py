@@ -109,9 +109,13 @@ def bessel_ratio(x: str) -> str:
     return f"(CASE WHEN ({x}) < {number(BESSEL_SPLIT)} THEN {small} ELSE {large} END)"
 
 
+#: Coefficients of A(x) in 1/x for x >= 10 (error below 1e-7 at 10, far less above).
+BESSEL_RATIO = _quotient(_bessel_tail(1, 12), _bessel_tail(0, 12))
+
+
 def bessel_ratio_large(x: str) -> str:
-    """A(x) for x >= 10 as one series in 1/x (error below 1e-7 at 10, far less above)."""
-    return horner(f"(1D / ({x}))", _quotient(_bessel_tail(1, 12), _bessel_tail(0, 12)))
+    """A(x) for x >= 10 as one series in 1/x."""
+    return horner(f"(1D / ({x}))", BESSEL_RATIO)
 
 
 def xlogx(x: str) -> str:

@@ -48,6 +48,15 @@ def remove_written(spark: SparkSession) -> None:
     _written.clear()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, deleted as the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/arborinfo/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(remove_written, spark)
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -55,11 +64,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     its size is known to the optimizer, so joins against it are planned by real size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/arborinfo/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(remove_written, spark)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,15 +5,14 @@ Arrow batches into matrices, works with the (small, driver-held) parameters and
 partial sum per residue and component, which Spark adds up. Responsibilities are never stored.
 A log-density is linear in cos(theta) and sin(theta), so an E-step is two matrix products.
 
-Parameters have a size of residues x components x features, whatever the number of frames.
-They are shipped to tasks in groups of residues of at most ``PARAMETER_BUDGET`` bytes; lay the
+Parameters have a size of residues x components x features, whatever the number of frames. The fit keeps
+them in a table (``em``); for single passes they are shipped to tasks in groups of residues of at most ``PARAMETER_BUDGET`` bytes; lay the
 angles out by residue (``by_residue``) so that each group reads only its own files.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -31,7 +30,7 @@ from arborinfo.functions.circular import (
 )
 from arborinfo.functions.rng import uniform_array
 from arborinfo.functions.special import log_i0
-from arborinfo.lineage import broadcast, local_table, shared_dir
+from arborinfo.lineage import broadcast, local_table, scratch_path
 
 PARAMETER_BUDGET = 64 << 20
 # The first 15 of 28 features (bond angles and the peptide torsion) start tight.
@@ -84,7 +83,7 @@ def by_residue(angles: DataFrame) -> DataFrame:
     as many files as its size asks for.
     """
     spark = angles.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/arborinfo/angles-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "angles")
     rows = angles.select("frame", "theta", "residue")
     rows.hint("rebalance", "residue").write.partitionBy("residue").parquet(path)
     return spark.read.schema(rows.schema).parquet(path).select("residue", "frame", "theta")
@@ -107,12 +106,14 @@ def residue_batches(batches, known):
 
 def as_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema
+        [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema
     )
 
 
-def double_lists(rows: np.ndarray):
-    return list(np.ascontiguousarray(rows))
+def double_lists(rows: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists over one flat array."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
 SUMS = pa.schema(
@@ -379,48 +380,6 @@ def by_group(angles: DataFrame, mixtures: dict[int, Mixture], run, extra: int =
     return reduce(DataFrame.unionByName, parts)
 
 
-@dataclass
-class Fit:
-    mixtures: dict[int, Mixture]
-    trace: list[dict]
-    converged: dict[int, bool]
-
-
-def fit_mixtures(
-    angles: DataFrame, start: dict[int, Mixture], atol: float = 1e-2, max_iter: int = 100,
-    on_iteration=None,
-) -> Fit:
-    """Expectation-maximization from ``start`` until each residue's mean log-likelihood moves
-    by less than ``atol``.
-
-    Converged residues are filtered out of the next pass. The likelihood recorded for an
-    iteration belongs to the parameters it started from.
-    """
-    mixtures, trace = dict(start), []
-    converged = {r: False for r in start}
-    for group in parameter_groups(start):
-        active, last = list(group), {}
-        masks = {r: start[r].mask for r in group}
-        for iteration in range(max_iter):
-            rows = angles.filter(F.col("residue").isin(active))
-            sums = expectation_sums(rows, {r: mixtures[r] for r in active})
-            new, likelihood = collect_mixtures(maximization(sums), masks)
-            for residue in active:
-                mixtures[residue] = new[residue]
-                done = residue in last and abs(likelihood[residue] - last[residue]) < atol
-                converged[residue] = done
-                trace.append(
-                    {"residue": residue, "iter": iteration, "ll": likelihood[residue], "converged": done}
-                )
-            last = likelihood
-            if on_iteration:
-                on_iteration(iteration, sum(converged.values()), len(converged))
-            active = [r for r in active if not converged[r]]
-            if not active:
-                break
-    return Fit({r: sort_mixture(m) for r, m in mixtures.items()}, trace, converged)
-
-
 def sort_mixture(m: Mixture) -> Mixture:
     """Components from most to least weight."""
     order = np.argsort(-m.logw, kind="stable")

@@ -61,7 +61,7 @@ def run_angles(spark, args, out: str) -> None:
     )
     timed("Saved results", save_tree)(run.tree, out)
     save_clustering(run, out)
-    save_mixtures(spark, run.fit, out)
+    save_mixtures(run.fit, out)
     if args.draw:
         draw_tree(run.tree, topology.to_single_chain(frame0, residues), f"{out}/drawing")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborinfo.lineage import materialize
-from arborinfo.operators import cluster, mixture
+from arborinfo.operators import cluster, em, mixture
 from arborinfo.operators.logits import logits_to_states
 from arborinfo.plans.tree import InformationTree
 
@@ -36,7 +36,7 @@ def timed(message: str, func, report=log.info):
 class AngleFit:
     """What a run over angles leaves: parameters, clustering, states and tree."""
 
-    fit: mixture.Fit
+    fit: em.Fit
     params: DataFrame
     overlap: DataFrame
     distances: DataFrame
@@ -71,7 +71,7 @@ def fit_angles(
         angles, feature_masks, components, seed
     )
     report = lambda i, done, total: log.info("Iteration %d: %d of %d residues converged.", i, done, total)
-    fit = timed("Fitted mixtures", mixture.fit_mixtures)(angles, begin, atol, max_iter, report)
+    fit = timed("Fitted mixtures", em.fit_mixtures)(angles, begin, atol, max_iter, report)
     overlap = materialize(cluster.component_overlap(angles, fit.mixtures), "overlap")
     distances = materialize(cluster.component_distances(overlap), "distances")
     eps = materialize(cluster.eps_of_spread(distances, spread), "eps")
@@ -82,7 +82,7 @@ def fit_angles(
     )
     states = materialize(cluster.assign_states(angles, fit.mixtures, membership), "states")
     return AngleFit(
-        fit, mixture.mixtures_table(angles.sparkSession, fit.mixtures), overlap, distances, eps,
+        fit, em.parameter_table(fit.table.state), overlap, distances, eps,
         membership, states,
         tree_of_states(
             states, labels or {r: str(r) for r in feature_masks}, prior=prior, estimator=estimator

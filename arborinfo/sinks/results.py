@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborinfo.lineage import local_table
-from arborinfo.operators import mixture
+from arborinfo.operators import em
 from arborinfo.plans.fit import AngleFit
 from arborinfo.plans.tree import InformationTree
 
@@ -58,12 +56,7 @@ def save_clustering(run: AngleFit, path: str, mode: str = "errorifexists") -> No
         getattr(run, name).write.mode(mode).parquet(f"{path}/clustering/{name}")
 
 
-TRACE = pa.schema(
-    [("residue", pa.int32()), ("iter", pa.int32()), ("ll", pa.float64()), ("converged", pa.bool_())]
-)
-
-
-def save_mixtures(spark, fit: mixture.Fit, path: str, mode: str = "errorifexists") -> None:
+def save_mixtures(fit: em.Fit, path: str, mode: str = "errorifexists") -> None:
     """Write mixture parameters and the trace of their fit; responsibilities follow from them."""
-    mixture.mixtures_table(spark, fit.mixtures).write.mode(mode).parquet(f"{path}/mixtures/params")
-    local_table(spark, fit.trace, TRACE).write.mode(mode).parquet(f"{path}/mixtures/trace")
+    em.parameter_table(fit.table.state).write.mode(mode).parquet(f"{path}/mixtures/params")
+    fit.table.trace.write.mode(mode).parquet(f"{path}/mixtures/trace")

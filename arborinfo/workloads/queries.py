@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +10,9 @@ from pyspark.sql import functions as F
 from arborinfo.functions import circular, entropy, vec3
 from arborinfo.functions.entropy import PRIORS
 from arborinfo.functions.special import bessel_ratio, digamma, lgamma, log_i0, trigamma
-from arborinfo.lineage import materialize, shared_dir
+from arborinfo.lineage import materialize, scratch_path
 from arborinfo.operators import (
-    cluster, dwell, geometry, information, logits, mixture, pairs, spanning, topology,
+    cluster, dwell, em, geometry, information, logits, mixture, pairs, spanning, topology,
 )
 from arborinfo.plans.fit import fit_angles, fit_logits
 from arborinfo.plans.tree import InformationTree
@@ -174,7 +173,7 @@ def streamed_pair_counts(spark, sf_dir):
         "pathGlobFilter", "lineitem.parquet"
     ).parquet(sf_dir)
     names = ["l_linestatus", "l_returnflag", "l_discount", "l_linenumber"]
-    folder = f"{shared_dir(spark).rstrip('/')}/arborinfo/stream-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "stream")
     schema = "u string, v string, xu string, xv string, n long, batch long"
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -308,7 +307,7 @@ def change_prior(spark, sf_dir):
 @query
 def saved_tree_summary(spark, sf_dir):
     """Written out, read back and asked again; the names are residues of a first chain."""
-    folder = f"{shared_dir(spark).rstrip('/')}/arborinfo/saved-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "saved")
     names = dict(zip(VARIABLES, given.RESIDUE_NAMES))
     rows = given.wide_rows(spark, sf_dir).withColumnsRenamed(names)
     save_tree(InformationTree.from_columns(rows, given.RESIDUE_NAMES), folder, attributes={"source": "items"})
@@ -517,11 +516,8 @@ def mixture_divergence(spark, sf_dir):
 @query
 def mixture_fit_trace(spark, sf_dir):
     angle_rows = mixture.by_residue(given.angles(spark, sf_dir))
-    fit = mixture.fit_mixtures(angle_rows, given.label_mixtures(spark, sf_dir))
-    from arborinfo.sinks.results import TRACE
-    from arborinfo.lineage import local_table
-
-    return local_table(spark, fit.trace, TRACE)
+    fit = em.fit_mixtures(angle_rows, given.label_mixtures(spark, sf_dir))
+    return fit.table.trace.select("residue", "iter", "ll", "converged")
 
 
 @query

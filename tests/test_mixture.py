@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from arborinfo.operators import cluster, mixture
+from arborinfo.operators import cluster, em, mixture
 from arborinfo.plans.fit import fit_angles
 from tests import brute
 
@@ -46,7 +46,7 @@ def start(angles):
 
 @pytest.fixture(scope="module")
 def fit(angles, start):
-    return mixture.fit_mixtures(angles, start, atol=1e-3)
+    return em.fit_mixtures(angles, start, atol=1e-3)
 
 
 def log_density(theta, m):
@@ -124,7 +124,7 @@ def test_likelihood_never_falls(fit):
 
 
 def test_warm_start_is_already_there(angles, fit):
-    again = mixture.fit_mixtures(angles, fit.mixtures, atol=1e-2)
+    again = em.fit_mixtures(angles, fit.mixtures, atol=1e-2)
     assert max(r["iter"] for r in again.trace) == 1
 
 
@@ -134,9 +134,9 @@ def test_parameter_groups_hold_everything(start, monkeypatch):
 
 
 def test_fit_in_groups_is_the_same(angles, start, monkeypatch):
-    whole = mixture.fit_mixtures(angles, start, max_iter=2)
+    whole = em.fit_mixtures(angles, start, max_iter=2)
     monkeypatch.setattr(mixture, "PARAMETER_BUDGET", 1)
-    parts = mixture.fit_mixtures(angles, start, max_iter=2)
+    parts = em.fit_mixtures(angles, start, max_iter=2)
     for r in start:
         assert np.allclose(whole.mixtures[r].mu, parts.mixtures[r].mu, atol=1e-9)
 
@@ -283,3 +283,56 @@ def test_cases_cluster_as_single_clusterings_do(spark):
         many = cluster.states_of_cases(distances, cases, mass).filter("key = 3")
         rows = lambda df: {tuple(r) for r in df.select("comp", "state", "is_noise").collect()}
         assert rows(one) == rows(many)
+
+
+def test_fit_on_tables_is_plain_em(angles, start, theta, monkeypatch):
+    """Three iterations over slots of few frames, against the same by hand."""
+    monkeypatch.setattr(em, "SLOT_FRAMES", 400)
+    monkeypatch.setattr(em, "BLOCK_FRAMES", 64)
+    fit = em.fit_mixtures(angles, start, atol=0.0, max_iter=3)
+    assert fit.table.unconverged == 3 and len(fit.trace) == 9
+    for r, m in start.items():
+        for k in range(3):
+            log = log_density(theta[r], m) + m.logw
+            top = log.max(axis=1)
+            norm = m.logw.max() + np.log(np.exp(m.logw - m.logw.max()).sum())
+            ll = (top + np.log(np.exp(log - top[:, None]).sum(axis=1))).mean() - norm
+            assert fit.trace[3 * r + k]["ll"] == pytest.approx(ll, abs=1e-9)
+            p = softmax(log)
+            z, w = p.T @ np.exp(1j * theta[r]), p.sum(axis=0)
+            m = mixture.Mixture(np.angle(z), em.concentrations(np.abs(z) / w[:, None]), np.log(w / w.max()), m.mask)
+        m = mixture.sort_mixture(m)
+        assert np.allclose(np.exp(1j * fit.mixtures[r].mu), np.exp(1j * m.mu), atol=1e-9)
+        assert np.allclose(fit.mixtures[r].kappa, m.kappa, rtol=1e-9)
+    table = em.parameter_table(fit.table.state)
+    back = mixture.mixtures_of_table(table)
+    assert all(np.array_equal(back[r].mu, fit.mixtures[r].mu) and np.array_equal(back[r].logw, fit.mixtures[r].logw) for r in start)
+
+
+def test_concentrations_are_those_of_the_expression(spark):
+    from arborinfo.functions.circular import kappa_of_resultant
+
+    length = np.concatenate([np.linspace(0, 1, 301), [0.99999]])
+    rows = kappa_of_resultant(spark.createDataFrame([(float(x),) for x in length], "r double"), "r", "kappa").toPandas()
+    assert np.allclose(rows["kappa"], em.concentrations(length), rtol=1e-12)
+
+
+def test_fit_of_many_residues_and_of_none(spark, caplog):
+    """2,000 residues, two of them without frames: nothing but counts comes back during the fit."""
+    n = 2000
+    rows = spark.range(n * 6).select(
+        (F.col("id") % n).cast("int").alias("residue"), F.floor(F.col("id") / n).alias("frame"),
+        F.array(F.sin(F.col("id") * 1.7) * 3, F.cos(F.col("id") * 0.9) * 3).alias("theta"),
+    )
+    one = mixture.Mixture(np.array([[0.0, 1.0], [2.0, -1.0]]), np.full((2, 2), 20.0), np.log([0.5, 0.5]), np.array([True, True]))
+    state = em.state_of(spark, {0: one}).drop("residue").crossJoin(spark.range(n + 2).select(F.col("id").cast("int").alias("residue")))
+    calls = []
+    fit = em.fit_state(rows, state.select(em.STATE.names), atol=0.0, max_iter=2, on_iteration=lambda *x: calls.append(x))
+    assert fit.state.count() == n + 2 and calls[-1] == (1, 2, n + 2) and fit.unconverged == n
+    assert fit.trace.groupBy("iter").count().count() == 2 + 1  # rows without frames keep -1
+    again = em.fit_state(rows.filter("residue = 3"), state.filter("residue = 3").select(em.STATE.names), atol=0.0, max_iter=2)
+    pick = lambda f: f.state.filter("residue = 3").head()
+    assert pick(again)["ll"] == pytest.approx(pick(fit)["ll"], abs=1e-12)
+    assert "have not converged" in caplog.text
+    none = em.fit_state(rows.limit(0), state.limit(0).select(em.STATE.names))
+    assert none.state.count() == 0 and none.trace.count() == 0
