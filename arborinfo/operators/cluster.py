@@ -165,18 +165,22 @@ def states_of_cases(distances: DataFrame, cases: DataFrame, min_mass: float = MI
 
     ``cases`` (residue, key, eps, i, w) has the neighbourhood size and the weights of each
     clustering. A group is one residue: its distances are a matrix of components by components and
-    its cases rows of weights, whatever the number of frames.
+    its cases rows of weights, whatever the number of frames. Cases of the same weights are cuts of one
+    ``Linkage``, at their sizes.
     """
 
     def cluster(matrix, parts):
         k = int(parts["i"].max()) + 1
         d = np.full((k, k), np.inf)
         d[matrix["i"], matrix["j"]] = matrix["d"]
-        out = []
+        out, linkages = [], {}
         for key, part in parts.groupby("key"):
             w = np.zeros(k)
             w[part["i"]] = part["w"]
-            state, noise = clustered(d, float(part["eps"].iloc[0]), w, min_mass)
+            linkage = linkages.get(w.tobytes())
+            if linkage is None:
+                linkage = linkages[w.tobytes()] = Linkage(d, w, min_mass)
+            state, noise = linkage.cut(float(part["eps"].iloc[0]))
             ids = part["i"].to_numpy()
             out.append(pd.DataFrame({
                 "residue": part["residue"].to_numpy(), "key": key, "comp": ids, "state": state[ids],
@@ -195,27 +199,66 @@ def states_of_cases(distances: DataFrame, cases: DataFrame, min_mass: float = MI
     )
 
 
-def clustered(d: np.ndarray, eps: float, w: np.ndarray, min_mass: float) -> tuple[np.ndarray, np.ndarray]:
-    """(state, is_noise) of each component, from its distances and weights."""
-    k = len(w)
-    near = d <= eps
-    core = near @ w >= min_mass
-    label = np.where(core, np.arange(k), k)
-    linked = near & core[:, None] & core[None, :]
-    while True:
-        low = np.minimum(label, np.where(linked, label[None, :], k).min(axis=1, initial=k))
-        if (low == label).all():
-            break
-        label = low
-    reach = np.where(near & core[None, :], d, np.inf)
-    nearest = reach.argmin(axis=1)
-    border = ~core & np.isfinite(reach.min(axis=1))
-    label[border] = label[nearest[border]]
-    noise = label == k
-    mass = np.bincount(label, w, k + 1)[:k]
-    found = np.unique(label[~noise])
-    rank = {int(c): n for n, c in enumerate(sorted(found.tolist(), key=lambda c: (-mass[c], c)))}
-    return np.array([k - 1 if x == k else rank[int(x)] for x in label]), noise
+class Linkage:
+    """All density clusterings of one set of components, whatever the neighbourhood size.
+
+    A component is a core from its core distance on: the radius in which it has ``min_mass``. Two cores are
+    neighbours from the largest of their distance and both core distances on, so the states of all sizes are
+    the cuts of one single-linkage tree over these mutual distances.
+    """
+
+    def __init__(self, d: np.ndarray, w: np.ndarray, min_mass: float):
+        self.d, self.w = d, w
+        k = len(w)
+        order = np.argsort(d, axis=1, kind="stable")
+        near = np.take_along_axis(d, order, axis=1)
+        enough = np.cumsum(w[order], axis=1) >= min_mass
+        self.core_distance = np.where(enough.any(axis=1), near[np.arange(k), enough.argmax(axis=1)], np.inf)
+        mutual = np.maximum(np.maximum(d, self.core_distance[:, None]), self.core_distance[None, :])
+        self.heights, merges = self._spanning(mutual)
+        # Labels after 0, 1, 2, ... merges: the lowest member of each part.
+        self.labels = np.empty((len(merges) + 1, k), np.int64)
+        self.labels[0] = np.arange(k)
+        for m, (a, b) in enumerate(merges):
+            now = self.labels[m].copy()
+            low, high = sorted((now[a], now[b]))
+            now[now == high] = low
+            self.labels[m + 1] = now
+
+    @staticmethod
+    def _spanning(mutual: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Heights and ends of the minimum spanning tree's edges, lowest first; infinite ones left out."""
+        k = len(mutual)
+        best, source = mutual[0].copy(), np.zeros(k, np.int64)
+        free = np.ones(k, bool)
+        free[0] = False
+        edges = []
+        for _ in range(k - 1):
+            at = int(np.where(free, best, np.inf).argmin()) if free.any() else 0
+            if not free[at]:  # all that is left is infinitely far
+                at = int(free.argmax())
+            edges.append((best[at], int(source[at]), at))
+            free[at] = False
+            nearer = free & (mutual[at] < best)
+            best[nearer], source[nearer] = mutual[at][nearer], at
+        edges = sorted(e for e in edges if np.isfinite(e[0]))
+        return np.array([e[0] for e in edges]), [e[1:] for e in edges]
+
+    def cut(self, eps: float) -> tuple[np.ndarray, np.ndarray]:
+        """(state, is_noise) of each component at the neighbourhood size ``eps``."""
+        k = len(self.w)
+        core = self.core_distance <= eps
+        label = np.where(core, self.labels[np.searchsorted(self.heights, eps, "right")], k)
+        rest = np.flatnonzero(~core)
+        reach = np.where((self.d[rest] <= eps) & core, self.d[rest], np.inf)
+        border = np.isfinite(reach).any(axis=1)
+        label[rest[border]] = label[reach[border].argmin(axis=1)]
+        noise = label == k
+        mass = np.bincount(label, self.w, k + 1)[:k]
+        found = np.unique(label[~noise])
+        rank = np.full(k + 1, k - 1)
+        rank[found[np.lexsort((found, -mass[found]))]] = np.arange(len(found))
+        return rank[label], noise
 
 
 def state_weights(membership: DataFrame, by: list[str]) -> DataFrame:

@@ -336,3 +336,21 @@ def test_fit_of_many_residues_and_of_none(spark, caplog):
     assert "have not converged" in caplog.text
     none = em.fit_state(rows.limit(0), state.limit(0).select(em.STATE.names))
     assert none.state.count() == 0 and none.trace.count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cuts_of_one_linkage_are_all_clusterings(seed):
+    rng = np.random.default_rng(seed)
+    k = int(rng.integers(1, 30))
+    d = np.round(rng.random((k, k)), 1 + seed % 2)  # many ties
+    d = np.minimum(d, d.T)
+    np.fill_diagonal(d, 0.0)
+    w = rng.dirichlet(np.ones(k) * 0.5)
+    for mass in (0.01, 0.1, 0.3, 2.0):
+        linkage = cluster.Linkage(d, w, mass)
+        for eps in (-0.1, 0.0, *np.linspace(0.03, 1.1, 40)):
+            state, noise = linkage.cut(eps)
+            assert list(state) == brute.dbscan(d, w, eps, mass), (mass, eps)
+            near = d <= eps
+            core = near @ w >= mass
+            assert (noise == ~(core | (near & core).any(axis=1))).all()
