@@ -19,12 +19,13 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name, text in (("angles", "from a trajectory"), ("logits", "from sampler scores")):
         s = sub.add_parser(name, help=text)
-        s.add_argument("-t", "--trajectory", required=True, help="Parquet atoms or PDB file or folder; Parquet scores for logits")
+        s.add_argument("-t", "--trajectory", required=True, help="Parquet atoms, PDB or DCD file or folder; Parquet scores for logits")
         s.add_argument("-o", "--output_prefix", required=True)
         s.add_argument("--seed", type=int, default=0)
         s.add_argument("--prior", choices=PRIORS, default="haldane")
         s.add_argument("--master", default=None, help="Spark master; spark-submit decides by default")
         if name == "angles":
+            s.add_argument("-p", "--topology", help="PDB file with the atoms of a DCD trajectory")
             s.add_argument("--stride", type=int, default=1)
             s.add_argument("--min_mass", type=float, default=0.01)
             s.add_argument("--components", type=int, default=100)
@@ -32,22 +33,37 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def holds_text(spark, path: str) -> bool:
-    """Whether ``path`` is a PDB file or a folder of them; anything else is read as Parquet."""
-    if path.endswith((".pdb", ".parquet")):
-        return path.endswith(".pdb")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdb").load(path)
+def holds(spark, path: str, kind: str) -> bool:
+    """Whether ``path`` is a file of this kind (its ending) or a folder with such files."""
+    if path.endswith((".pdb", ".dcd", ".parquet")):
+        return path.endswith(kind)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{kind}").load(path)
     return not files.select("path").isEmpty()
 
 
+def holds_text(spark, path: str) -> bool:
+    """Whether ``path`` is a PDB file or a folder of them; what is neither text nor binary is read as Parquet."""
+    return holds(spark, path, ".pdb")
+
+
+def read_trajectory(spark, path: str, topology_path: str | None, stride: int):
+    """Atoms of a trajectory of any known format."""
+    from arborinfo.sources.dcd import read_dcd
+    from arborinfo.sources.trajectory import read_atoms, read_pdb
+
+    if holds(spark, path, ".dcd"):
+        if not topology_path:
+            raise ValueError("a DCD trajectory needs the PDB file of its atoms")
+        first = read_pdb(spark, topology_path, protein_only=False).filter("frame = 0")
+        return read_dcd(spark, path, first, stride=stride)
+    return (read_pdb if holds_text(spark, path) else read_atoms)(spark, path, stride=stride, superpose=False)
+
+
 def run_angles(spark, args, out: str) -> None:
     from arborinfo.sinks.drawing import draw_tree
     from arborinfo.sinks.results import save_clustering, save_mixtures, save_tree
-    from arborinfo.sources.trajectory import read_atoms, read_pdb
 
-    atoms = (read_pdb if holds_text(spark, args.trajectory) else read_atoms)(
-        spark, args.trajectory, stride=args.stride, superpose=False
-    )
+    atoms = read_trajectory(spark, args.trajectory, args.topology, args.stride)
     first = atoms.agg(F.min("frame")).first()[0]
     frame0 = materialize(atoms.filter(F.col("frame") == first), "topology")
     residues = materialize(topology.residue_numbers(frame0), "residues")
