@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from arborinfo.functions.entropy import plugin_entropy
-from arborinfo.functions.rng import uniform
-from arborinfo.functions.special import number, quoted
+from arborinfo.functions.rng import uniform_array
 from arborinfo.lineage import broadcast, local_table, materialize, settle, ship_package
 from arborinfo.operators.pairs import text
 from arborinfo.operators.tree_index import TreeIndex
@@ -466,30 +466,101 @@ def sample(
     order: list[tuple[str, str]],
     root: str,
     seed: int,
+    table_rows: int = TABLE_ROWS,
 ) -> DataFrame:
     """Ancestral samples: one column per variable for each ``id`` of ``ids``.
 
-    Draws depend on (seed, id, variable) only, never on partitioning or order. A child's state
-    is an equi-join on its parent's state with the interval its uniform number falls into.
+    Draws depend on (seed, id, variable) only, never on partitioning or order. The cumulated
+    conditionals of all edges are shipped, up to ``table_rows`` rows, and the ids pass once, in Arrow
+    batches: a uniform number is looked up among the states that follow the parent's. Larger tables
+    are joined edge by edge. Ids of other types than whole numbers are hashed; a null one draws as 0.
     """
-    start = state_intervals(node_probabilities.filter(F.col("var") == root), ["var"], "state")
-    # The states of one variable: few enough to stand in the plan as literals.
-    first = " ".join(
-        f"WHEN _z < {number(r['hi'])} THEN {quoted(r['state'])}"
-        for r in start.orderBy("hi").collect()
+    kind = ids.schema["id"].dataType
+    whole = kind.typeName() in ("byte", "short", "integer", "long")
+    keyed = ids.select("id", (F.col("id").cast("long") if whole else F.xxhash64("id")).alias("_k"))
+    keys = [f"{u}\x00{v}" for u, v in order]
+    steps = transfers.filter(F.concat_ws("\x00", "u", "v").isin(keys)).select("u", "v", "xu", "xv", "p")
+    start = node_probabilities.filter(F.col("var") == root).select("state", "p")
+    head, first = steps.limit(table_rows + 1).toArrow(), start.limit(table_rows + 1).toArrow()
+    if head.num_rows + first.num_rows > table_rows:
+        return joined_sample(keyed, steps, start, order, root, seed)
+    rows: dict[tuple[str, str], dict[str, list]] = {edge: {} for edge in order}
+    for u, v, xu, xv, p in zip(*(head.column(c).to_pylist() for c in ("u", "v", "xu", "xv", "p"))):
+        rows[u, v].setdefault(xu, []).append((xv, p))
+    begin = cumulated(list(zip(first.column("state").to_pylist(), first.column("p").to_pylist())))
+    shared = broadcast(
+        ids.sparkSession, (begin, {edge: {x: cumulated(ys) for x, ys in of.items()} for edge, of in rows.items()})
     )
-    out = ids.select("id", uniform(seed, F.col("id"), root).alias("_z"))
-    out = out.select("id", F.expr(f"CASE {first} END").alias(root))
-    steps = settle(state_intervals(transfers, ["u", "v", "xu"], "xv"), "intervals")
-    for i, (u, v) in enumerate(order):
-        step = steps.filter((F.col("u") == u) & (F.col("v") == v)).select(
-            F.col("xu").alias("_x"), F.col("xv").alias("_y"), "lo", "hi"
-        )
-        out = out.withColumn("_z", uniform(seed, F.col("id"), v)).join(
-            step,
-            (F.col(f"`{u}`") == F.col("_x")) & (F.col("_z") >= F.col("lo")) & (F.col("_z") < F.col("hi")),
-        )
-        out = out.withColumnRenamed("_y", v).drop("_x", "_z", "lo", "hi")
-        if (i + 1) % EDGE_BLOCK == 0:
-            out = materialize(out, "samples")
-    return out
+    variables = [root, *[v for _, v in order]]
+    schema = StructType([ids.schema["id"], *[StructField(v, StringType()) for v in variables]])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, tables = shared.value
+        for batch in batches:
+            numbers = batch.column(1).fill_null(0).to_numpy()
+            states = {root: drawn(begin, uniform_array(seed, salt_of(root), numbers))}
+            for u, v in order:
+                z = uniform_array(seed, salt_of(v), numbers)
+                out = np.empty(len(z), object)
+                for x in set(states[u]):
+                    at = states[u] == x
+                    out[at] = drawn(tables[u, v][x], z[at])
+                states[v] = out
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(states[v], pa.string()) for v in variables]], names=["id", *variables]
+            )
+
+    return keyed.mapInArrow(draw, schema)
+
+
+def salt_of(variable: str) -> int:
+    return zlib.crc32(variable.encode())
+
+
+def cumulated(law: list[tuple[str, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """States in order and where the interval of each ends; the last one is open."""
+    law = sorted(law)
+    ends = np.cumsum([p for _, p in law])
+    ends[-1:] = 2.0
+    return np.array([x for x, _ in law], object), ends
+
+
+def drawn(law: tuple[np.ndarray, np.ndarray], z: np.ndarray) -> np.ndarray:
+    return law[0][np.searchsorted(law[1], z, "right")]
+
+
+def joined_sample(keyed: DataFrame, steps: DataFrame, start: DataFrame, order, root: str, seed: int) -> DataFrame:
+    """The same by one equi-join per edge, against tables that Spark ships or shuffles by size."""
+    steps = settle(state_intervals(steps, ["u", "v", "xu"], "xv"), "intervals").withColumnsRenamed({"xu": "_x", "xv": "_y"})
+    start = state_intervals(start.withColumn("var", F.lit(root)), ["var"], "state")
+    names = ["id", "_k"]
+
+    def numbered(rows: DataFrame, variables: list[str]) -> DataFrame:
+        """``rows`` with the uniform numbers of ``variables``."""
+        columns = rows.columns
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(columns.index("_k")).fill_null(0).to_numpy()
+                z = [pa.array(uniform_array(seed, salt_of(v), ids)) for v in variables]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *z], names=[*columns, *[f"_z{v}" for v in variables]])
+
+        more = [StructField(f"_z{v}", DoubleType()) for v in variables]
+        return rows.mapInArrow(add, StructType([*rows.schema.fields, *more]))
+
+    within = lambda v: (F.col(f"`_z{v}`") >= F.col("lo")) & (F.col(f"`_z{v}`") < F.col("hi"))
+    ship_package(keyed.sparkSession)
+    first = start.select(F.lit(0).alias("_one"), F.col("state").alias(root), "lo", "hi")
+    out = numbered(keyed, [root]).withColumn("_one", F.lit(0)).join(F.broadcast(first), "_one")
+    out = out.filter(within(root)).select(*names, F.col(f"`{root}`"))
+    names.append(f"`{root}`")
+    for low in range(0, len(order), EDGE_BLOCK):
+        block = order[low : low + EDGE_BLOCK]
+        out = numbered(out, [v for _, v in block])
+        for u, v in block:
+            step = steps.filter((F.col("u") == u) & (F.col("v") == v)).select("_x", "_y", "lo", "hi")
+            out = out.join(step, (F.col(f"`{u}`") == F.col("_x")) & within(v))
+            out = out.withColumnRenamed("_y", v).drop("_x", "lo", "hi")
+            names.append(f"`{v}`")
+        out = materialize(out.select(*names), "samples")
+    return out.drop("_k")

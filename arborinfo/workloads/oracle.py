@@ -7,8 +7,12 @@ property, leave-outs and knock-outs are fitted from scratch, paths are walked st
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
+import numpy as np
+
+from arborinfo.functions.rng import mix64
 from arborinfo.workloads.queries import PATH_ENDS, SEED, SUBSET, SWEEP
 from arborinfo.workloads.stand_ins import COMPONENTS, FEATURES, MANY, RESIDUES, VARIABLES
 
@@ -407,9 +411,23 @@ ORACLE["log_probability_with_nulls"] = ORACLE["log_probability"].replace(
 ).removesuffix("GROUP BY o_orderpriority") + "GROUP BY l_linenumber"
 
 
+_WORD = "18446744073709551615::UHUGEINT"
+
+
+def mixed(x: str) -> str:
+    """The finalizer of the keyed generator on a 64-bit value, in 128-bit arithmetic; fixed values."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        # The lambda keeps the value from being written twice.
+        x = f"list_transform([{x}], lambda y: xor(y, y >> {shift}) * {factor}::UHUGEINT & {_WORD})[1]"
+    return f"list_transform([{x}], lambda y: xor(y, y >> 31))[1]"
+
+
 def draw(var: str) -> str:
-    key = f"'{SEED}|' || CAST(id AS VARCHAR) || '|' || {var}"
-    return f"(CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT)::DOUBLE / {float(16 ** 13)})"
+    """A number in (0, 1] for ``id`` and a variable, as the samples draw it."""
+    base = lambda v: int(mix64(mix64(np.array([SEED], np.uint64)) ^ mix64(np.array([zlib.crc32(v.encode()) + 1], np.uint64)))[0])
+    keys = " ".join(f"WHEN '{v}' THEN {base(v)}::UHUGEINT" for v in VARIABLES)
+    start = f"(xor(id::UHUGEINT, CASE {var} {keys} END) + {0x9E3779B97F4A7C15}::UHUGEINT) & {_WORD}"
+    return f"(({mixed(start)} >> 11)::DOUBLE + 1) / {float(2**53)}"
 
 
 # Level by level: each sample holds (id, var, state) rows, a child's state follows its parent's.

@@ -228,6 +228,20 @@ def test_sampled_marginals(tree):
     assert ((drawn["b"] == "1") & (drawn["c"] == "1")).mean() == pytest.approx(joint["1", "1"], abs=0.015)
 
 
+def test_samples_by_passing_and_by_joining_agree(tree, spark):
+    from arborinfo.operators import model
+
+    ids = spark.createDataFrame([(5, "x"), (-3, "y"), (None, "z"), (5, "w"), (10**12, "x")], "id long, a string")
+    root = tree.root()
+    args = (tree.transfers, tree.node_probabilities, tree.ordered_edges(root), root, 7)
+    key = lambda df: sorted(map(str, df.select("id", *NAMES).collect()))
+    passed = key(model.sample(ids, *args))
+    assert passed == key(model.sample(ids.repartition(3), *args, table_rows=1)) and len(passed) == 5
+    words = model.sample(ids.select(F.col("a").alias("id")), *args).orderBy("id").collect()
+    assert words[1] == words[2] and words[0].id == "w"
+    assert model.sample(ids.limit(0), *args).count() == 0
+
+
 def test_leave_one_out(tree, states):
     weights = brute.information(states)
     s = [brute.entropy(np.bincount(states[:, i])) for i in range(5)]
