@@ -99,8 +99,22 @@ def one_letter(resname):
     return F.coalesce(table[resname], refuse)
 
 
+# Residues of a chain that have no letter here: end groups and modified residues.
+WITHOUT_LETTER = (
+    "ACE", "AIB", "CME", "CSO", "FOR", "HYP", "KCX", "MLY", "MSE", "NH2", "NMA", "NME", "ORN", "PCA", "PTR", "PYL",
+    "SEC", "SEP", "TPO",
+)
+
+
 def select_protein(atoms: DataFrame) -> DataFrame:
-    return atoms.filter(F.col("resname").isin(*PROTEIN_NAMES))
+    """Atoms of amino acids; solvent, ions and ligands go.
+
+    Residues that are part of a chain but have no letter are refused: without them, residues
+    on either side would count as neighbours.
+    """
+    name = F.col("resname")
+    refuse = F.raise_error(F.concat(F.lit("residue without a letter: "), name)).cast("boolean")
+    return atoms.filter(F.when(name.isin(*PROTEIN_NAMES), True).when(name.isin(*WITHOUT_LETTER), refuse).otherwise(False))
 
 
 def select_alpha_carbons(atoms: DataFrame) -> DataFrame:

@@ -14,7 +14,10 @@ import numpy as np
 
 from arborinfo.functions.rng import mix64
 from arborinfo.workloads.queries import PATH_ENDS, SEED, SUBSET, SWEEP
-from arborinfo.workloads.stand_ins import COMPONENTS, FEATURES, MANY, RESIDUES, VARIABLES
+from arborinfo.workloads.stand_ins import (
+    COMPONENTS, FEATURES, LETTERS, MANY, PEPTIDE_RESIDUES, RESIDUES, SCORED, VARIABLES,
+)
+from arborinfo.workloads.stand_ins import POINTS as POINT_COUNT
 
 ORACLE: dict[str, str] = {}
 
@@ -537,15 +540,14 @@ ORACLE["implied_information_with_knockouts"] = items(
 
 # -- score arrays ------------------------------------------------------------------------------
 
-_ARG = lambda r: (
-    f"list_position(embedding[{10 * r + 1}:{10 * r + 10}], list_max(embedding[{10 * r + 1}:{10 * r + 10}])) - 1"
-)
+_SCORES = lambda r: f"list_transform(range({LETTERS}), lambda j: embedding[({LETTERS * r} + j) % len(embedding) + 1])"
+_ARG = lambda r: f"list_position({_SCORES(r)}, list_max({_SCORES(r)})) - 1"
 ORACLE["score_states"] = " UNION ALL ".join(
-    f"SELECT vec_id AS frame, '{r}' AS var, CAST({_ARG(r)} AS INTEGER) AS state FROM embeddings" for r in range(6)
+    f"SELECT vec_id AS frame, '{r}' AS var, CAST({_ARG(r)} AS INTEGER) AS state FROM embeddings" for r in range(SCORED)
 )
-_LETTERS = [f"r{r}" for r in range(6)]
+_LETTERS = [f"r{r}" for r in range(SCORED)]
 ORACLE["score_tree"] = (
-    "WITH RECURSIVE w AS (SELECT " + ", ".join(f"{_ARG(r)} AS r{r}" for r in range(6)) + " FROM embeddings), "
+    "WITH RECURSIVE w AS (SELECT " + ", ".join(f"{_ARG(r)} AS r{r}" for r in range(SCORED)) + " FROM embeddings), "
     + discrete("w", _LETTERS) + ", " + spanning()
     + f" SELECT substr(u, 2) AS u, substr(v, 2) AS v, {rnd('i')} AS i FROM mst"
 )
@@ -757,9 +759,10 @@ ORACLE["component_jackknife"] = (
 # -- geometry ----------------------------------------------------------------------------------
 
 POINTS = (
-    "g AS (SELECT unnest(range(21)) AS pos), "
-    "pts AS (SELECT vec_id AS frame, CAST(pos AS INTEGER) AS pos, embedding[3*pos + 1]::DOUBLE AS x,"
-    " embedding[3*pos + 2]::DOUBLE AS y, embedding[3*pos + 3]::DOUBLE AS z FROM embeddings, g)"
+    f"g AS (SELECT unnest(range({POINT_COUNT})) AS pos), "
+    "pts AS (SELECT vec_id AS frame, CAST(pos AS INTEGER) AS pos, "
+    + ", ".join(f"embedding[(3*pos + {k}) % len(embedding) + 1]::DOUBLE AS {c}" for k, c in enumerate("xyz"))
+    + " FROM embeddings, g)"
 )
 
 
@@ -812,7 +815,7 @@ ORACLE["rebuilt_chain_distances"] = (
 )
 ORACLE["strided_alpha_carbons"] = (
     f"WITH {POINTS} SELECT frame, pos // 5 AS residue, {rnd('x', 6)} AS x, {rnd('y', 6)} AS y, {rnd('z', 6)} AS z"
-    " FROM pts WHERE pos < 20 AND pos % 5 = 1 AND frame % 5 = 0"
+    " FROM pts WHERE pos % 5 = 1 AND frame % 5 = 0"
 )
 ORACLE["residue_numbers"] = (
     "WITH ch AS (SELECT n_regionkey AS chain, row_number() OVER (ORDER BY min(n_nationkey)) - 1 AS c FROM nation GROUP BY n_regionkey)"
@@ -822,14 +825,14 @@ ORACLE["residue_numbers"] = (
 )
 ORACLE["slot_coordinates"] = (
     f"WITH {POINTS} SELECT frame, pos // 5 AS residue, 'A' AS aa, pos % 5 AS slot, {rnd('x', 6)} AS x,"
-    f" {rnd('y', 6)} AS y, {rnd('z', 6)} AS z FROM pts WHERE pos < 20"
+    f" {rnd('y', 6)} AS y, {rnd('z', 6)} AS z FROM pts"
 )
 
 
 def _alanine() -> str:
-    """Quads of four alanines; point numbers are residue * 5 + slot, -1 the origin."""
+    """Quads of the alanines; point numbers are residue * 5 + slot, -1 the origin."""
     rows = []
-    for r in range(4):
+    for r in range(PEPTIDE_RESIDUES):
         at = lambda s, r=r: r * 5 + s
         before = [at(s) - 5 if r else -1 for s in range(3)]
         rows.append((r, 0, *before, at(0)))
@@ -861,8 +864,8 @@ ORACLE["residue_internal_coordinates"] = (
     f" {rnd('dihedral', 6)} AS dihedral FROM ai"
 )
 ORACLE["angle_features"] = (
-    f"{PEPTIDE}, mv AS (SELECT frame, CASE WHEN slot = 0 THEN (residue + 3) % 4 ELSE residue END AS residue, slot, angle, dihedral FROM ai), "
-    "fx AS (SELECT unnest(range(28)) AS feature), rx AS (SELECT unnest(range(4)) AS residue) "
+    f"{PEPTIDE}, mv AS (SELECT frame, CASE WHEN slot = 0 THEN (residue + {PEPTIDE_RESIDUES - 1}) % {PEPTIDE_RESIDUES} ELSE residue END AS residue, slot, angle, dihedral FROM ai), "
+    f"fx AS (SELECT unnest(range(28)) AS feature), rx AS (SELECT unnest(range({PEPTIDE_RESIDUES})) AS residue) "
     "SELECT CAST(rx.residue AS INTEGER) AS residue, f.frame, CAST(feature AS INTEGER) AS feature, "
     + rnd("coalesce(CASE WHEN feature < 14 THEN mv.angle ELSE mv.dihedral END, 0.0)", 6)
     + " AS x FROM f JOIN rx ON true JOIN fx ON true LEFT JOIN mv ON mv.frame = f.frame AND mv.residue = rx.residue AND mv.slot = feature % 14"
@@ -870,7 +873,7 @@ ORACLE["angle_features"] = (
 ORACLE["folded_frames"] = (
     f"WITH {POINTS} SELECT a.frame, a.pos // 5 AS residue, a.pos % 5 AS slot,"
     f" {rnd('sqrt(pow(b.x-a.x,2) + pow(b.y-a.y,2) + pow(b.z-a.z,2))', 6)} AS distance"
-    " FROM pts a JOIN pts b ON b.frame = a.frame AND b.pos = a.pos // 5 * 5 + 1 WHERE a.pos < 20"
+    " FROM pts a JOIN pts b ON b.frame = a.frame AND b.pos = a.pos // 5 * 5 + 1"
 )
 ORACLE["mean_bond_lengths"] = (
     f"{PEPTIDE} SELECT residue, slot, count(*) AS n, {rnd('avg(length)', 6)} AS length FROM ai GROUP BY residue, slot"
@@ -893,9 +896,11 @@ ORACLE["rigid_alignment"] = (
 # -- drawing -----------------------------------------------------------------------------------
 
 DRAWN = (
+    "parts AS (SELECT unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), "
     "pv(var, id) AS (VALUES " + ", ".join(f"('{v}', {i + 1})" for i, v in enumerate(VARIABLES)) + "), "
     "em_p AS (SELECT var, id, " + ", ".join(
-        f"(SELECT avg(embedding[3*(id - 1) + {j + 1}]::DOUBLE) FROM embeddings) AS {k}" for j, k in enumerate("xyz")
+        f"(SELECT sum(e) / (SELECT count(*) FROM embeddings) FROM parts WHERE i % {3 * len(VARIABLES)} = 3*(id - 1) + {j}) AS {k}"
+        for j, k in enumerate("xyz")
     ) + " FROM pv)"
 )
 ORACLE["drawing_nodes"] = items(

@@ -781,18 +781,22 @@ def mean_bond_lengths(spark, sf_dir):
 
 def _drawn(spark, sf_dir):
     t = given.item_tree(spark, sf_dir)
-    table = given.table(spark, sf_dir, "embeddings")
-    means = table.agg(*[F.avg(F.element_at("embedding", i + 1).cast("double")).alias(f"e{i}") for i in range(21)])
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(v).alias("var"), F.lit(k + 1).alias("serial"), F.lit(k).alias("resseq"),
-                *[F.col(f"e{3 * k + j}").alias(n) for j, n in enumerate("xyz")],
-            )
-            for k, v in enumerate(VARIABLES)
-        ]
+    vectors = given.table(spark, sf_dir, "embeddings")
+    # Each coordinate is the mean over the vectors of the sum of every 21st component.
+    width = 3 * len(VARIABLES)
+    sums = vectors.select(F.posexplode("embedding").alias("k", "e")).groupBy((F.col("k") % width).alias("k")).agg(
+        F.sum(F.col("e").cast("double")).alias("e")
+    )
+    one = F.lit(1).alias("one")
+    count = vectors.agg(F.count(F.lit(1)).alias("n")).select(one, "n")
+    means = sums.select(one, "*").join(count, "one").select(
+        F.floor(F.col("k") / 3).cast("int").alias("serial"), F.element_at(F.array(*map(F.lit, "xyz")), F.col("k") % 3 + 1).alias("axis"),
+        (F.col("e") / F.col("n")).alias("e"),
+    ).groupBy("serial").pivot("axis", list("xyz")).agg(F.first("e"))
+    points = means.select(
+        F.element_at(F.array(*map(F.lit, VARIABLES)), F.col("serial") + 1).alias("var"),
+        (F.col("serial") + 1).alias("serial"), F.col("serial").alias("resseq"), "x", "y", "z",
     )
-    points = means.select(F.explode(rows).alias("p")).select("p.*")
     nodes = materialize(drawn_nodes(t, points), "drawn")
     return t, nodes
 

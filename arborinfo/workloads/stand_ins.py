@@ -107,13 +107,23 @@ def label_mixtures(spark: SparkSession, sf_dir: str) -> dict[int, Mixture]:
     return out
 
 
+ATOMS = ("N", "CA", "C", "O", "CB")
+#: Whole residues of points, as many as hold all components of a vector of 64; the first ones come again.
+PEPTIDE_RESIDUES = 5
+POINTS = PEPTIDE_RESIDUES * len(ATOMS)
+LETTERS, SCORED = 11, 6
+
+
+def component(k):
+    """The ``k``-th component of an embedding, counted round."""
+    return F.get("embedding", (k % F.size("embedding")).cast("int")).cast("double")
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame, pos, x, y, z): chains of 21 points from consecutive component triples."""
+    """(frame, pos, x, y, z): chains of points from consecutive component triples."""
     triples = F.transform(
-        F.sequence(F.lit(0), F.lit(20)),
-        lambda i: F.struct(
-            *[F.element_at("embedding", 3 * i + k + 1).cast("double").alias(n) for k, n in enumerate("xyz")]
-        ),
+        F.sequence(F.lit(0), F.lit(POINTS - 1)),
+        lambda i: F.struct(*[component(3 * i + k).alias(n) for k, n in enumerate("xyz")]),
     )
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("frame"), F.posexplode(triples).alias("pos", "p")
@@ -121,14 +131,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("frame", "pos", "p.*")
 
 
-ATOMS = ("N", "CA", "C", "O", "CB")
-
-
 def peptide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Atoms of four alanines per frame, from the first twenty points."""
+    """Atoms of alanines, from all points of a frame."""
     names = F.array(*[F.lit(a) for a in ATOMS])
     residue = F.floor(F.col("pos") / 5).cast("int")
-    return points(spark, sf_dir).filter("pos < 20").select(
+    return points(spark, sf_dir).select(
         "frame", (F.col("pos") + 1).alias("serial"),
         F.element_at(names, F.col("pos") % 5 + 1).alias("name"), F.lit("ALA").alias("resname"),
         (residue + 1).alias("resseq"), F.lit("A").alias("chain"), residue.alias("residue"),
@@ -137,15 +144,13 @@ def peptide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame, residue, s): six score arrays of ten letters per embedding."""
-    parts = F.array(
-        *[
-            F.struct(
-                F.lit(r).alias("residue"),
-                F.transform(F.slice("embedding", 10 * r + 1, 10), lambda x: x.cast("double")).alias("s"),
-            )
-            for r in range(6)
-        ]
+    """(frame, residue, s): score arrays of some letters each, from all components of an embedding."""
+    parts = F.transform(
+        F.sequence(F.lit(0), F.lit(SCORED - 1)),
+        lambda r: F.struct(
+            r.alias("residue"),
+            F.transform(F.sequence(F.lit(0), F.lit(LETTERS - 1)), lambda j: component(LETTERS * r + j)).alias("s"),
+        ),
     )
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("frame"), F.explode(parts).alias("p")

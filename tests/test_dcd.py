@@ -123,3 +123,13 @@ def test_atoms_by_topology(spark, tmp_path):
     assert whole.count() == 6 * 7
     with pytest.raises(ValueError, match="7 atoms, the topology 6"):
         read_dcd(spark, str(tmp_path / "x.dcd"), top.filter("serial > 10"))
+
+
+def test_residues_without_a_letter_are_refused(spark):
+    from arborinfo.operators.topology import select_protein
+
+    rows = [("CA", "ALA"), ("OW", "HOH"), ("CA", "CA"), ("C1", "LIG"), (None, None)]
+    df = spark.createDataFrame(rows, "name string, resname string")
+    assert [tuple(r) for r in select_protein(df).collect()] == [("CA", "ALA")]
+    with pytest.raises(Exception, match="without a letter: MSE"):
+        select_protein(df.union(spark.createDataFrame([("CA", "MSE")], df.schema))).collect()
