@@ -196,6 +196,24 @@ ORACLE["pair_log_likelihood_fixed_beta"] = items(
     select=f"SELECT u, v, {rnd('sum(h)', 4)} AS log_likelihood FROM h GROUP BY u, v",
 )
 
+# A plain sum over a fixed fine grid of ln b, state by state.
+_A = "(n + b)"
+ORACLE["node_entropy_nsb"] = items(
+    "kk AS (SELECT var, sum(n) AS t, CASE WHEN var = 'l_discount' THEN 20 ELSE count(*) END AS k, count(*) AS seen"
+    " FROM nc GROUP BY var), "
+    "cells AS (SELECT var, n::DOUBLE AS n, 1.0 AS m FROM nc UNION ALL SELECT var, 0.0, (k - seen)::DOUBLE FROM kk WHERE k > seen), "
+    "grid AS (SELECT exp(-20.0 + 0.02*unnest(range(2001))) AS b), "
+    f"sums AS (SELECT var, b, sum(m*(lgamma({_A}) - lgamma(b))) AS l, sum(m*{_A}) AS a, sum(m*{_A}*{digamma('n + b + 1')}) AS ap,"
+    f" sum(m*{_A}*pow({digamma('n + b + 1')}, 2)) AS app, sum(m*{_A}*({_A} + 1)*{trigamma('n + b + 1')}) AS att"
+    " FROM cells, grid GROUP BY var, b), "
+    f"ev AS (SELECT *, l + lgamma(k*b) - lgamma(t + k*b) + ln(b) + ln(greatest(k*{trigamma('k*b + 1')} - {trigamma('b + 1')}, 1e-300))"
+    f" AS e, {digamma('a + 1')} - ap/a AS mean, (app/a - pow(ap/a, 2))/(a + 1) + att/(a*(a + 1)) - {trigamma('a + 1')} AS var2"
+    " FROM sums JOIN kk USING (var)), "
+    "wt AS (SELECT *, exp(e - max(e) OVER (PARTITION BY var)) AS w FROM ev), "
+    "mm AS (SELECT var, sum(w*mean)/sum(w) AS s, sum(w*(var2 + mean*mean))/sum(w) AS sq FROM wt GROUP BY var)",
+    select=f"SELECT var, {rnd('s', 8)} AS s_nsb, {rnd('sqrt(greatest(sq - s*s, 0))', 8)} AS s_nsb_se FROM mm",
+)
+
 GAPS = (
     "e AS (SELECT user_id, event_type AS state, row_number() OVER w AS pos,"
     " lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arborinfo.functions import circular, entropy, vec3
 from arborinfo.functions.entropy import PRIORS
+from arborinfo.functions.nsb import nsb_entropy
 from arborinfo.functions.special import bessel_ratio, digamma, lgamma, log_i0, trigamma
 from arborinfo.lineage import materialize, scratch_path
 from arborinfo.operators import (
@@ -96,6 +97,15 @@ def special_functions(spark, sf_dir):
     )
 
 
+@query
+def node_entropy_nsb(spark, sf_dir):
+    """Entropies under the mixture of priors; l_discount may have 20 values, not all of them seen."""
+    counts = given.item_tree(spark, sf_dir).node_counts
+    listed = counts.groupBy("var").agg(F.count(F.lit(1)).alias("k"))
+    counts = counts.join(listed, "var").withColumn("k", F.when(F.col("var") == "l_discount", 20).otherwise(F.col("k")))
+    return nsb_entropy(counts, ["var"], "k").select("var", r("s_nsb", 8), r("s_nsb_se", 8))
+
+
 @query
 def pair_information_fixed_beta(spark, sf_dir):
     t = given.item_tree(spark, sf_dir)

@@ -107,3 +107,61 @@ def test_random_numbers_depend_on_keys_only(spark):
     assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03
     u = uniform_array(1, 2, np.arange(20_000))
     assert (u > 0).all() and (u <= 1).all() and abs(u.mean() - 0.5) < 0.01
+
+
+def psi(x, order=0):
+    """Digamma (or trigamma) by recurrence and series, for arrays."""
+    x, out = np.asarray(x, float), 0.0
+    for _ in range(12):
+        out = out + (-1 / x if order == 0 else 1 / x**2)
+        x = x + 1
+    if order == 0:
+        return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return out + 1 / x + 1 / (2 * x**2) + 1 / (6 * x**3) - 1 / (30 * x**5) + 1 / (42 * x**7)
+
+
+def nsb_by_sums(n, k):
+    """Mean and deviation of the entropy on a very fine grid of concentrations."""
+    from math import lgamma
+
+    n = np.concatenate([n, np.zeros(k - len(n))])
+    value, times = np.unique(n, return_counts=True)
+    t = np.arange(-25, 25, 0.02)
+    log = np.empty(len(t))
+    mean, square = np.empty(len(t)), np.empty(len(t))
+    for j, b in enumerate(np.exp(t)):
+        a = value + b
+        total = n.sum() + k * b
+        log[j] = lgamma(k * b) - lgamma(total) + sum(m * (lgamma(x) - lgamma(b)) for x, m in zip(a, times)) + t[j]
+        log[j] += np.log(max(k * psi(k * b + 1, 1) - psi(b + 1, 1), 1e-300))
+        p = psi(a + 1)
+        mean[j] = psi(total + 1) - (times * a * p).sum() / total
+        spread = (times * a * p * p).sum() / total - ((times * a * p).sum() / total) ** 2
+        var = spread / (total + 1) + (times * a * (a + 1) * psi(a + 1, 1)).sum() / (total * (total + 1)) - psi(total + 1, 1)
+        square[j] = var + mean[j] ** 2
+    w = np.exp(log - log.max())
+    s = (w * mean).sum() / w.sum()
+    return s, np.sqrt((w * square).sum() / w.sum() - s**2)
+
+
+def test_nsb_entropy(spark):
+    from arborinfo.functions.nsb import nsb_entropy
+
+    rng = np.random.default_rng(5)
+    cases = {
+        "few": ([3, 1, 1], 3), "unseen": ([5, 2, 1], 40), "once": ([1, 1, 1, 1], 100), "even": ([10**6] * 4, 4),
+        "one": ([7], 1), "sure": ([50], 5), "wide": (rng.multinomial(3000, rng.dirichlet(np.ones(800))), 800),
+        "large": ([10**9, 2 * 10**9, 10**7], 3),
+    }
+    rows = [(g, f"s{i}", int(n), k) for g, (ns, k) in cases.items() for i, n in enumerate(ns)]
+    df = spark.createDataFrame(rows, "g string, state string, n long, k int")
+    got = {r["g"]: (r["s_nsb"], r["s_nsb_se"]) for r in nsb_entropy(df, ["g"], "k").collect()}
+    assert got.pop("one") == (0.0, 0.0) and len(got) == len(cases) - 1
+    for g, (s, se) in got.items():
+        mean, sd = nsb_by_sums(np.array(cases[g][0], float), cases[g][1])
+        # Posterior deviations of 1e-5 are differences of nearly equal squares in the sums here.
+        assert s == pytest.approx(mean, abs=2e-6), g
+        assert se == pytest.approx(sd, abs=2e-5), g
+    plain = nsb_entropy(df.filter("g = 'few'"), ["g"]).head()
+    assert plain["s_nsb"] == pytest.approx(got["few"][0], abs=1e-9)
+    assert nsb_entropy(df.limit(0), ["g"]).count() == 0
