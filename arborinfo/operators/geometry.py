@@ -198,119 +198,233 @@ def _place(a, b, c, length, angle, torsion):
     )
 
 
-def fold_backbone(values: np.ndarray) -> np.ndarray:
-    """(frames, atoms, 3) positions of a chain from its (frames, atoms, 3) internal coordinates.
+START = ((-1.0, -1.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 0.0, 0.0))
+#: Residues, or points, of a chain that are folded in one piece.
+PIECE_RESIDUES, PIECE_POINTS = 1000, 4096
+
+
+def chained(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(frames, atoms, 3) positions of a chain from its (frames, atoms, 3) internal coordinates, and
+    its last three points.
 
     The chain starts after three points at (-1,-1,0), (-1,0,0) and the origin. Work is
     vectorized over the frames of a batch.
     """
     frames = len(values)
-    last = [np.tile(np.array(p, float), (frames, 1)) for p in ((-1, -1, 0), (-1, 0, 0), (0, 0, 0))]
+    last = [np.tile(np.array(p), (frames, 1)) for p in START]
     out = np.empty((frames, values.shape[1], 3))
     for i in range(values.shape[1]):
         out[:, i] = _place(*last, values[:, i, 0], values[:, i, 1], values[:, i, 2])
         last = [last[1], last[2], out[:, i]]
+    return out, last
+
+
+def fold_backbone(values: np.ndarray) -> np.ndarray:
+    """The positions alone."""
+    return chained(values)[0]
+
+
+def axes_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """(n, 3, 3) with the axes as columns that the next point after a, b, c is placed by."""
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    along, normal = unit(c - b), unit(np.cross(b - a, c - b))
+    return np.stack([along, np.cross(normal, along), normal], axis=-1)
+
+
+def turn_of(last: list[np.ndarray]) -> np.ndarray:
+    """(n, 12): the rotation and shift that carry the starting points' axes to those of ``last``."""
+    start = axes_of(*[np.array([p]) for p in START])[0]
+    return np.concatenate([(axes_of(*last) @ start.T).reshape(-1, 9), last[2]], axis=1)
+
+
+def composed(turns: np.ndarray) -> np.ndarray:
+    """(pieces, 12): what carries each piece to its place, from the turns over the pieces themselves."""
+    out = np.empty_like(turns)
+    rotation, shift = np.eye(3), np.zeros(3)
+    for k, turn in enumerate(turns):
+        out[k, :9], out[k, 9:] = rotation.ravel(), shift
+        rotation, shift = rotation @ turn[:9].reshape(3, 3), rotation @ turn[9:] + shift
     return out
 
 
-def fold_frames(values: np.ndarray, sequence: str) -> np.ndarray:
-    """(frames, residues, 14, 3) from (frames, residues, 14, 3) internal coordinates."""
+def carried(pieces: DataFrame) -> DataFrame:
+    """(frame, block, m): where each piece of a chain belongs, from (frame, block, turn).
+
+    A frame is a list of its pieces' turns here, twelve numbers each.
+    """
+    turns = pieces.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("block", "turn"))).alias("g"))
+
+    def scan(batches):
+        for batch in batches:
+            blocks, flat = batch.column(1), np.asarray(batch.column(2).flatten().flatten()).reshape(-1, 12)
+            offsets = np.asarray(blocks.offsets) - np.asarray(blocks.offsets)[0]
+            moves = [composed(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+            m = np.concatenate(moves) if moves else np.zeros((0, 12))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * 12), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.asarray(batch.column(0)), np.diff(offsets)), pa.int64()), blocks.flatten(), lists],
+                names=["frame", "block", "m"],
+            )
+
+    return turns.select("frame", "g.block", "g.turn").mapInArrow(scan, "frame long, block int, m array<double>")
+
+
+def in_place(pieces: DataFrame, name: str) -> DataFrame:
+    """(frame, at, x, y, z) of pieces (frame, block, at, xyz, turn) that were folded apart."""
+    pieces = materialize(pieces, name)
+    moves = carried(pieces.select("frame", "block", "turn"))
+    local = pieces.join(moves, ["frame", "block"]).select("frame", "at", "xyz", "m", F.posexplode("at").alias("k", "place"))
+    axis = lambda j: F.get("xyz", 3 * F.col("k") + j)
+    moved = lambda i: sum((F.get("m", F.lit(3 * i + j)) * axis(j) for j in range(3)), F.get("m", F.lit(9 + i)))
+    return local.select("frame", F.col("place").alias("at"), *[moved(i).alias(c) for i, c in enumerate("xyz")])
+
+
+def fold_frames(values: np.ndarray, sequence: str, first: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(frames, residues, 14, 3) from (frames, residues, 14, 3) internal coordinates, and their turns.
+
+    A piece that is not the ``first`` of a chain follows a carbon at the origin.
+    """
     frames, residues = values.shape[:2]
     out = np.full((frames, residues, SLOTS, 3), np.nan)
-    out[:, :, :3] = fold_backbone(values[:, :, :3].reshape(frames, -1, 3)).reshape(frames, residues, 3, 3)
+    chain, last = chained(values[:, :, :3].reshape(frames, -1, 3))
+    out[:, :, :3] = chain.reshape(frames, residues, 3, 3)
     hanging = {}
     for row in layout_rows():
         if row["slot"] >= 3:
             hanging.setdefault(row["aa"], []).append((row["slot"], row["a"], row["b"], row["c"]))
     for r, aa in enumerate(sequence):
         for slot, a, b, c in sorted(hanging[aa]):
-            first, second = out[:, r, a], out[:, r, b]
+            before, second = out[:, r, a], out[:, r, b]
             if slot == 4 and r:
-                first = out[:, r - 1, 2]
+                before = out[:, r - 1, 2]
+            elif slot == 4 and not first:
+                before = np.zeros_like(second)
             elif slot == 4:
-                first, second = out[:, 1, 0], out[:, 0, 2]
-            out[:, r, slot] = _place(first, second, out[:, r, c], *values[:, r, slot].T)
-    return out
+                before, second = out[:, 1, 0], out[:, 0, 2]
+            out[:, r, slot] = _place(before, second, out[:, r, c], *values[:, r, slot].T)
+    return out, turn_of(last)
+
+
+PIECE_SQL = "frame long, block int, at array<int>, xyz array<double>, turn array<double>"
+
+
+def piece_batch(frame: np.ndarray, block: np.ndarray, at: np.ndarray, xyz: np.ndarray, turn: np.ndarray) -> pa.RecordBatch:
+    """Pieces with the same places ``at``; xyz is (pieces, places, 3)."""
+    def lists(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+        offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel(), kind))
+
+    n = len(frame)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(frame, pa.int64()), pa.array(block, pa.int32()), lists(np.tile(at, (n, 1)), pa.int32()),
+            lists(xyz.reshape(n, -1), pa.float64()), lists(turn, pa.float64()),
+        ],
+        names=["frame", "block", "at", "xyz", "turn"],
+    )
 
 
-def fold(internal: DataFrame) -> DataFrame:
+def fold(internal: DataFrame, piece: int = PIECE_RESIDUES) -> DataFrame:
     """(frame, residue, aa, slot, x, y, z) from internal coordinates in natural order.
 
-    A frame is one row of residues x 14 entries; the chain is sequential within a frame and
-    independent across frames, so batches of frames are folded together.
+    Up to ``piece`` residues (two or more) of a frame are one row of residues x 14 entries; batches of such
+    rows are folded together. A longer chain is folded in pieces, each from the starting points;
+    a scan over their turns then carries every piece to its place.
     """
     ship_package(internal.sparkSession)
     sequence = "".join(
         r["aa"] for r in internal.select("residue", "aa").distinct().orderBy("residue").collect()
     )
-    frames = internal.groupBy("frame").agg(
+    whole = len(sequence) <= piece
+    block = F.lit(0) if whole else F.floor(F.col("residue") / piece).cast("int")
+    frames = internal.withColumn("block", block).groupBy("frame", "block").agg(
         F.collect_list(
             F.struct(
-                (F.col("residue") * SLOTS + F.col("slot")).cast("int").alias("at"), "length", "angle", "dihedral"
+                ((F.col("residue") - F.col("block") * (0 if whole else piece)) * SLOTS + F.col("slot")).cast("int").alias("at"),
+                "length", "angle", "dihedral",
             )
         ).alias("g")
-    ).select("frame", "g.at", "g.length", "g.angle", "g.dihedral")
+    ).select("frame", "block", "g.at", "g.length", "g.angle", "g.dihedral")
     schema = pa.schema(
         [("frame", pa.int64()), ("residue", pa.int32()), ("slot", pa.int32())]
         + [(k, pa.float64()) for k in "xyz"]
     )
 
-    def rows(batches):
+    def folded(batches):
+        """(frames, number of their block, positions, turns) of rows with the same block."""
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            values = np.zeros((n, len(sequence) * SLOTS, 3))
-            at = batch.column(1)
-            row = np.repeat(np.arange(n), np.diff(np.asarray(at.offsets)))
-            for k in range(3):
-                values[row, np.asarray(at.flatten()), k] = np.asarray(batch.column(2 + k).flatten())
-            xyz = fold_frames(values.reshape(n, len(sequence), SLOTS, 3), sequence)
+            frame, blocks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for number in np.unique(blocks).tolist():
+                part = batch.filter(pa.array(blocks == number))
+                n, letters = part.num_rows, sequence if whole else sequence[number * piece : (number + 1) * piece]
+                values = np.zeros((n, len(letters) * SLOTS, 3))
+                at = part.column(2)
+                row = np.repeat(np.arange(n), np.diff(np.asarray(at.offsets)))
+                for k in range(3):
+                    values[row, np.asarray(at.flatten()), k] = np.asarray(part.column(3 + k).flatten())
+                xyz, turn = fold_frames(values.reshape(n, len(letters), SLOTS, 3), letters, number == 0)
+                yield frame[blocks == number], number, xyz, turn
+
+    def rows(batches):
+        for frame, _, xyz, _ in folded(batches):
             f, r, s = np.nonzero(~np.isnan(xyz[..., 0]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.asarray(batch.column(0))[f], pa.int64()), pa.array(r, pa.int32()),
+                    pa.array(frame[f], pa.int64()), pa.array(r, pa.int32()),
                     pa.array(s, pa.int32()), *[pa.array(xyz[f, r, s, k], pa.float64()) for k in range(3)],
                 ],
                 schema=schema,
             )
 
-    placed = frames.mapInArrow(rows, "frame long, residue int, slot int, x double, y double, z double")
+    def pieces(batches):
+        for frame, number, xyz, turn in folded(batches):
+            flat = xyz.reshape(len(frame), -1, 3)
+            there = np.flatnonzero(~np.isnan(flat[0, :, 0]))
+            at = (there + number * piece * SLOTS).astype(np.int32)
+            yield piece_batch(frame, np.full(len(frame), number), at, flat[:, there], turn)
+
+    if whole:
+        placed = frames.mapInArrow(rows, "frame long, residue int, slot int, x double, y double, z double")
+    else:
+        placed = in_place(frames.mapInArrow(pieces, PIECE_SQL), "folded_pieces").select(
+            "frame", F.floor(F.col("at") / SLOTS).cast("int").alias("residue"),
+            (F.col("at") % SLOTS).alias("slot"), "x", "y", "z",
+        )
     letters = F.lit(sequence)
     return placed.select(
         "frame", "residue", F.substring(letters, F.col("residue") + 1, F.lit(1)).alias("aa"), "slot", "x", "y", "z"
     )
 
 
-def rebuild_backbone(chain: DataFrame) -> DataFrame:
-    """(frame, pos, x, y, z) from chains (frame, pos, length, angle, dihedral), pos from 0."""
+def rebuild_backbone(chain: DataFrame, piece: int = PIECE_POINTS) -> DataFrame:
+    """(frame, pos, x, y, z) from chains (frame, pos, length, angle, dihedral), pos from 0.
+
+    Chains are cut into pieces of up to ``piece`` points, which are folded apart and then carried to their
+    places; a chain of one piece stays where it is.
+    """
     ship_package(chain.sparkSession)
-    frames = chain.groupBy("frame").agg(
+    block = F.floor(F.col("pos") / piece).cast("int")
+    frames = chain.groupBy("frame", block.alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "length", "angle", "dihedral"))).alias("g")
-    ).select("frame", F.expr("flatten(transform(g, e -> array(e.length, e.angle, e.dihedral)))").alias("v"))
+    ).select("frame", "block", F.expr("flatten(transform(g, e -> array(e.length, e.angle, e.dihedral)))").alias("v"))
 
     def rows(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes = np.diff(np.asarray(batch.column(1).offsets))
-            flat, frame = np.asarray(batch.column(1).flatten()), np.asarray(batch.column(0))
+            sizes = np.diff(np.asarray(batch.column(2).offsets))
+            flat, frame = np.asarray(batch.column(2).flatten()), np.asarray(batch.column(0))
+            number = np.asarray(batch.column(1))
             start = np.concatenate([[0], np.cumsum(sizes)])
-            for size in np.unique(sizes):
-                hit = np.flatnonzero(sizes == size)
+            for size, block in sorted(set(zip(sizes.tolist(), number.tolist()))):
+                hit = np.flatnonzero((sizes == size) & (number == block))
                 values = np.stack([flat[start[i]:start[i + 1]] for i in hit]).reshape(len(hit), -1, 3)
-                xyz = fold_backbone(values)
-                n = xyz.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(frame[hit], n), pa.int64()),
-                        pa.array(np.tile(np.arange(n), len(hit)), pa.int32()),
-                        *[pa.array(xyz[..., k].ravel(), pa.float64()) for k in range(3)],
-                    ],
-                    names=["frame", "pos", "x", "y", "z"],
-                )
-
-    return frames.mapInArrow(rows, "frame long, pos int, x double, y double, z double")
+                xyz, last = chained(values)
+                at = np.arange(xyz.shape[1], dtype=np.int32) + block * piece
+                yield piece_batch(frame[hit], number[hit], at, xyz, turn_of(last))
+
+    pieces = frames.mapInArrow(rows, PIECE_SQL)
+    return in_place(pieces, "chain_pieces").select("frame", F.col("at").alias("pos"), "x", "y", "z")
 
 
 def rebuilt_frames(

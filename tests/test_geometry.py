@@ -177,3 +177,39 @@ def test_alternate_locations_and_insertions(spark, tmp_path):
     one = topology.to_single_chain(read, topology.residue_numbers(read))
     slots = geometry.slot_coordinates(one).orderBy("residue").collect()
     assert [r["aa"] for r in slots] == ["A", "A", "H"] and slots[0]["c"][4]["x"] == 2.0
+
+
+def test_a_chain_in_pieces_is_the_whole_chain(spark):
+    """Seven pieces, the last one of a single point, against the fold in one go."""
+    rng = np.random.default_rng(12)
+    frames, n = 5, 6 * 11 + 1
+    values = np.stack([rng.uniform(1, 2, (frames, n)), rng.uniform(1, 2.5, (frames, n)), rng.uniform(-3, 3, (frames, n))], axis=-1)
+    rows = [(f, k, *map(float, values[f, k])) for f in range(frames) for k in range(n)]
+    chain = spark.createDataFrame(rows, "frame long, pos int, length double, angle double, dihedral double").repartition(4)
+    want = geometry.fold_backbone(values)
+    for piece in (11, 1, 2, 4096):
+        got = geometry.rebuild_backbone(chain, piece).orderBy("frame", "pos").toPandas()
+        assert got["pos"].tolist() == list(range(n)) * frames
+        assert np.allclose(got[["x", "y", "z"]].to_numpy().reshape(frames, n, 3), want, atol=1e-9), piece
+    assert geometry.rebuild_backbone(chain.limit(0)).count() == 0
+
+
+def test_a_fold_in_pieces_is_the_whole_fold(spark):
+    from arborinfo.operators.topology import layout_rows
+
+    rng = np.random.default_rng(13)
+    sequence = "AWKGRYHTCDEFILMNPQSVA"
+    slots = {}
+    for row in layout_rows():
+        slots.setdefault(row["aa"], []).append(row["slot"])
+    rows = [
+        (f, r, aa, slot, float(rng.uniform(1, 2)), float(rng.uniform(1, 2.5)), float(rng.uniform(-3, 3)))
+        for f in range(3) for r, aa in enumerate(sequence) for slot in slots[aa]
+    ]
+    internal = spark.createDataFrame(rows, "frame long, residue int, aa string, slot int, length double, angle double, dihedral double")
+    key = ["frame", "residue", "slot"]
+    whole = geometry.fold(internal).orderBy(*key).toPandas()
+    for piece in (3, 7, 20):
+        got = geometry.fold(internal, piece).orderBy(*key).toPandas()
+        assert got[[*key, "aa"]].equals(whole[[*key, "aa"]]) and len(got) == len(rows)
+        assert np.allclose(got[["x", "y", "z"]], whole[["x", "y", "z"]], atol=1e-9)
