@@ -6,10 +6,12 @@ The model has ``BINS`` smoothed log-probabilities per language: its size is lang
 whatever the corpus.
 
 A document's words are its observations: a word has a likelihood under each language (the sum of
-its trigrams). EM estimates the proportions of the languages. Then the languages are ranked by
-proportion and the first 1, 2, ... of them are fitted again; the set with the best log-likelihood
-less ``penalty`` x log(words) per language is selected. The prediction is the language with the
-largest share in that set, its score is the share.
+its trigrams). EM estimates the proportions of the languages, until an iteration gains less than
+``TOLERANCE`` a word. Then the languages are ranked by proportion and the first 1, 2, ... of them are
+fitted again; the set with the best log-likelihood less ``penalty`` x log(words) per language is
+selected. Sizes go up to all languages; since no set is likelier than all languages together, a size
+whose penalty this leaves no room for need not be fitted, nor any larger one. The prediction is the
+language with the largest share in that set, its score is the share.
 
 Defined cases: a text that is null or has no letter (Unicode category L) is ``und`` with score 0;
 equal shares go to the language first in order; training rows with a null text or language are
@@ -31,10 +33,10 @@ BINS = 1 << 15
 LETTER = tx.byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 ASCII_LETTER = tx.byte_class((0x41, 0x5A), (0x61, 0x7A))
 UNKNOWN = "und"
-ROUNDS = 10
-#: A second language is looked for when it has at least this share in the full mixture.
-FLOOR = 0.01
-MOST_LANGUAGES = 4
+#: EM ends for a document when an iteration gains less log-likelihood than this for each word.
+TOLERANCE = 1e-6
+#: Log-likelihood, for each word, that a fit may still be below its maximum then.
+SLACK = 1e-4
 
 
 def trigrams(texts: pa.Array):
@@ -118,14 +120,15 @@ class LanguageModel:
         weight = np.exp(score - top)  # languages x words
         at, rows = cuts[:-1][some], np.diff(cuts)[some]
         base = np.add.reduceat(top, at)
-        full, _ = self._fit(weight, at, rows, np.ones((len(at), langs), bool))
+        full, likely = self._fit(weight, at, rows, np.ones((len(at), langs), bool))
         order = np.argsort(-full, axis=1, kind="stable")
         rank = np.argsort(order, axis=1, kind="stable")
         best = np.where(rank == 0, 1.0, 0.0)
         single = np.add.reduceat(score[np.repeat(order[:, 0], rows), np.arange(len(top))], at)
         gain = single - self.penalty * np.log(rows)
-        for size in range(2, min(langs, MOST_LANGUAGES) + 1):
-            has = np.flatnonzero(np.take_along_axis(full, order[:, size - 1 : size], 1)[:, 0] >= FLOOR)
+        ceiling = likely + base + SLACK * rows
+        for size in range(2, langs + 1):
+            has = np.flatnonzero(ceiling - size * self.penalty * np.log(rows) > gain)
             if not len(has):
                 break
             words = np.concatenate([np.arange(at[k], at[k] + rows[k]) for k in has])
@@ -139,14 +142,25 @@ class LanguageModel:
 
     @staticmethod
     def _fit(weight, at, rows, allowed):
-        """EM for the proportions of the allowed languages; also the log-likelihood."""
+        """EM for the proportions of the allowed languages; also the log-likelihood.
+
+        Documents leave as they converge.
+        """
         theta = (allowed / allowed.sum(1, keepdims=True)).T
-        for _ in range(ROUNDS):
-            part = weight * np.repeat(theta, rows, 1)
-            part /= np.maximum(part.sum(0), 1e-300)
-            theta = np.add.reduceat(part, at, 1) / rows
-        total = np.maximum((weight * np.repeat(theta, rows, 1)).sum(0), 1e-300)
-        return theta.T, np.add.reduceat(np.log(total), at)
+        likely, live = np.full(len(rows), -np.inf), np.arange(len(rows))
+        while len(live):
+            part = weight * np.repeat(theta[:, live], rows, 1)
+            total = np.maximum(part.sum(0), 1e-300)
+            part /= total
+            now = np.add.reduceat(np.log(total), at)
+            going = now - likely[live] >= TOLERANCE * rows
+            likely[live] = now
+            theta[:, live] = np.add.reduceat(part, at, 1) / rows
+            if not going.all():
+                weight = weight[:, np.repeat(going, rows)]
+                live, rows = live[going], rows[going]
+                at = np.cumsum(rows) - rows
+        return theta.T, likely
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:

@@ -120,6 +120,54 @@ def test_languages_mixed_and_odd(spark):
     assert language_mixture.reject_unidentified(both).filter("doc_id is null or doc_id < 6").count() == 6 + 1 + 3
 
 
+def six_languages(spark, rng):
+    """Training texts of six made-up languages with letters and endings of their own."""
+    kinds = {f"l{k}": ("abcdefghijklmnopqrstuvwx"[4 * k : 4 * k + 7], ["ar", "el", "ot", "un", "is", "ym"][k]) for k in range(6)}
+    word = lambda k: "".join(rng.choice(kinds[k][0]) for _ in range(rng.randint(2, 5))) + kinds[k][1]
+    text = lambda k, n: " ".join(word(k) for _ in range(n))
+    rows = [(k, text(k, 300)) for k in kinds for _ in range(4)]
+    return text, language_mixture.train(spark.createDataFrame(rows, "lang string, text string"))
+
+
+def test_all_languages_of_a_mixture_are_found(spark):
+    rng = random.Random(21)
+    text, model = six_languages(spark, rng)
+    even = " ".join(text(f"l{k}", 60) for k in range(6))
+    two = text("l0", 90) + " " + text("l3", 30)
+    rows = [(0, even), (1, two), (2, text("l5", 80)), (3, "x")]
+    out = language_mixture.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).orderBy("doc_id").collect()
+    shares = np.array(out[0].lang_shares)
+    assert (np.abs(shares - 1 / 6) < 0.06).all() and shares.sum() == pytest.approx(1)
+    assert [round(x, 1) for x in out[1].lang_shares] == [0.8, 0, 0, 0.2, 0, 0] or abs(out[1].lang_shares[0] - 0.75) < 0.08
+    assert out[2].lang_pred == "l5" and out[2].score == 1.0
+    stay = spark.createDataFrame([(k, even if k == 7 else text("l1", 40), "l1") for k in range(9)], "doc_id long, text string, lang string")
+    assert language_mixture.reject_unidentified(stay).count() == 9
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shares_are_those_of_plain_em(spark, seed):
+    """One document at a time, every set in order of share, EM until nothing moves."""
+    rng = np.random.default_rng(seed)
+    langs, docs = 5, 40
+    model = language_mixture.LanguageModel.__new__(language_mixture.LanguageModel)
+    rows = rng.integers(1, 60, docs)
+    at = np.cumsum(rows) - rows
+    weight = np.exp(rng.normal(0, 2.5, (langs, rows.sum())))
+    weight /= weight.max(0)
+    allowed = rng.random((docs, langs)) < 0.6
+    allowed[np.arange(docs), rng.integers(0, langs, docs)] = True
+    theta, like = model._fit(weight, at, rows, allowed)
+    for k in range(docs):
+        w = weight[:, at[k] : at[k] + rows[k]]
+        t = allowed[k] / allowed[k].sum()
+        for _ in range(20_000):
+            p = w * t[:, None]
+            t = (p / p.sum(0)).mean(1)
+        best = np.log((w * t[:, None]).sum(0)).sum()
+        assert best - 1e-3 * rows[k] <= like[k] <= best + 1e-9
+        assert (theta[k][~allowed[k]] == 0).all() and theta[k].sum() == pytest.approx(1)
+
+
 def test_personal_data(spark, docs):
     extra = [
         (10_001, None), (10_002, ""), (10_006, "+1.2.3.4.5.6.7.8.9 -- 5"),
