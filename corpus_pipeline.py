@@ -13,9 +13,6 @@ from arborinfo.lineage import materialize
 from arborinfo.llm import decontamination, jaccard_join, language_mixture, lattice, pii
 from arborinfo.llm.pieces import tokenizer
 
-#: A document whose main language has less than this share of its words has none.
-LEAST_SHARE = 0.34
-
 
 def counted(docs: DataFrame, names: list[str]) -> DataFrame:
     """The columns of ``docs``; n_chars follows a text that has changed."""
@@ -26,8 +23,8 @@ def counted(docs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters, and those in which no language has ``LEAST_SHARE``."""
-    return language_mixture.reject_unidentified(docs, LEAST_SHARE)
+    """Drops documents of which no language can be said: those without letters. Mixtures stay."""
+    return language_mixture.reject_unidentified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
