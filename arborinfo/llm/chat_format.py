@@ -31,8 +31,6 @@ gives no rows; other columns are ignored. A conversation is one row of the resul
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
