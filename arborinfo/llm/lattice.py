@@ -193,7 +193,7 @@ class Lattice:
 
     def nbest(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         """The ``n`` best paths of one word by A-star from its end; (score, ids) in order."""
-        into: list[list[tuple[int, float, list[int]]]] = [[] for _ in range(len(word) + 1)]
+        into: list[list[tuple[int, float, list[int]]]] = [[] for _ in range(len(word) + 1)]  # longest piece first
         for i in range(len(word)):
             if word[i] not in self.score:
                 into[i + 1].append((i, self.byte_score, [self.byte_ids[b] for b in word[i].encode("utf-8", "surrogatepass")]))
@@ -204,16 +204,65 @@ class Lattice:
         forward = [0.0] * (len(word) + 1)
         for j in range(1, len(word) + 1):
             forward[j] = max(forward[i] + s for i, s, _ in into[j])
-        # (-(forward + suffix), places of the suffix): of equals, the longer last piece is first.
-        heap = [(-forward[-1], (), len(word), 0.0, ())]
+        # An entry costs what it falls behind the best path, 0 for that one; equal costs go by ``Step``.
+        heap = [(0.0, Step(len(word)))]
+        bound = [-math.inf] * n  # the n least costs of side paths, negated: dearer ones are never needed
         out = []
         while heap and len(out) < n:
-            cost, path, node, suffix, ids = heapq.heappop(heap)
-            if node == 0:
-                out.append((-cost, [x for part in reversed(ids) for x in part]))
+            cost, step = heapq.heappop(heap)
+            if step.place == 0:
+                out.append((forward[-1] - cost, step.ids()))
                 continue
-            for i, s, part in into[node]:
-                heapq.heappush(heap, (-(forward[i] + (s + suffix)), (*path, i), i, s + suffix, (*ids, part)))
+            here, along = forward[step.place], False
+            for i, s, part in into[step.place]:
+                behind = here - (forward[i] + s)
+                if behind == 0 and not along:
+                    along = True  # goes on with the path of its entry
+                elif cost + behind <= -bound[0]:
+                    heapq.heapreplace(bound, -(cost + behind))
+                else:
+                    continue
+                heapq.heappush(heap, (cost + behind, Step(i, step, part)))
+        return out
+
+
+class Step:
+    """A path from the end of a word to ``place``, as a link to the path that it goes on with.
+
+    Paths are in order of their places from the end. ``jump`` is an earlier path so far back that
+    two paths meet after a logarithmic number of jumps.
+    """
+
+    __slots__ = ("place", "up", "part", "depth", "jump")
+
+    def __init__(self, place: int, up: Step | None = None, part: list[int] | None = None):
+        self.place, self.up, self.part = place, up, part
+        if up is None:
+            self.depth, self.jump = 0, self
+        else:
+            far = up.jump
+            self.depth = up.depth + 1
+            self.jump = far.jump if up.depth - far.depth == far.depth - far.jump.depth else up
+
+    def at(self, depth: int) -> Step:
+        step = self
+        while step.depth > depth:
+            step = step.jump if step.jump.depth >= depth else step.up
+        return step
+
+    def __lt__(self, other: Step) -> bool:
+        a, b = self.at(other.depth), other.at(self.depth)
+        if a is b:
+            return self.depth < other.depth
+        while a.up is not b.up:
+            a, b = (a.up, b.up) if a.jump is b.jump else (a.jump, b.jump)
+        return a.place < b.place
+
+    def ids(self) -> list[int]:
+        out, step = [], self
+        while step.up is not None:
+            out += step.part
+            step = step.up
         return out
 
 

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -71,6 +73,30 @@ def test_n_best_is_exact():
             assert path in [p for _, p in every]
 
 
+def test_n_best_in_order_of_places():
+    """Equal scores: the path whose last piece that differs is longer comes first."""
+    model, rng = la.lattice(PATH), random.Random(5)
+    for _ in range(60):
+        word = "".join(rng.choice("ab") for _ in range(rng.randint(2, 9)))
+        found = model.nbest(word, 5)
+        lengths = [[len(model.vocabulary.text[i]) for i in reversed(ids)] for _, ids in found]
+        for (one, _), (two, _), a, b in zip(found, found[1:], lengths, lengths[1:]):
+            assert one > two or (one == two and a > b)
+
+
+def test_words_of_any_length_take_little_memory():
+    model, rng = la.lattice(PATH), random.Random(6)
+    for word in ("".join(rng.choice("abcdefghij0123456789") for _ in range(30_000)), "a" * 30_000):
+        tracemalloc.start()
+        found = model.nbest(word, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len({tuple(ids) for _, ids in found}) == 3 and peak < 150 << 20
+        top, gap, ids = model.best([word])[0]
+        assert found[0][0] == pytest.approx(top) and found[0][1] == np.frombuffer(ids, "<i4").tolist()
+        assert found[0][0] - found[1][0] == pytest.approx(gap, abs=1e-6)
+
+
 def test_encode_and_decode(spark):
     rows = [(1, "thé cat\n sat", "x"), (2, None, "y"), (3, "", "z"), (4, "word " * 20_000, "x"), (1, "thé cat\n sat", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
