@@ -8,10 +8,13 @@ like cards). Every loose span gets a vector of binned features of its format and
 around it. Boosted depth-two trees over the features score the spans; a threshold for each kind,
 calibrated on a half of the spans that the trees did not see, selects those to redact.
 
-Nobody labels personal data here, so training labels come from checks that the features do not
-see: a span is positive when it passes a structural check (checksum, number ranges, full address,
-key prefix, assignment to a secret's name), negative when it has the shape but fails. All
-documents take part. The features are binned, so the training table is a count by (features, kind,
+Nobody labels personal data here, so training labels come from checks: a span is positive when it
+passes a structural check (checksum, number ranges, full address, key prefix, a name such as
+``password`` or ``phone`` that it is assigned to), negative when it has the shape but fails. The
+features see the span's format and the characters beside it, not that name: of secrets and phone numbers
+the cue is the label's alone. Keys, national numbers, secrets and phone numbers that pass their check are
+selected whatever the trees say (``CERTAIN``), so a kind without training rows is found too; the trees
+extend that to spans of like format and context that fail or lack it. All documents take part. The features are binned, so the training table is a count by (features, kind,
 half, label): its size is bounded by the number of bins (``VECTORS``) whatever the corpus.
 Boosting runs over that table on the driver, and the trees become one SQL expression.
 
@@ -20,7 +23,7 @@ the same leftmost matches in linear time and without deep recursion in Java's ma
 
 Defined cases: a null or empty text has no spans; positions are code points, ends exclusive; added
 spans inside a base span are dropped, other overlaps stay in the list and are merged when text is
-redacted; without training rows of both labels there are no trees and only base spans stay. Rows are
+redacted; without training rows of both labels there are no trees, and base spans and those of ``CERTAIN`` stay. Rows are
 independent, so ties, repeated rows and extra columns change nothing.
 """
 
@@ -54,7 +57,14 @@ LOOSE = [
     ("key", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+"),
     ("national", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("secret", r"""(?<=["'=:\x20])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_+/=-]{8,}+(?=["'\x20]|$)"""),
+    ("secret", r"""(?i)(?<=(?:passwor[dt]|passwd|pwd)["']?\x20?[=:]\x20?["']?)(?=[^\s"',;0-9]*+[0-9])[^\s"',;]{4,}+"""),
 ]
+#: A name and a sign after it to which a secret is assigned, directly before the secret.
+ASSIGNED = r"""(?i)(?:(?:token|key|secret|passwor[dt]|passwd|pwd|auth)["']?\x20?[=:]\x20?["']?|bearer\x20["']?)$"""
+#: Prefixes of keys that services give out.
+KEY = "^(?:AKIA[0-9A-Z]{16}|gh[opsru]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})$"
+#: Kinds of which a span that passes its check is always selected.
+CERTAIN = ["phone", "key", "national", "secret"]
 CUES = [
     r"(?i)(?:tel|phone|call|mobile|fax|contact|mail)[^A-Za-z0-9]{0,8}$",
     r"(?i)(?:token|key|secret|passwor[dt]|pwd|auth|bearer)[\x20\"'=:]{1,8}$",
@@ -159,14 +169,16 @@ def described(span: Column, line: Column) -> Column:
     upper, lower = F.length(F.regexp_replace(found, "[^A-Z]", "")), F.length(F.regexp_replace(found, "[^a-z]", ""))
     count = lambda name, value: binned(value, BINS[name]).alias(name)
     digits = F.length(F.regexp_replace(found, "[^0-9]", ""))
-    cue = F.when(before.rlike(CUES[0]), 1).when(before.rlike(CUES[1]), 2).when(before.rlike(CUES[2]), 3).otherwise(0)
+    named = F.when(before.rlike(CUES[0]), 1).when(before.rlike(CUES[1]), 2).when(before.rlike(CUES[2]), 3).otherwise(0)
+    hidden = ((span["kind"] == NUMBER["phone"]) & (named == 1)) | ((span["kind"] == NUMBER["secret"]) & (named == 2))
+    cue = F.when(hidden, 0).otherwise(named)
     label = F.lit(False)
     for kind, check in (
         ("email", found.rlike(f"^{BASE['email']}$")), ("ip", passes("ip", found)), ("card", passes("card", found)),
-        ("phone", digits.between(9, 15) & F.substring(before, -2, 2).rlike(r"^(?:\+[0-9]|[0-9]\x20)$")),
-        ("key", found.rlike("^AKIA[0-9A-Z]{16}$")),
+        ("phone", digits.between(9, 15) & (before.rlike(CUES[0]) | F.substring(before, -2, 2).rlike(r"^\+[0-9]$"))),
+        ("key", found.rlike(KEY)),
         ("national", found.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")),
-        ("secret", before.rlike(CUES[1])),
+        ("secret", before.rlike(ASSIGNED)),
     ):
         label = F.when(span["kind"] == NUMBER[kind], check).otherwise(label)
     return F.struct(
@@ -215,13 +227,14 @@ class Trees:
         return total
 
     def selected(self, span: Column) -> Column:
-        """Whether the span's score reaches the threshold of its kind."""
+        """Whether the span passes the check of its kind, or its score reaches the threshold of it."""
+        certain = span["label"] & span["kind"].isin([NUMBER[kind] for kind in CERTAIN])
         if not self.trees:
-            return F.lit(False)
+            return certain
         bound = F.lit(float("inf"))
         for kind, value in sorted(self.thresholds.items()):
             bound = F.when(span["kind"] == kind, F.lit(value)).otherwise(bound)
-        return self.margin(span["features"]) >= bound
+        return certain | (self.margin(span["features"]) >= bound)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.start)
@@ -327,7 +340,9 @@ def listed(spans: Column | str) -> Column:
 
 def redact(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans give one."""
-    found = find_personal_data(docs, trees or train(docs))
+    mine = "_" * (1 + max(map(len, docs.columns)))  # a user's columns of these names keep their values
+    kept = {c: mine + c for c in docs.columns if c in ("base_spans", "all_spans", "_lines", "_added")}
+    found = find_personal_data(docs.withColumnsRenamed(kept), trees or train(docs))
     text = F.col("text")
     by_place = F.array_sort(F.transform("all_spans", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")
@@ -343,4 +358,5 @@ def redact(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     whole = F.aggregate(by_place, start, step, lambda acc: F.concat(
         F.array_join(acc["parts"], ""), F.substring(text, acc["pos"] + 1, F.length(text))
     ))
-    return found.withColumn("text", F.when(F.size("all_spans") > 0, whole).otherwise(text)).select(*docs.columns)
+    cleaned = found.withColumn("text", F.when(F.size("all_spans") > 0, whole).otherwise(text))
+    return cleaned.select(*[F.col(kept.get(c, c)).alias(c) for c in docs.columns])

@@ -88,12 +88,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in documents; base spans and those that the trees add."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_personal_data(docs, pii.train(docs))
-    count = lambda kind: F.size(F.filter(
-        "base_spans", lambda s: s["kind"] == pii.NUMBER[kind]
+    count = lambda kind, spans="base_spans": F.size(F.filter(
+        spans, lambda s: s["kind"] == pii.NUMBER[kind]
     )).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id", *[count(kind) for kind in ("email", "ip", "card", "phone")],
         F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("all_spans").alias("spans"),
+        *[count(kind, "all_spans") for kind in ("key", "national", "secret")],
+        F.size("all_spans").cast("long").alias("n_spans"),
     )
 
 

@@ -73,15 +73,18 @@ def test_n_best_is_exact():
             assert path in [p for _, p in every]
 
 
-def test_n_best_in_order_of_places():
-    """Equal scores: the path whose last piece that differs is longer comes first."""
-    model, rng = la.lattice(PATH), random.Random(5)
-    for _ in range(60):
-        word = "".join(rng.choice("ab") for _ in range(rng.randint(2, 9)))
-        found = model.nbest(word, 5)
-        lengths = [[len(model.vocabulary.text[i]) for i in reversed(ids)] for _, ids in found]
-        for (one, _), (two, _), a, b in zip(found, found[1:], lengths, lengths[1:]):
-            assert one > two or (one == two and a > b)
+def test_paths_compare_by_their_places_from_the_end():
+    rng, steps = random.Random(5), [((), la.Step(9))]
+    for _ in range(400):
+        places, step = rng.choice(steps[-40:] if rng.random() < 0.8 else steps)
+        place = rng.randrange(9)
+        if (*places, place) not in dict(steps):
+            steps.append(((*places, place), la.Step(place, step, [place])))
+    for _ in range(4000):
+        (a, x), (b, y) = rng.choice(steps), rng.choice(steps)
+        if a != b:
+            assert (x < y) == (a < b)
+    assert all(list(reversed(a)) == x.ids() for a, x in steps)
 
 
 def test_words_of_any_length_take_little_memory():
