@@ -120,6 +120,19 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+_inverse_powers = np.ones(1, np.uint64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """Powers of what multiplies with ``BASE`` to one, modulo 2^64."""
+    global _inverse_powers
+    if len(_inverse_powers) < n:
+        grown = np.full(max(n, 64, 2 * len(_inverse_powers)), pow(int(BASE), -1, 1 << 64), np.uint64)
+        grown[0] = 1
+        _inverse_powers = np.multiply.accumulate(grown)
+    return _inverse_powers
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each (not empty) span; spans are taken in blocks."""
     out = np.empty(len(starts), np.uint64)
@@ -139,6 +152,24 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``hash_spans`` of spans that rise and do not overlap, by differences of running sums."""
+    out = np.empty(len(starts), np.uint64)
+    begin = 0
+    while begin < len(starts):
+        low = starts[begin]
+        end = max(int(np.searchsorted(ends, low + HASH_BYTES, "right")), begin + 1)
+        first, last = starts[begin:end] - low, ends[begin:end] - low
+        value = BYTE_VALUE[data[low : ends[end - 1]]]
+        value *= powers(len(value))[: len(value)]
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        value = (total[last] - total[first]) * inverse_powers(int(first[-1]) + 1)[first]
+        out[begin:end] = mix64(value ^ (last - first).astype(np.uint64))
+        begin = end
+    return out
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """A table of 256 flags; the given inclusive ranges are set."""
     table = np.zeros(256, bool)

@@ -11,7 +11,8 @@
 3. *Score.* Features are the words of the restored text and their beginnings (4 to 6 bytes). On
    half of the training rows each feature gets the lower confidence bound of its log-odds ratio; on
    the other half a logistic function of the largest weight in a text and of the sum of weights is
-   fitted; then the weights are taken from all training rows. Labels come from at most ``SAMPLE`` rows, those first in order of a hash of the id.
+   fitted; then the weights are taken from all training rows. Labels come from at most ``SAMPLE`` rows,
+   those first in order of a hash of the id; their restored texts are written once for these passes.
 
 Defined cases: a null text is an empty one, and an empty text has the score of a text without any
 weighted word; training rows need an id, and a label of 0 or 1; of several labels of one id the
@@ -31,10 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField
+from pyspark.sql.types import DoubleType, StringType, StructField
 
 from arborinfo.functions.rng import mix64
-from arborinfo.lineage import broadcast, ship_package
+from arborinfo.lineage import broadcast, materialize, ship_package
 from arborinfo.llm import text as tx
 from arborinfo.llm.language_mixture import LETTER
 
@@ -51,8 +52,10 @@ SIGNS = {
 }
 SIGN_COST, BLANK_COST, SQUEEZE_COST = 1.0, 4.0, 1.0
 
-#: Nothing here is tried twice, so long words take linear time.
-_TOKEN = re.compile(r"(?<![^\W_]|[@$|+(€!])(?:[^\W_]|[@$|+(€!])++")
+#: Nothing here is tried twice, so long words take linear time. Tokens of common letters only are passed over.
+_TOKEN = re.compile(
+    r"(?<![^\W_]|[@$|+(€!])(?=[a-zß-öø-ÿ]*+(?:[^\W_]|[@$|+(€!]))(?:[^\W_]|[@$|+(€!])++"
+)
 _SPACED = re.compile(r"(?<!\w)(?:[^\W_]|[@$|+(€!])(?:[ .\-_*]++(?:[^\W_]|[@$|+(€!])(?![^\W_])){2,}+")
 _WORD = re.compile(r"[^\W\d_]++")
 _RUN = re.compile(r"([^\W\d_])\1\1")
@@ -114,15 +117,18 @@ def suspicious(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         beside[:-1], beside[-1] = single[1:], False
         beside[(begins + sizes - 1)[sizes > 0]] = False
         alone &= ~beside
-        solid = np.flatnonzero(~gap)
-        apart = np.diff(solid) > 1
-        one = alone[solid]
-        hit[solid[2:]] |= one[:-2] & one[1:-1] & one[2:] & apart[:-1] & apart[1:]
+        one = np.flatnonzero(alone)
+        solid = np.cumsum(~gap, dtype=np.int32)[one]
+        apart = (np.diff(solid) == 1) & (np.diff(one) > 1)  # with separators, and nothing else, between
+        hit[one[2:][apart[:-1] & apart[1:]]] = True
     at = np.flatnonzero(hit)
     text = np.searchsorted(begins, at, "right") - 1
     breaks = np.flatnonzero(points == 10)
     line = np.searchsorted(breaks, at) - np.searchsorted(breaks, begins[text])
-    return np.unique(np.stack([text, line]), axis=1)
+    found = np.stack([text, line])  # in order, as the characters are
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
+    return found[:, fresh]
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
@@ -158,6 +164,7 @@ class Channel:
         self.cost = (-np.log(p3)).ravel().tolist()
         self.symbol = {chr(c): int(symbols()[c]) for c in range(0x250)}
         self.known: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
 
     def options(self, span: str) -> list[list[tuple[str, float]]]:
         """What each character, or run of one letter, may stand for."""
@@ -200,26 +207,36 @@ class Channel:
             trail, emitted = trail
             parts.append(emitted)
         best = "".join(reversed(parts))[:-1]
-        if len(span) <= 100:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            self.known[span] = best
+        self.keep(self.known, span, best)
         return best
 
+    def keep(self, known: dict[str, str], span: str, best: str) -> None:
+        """Remembers the reading of a short span."""
+        if len(span) <= 100:
+            if len(known) > 50_000:
+                known.clear()
+            known[span] = best
+
     def _token(self, match: re.Match) -> str:
         """A run of letters, digits and signs, restored if it mixes letters and signs."""
         span = match[0]
-        return self.decode(span) if not span.isalpha() and any(map(str.isalpha, span)) else span
+        found = self.tokens.get(span)
+        if found is None:
+            found = self.decode(span) if not span.isalpha() and any(map(str.isalpha, span)) else span
+            self.keep(self.tokens, span, found)
+        return found
 
     def restore(self, text: str) -> str:
         """``text`` in lower case with its suspicious spans restored."""
         text = _TOKEN.sub(self._token, text.lower())
         text = _SPACED.sub(lambda m: self.decode(m[0]), text)
+        if not _RUN.search(text):
+            return text
         return _WORD.sub(lambda m: self.decode(m[0]) if _RUN.search(m[0]) else m[0], text)
 
 
-def features(texts: pa.Array, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature hash) of the words and word beginnings of the restored texts."""
+def restored(texts: pa.Array, channel: Channel) -> pa.Array:
+    """The texts in lower case with their suspicious lines restored; null is empty."""
     plain = [(t or "").lower() for t in texts.to_pylist()]
     rows, lines = (x.tolist() for x in suspicious(plain))
     for row, group in groupby(zip(rows, lines), key=lambda x: x[0]):
@@ -227,16 +244,59 @@ def features(texts: pa.Array, channel: Channel) -> tuple[np.ndarray, np.ndarray]
         for _, line in group:
             parts[line] = channel.restore(parts[line])
         plain[row] = "\n".join(parts)
-    restored = pa.array(plain, pa.large_string())
-    data, offsets = tx.buffers(restored)
-    starts, ends, cuts = tx.find_words(data, offsets, LETTER)
-    doc = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    hashes, docs = [tx.hash_spans(data, starts, ends)], [doc]
-    for size in PREFIXES:
-        long = ends - starts > size
-        hashes.append(mix64(tx.hash_spans(data, starts[long], starts[long] + size) + np.uint64(size)))
-        docs.append(doc[long])
-    return np.concatenate(docs), np.concatenate(hashes)
+    return pa.array(plain, pa.large_string())
+
+
+@dataclass
+class Features:
+    """Words and word beginnings of restored texts: equal words of all texts share their features."""
+
+    doc: np.ndarray  # of each word in the texts, rising
+    word: np.ndarray  # number of its form
+    form: np.ndarray  # of each feature
+    key: np.ndarray  # hash of each feature
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Features:
+        data, offsets = tx.buffers(texts)
+        starts, ends, cuts = tx.find_words(data, offsets, LETTER)
+        doc = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        coded = pa.array(tx.hash_words(data, starts, ends)).dictionary_encode()
+        word, keys = coded.indices.to_numpy(), [coded.dictionary.to_numpy()]
+        forms = [np.arange(len(keys[0]))]
+        place = np.zeros(len(keys[0]), np.int64)
+        place[word] = np.arange(len(word))  # any place of the form
+        starts, sizes = starts[place], (ends - starts)[place]
+        for size in PREFIXES:
+            long = np.flatnonzero(sizes > size)
+            keys.append(mix64(tx.hash_spans(data, starts[long], starts[long] + size) + np.uint64(size)))
+            forms.append(long)
+        return cls(doc, word, np.concatenate(forms), np.concatenate(keys))
+
+    def pairs(self, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, document, place among the keys) of each text's distinct features, in order.
+
+        The keys are ``known`` (sorted), which leaves other features out, or those of all features.
+        """
+        if known is None:
+            known, at = np.unique(self.key, return_inverse=True)
+            form = self.form
+        else:
+            at = np.searchsorted(known, self.key)
+            at[at == len(known)] = 0
+            hit = known[at] == self.key if len(known) else np.zeros(len(at), bool)
+            form, at = self.form[hit], at[hit]
+        order = np.argsort(form, kind="stable")
+        at = at[order]
+        count = np.bincount(form, minlength=int(self.form.max(initial=-1)) + 1)
+        begin = np.cumsum(count) - count
+        inside = np.flatnonzero(count[self.word] > 0)
+        seen = np.unique(self.doc[inside] * len(count) + self.word[inside])
+        doc, word = np.divmod(seen, max(len(count), 1))
+        each = count[word]
+        inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        code = np.repeat(doc, each) * len(known) + at[np.repeat(begin[word], each) + inner]
+        return known, *np.divmod(np.unique(code), max(len(known), 1))
 
 
 @dataclass
@@ -247,17 +307,12 @@ class Scorer:
     weights: np.ndarray
     logistic: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
-    def sums(self, texts: pa.Array, channel: Channel) -> np.ndarray:
-        """(largest weight, log of 1 + sum of weights) over each text's distinct features."""
-        doc, key = features(texts, channel)
-        out = np.zeros((len(texts), 2))
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            pairs = np.unique(np.stack([doc[hit], at[hit]]), axis=1)
-            weight = self.weights[pairs[1]]
-            np.maximum.at(out[:, 0], pairs[0], weight)
-            out[:, 1] = np.log1p(np.bincount(pairs[0], weight, len(texts)))
+    def sums(self, texts: pa.Array) -> np.ndarray:
+        """(largest weight, log of 1 + sum of weights) over each restored text's distinct features."""
+        _, doc, place = Features.of(texts).pairs(self.keys)
+        out, weight = np.zeros((len(texts), 2)), self.weights[place]
+        np.maximum.at(out[:, 0], doc, weight)
+        out[:, 1] = np.log1p(np.bincount(doc, weight, len(texts)))
         return out
 
     def score(self, sums: np.ndarray) -> np.ndarray:
@@ -290,91 +345,92 @@ def sample_of(labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], taken.column("toxic").to_numpy()[order]
 
 
+def restored_sample(docs: DataFrame, ids: np.ndarray, marks: np.ndarray, channel_shared) -> DataFrame:
+    """(toxic, half, text) of the sampled rows, restored and written once for all passes of a fit."""
+    spark = docs.sparkSession
+    half = mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(2) == 0
+    picked = spark.createDataFrame(
+        pa.table({"doc_id": pa.array(ids), "toxic": pa.array(marks.astype(np.int32)), "half": pa.array(half)})
+    )
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = rows.join(F.broadcast(picked), "doc_id").select("toxic", "half", "text")
+
+    def restore(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [restored(tx.column(batch, "text"), channel_shared.value).cast(pa.string())]
+
+    return materialize(tx.map_rows(rows, [StructField("text", StringType())], restore), "toxicity-sample")
+
+
 def train(docs: DataFrame, labels: DataFrame, channel_shared, sample: int = SAMPLE) -> Scorer:
     """Weights and logistic function from the sampled labels (doc_id, toxic)."""
     spark = docs.sparkSession
     ids, marks = sample_of(labels, sample)
-    shared = broadcast(spark, (ids, marks))
-    rows = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    fit_half = lambda ids: mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(2) == 0
-
-    def sampled(batches, half: bool | None):
-        """The rows of one half of the sample, or of all of it, with their labels."""
-        ids, marks = shared.value
+    share = float(marks.mean()) if len(marks) else 0.0
+    constant = (math.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0)
+    unlearnt = Scorer(np.zeros(0, np.uint64), np.zeros(0), constant)
+    if not 0 < share < 1:
+        return unlearnt
+    rows = restored_sample(docs, ids, marks, channel_shared)
+    in_half = mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(2) == 0
+    counts = ["toxic", "clean", "toxic_half", "clean_half"]
+
+    def tally(batches, known=None):
+        """Texts of each label, in all and in the half, that have a feature; all features or the known ones."""
         for batch in batches:
-            own = tx.column(batch, "doc_id").to_numpy()
-            at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
-            mine = (ids[at] == own) if len(ids) else np.zeros(len(own), bool)
-            if half is not None:
-                mine &= fit_half(own) == half
-            picked = batch.filter(pa.array(mine))
-            label = marks[at[mine]] if len(ids) else np.zeros(0)
-            done = 0
-            for part in tx.row_slices(picked):
-                yield part, label[done : done + part.num_rows]
-                done += part.num_rows
-
-    def tally(batches, half, known=None):
-        """Texts of each label that have a feature; all toxic features, or the known ones."""
-        keys, toxic, clean = [], [], []
-        for part, label in sampled(batches, half):
-            wanted = label == 1 if known is None else label >= 0
-            if not wanted.any():
-                continue
-            doc, key = features(tx.column(part, "text"), channel_shared.value)
-            keep = wanted[doc]
-            if known is not None:
-                place = np.minimum(np.searchsorted(known.value, key), len(known.value) - 1)
-                keep &= known.value[place] == key
-            pairs = np.unique(np.stack([key[keep], doc[keep].astype(np.uint64)]), axis=1)
-            one = label[pairs[1].astype(np.int64)] == 1
-            found, at = np.unique(pairs[0], return_inverse=True)
-            keys.append(found)
-            toxic.append(np.bincount(at, one, len(found)).astype(np.int64))
-            clean.append(np.bincount(at, ~one, len(found)).astype(np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(toxic)),
-                pa.array(np.concatenate(clean)),
-            ], names=["key", "toxic", "clean"])
-
-    schema = "key long, toxic long, clean long"
-    add = [F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")]
-
-    def weighted(half: bool | None) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted features and their weights, from one half or from all of the sample."""
-        of = np.ones(len(ids), bool) if half is None else fit_half(ids) == half
+            for part in tx.row_slices(batch):
+                found, doc, place = Features.of(tx.column(part, "text")).pairs(known and known.value)
+                one = tx.column(part, "toxic").to_numpy()[doc] == 1
+                half = tx.column(part, "half").to_numpy(zero_copy_only=False)[doc]
+                sums = [np.bincount(place, x, len(found)).astype(np.int64) for x in (one, ~one, one & half, ~one & half)]
+                some = np.flatnonzero(sums[0] + sums[1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[some].view(np.int64)), *(pa.array(x[some]) for x in sums)], names=["key", *counts]
+                )
+
+    def tallied(rows: DataFrame, known=None) -> DataFrame:
+        made = rows.mapInArrow(lambda b: tally(b, known), "key long, " + ", ".join(f"{c} long" for c in counts))
+        return made.groupBy("key").agg(*(F.sum(c).alias(c) for c in counts))
+
+    toxic = tallied(rows.filter("toxic = 1")).filter(F.col("toxic") >= LEAST).select("key", "toxic", "toxic_half")
+    toxic = materialize(toxic, "toxicity-features")
+
+    def often(count: str) -> np.ndarray:
+        """Sorted features that enough toxic texts have."""
+        top = toxic.filter(F.col(count) >= LEAST).orderBy(F.desc(count), "key").limit(FEATURES).select("key").toArrow()
+        return np.sort(top.column("key").to_numpy().view(np.uint64))
+
+    chosen = {"": often("toxic"), "_half": often("toxic_half")}
+    known = broadcast(spark, np.union1d(*chosen.values()))
+    both = tallied(rows, known).toArrow()
+    keys = both.column("key").to_numpy().view(np.uint64)
+
+    def weighted(part: str, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted features and their weights, from the half or from all of the sample."""
         totals = [int((marks[of] == y).sum()) for y in (1, 0)]
-        first = rows.mapInArrow(lambda b: tally(b, half), schema).groupBy("key").agg(*add)
-        often = first.filter(F.col("toxic") >= LEAST).orderBy(F.desc("toxic"), "key").limit(FEATURES).toArrow()
-        keys = np.sort(often.column("key").to_numpy().view(np.uint64))
-        if not len(keys) or not all(totals):
+        if not all(totals):
             return np.zeros(0, np.uint64), np.zeros(0)
-        known = broadcast(spark, keys)
-        both = rows.mapInArrow(lambda b: tally(b, half, known), schema).groupBy("key").agg(*add).toArrow()
-        t, c = both.column("toxic").to_numpy(), both.column("clean").to_numpy()
+        t, c = (both.column(f"{y}{part}").to_numpy() for y in ("toxic", "clean"))
         ratio = np.log((t + 0.5) / (totals[0] + 1)) - np.log((c + 0.5) / (totals[1] + 1))
         weight = ratio - 2 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        keys, weight = both.column("key").to_numpy().view(np.uint64)[weight > 0], weight[weight > 0]
-        order = np.argsort(keys)
-        return keys[order], weight[order]
+        keep = np.flatnonzero((weight > 0) & np.isin(keys, chosen[part]))
+        keep = keep[np.argsort(keys[keep])]
+        return keys[keep], weight[keep]
 
-    share = float(marks.mean()) if len(marks) else 0.0
-    constant = (math.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0)
-    scorer = Scorer(*weighted(True), constant)
-    scorer_shared = broadcast(spark, scorer)
+    scorer_shared = broadcast(spark, Scorer(*weighted("_half", in_half), constant))
 
     def measure(batches):
-        for part, label in sampled(batches, False):
-            sums = scorer_shared.value.sums(tx.column(part, "text"), channel_shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(label.astype(float))], names=["a", "b", "y"])
+        for batch in batches:
+            for part in tx.row_slices(batch):
+                sums = scorer_shared.value.sums(tx.column(part, "text"))
+                label = tx.column(part, "toxic").cast(pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(sums[:, 0]), pa.array(sums[:, 1]), label], names=["a", "b", "y"])
 
-    other = rows.mapInArrow(measure, "a double, b double, y double").toArrow()  # half the sample at most
+    other = rows.filter("not half").mapInArrow(measure, "a double, b double, y double").toArrow()  # half the sample at most
     y = other.column("y").to_numpy()
     if len(y) and 0 < y.sum() < len(y):
         x = np.column_stack([other.column("a").to_numpy(), other.column("b").to_numpy()])
-        return Scorer(*weighted(None), fit_logistic(x, y))
-    return Scorer(np.zeros(0, np.uint64), np.zeros(0), constant)
+        return Scorer(*weighted("", np.ones(len(ids), bool)), fit_logistic(x, y))
+    return unlearnt
 
 
 def score_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -384,6 +440,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     scorer = broadcast(spark, train(docs, labels, channel, sample))
 
     def score(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array(scorer.value.score(scorer.value.sums(tx.column(batch, "text"), channel.value)))]
+        texts = restored(tx.column(batch, "text"), channel.value)
+        return [pa.array(scorer.value.score(scorer.value.sums(texts)))]
 
     return tx.map_rows(docs, [StructField("score", DoubleType())], score)

@@ -1,9 +1,11 @@
 import random
+import re
 import sys
 from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 from arborinfo.llm import decontamination, jaccard_join, language_mixture, packing, pii, substring_dedup, toxicity
+from arborinfo.llm import text as tx
+from arborinfo.llm.language_mixture import LETTER
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -403,6 +407,41 @@ def test_spans_of_any_length_are_restored(spark):
     assert channel.restore(spaced).replace(" ", "") == long.replace(" ", "")
 
 
+def test_toxicity_reads_documents_three_times(spark):
+    """For the language model, for the sample (restored once for all passes of the fit) and for the scores."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    labels = spark.createDataFrame([(r.doc_id, int(k % 2)) for k, r in enumerate(docs.collect())], "doc_id long, toxic int")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    scored = toxicity.score_texts(docs.mapInArrow(counted, docs.schema), labels).toArrow()
+    assert scored.num_rows == docs.count() and len(set(scored.column("score").to_pylist())) > 1
+    assert read.value == 3 * scored.num_rows
+
+
+def test_toxicity_features(spark):
+    texts = ["", "one three three lengthy", None, "lengthier words, lengthy", "x" * 300_000 + " Überraschung one", "12 !", "tres ñandúes"]
+    found = toxicity.Features.of(pa.array([(t or "").lower() for t in texts], pa.large_string()))
+    keys, doc, place = found.pairs()
+    for row, text in enumerate(texts):
+        words = {w.encode() for w in re.findall(r"[^\W\d_]+", (text or "").lower())}
+        want = len(words) + len({(n, w[:n]) for w in words for n in toxicity.PREFIXES if len(w) > n})
+        assert len(keys[place[doc == row]]) == len(set(keys[place[doc == row]].tolist())) == want
+    some = np.sort(keys)[::3]
+    known, doc_some, place_some = found.pairs(some)
+    kept = np.isin(keys[place], some)
+    assert known is some and doc_some.tolist() == doc[kept].tolist()
+    assert some[place_some].tolist() == keys[place[kept]].tolist()
+    assert not len(found.pairs(some[:0])[1]) and not len(toxicity.Features.of(pa.array([""])).pairs()[1])
+    data, offsets = tx.buffers(pa.array([t or "" for t in texts]))
+    starts, ends, _ = tx.find_words(data, offsets, LETTER)
+    assert (tx.hash_words(data, starts, ends) == tx.hash_spans(data, starts, ends)).all()
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([(5, None), (None, 1)], "doc_id long, toxic int")
     out = toxicity.score_texts(odd_rows(spark), labels).collect()
